@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,17 +12,45 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import stage
 
-TOKEN = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 #: Share of an item's score for itself that a passage must reach, then shares of its word 5-grams that must be there.
-LEAST_SCORE, LEAST_OVERLAP, LEAST_PART = 0.6, 0.8, 0.6
-SHINGLE, POSTING_BLOCK = 5, 64
+LEAST_SCORE, LEAST_OVERLAP, LEAST_PART = 0.65, 0.8, 0.6
+SHINGLE = 5
+#: Lists keep a maximum for each block of items; an index has this many blocks at most.
+BLOCKS = 1024
+#: Share of an item's score that words common among the items may give together.
+COMMON = 0.05
 #: Items and characters of one index, which every task holds; more items make more indexes, searched one after the other.
 INDEX_ITEMS, INDEX_CHARS = 50_000, 64_000_000
 
 
+def bare(word: str) -> str:
+    """A word without the marks at its ends."""
+    a, b = 0, len(word)
+    while a < b and not word[a].isalnum():
+        a += 1
+    while a < b and not word[b - 1].isalnum():
+        b -= 1
+    return word[a:b]
+
+
 def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall(text.lower()) if text else []
+    return [w for w in map(bare, text.lower().split()) if w] if text else []
+
+
+class Terms(dict):
+    """Term numbers of words as they stand in texts, remembered; ``none`` for words of no item, -1 for mere marks."""
+
+    def __init__(self, term: dict[str, int]) -> None:
+        super().__init__()
+        self.term = term
+
+    def __missing__(self, word: str) -> int:
+        own = bare(word)
+        k = self.term.get(own, len(self.term)) if own else -1
+        if len(self) < 500_000:
+            self[word] = k
+        return k
 
 
 @dataclass
@@ -35,9 +62,22 @@ class Index:
     term: dict[str, int] = field(default_factory=dict)
     items: list[np.ndarray] = field(default_factory=list)
     impact: list[np.ndarray] = field(default_factory=list)
+    block: list[np.ndarray] = field(default_factory=list)
     block_max: list[np.ndarray] = field(default_factory=list)
     most: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    begin: np.ndarray | None = None
+    rare_block: np.ndarray | None = None
+    rare_max: np.ndarray | None = None
+    common: float = 0.0
     longest: int = 1
+    width: int = 1
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "of"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.of = Terms(self.term)
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]]) -> "Index":
@@ -49,6 +89,7 @@ class Index:
         n = len(ix.ids)
         if not n:
             return ix
+        ix.width = -(-n // BLOCKS)
         counts = [Counter(w) for w in ix.words]
         df = Counter(t for c in counts for t in c)
         mean = sum(map(len, ix.words)) / n
@@ -63,9 +104,29 @@ class Index:
             ix.term[t] = len(ix.items)
             ix.items.append(np.array([k for k, _ in posts]))
             ix.impact.append(np.array([x for _, x in posts]))
-            ix.block_max.append(np.maximum.reduceat(ix.impact[-1], np.arange(0, len(posts), POSTING_BLOCK)))
+            blocks, first = np.unique(ix.items[-1] // ix.width, return_index=True)
+            ix.block.append(blocks)
+            ix.block_max.append(np.maximum.reduceat(ix.impact[-1], first))
         ix.most = np.append([x.max() for x in ix.impact], 0.0)  # the last is for words of no item
         ix.longest = max(map(len, ix.words))
+        # a passage that reaches the threshold has LEAST_SCORE less what all of an item's common words can give in rare ones
+        shares = np.zeros(n)
+        limit = np.array([df[t] for t in lists])
+        for most_items in np.unique(limit)[::-1]:
+            more = shares.copy()
+            for t in np.nonzero(limit == most_items)[0]:
+                more[ix.items[t]] += ix.impact[t]
+            if more.max() > COMMON:
+                break
+            shares = more
+            limit[limit == most_items] = -1
+        ix.common = float(shares.max())
+        # blocks and maxima of the rare words' lists, end to end
+        sizes = np.array([len(b) if k >= 0 else 0 for b, k in zip(ix.block, limit)] + [0])
+        ix.begin = np.append(0, np.cumsum(sizes))
+        ix.rare_block = np.concatenate([b for b, k in zip(ix.block, limit) if k >= 0] or [np.empty(0, np.int64)])
+        ix.of = Terms(ix.term)
+        ix.rare_max = np.concatenate([b for b, k in zip(ix.block_max, limit) if k >= 0] or [np.empty(0)])
         return ix
 
     def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
@@ -91,20 +152,18 @@ class Index:
                 pivot += 1
             head = live[: pivot + 1]
             place = {t: at[t] + int(np.searchsorted(self.items[t][at[t] :], item)) for t in head}
-            bound, end = 0.0, None
+            own, bound = item // self.width, 0.0
             for t in head:
-                if place[t] < len(self.items[t]):
-                    block = place[t] // POSTING_BLOCK
-                    bound += self.block_max[t][block]
-                    last = self.items[t][min((block + 1) * POSTING_BLOCK, len(self.items[t])) - 1]
-                    end = last if end is None else min(end, last)
+                k = int(np.searchsorted(self.block[t], own))
+                if k < len(self.block[t]) and self.block[t][k] == own:
+                    bound += self.block_max[t][k]
             if bound >= least - 1e-12:
                 score = sum(self.impact[t][place[t]] for t in head if place[t] < len(self.items[t]) and self.items[t][place[t]] == item)
                 if score >= least - 1e-12:
                     out.append((int(item), float(score)))
                 skip = item + 1
             else:
-                skip = end + 1
+                skip = (own + 1) * self.width
                 if pivot + 1 < len(live):
                     skip = min(skip, self.items[live[pivot + 1]][at[live[pivot + 1]]])
                 skip = max(skip, item + 1)
@@ -129,27 +188,39 @@ class Index:
     def leaks(self, text: str | None) -> Iterator[tuple[int, int, float, float]]:
         """(item id, first word of the passage, score, overlap) for the items a text holds, by passages of twice the longest item.
 
-        A passage whose terms' maxima can't add up to the threshold is not searched further.
+        A passage whose rare words' block maxima add up to less than they must give in every block is not searched further.
         """
-        words = tokens(text)
-        if not words or not self.ids:
+        if not text or not self.ids:
+            return
+        raw, none = text.lower().split(), len(self.items)
+        ids = np.fromiter(map(self.of.__getitem__, raw), np.int64, len(raw))
+        ids = ids[ids >= 0]
+        if not len(ids):
             return
-        get, none = self.term.get, len(self.items)
-        ids = np.fromiter((get(w, none) for w in words), np.int64, len(words))
-        bound = np.append(0.0, np.cumsum(self.most[ids]))
+        words: list[str] = []
+        step, least = self.longest, LEAST_SCORE - self.common - 1e-9
+        parts = -(-len(ids) // step)
+        # sums of block maxima of the rare words, each once in a stretch of ``step`` words
+        spot = np.unique(np.arange(len(ids)) // step * (none + 1) + ids)
+        part, term = spot // (none + 1), spot % (none + 1)
+        sizes = self.begin[term + 1] - self.begin[term]
+        flat = np.repeat(self.begin[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        blocks = (len(self.ids) - 1) // self.width + 1
+        sums = np.bincount(np.repeat(part, sizes) * blocks + self.rare_block[flat], self.rare_max[flat], (parts + 1) * blocks).reshape(parts + 1, blocks)
+        reach = (sums[:-1] + sums[1:]).max(1)
         best: dict[int, tuple[int, float, float]] = {}
-        step = self.longest
-        for a in range(0, len(words), step):
-            b = min(a + 2 * step, len(words))
-            if bound[b] - bound[a] >= LEAST_SCORE:
+        for a in range(0, len(ids), step):
+            b = min(a + 2 * step, len(ids))
+            if reach[a // step] >= least:
                 terms = np.unique(ids[a:b])
                 terms = terms[terms < none]
                 if self.most[terms].sum() >= LEAST_SCORE:
                     for k, score in self.search(terms.tolist(), LEAST_SCORE):
+                        words = words or tokens(text)
                         total, question, answer = self.overlap(k, words[a:b])
                         if total >= LEAST_OVERLAP and question >= LEAST_PART and answer >= LEAST_PART and total > best.get(k, (0, 0, 0))[2]:
                             best[k] = (a, score, total)
-            if b == len(words):
+            if b == len(ids):
                 break
         for k, (a, score, total) in best.items():
             yield self.ids[k], a, score, total

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, expm1, log1p
 
 import numpy as np
 import pandas as pd
@@ -15,40 +16,65 @@ from .common import crc_mod, stage
 
 #: Labelled documents of each class that the classifier is fitted on, at most, in the order of a hash of the id.
 FIT_ROWS = 10_000
-#: Words with a weight, and the documents of the sample a word must be in.
-FEATURES, LEAST_DOCS = 4000, 4
+#: Features with a weight, the documents of the sample a feature must be in, and the standard errors by which its shares must differ.
+FEATURES, LEAST_DOCS, LEAST_Z = 4000, 6, 4.0
+#: A word's features are itself and its beginnings of these lengths (inflected and compound forms share those).
+PREFIXES = (4, 5, 6)
 SENTENCE = re.compile(r"[.!?\n]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def features(word: str) -> list[str]:
+    return [word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
+
+
+class Weights(dict):
+    """Summed feature weights of words, remembered."""
+
+    def __init__(self, of: dict[str, float]) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str) -> float:
+        z = sum(self.of.get(f, 0.0) for f in features(word))
+        if len(self) < 500_000:
+            self[word] = z
+        return z
+
+
 @dataclass
 class Model:
-    """Weights of words and the base of every sentence, in log odds."""
+    """Weights of features and the base of every sentence, in log odds."""
 
     weights: dict[str, float]
     base: float
 
+    def __post_init__(self) -> None:
+        self.words = Weights(self.weights)
+
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "base": self.base}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
     def sentence(self, words: list[str]) -> float:
         """Probability that a sentence is toxic; each word counts once."""
-        z = self.base + sum(self.weights[w] for w in set(words) if w in self.weights)
+        z = self.base + sum(map(self.words.__getitem__, set(words)))
         return 1.0 / (1.0 + np.exp(-min(max(z, -40.0), 40.0)))
 
     def document(self, text: str | None) -> float:
         """1 - product over sentences of (1 - p); 0 for a text without sentences."""
-        clean, plain, get = 0.0, 0, self.weights
-        base = float(np.log1p(-1.0 / (1.0 + np.exp(-self.base))))
+        clean, get = 0.0, self.words.__getitem__
         for s in SENTENCE.split(text.lower()) if text else ():
             words = LETTERS.findall(s)
-            if not words:
-                continue
-            if get.keys().isdisjoint(words):
-                plain += 1
-            else:
-                clean += float(np.log1p(-min(self.sentence(words), 1 - 1e-12)))
-        return float(-np.expm1(clean + plain * base))
+            if words:
+                z = self.base + sum(map(get, set(words)))
+                clean -= log1p(exp(min(z, 30.0)))  # log(1 - p)
+        return -expm1(clean)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES, seed: int = 11) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int = FEATURES, seed: int = 11) -> Model:
     """Fits the model on labelled rows outside fold 0 of crc32(doc_id) mod 5; only texts and ``toxic`` are read.
 
     At most ``fit_rows`` documents of each class take part (the classifier's one bounded sample); they are weighted back
@@ -68,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
         for pdf in batches:
             seen = (Counter(), Counter())
             for y, text in zip(pdf["y"], pdf["text"]):
-                seen[y].update(set(LETTERS.findall(text.lower())))
+                seen[y].update({f for w in set(LETTERS.findall(text.lower())) for f in features(w)})
             words = list(seen[0].keys() | seen[1].keys())
             yield pd.DataFrame({"word": words, "n0": [seen[0][w] for w in words], "n1": [seen[1][w] for w in words]})
 
@@ -79,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     p0, p1 = (F.col("n0") + 0.5) / (sizes[0] + 1.0), (F.col("n1") + 0.5) / (sizes[1] + 1.0)
     both = (F.col("n0") + F.col("n1")) / float(sizes[0] + sizes[1])
     z = F.abs(p1 - p0) / F.sqrt(both * (1.0 - F.least(both, F.lit(0.999))) * (1.0 / sizes[0] + 1.0 / sizes[1]))
-    best = words.where(F.col("n0") + F.col("n1") >= LEAST_DOCS).orderBy(z.desc(), "word").limit(features)
+    best = words.where((F.col("n0") + F.col("n1") >= LEAST_DOCS) & (z >= LEAST_Z)).orderBy(z.desc(), "word").limit(most)
     index = {r["word"]: k for k, r in enumerate(best.select("word").collect())}
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
                 marked, plain = [], 0
                 for s in SENTENCE.split(text.lower()):
                     words = LETTERS.findall(s)
-                    ids = sorted({index[w] for w in words if w in index})
+                    ids = sorted(index[f] for w in set(words) for f in features(w) if f in index)
                     plain += bool(words) and not ids
                     marked += [ids] if ids else []
                 rows.append((y, plain, [i for ids in marked for i in ids], [len(ids) for ids in marked]))
