@@ -19,7 +19,7 @@ SHINGLE = 5
 #: Lists keep a maximum for each block of items; an index has this many blocks at most.
 BLOCKS = 1024
 #: Share of an item's score that words common among the items may give together.
-COMMON = 0.05
+COMMON = 0.3
 #: Items and characters of one index, which every task holds; more items make more indexes, searched one after the other.
 INDEX_ITEMS, INDEX_CHARS = 50_000, 64_000_000
 
@@ -66,8 +66,9 @@ class Index:
     block_max: list[np.ndarray] = field(default_factory=list)
     most: np.ndarray = field(default_factory=lambda: np.zeros(1))
     begin: np.ndarray | None = None
-    rare_block: np.ndarray | None = None
-    rare_max: np.ndarray | None = None
+    flat_block: np.ndarray | None = None
+    flat_max: np.ndarray | None = None
+    rare: np.ndarray | None = None
     common: float = 0.0
     longest: int = 1
     width: int = 1
@@ -121,12 +122,11 @@ class Index:
             shares = more
             limit[limit == most_items] = -1
         ix.common = float(shares.max())
-        # blocks and maxima of the rare words' lists, end to end
-        sizes = np.array([len(b) if k >= 0 else 0 for b, k in zip(ix.block, limit)] + [0])
-        ix.begin = np.append(0, np.cumsum(sizes))
-        ix.rare_block = np.concatenate([b for b, k in zip(ix.block, limit) if k >= 0] or [np.empty(0, np.int64)])
+        # blocks and maxima of all lists, end to end; those of rare words come first in each passage's bound
+        ix.rare = np.append(limit >= 0, False)
+        ix.begin = np.append(0, np.cumsum([len(b) for b in ix.block] + [0]))
+        ix.flat_block, ix.flat_max = np.concatenate(ix.block), np.concatenate(ix.block_max)
         ix.of = Terms(ix.term)
-        ix.rare_max = np.concatenate([b for b, k in zip(ix.block_max, limit) if k >= 0] or [np.empty(0)])
         return ix
 
     def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
@@ -185,6 +185,13 @@ class Index:
         cut = max(0, len(hit) - answer)
         return hit.mean(), hit[:cut].mean() if cut else 1.0, hit[cut:].mean()
 
+    def bounds(self, terms: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+        """Sums of the terms' maxima by part and block of items."""
+        sizes = self.begin[terms + 1] - self.begin[terms]
+        flat = np.repeat(self.begin[terms] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        blocks = (len(self.ids) - 1) // self.width + 1
+        return np.bincount(np.repeat(part, sizes) * blocks + self.flat_block[flat], self.flat_max[flat], parts * blocks).reshape(parts, blocks)
+
     def leaks(self, text: str | None) -> Iterator[tuple[int, int, float, float]]:
         """(item id, first word of the passage, score, overlap) for the items a text holds, by passages of twice the longest item.
 
@@ -201,12 +208,9 @@ class Index:
         step, least = self.longest, LEAST_SCORE - self.common - 1e-9
         parts = -(-len(ids) // step)
         # sums of block maxima of the rare words, each once in a stretch of ``step`` words
-        spot = np.unique(np.arange(len(ids)) // step * (none + 1) + ids)
-        part, term = spot // (none + 1), spot % (none + 1)
-        sizes = self.begin[term + 1] - self.begin[term]
-        flat = np.repeat(self.begin[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        blocks = (len(self.ids) - 1) // self.width + 1
-        sums = np.bincount(np.repeat(part, sizes) * blocks + self.rare_block[flat], self.rare_max[flat], (parts + 1) * blocks).reshape(parts + 1, blocks)
+        spot = np.nonzero(self.rare[ids])[0]
+        spot = np.unique(spot // step * (none + 1) + ids[spot])
+        sums = self.bounds(spot % (none + 1), spot // (none + 1), parts + 1)
         reach = (sums[:-1] + sums[1:]).max(1)
         best: dict[int, tuple[int, float, float]] = {}
         for a in range(0, len(ids), step):
@@ -214,7 +218,7 @@ class Index:
             if reach[a // step] >= least:
                 terms = np.unique(ids[a:b])
                 terms = terms[terms < none]
-                if self.most[terms].sum() >= LEAST_SCORE:
+                if self.bounds(terms, np.zeros_like(terms), 1).max() >= LEAST_SCORE - 1e-9:
                     for k, score in self.search(terms.tolist(), LEAST_SCORE):
                         words = words or tokens(text)
                         total, question, answer = self.overlap(k, words[a:b])
