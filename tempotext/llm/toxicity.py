@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import crc_mod, stage
 
 #: Labelled documents of each class that the classifier is fitted on, at most, in the order of a hash of the id.
-FIT_ROWS = 10_000
+FIT_ROWS = 6_000
 #: Features with a weight, the documents of the sample a feature must be in, and the standard errors by which its shares must differ.
 FEATURES, LEAST_DOCS, LEAST_Z = 4000, 6, 4.0
 #: A word's features are itself and its beginnings of these lengths (inflected and compound forms share those).
