@@ -45,7 +45,9 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     t = t.withColumn("full", F.coalesce(F.sum("cap").over(up), F.lit(0.0)))
     t = t.withColumn("open", F.sum("w").over(all_) - F.coalesce(F.sum("w").over(up), F.lit(0.0)))
     t = t.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(all_) - F.col("full")) / F.col("open"))
-    level = F.min(F.when(F.col("level") <= F.col("r"), F.col("level"))).over(all_)
+    # the first source in this order that the level doesn't fill gives the final level
+    t = t.withColumn("place", F.row_number().over(W.orderBy("r", F.col("source").asc_nulls_last())))
+    level = F.min_by("level", F.when(F.col("level") <= F.col("r"), F.col("place"))).over(all_)
     t = t.withColumn("final", F.coalesce(level, F.max("r").over(all_)))
     return t.select("source", "source_size", F.least(F.col("cap"), F.col("final") * F.col("w")).alias("target"))
 

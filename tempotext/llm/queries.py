@@ -83,8 +83,8 @@ w as (select *, [5.0::double, 2.0::double, 1.0::double][((row_number() over (ord
 r as (select *, cap / w r,
         coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0) full_,
         sum(w) over () - coalesce(sum(w) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0) open_,
-        1.5::double * sum(source_size) over () total from w),
-l as (select coalesce((select min((total - full_) / open_) from r where (total - full_) / open_ <= r), (select max(r) from r)) level),
+        1.5::double * sum(source_size) over () total, row_number() over (order by cap / w, source nulls last) place from w),
+l as (select coalesce((select arg_min((total - full_) / open_, place) from r where (total - full_) / open_ <= r), (select max(r) from r)) level),
 t as (select source, source_size, least(cap, level * w) target from r, l),
 e as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end epochs from t),
 p as (select d.doc_id, d.size, e.source_size::bigint source_size, e.target, e.epochs, floor(e.target)::bigint - e.epochs * e.source_size rest,

@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
     train = labels.where((crc_mod("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     shares = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
-        return Model({}, -40.0)
+        return Model({}, float("-inf"))
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     ids = [train.where(F.col("y") == y).orderBy(order, "doc_id").limit(fit_rows) for y in (0, 1)]
     chosen = F.broadcast(ids[0].union(ids[1]))
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int
 
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return Model({}, -40.0)
+        return Model({}, float("-inf"))
     words = sample.mapInPandas(count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p0, p1 = (F.col("n0") + 0.5) / (sizes[0] + 1.0), (F.col("n1") + 0.5) / (sizes[1] + 1.0)
     both = (F.col("n0") + F.col("n1")) / float(sizes[0] + sizes[1])
