@@ -367,3 +367,6 @@ def usage_rollup(s, d):
 @query("select job_id, max(conv_id) conv_id, count(*) results from assets group by 1 order by 2 desc, 1 limit 100", "assets")
 def recent_history(s, d):
     return L.recent_history(X.assets(s, d))
+
+
+from . import documents  # noqa: E402,F401  (adds its queries)
