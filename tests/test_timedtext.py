@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempotext.functions import similarity as S, text as T
-from tempotext.operators import cues as C, segments as G
+from tempotext.operators import cues as C, documents as D, segments as G
 from tempotext.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -63,6 +63,27 @@ def test_merge_cues(spark):
     assert [(r.cue_id, r.start_ms, r.end_ms) for r in got] == [("yt000001", 1000, 2700), ("yt000002", 2800, 3500)]
 
 
+def test_caption_files(spark):
+    event = '{"tStartMs": %d, "dDurationMs": %d, "segs": [{"utf8": "%s"}]}'
+    json3 = '{"events": [{"tStartMs": 0}, ' + ", ".join(event % x for x in [(1000, 900, "病院に"), (1900, 800, "病院に"), (2800, 700, "行きました")]) + "]}"
+    vtt = "WEBVTT\n\n1\n00:01.000 --> 00:01.900 align:start\n<c>病院に</c>\n\n00:00:01.900 --> 00:00:02.700\n病院に\n\n00:02.800 --> 00:03.500\n行き\nました\n"
+    df = spark.createDataFrame([("v", json3, vtt), ("w", None, None), ("x", "", "")], "video_id string, json3 string, vtt string")
+    for got, last in ((D.read_json3_captions(df), "行きました"), (D.read_vtt_captions(df), "行き ました")):
+        assert [(r.video_id, r.start_ms, r.end_ms, r.text) for r in got.orderBy("cue_id").collect()] == [("v", 1000, 2700, "病院に"), ("v", 2800, 3500, last)]
+
+
+def test_timed_transcript(spark):
+    body = "# x\n- [00:00.000–00:01.000] 今日は\n- [00:01.000-00:02.000] 学校へ<br>行きます。 ⚠️\n- [00:02.000–00:03.000]  \n* [00:03.000—00:04.000] a &amp; b"
+    got = D.read_timed_transcript(spark.createDataFrame([("v", body), ("w", None)], "video_id string, body string")).orderBy("id").collect()
+    assert [(r.id, r.text, r.start_ms) for r in got] == [("seg000001", "今日は", 0), ("seg000002", "学校へ行きます。", 1000), ("seg000003", "a & b", 3000)]
+
+
+def test_caption_choice(spark):
+    rows = [("v", "manual", "en", "json3", "u", 0), ("v", "automatic", "en", "json3", "u", 1), ("v", "automatic", "ja", "vtt", "u", 2), ("v", "automatic", "ja", "json3", "u", 3), ("w", "manual", "ja", "vtt", None, 0)]
+    got = D.select_caption_track(spark.createDataFrame(rows, "video_id string, kind string, language string, ext string, url string, pos long"), ["ja"]).collect()
+    assert [(r.kind, r.language, r.ext) for r in got] == [("automatic", "ja", "json3")]
+
+
 def test_coverage(spark):
     cue = spark.createDataFrame([("v", 1, 1000, 2000, "お昼も一人で食べています")], "video_id string, n long, start_ms long, end_ms long, text string")
     other = cue.withColumns({"text": F.lit("前の字幕")})
