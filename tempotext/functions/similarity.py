@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .text import punct_key
 
@@ -69,3 +69,14 @@ def signature_similarity(a: Column, b: Column, empty: float = 1e-9) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
     return F.when((na < empty) & (nb < empty), 1.0).when((na < empty) | (nb < empty), 0.0).otherwise(dot(a, b) / (na * nb))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(x, LongType()) for x in ("a_index", "b_index", "size")])))
+def matching_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Blocks of equal characters of two short texts, in order."""
+    return pd.Series([[(m.a, m.b, m.size) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if m.size] if x is not None and y is not None else [] for x, y in zip(a, b)])
+
+
+def align_characters(a: Column, b: Column) -> Column:
+    """(a_index, b_index) of every aligned character."""
+    return F.flatten(F.transform(matching_blocks(a, b), lambda m: F.transform(F.sequence(F.lit(0).cast("long"), m["size"] - 1), lambda k: F.struct((m["a_index"] + k).alias("a_index"), (m["b_index"] + k).alias("b_index")))))

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 # Marks that a punctuation-free comparison leaves out.
 PUNCTUATION = r"[\s。．.、,，!！?？・「」『』（）()…]"
+COMPARED = r"""[\s、。，．,.!?！？:：;；'"“”‘’]"""
 
 
 @F.pandas_udf(StringType())
@@ -155,3 +156,13 @@ def headword(lemma: Column, reading: Column) -> Column:
 def fingerprint(*cols: Column) -> Column:
     """SHA-256 over the parts, null apart from empty."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols]), 256)
+
+
+def fenced_json(reply: Column) -> Column:
+    """What lies between the first and the last brace of a reply, so fences and talk around it are ignored; null without one."""
+    return F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def comparable_chars(c: Column) -> Column:
+    """Characters of the NFKC form without white space and marks, in order."""
+    return F.filter(F.split(F.regexp_replace(nfkc(c), "(?U)" + COMPARED, ""), ""), lambda x: x != "")

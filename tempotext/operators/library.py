@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import meaning_key, source_key, term_key
+from ..functions.text import fenced_json, has_kanji, meaning_key, source_key, term_key
 
 
 def keyed(saves: DataFrame) -> DataFrame:
@@ -73,3 +73,59 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
 
 def recent_history(jobs: DataFrame, most: int = 100) -> DataFrame:
     return jobs.groupBy("job_id").agg(F.max("conv_id").alias("conv_id"), F.count("*").alias("results")).orderBy(F.desc("conv_id"), "job_id").limit(most)
+
+
+def library_state(items: DataFrame, saves: DataFrame) -> DataFrame:
+    """(item_id, entry_exists, meaning_saved, context_saved, meaning_count, encounter_count) of items against the saved library; absent: zeros."""
+    k, i = keyed(saves), keyed(items)
+    entry = k.groupBy("entry_key").agg(F.countDistinct("meaning_key").alias("_m"), F.countDistinct("context_key").alias("_e"))
+    has = lambda c: k.select("entry_key", c).distinct().withColumn(f"_has_{c}", F.lit(True))
+    x = i.join(entry, "entry_key", "left").join(has("meaning_key"), ["entry_key", "meaning_key"], "left").join(has("context_key"), ["entry_key", "context_key"], "left")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return x.select("item_id", F.col("_m").isNotNull().alias("entry_exists"), flag(F.col("_has_meaning_key")).alias("meaning_saved"), flag(F.col("_has_context_key")).alias("context_saved"), F.coalesce("_m", F.lit(0)).alias("meaning_count"), F.coalesce("_e", F.lit(0)).alias("encounter_count"))
+
+
+def library_context(sentences: DataFrame, saves: DataFrame, most: int = 240, keep: int = 80) -> DataFrame:
+    """(video_id, n, matches, entries): the ``keep`` entries to know for each sentence, of the ``most`` met most often.
+
+    Entries with a form or lemma in the sentence come first, then those met most often and last. The candidates are one row
+    of at most ``most`` entries, joined to every sentence, so sentences are neither shuffled nor multiplied.
+    """
+    k = keyed(saves)
+    forms = k.groupBy("entry_key").agg(F.array_union(F.collect_set("form_key"), F.collect_set(term_key(F.col("lemma")))).alias("forms"))
+    top = top_library_entries(saves, most).join(forms, "entry_key")
+    entry = F.struct((-F.col("encounters")).alias("e"), (-F.col("updated")).alias("u"), F.col("entry_key").alias("key"), F.filter("forms", lambda x: x != "").alias("forms"))
+    one = top.agg(F.array_sort(F.collect_list(entry)).alias("top"))
+    s = sentences.select("video_id", "n", term_key(F.col("text")).alias("t")).join(F.broadcast(one))
+    ranked = F.array_sort(F.transform("top", lambda c: F.struct((~F.exists(c["forms"], lambda f: F.contains(F.col("t"), f))).alias("miss"), c["e"].alias("e"), c["u"].alias("u"), c["key"].alias("key"))))
+    s = s.withColumn("r", F.slice(ranked, 1, keep))
+    return s.select("video_id", "n", F.size(F.filter("r", lambda x: ~x["miss"])).cast("long").alias("matches"), F.col("r.key").alias("entries"))
+
+
+def encounter_titles(encounters: DataFrame, history: DataFrame) -> DataFrame:
+    """Encounters (job_id, source_url) with ``title``: their job's title, or the source url where it has none or a blank one."""
+    h = history.groupBy("job_id").agg(F.max("title").alias("_title"))
+    return encounters.join(h, "job_id", "left").withColumn("title", F.coalesce(F.nullif(F.trim("_title"), F.lit("")), "source_url")).drop("_title")
+
+
+def repair_display(entries: DataFrame, saves: DataFrame) -> DataFrame:
+    """(entry_key, display): displays without kanji become the entry's first form with kanji, else its lemma; others stay."""
+    k = keyed(saves).where(has_kanji(F.col("surface")))
+    first = k.groupBy("entry_key").agg(F.min_by("surface", "save_id").alias("_form"))
+    e = entries.join(first, "entry_key", "left")
+    return e.select("entry_key", F.when(has_kanji(F.col("display")), F.col("display")).otherwise(F.coalesce("_form", "lemma")).alias("display"))
+
+
+def flatten_analysis(replies: DataFrame) -> DataFrame:
+    """(sentence_id, kind, surface, lemma, reading, meaning): words and grammar of analysis replies; a reply without JSON gives no row."""
+    word, rule = "kind: string, expression: string, lemma: string, reading: string, meaning: string", "pattern: string, lemma: string, explanation: string"
+    a = replies.select("sentence_id", F.from_json(fenced_json(F.col("reply")), f"vocabulary array<struct<{word}>>, grammar array<struct<{rule}>>").alias("a"))
+    v = a.select("sentence_id", F.explode("a.vocabulary").alias("x")).select("sentence_id", "x.kind", F.col("x.expression").alias("surface"), "x.lemma", "x.reading", "x.meaning")
+    g = a.select("sentence_id", F.explode("a.grammar").alias("x")).select("sentence_id", F.lit("grammar").alias("kind"), F.col("x.pattern").alias("surface"), "x.lemma", F.lit("").alias("reading"), F.col("x.explanation").alias("meaning"))
+    return v.unionByName(g)
+
+
+def missing_reading(items: DataFrame) -> DataFrame:
+    """(sentence_id, missing): positions, from 0, of the items (sentence_id, pos, surface, lemma, reading) with kanji and no reading."""
+    blank = has_kanji(F.concat(F.coalesce("surface", F.lit("")), F.coalesce("lemma", F.lit("")))) & (F.trim(F.coalesce("reading", F.lit(""))) == "")
+    return items.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.when(blank, F.col("pos")))).alias("missing"))

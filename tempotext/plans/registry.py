@@ -369,4 +369,4 @@ def recent_history(s, d):
     return L.recent_history(X.assets(s, d))
 
 
-from . import documents, sentences  # noqa: E402,F401  (add their queries)
+from . import documents, frames, reuse, sentences  # noqa: E402,F401  (add their queries)
