@@ -69,13 +69,12 @@ def read_transcript_metadata(files: DataFrame, lines: int = 20) -> DataFrame:
     head = F.slice(F.split(F.coalesce("body", F.lit("")), r"\r\n|[\r\n]"), 1, lines)
 
     def value(name: str) -> Column:
-        own = F.element_at(F.filter(head, lambda x: x.startswith(f"{name}:")), -1) if name == "title" else F.get(F.filter(head, lambda x: x.startswith(f"{name}:")), F.lit(0))
+        own = F.try_element_at(F.filter(head, lambda x: x.startswith(f"{name}:")), F.lit(-1)) if name == "title" else F.get(F.filter(head, lambda x: x.startswith(f"{name}:")), F.lit(0))
         raw = F.trim(F.substring(own, len(name) + 2, 1 << 30))
         text = F.when(raw.rlike(r'^".*"$'), F.get_json_object(F.concat(F.lit('{"x":'), raw, F.lit("}")), "$.x"))
         return F.trim(F.coalesce(text, F.lit(""))).alias(name)
 
-    safe = F.size(head) > 0
-    return files.where(safe).select("video_id", value("title"), value("source_url"))
+    return files.select("video_id", value("title"), value("source_url"))
 
 
 def write_stage(rows: DataFrame, path: str, schema: StructType, buckets: int = 64) -> None:

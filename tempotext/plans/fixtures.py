@@ -12,8 +12,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events")
-    return e.select(
+    return observations_of(read(spark, d, "events"))
+
+
+def observations_of(events: DataFrame, *more: str) -> DataFrame:
+    return events.select(
+        *more,
         (F.col("user_id") % 16).alias("video_id"), F.col("event_id").alias("frame_index"), (F.unix_seconds(F.col("ts").cast("timestamp")) - 1704067200).alias("ts_ms"),
         F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("text"), F.least(F.col("value") / 500.0, F.lit(1.0)).alias("confidence"), F.expr("event_id div 4").alias("batch_index"),
     )
@@ -49,8 +53,12 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def saves(spark: SparkSession, d: str) -> DataFrame:
+    return saves_of(read(spark, d, "events"))
+
+
+def saves_of(events: DataFrame) -> DataFrame:
     u, w = F.col("user_id"), F.concat(F.lit("w"), (F.col("user_id") % 97).cast("string"))
-    return read(spark, d, "events").select(
+    return events.select(
         F.col("event_id").alias("save_id"), F.when(u % 3 == 0, "word").when(u % 3 == 1, "collocation").otherwise("grammar").alias("kind"), w.alias("lemma"), F.concat(w, "event_type").alias("surface"), F.lit("").alias("reading"),
         F.concat(F.lit("m"), (F.col("event_id") % 5).cast("string")).alias("meaning"), F.concat(u.cast("string"), F.lit(":"), F.date_format("ts", "yyyy-MM-dd")).alias("context_key"),
     )

@@ -59,7 +59,7 @@ def align_characters(s, d):
     return a.select("video_id", "n", "x.a_index", "x.b_index")
 
 
-@query(r"select video_id, n, array_to_string(string_split(regexp_replace(text, '[\s、。，．,.!?！？:：;；''""“”‘’]', '', 'g'), ''), '|') as value from cues", "cues")
+@query(r"""select video_id, n, array_to_string(string_split(regexp_replace(text, '[\s、。，．,.!?！？:：;；''"“”‘’]', '', 'g'), ''), '|') as value from cues""", "cues")
 def comparable_chars(s, d):
     return X.cues(s, d).select("video_id", "n", F.array_join(T.comparable_chars(F.col("text")), "|").alias("value"))
 
@@ -209,8 +209,8 @@ def read_stage(s, d):
 @query(", w as (select distinct video_id from segs where video_id % 5 = 0 and n % 2 = 0) select video_id, n, case when video_id in (select video_id from w) then 'new' else text end as text from segs where video_id not in (select video_id from w) or n % 2 = 0", "cues", "segs")
 def write_stage(s, d):
     o, path = X.ocr_segments(s, d).select("video_id", "n", "text"), scratch(s, "stage")
-    R.write_stage(o, path, o.schema)
-    R.write_stage(o.where("video_id % 5 = 0 and n % 2 = 0").withColumn("text", F.lit("new")), path, o.schema)
+    R.write_stage(o, path, o.schema, 16)
+    R.write_stage(o.where("video_id % 5 = 0 and n % 2 = 0").withColumn("text", F.lit("new")), path, o.schema, 16)
     return R.load_stage(s, path, o.schema)
 
 

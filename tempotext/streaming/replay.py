@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+#: Keys whose first save wins.
+KEYS = {"entry": ["entry_key"], "form": ["entry_key", "form_key"], "meaning": ["entry_key", "meaning_key"], "encounter": ["entry_key", "context_key"]}
 
 def stream_windows(events: DataFrame, span: str = "20 seconds", late: str = "1 hour") -> DataFrame:
     """Rows per type and event-time window; rows later than ``late`` are dropped by the watermark."""
@@ -15,3 +17,85 @@ def replay(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def stream_upsert_library(saves: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Library of a stream of saves: for every key its first save, whatever batch brought it; (key, kind_of_key, save_id).
+
+    Each batch appends the first saves of its keys only, so the table grows with keys, and reading takes the least save of
+    each key: a batch that is replayed, or comes out of order, changes nothing.
+    """
+    from ..operators.library import keyed
+
+    def firsts(rows: DataFrame) -> DataFrame:
+        k = keyed(rows)
+        parts = [F.struct(F.lit(name).alias("kind_of_key"), F.concat_ws("␟", *cols).alias("key")) for name, cols in KEYS.items()]
+        return k.select("save_id", F.explode(F.array(*parts)).alias("x")).groupBy("x.kind_of_key", "x.key").agg(F.min("save_id").alias("save_id"))
+
+    def add(batch: DataFrame, number: int) -> None:
+        firsts(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = saves.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    table = saves.sparkSession.read.schema("kind_of_key string, key string, save_id long, batch int").parquet(path)
+    return table.groupBy("kind_of_key", "key").agg(F.min("save_id").alias("save_id"))
+
+
+def stream_segments(obs: DataFrame, interval_ms: int, threshold: float, late: str = "1 hour") -> DataFrame:
+    """Streaming form of ``segment_observations`` over rows (video_id, at, ts_ms, frame_index, text, confidence) in time order a video.
+
+    State is the open segment of a video: its start, its texts with counts and scores, its representative. It is sent when
+    a row closes it, or when the watermark passes its last row by ``late``, then ended at that row's time.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    from ..operators.segments import REVIEW, Votes, alike
+
+    names = ["video_id", "start_ms", "end_ms", "text", "confidence", "observation_count", "needs_review"]
+
+    def closed(video: int, open_: tuple, end: int) -> tuple:
+        start, _, texts, counts, scores, total, n, _ = open_
+        head = _votes(Votes(), texts, counts, scores).ranked()[0]
+        return video, start, max(start + interval_ms, end), head, total / n, n, total / n < REVIEW
+
+    def walk(key: tuple, batches, state: GroupState):
+        out, open_ = [], state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([closed(key[0], open_, open_[1])], columns=names)
+            return
+        last = open_[7] if open_ else 0
+        rows = pd.concat(list(batches)).sort_values(["ts_ms", "frame_index"], kind="stable")
+        votes, head = None, ""
+        if open_:
+            votes = _votes(Votes(), *open_[2:5])
+            head = votes.ranked()[0]
+        for t, at, text, c in zip(rows["ts_ms"], rows["at"], rows["text"], rows["confidence"]):
+            last = max(last, int(at.timestamp() * 1000))
+            if not text.strip() or (open_ and not alike(head, text, threshold)):
+                if open_:
+                    out.append(closed(key[0], open_, int(t)))
+                open_ = votes = None
+            if text.strip():
+                if votes is None:
+                    votes, open_ = Votes(), (int(t), int(t), [], [], [], 0.0, 0, last)
+                votes.add(text, c)
+                head = votes.ranked()[0]
+                own = list(votes.texts.items())
+                open_ = (open_[0], int(t), [x for x, _ in own], [int(v[0]) for _, v in own], [float(v[1]) for _, v in own], open_[5] + float(c), open_[6] + 1, last)
+        if open_:
+            state.update(open_)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=names)
+
+    shape = "start long, last long, texts array<string>, counts array<long>, scores array<double>, total double, n long, seen long"
+    rows = obs.withWatermark("at", late).groupBy("video_id")
+    return rows.applyInPandasWithState(walk, "video_id long, start_ms long, end_ms long, text string, confidence double, observation_count long, needs_review boolean", shape, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _votes(votes, texts, counts, scores):
+    votes.texts = {x: [n, s] for x, n, s in zip(texts, counts, scores)}
+    return votes
