@@ -158,7 +158,7 @@ def test_stream_segments_equals_batch(spark, tmp_path):
     for v in (1, 2):
         for i in range(90):
             rows.append((v, i * 1000, i, rng.choice(["hello there", "hello thera", "goodbye now", ""]), 0.5))
-    df = spark.createDataFrame(rows, "video_id long, ts_ms long, frame_index long, text string, confidence double").withColumn("at", F.timestamp_seconds(F.col("ts_ms") / 1000))
+    df = spark.createDataFrame(rows, "video_id long, ts_ms long, frame_index long, text string, confidence double").withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("ts_ms") / 1000))
     src = str(tmp_path / "in")
     for k in range(3):
         df.where(f"frame_index div 30 = {k}").coalesce(1).write.mode("append").parquet(src)
