@@ -56,12 +56,6 @@ def exact_masks(radius: int, blocks: int) -> list[int]:
     return [sum(x) for x in combinations(part, blocks - radius)]
 
 
-def sampled_masks(tables: int, bits: int, seed: int = 7) -> list[int]:
-    """Masks of ``bits`` random bits, for radii at which exact masks are too many or too short."""
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
-
-
 def close_pairs(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """All i < j of a tile whose values differ in at most ``radius`` bits.
 
@@ -192,14 +186,129 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, radius: int = 10, tables: int = 32, bits: int = 16, shingle: int = 5) -> DataFrame:
-    """``simhash_components`` at five words and similarity 0.8: a fingerprint angle of acos(2*0.8/1.8) is 9.7 of 64 bits.
-
-    At this radius exact masks would be too short to separate anything, so buckets are ``tables`` random draws of
-    ``bits`` bits: a pair at 10 bits meets in one with probability 0.87 and at 6 bits 0.997, and a group needs only one
-    chain of such links. At far larger corpora raise ``bits``.
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Distinct XXH64 of the word shingles, sorted; fewer words: of the whole sequence; none: empty."""
+    line, at, starts, stops = b" ".join(words), 0, [], []
+    for w in words:
+        starts.append(at)
+        at += len(w) + 1
+        stops.append(at - 1)
+    digest = xxhash.xxh64_intdigest
+    last = max(1, len(words) - shingle + 1)
+    return np.unique(np.array([digest(line[a:b]) for a, b in zip(starts[:last], stops[min(shingle, len(words)) - 1 :])] if words else [], np.uint64))
+
+
+def band_keys(tokens: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """``bands`` hashes of ``rows`` MinHash values each: two sets of Jaccard similarity J share one with probability J**rows."""
+    rng = np.random.default_rng(11)
+    times = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    plus = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+    least = np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(tokens), 4096):  # bounded memory for very long texts
+        np.minimum(least, (tokens[at : at + 4096, None] * times + plus).min(0), out=least)
+    key = np.arange(bands, dtype=np.uint64)
+    for r in range(rows):
+        key = (key ^ (least[r::rows] >> np.uint64(29)) ^ least[r::rows]) * np.uint64(0x9E3779B97F4A7C15)
+    return (key ^ (key >> np.uint64(32))).view(np.int64)
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Jaccard similarity of 0.8 or more of two sorted sets, exactly."""
+    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 5 * common >= 4 * (len(both) - common)
+
+
+def near_copies(docs: DataFrame, bands: int = 32, rows: int = 5, shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id) for each row: connected groups of pairs whose five-word shingle sets have Jaccard 0.8 or more.
+
+    Candidates share one of ``bands`` MinHash keys, which a pair at 0.8 does with probability 1 - (1 - 0.8**5)**32 =
+    0.999997 and closer ones more surely; each link is verified on the whole shingle sets, so no estimate joins rows.
+    Rows of equal sets are one class. Each member of a bucket is first verified against the bucket's least class; then
+    all pairs of a bucket that are still in different groups are. Null and empty texts are one class; a null id never
+    names a group.
     """
-    return simhash_components(docs, shingle=shingle, radius=radius, masks=sampled_masks(tables, bits))
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingle_set(lower_words(t), shingle) for t in pdf["text"]]
+            cls = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"id": pdf["doc_id"].astype("Int64"), "cls": cls, "keys": [band_keys(x, bands, rows) if len(x) else [] for x in sets]})
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"cls": pdf["cls"], "own": [shingle_set(lower_words(t), shingle).view(np.int64) for t in pdf["text"]]})
+
+    @F.pandas_udf("long")
+    def class_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([xxhash.xxh64_intdigest(shingle_set(lower_words(t), shingle).tobytes()) for t in texts], np.uint64).view(np.int64))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [alike(x.view(np.uint64), y.view(np.uint64)) for x, y in zip(pdf["own"], pdf["other"])]
+            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links between different groups of each cell; what is linked already isn't compared again."""
+
+        def links(cell: list[tuple]) -> pd.DataFrame:
+            label: dict[int, int] = {}
+
+            def find(r: int) -> int:
+                while label.get(r, r) != r:
+                    r = label[r]
+                return r
+
+            out = []
+            for j, (cls, root, own) in enumerate(cell):
+                for cls2, root2, own2 in cell[:j]:
+                    r, r2 = find(root), find(root2)
+                    if r != r2 and alike(own, own2):
+                        label[r] = r2
+                        out.append((cls, cls2))
+            return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+        last, held = None, []
+        for pdf in batches:
+            for key, x, y, cls, root, own in zip(pdf["key"], pdf["x"], pdf["y"], pdf["cls"], pdf["root"], pdf["own"]):
+                if (key, x, y) != last:
+                    if len(held) > 1:
+                        yield links(held)
+                    last, held = (key, x, y), []
+                held.append((cls, root, own.view(np.uint64)))
+        if len(held) > 1:
+            yield links(held)
+
+    prints = stage(docs.select("doc_id", "text").mapInPandas(keys, "id long, cls long, keys array<long>"), "prints")
+    classes = stage(prints.groupBy("cls").agg(F.min("id").alias("least")), "classes")
+    keyed = prints.select("cls", F.explode("keys").alias("key")).distinct()
+    shared = stage(keyed.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first < last").drop("last"), "shared")
+    members = stage(keyed.join(shared.hint("merge"), "key"), "members")
+    texts = docs.select(class_of("text").alias("cls"), "text").join(members.select("cls").distinct().hint("merge"), "cls", "left_semi")
+    sets = stage(texts.dropDuplicates(["cls"]).mapInPandas(tokens, "cls long, own array<long>"), "sets")
+    pairs = members.where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
+    one, two = sets.select(F.col("cls").alias("a"), "own"), sets.select(F.col("cls").alias("b"), F.col("own").alias("other"))
+    first = stage(pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "own", "other").mapInPandas(verify, "a long, b long"), "links")
+    roots = components(first)
+
+    grouped = members.select("key", "cls").join(roots.select(F.col("node").alias("cls"), "root").hint("merge"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    grouped = stage(grouped, "grouped")
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    mixed = mixed.where("low < high").select("key", F.ceil(F.col("n") / (HEAVY // 2)).cast("int").alias("k"))
+    open_ = grouped.join(mixed.hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+    open_ = open_.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    open_ = open_.select("key", F.least("mine", "theirs").alias("x"), F.greatest("mine", "theirs").alias("y"), "cls", "root").join(sets.hint("merge"), "cls")
+    dealt = open_.select("key", "x", "y", "cls", "root", "own").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    more = stage(dealt.mapInPandas(compare, "a long, b long"), "links")
+    if not more.isEmpty():
+        roots = components(first.union(more))
+    named = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_class = stage(named.join(least, "root").select("cls", "component_id"), "named")
+    return prints.join(by_class, "cls").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:

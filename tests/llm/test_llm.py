@@ -72,6 +72,22 @@ def test_keep_one(spark):
     assert sorted((r.doc_id for r in got), key=str) == [1, 3, None]
 
 
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):  # lone pairs around similarity 0.8, where fingerprints of 64 bits are wider apart than 10 about as often as not
+        base = words(rng, 150)
+        at = rng.sample(range(0, 150, 6), rng.choice([2, 3, 4]))
+        texts += [" ".join(base), " ".join("new" if k in at else w for k, w in enumerate(base))]
+    base = words(rng, 120)
+    texts += [" ".join(base[: 20 * k] + ["x"] + base[20 * k + 1 :]) for k in range(6)] + ["", None, "A b", "a B", "one"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    same = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y)
+    want = groups(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if same(sets[a], sets[b])])
+    got = {r.doc_id: r.component_id for r in S.near_copies(docs(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_cosine_links_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 8))
