@@ -54,6 +54,36 @@ def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, mixed[at].view(np.int64)
 
 
+def frames(at: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, words from the first to the last seed, hash) of the runs of seeds that LEAST_WORDS words alone determine.
+
+    ``n``: words of the sequence. Equal stretches of LEAST_WORDS words have the same run, whatever is around them, and a
+    sequence has at most two runs a seed.
+    """
+    inside = LEAST_WORDS - K - WINDOW + 2  # windows of k-mers that lie wholly in LEAST_WORDS words
+    windows = n - K + 1 - WINDOW + 1
+    if inside < 1 or windows < inside or len(at) < 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    # seed of each window: of the seeds in it the smallest, so that of the first one not beaten by a later one inside
+    x = np.arange(windows)
+    low, high = np.searchsorted(at, x), np.searchsorted(at, x + WINDOW) - 1
+    own, u = low.copy(), h.view(np.uint64)
+    for step in range(1, int((high - low).max()) + 1):
+        k = np.minimum(low + step, high)
+        own = np.where(u[k] < u[own], k, own)
+    runs = np.unique(np.stack([own[: windows - inside + 1], own[inside - 1 :]], 1), axis=0)
+    runs = runs[runs[:, 0] < runs[:, 1]]
+    a, b = runs[:, 0], runs[:, 1]
+    odd, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    up, down = np.full(len(at), odd, np.uint64), np.full(len(at), inverse, np.uint64)
+    up[0] = down[0] = 1
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(u * np.cumprod(up), dtype=np.uint64)])
+    span = at[b] - at[a]
+    key = (total[b + 1] - total[a]) * np.cumprod(down)[a] + span.astype(np.uint64)
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return at[a], span, (key ^ (key >> np.uint64(32))).view(np.int64)
+
+
 def chains(start: np.ndarray, other: np.ndarray, size: np.ndarray, cost: float, overlap: int) -> list[tuple[float, list[int]]]:
     """Disjoint chains of segments ``[start, start+size) ~ [other, other+size)``, best first.
 
@@ -162,7 +192,9 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A passage has LEAST_WORDS words or more of which LEAST_IDENTITY or more equal those of a document with a smaller
     id, in order; ends are exclusive, words are as in ``common.WORD`` with A-Z lowered. Each seed is joined to its first
     occurrence (smallest id) only, so a passage in m documents gives m-1 candidates and copies are never paired with
-    each other. Rows with a null id or fewer words have none; rows that repeat an id are one document; other columns
+    each other. So is each run of seeds in LEAST_WORDS words, hence a passage whose pieces occur singly in earlier
+    documents meets the first document that holds LEAST_WORDS words of it in a row; of fuzzy copies that share no such
+    stretch, pieces that all go to other documents can still be missed. Rows with a null id or fewer words have none; rows that repeat an id are one document; other columns
     are not read. The first document of a passage is not reported.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
@@ -176,16 +208,21 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if len(words) < LEAST_WORDS:
                     continue
                 at, h = seeds(hashes.of(words))
+                more, span, key = frames(at, h, len(words))
+                span = np.concatenate([np.zeros(len(at), np.int32), span.astype(np.int32)])
+                at, h = np.concatenate([at, more]), np.concatenate([h, key])
                 first = np.zeros(len(h), bool)
                 first[np.unique(h, return_index=True)[1]] = True
-                out.append((np.full(len(h), doc), at.astype(np.int32), h, first))
+                out.append((np.full(len(h), doc), at.astype(np.int32), span, h, first))
             if out:
-                yield pd.DataFrame(dict(zip(("doc", "pos", "h", "first"), map(np.concatenate, zip(*out)))))
+                yield pd.DataFrame(dict(zip(("doc", "pos", "span", "h", "first"), map(np.concatenate, zip(*out)))))
 
-    found = stage(rows.mapInPandas(find, "doc long, pos int, h long, first boolean"), "seeds")
+    found = stage(rows.mapInPandas(find, "doc long, pos int, span int, h long, first boolean"), "seeds")
     anchor = found.where("first").groupBy("h").agg(F.min("doc").alias("anchor"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("apos"))
     anchor = stage(anchor.where("anchor < last").drop("last"), "anchors")  # a written table, so that the join can split a frequent seed
-    links = found.select("doc", "pos", "h").join(anchor.hint("merge"), "h").where("doc <> anchor").select("doc", "anchor", "pos", "apos")
+    links = found.select("doc", "pos", "span", "h").join(anchor.hint("merge"), "h").where("doc <> anchor")
+    ends = F.explode(F.expr("if(span > 0, array(0, span), array(0))")).alias("on")  # a run's first and last seed
+    links = links.select("doc", "anchor", "pos", "apos", ends).select("doc", "anchor", (F.col("pos") + F.col("on")).alias("pos"), (F.col("apos") + F.col("on")).alias("apos"))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc", "anchor", "s", "e", "t", "u", "low", "high"]

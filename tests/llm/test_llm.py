@@ -203,6 +203,16 @@ def test_passages(spark):
     assert set(left) == {1, 2, 3, 5, 6, None} and len(left[2].text.split()) == 307 and left[2].n_chars == len(left[2].text)
 
 
+def test_passage_of_pieces_in_earlier_documents(spark):
+    for seed in range(5):
+        rng = random.Random(20 + seed)
+        p = words(rng, 60, 10**6)
+        mk = lambda a, mid, b: " ".join(words(rng, a, 10**6) + mid + words(rng, b, 10**6))
+        d = docs(spark, [(1, mk(60, p[:30], 40)), (2, mk(20, p[30:], 70)), (3, mk(90, p, 30)), (4, mk(33, p, 80)), (5, mk(11, p[:30], 80)), (6, mk(70, p[5:], 9))])
+        got = {(r.doc_id, r.start_word, r.end_word, r.first_doc) for r in B.passages(d).collect()}
+        assert {(4, 33, 93, 3), (6, 70, 125, 3)} <= got and {x[0] for x in got} == {4, 6}
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows, labels = [], []
