@@ -14,7 +14,13 @@ from pyspark.sql import DataFrame, functions as F
 from .common import WORD, lower_words, stage
 
 #: Words of a seed; k-mers of a window of which the smallest hash is a seed; words of a passage; its share of equal words.
-K, WINDOW, LEAST_WORDS, LEAST_IDENTITY = 5, 16, 50, 0.8
+K, WINDOW, LEAST_WORDS, LEAST_IDENTITY = 5, 4, 50, 0.8
+#: Window of the sparser seeds that runs are made of; below half of a passage's k-mers, so that a run has two seeds.
+RUN_WINDOW = 20
+#: Words at either end of a passage that may hold no seed.
+SLACK = 21
+#: A seed that a sample of one document in SAMPLE holds HOT times or more is dealt to SALTS tasks; at most MOST_HOT of them.
+SAMPLE, HOT, SALTS, MOST_HOT = 64, 16, 64, 20_000
 #: Seeds further apart than this begin a new chain. A slice fetched for alignment begins and ends at multiples of GRID.
 MAX_GAP, GRID = 60, 64
 #: Cost of a word left out on one side: within chains of seeds, and in alignment, where 2 a side keeps 4 of 5 words equal.
@@ -34,8 +40,8 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the minimizers of a word sequence: every WINDOW k-mers in a row hold one at least."""
+def seeds(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the minimizers of a word sequence: every ``window`` k-mers in a row hold one at least."""
     n = len(h) - K + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -45,10 +51,10 @@ def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(29)
-    if n <= WINDOW:
+    if n <= window:
         at = np.array([int(mixed.argmin())])
     else:
-        view = np.lib.stride_tricks.sliding_window_view(mixed, WINDOW)
+        view = np.lib.stride_tricks.sliding_window_view(mixed, window)
         at = np.concatenate([view[a : a + 65536].argmin(1) + np.arange(a, min(a + 65536, len(view))) for a in range(0, len(view), 65536)])
         at = np.unique(at)
     return at, mixed[at].view(np.int64)
@@ -60,13 +66,13 @@ def frames(at: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     ``n``: words of the sequence. Equal stretches of LEAST_WORDS words have the same run, whatever is around them, and a
     sequence has at most two runs a seed.
     """
-    inside = LEAST_WORDS - K - WINDOW + 2  # windows of k-mers that lie wholly in LEAST_WORDS words
-    windows = n - K + 1 - WINDOW + 1
+    inside = LEAST_WORDS - K - RUN_WINDOW + 2  # windows of k-mers that lie wholly in LEAST_WORDS words
+    windows = n - K + 1 - RUN_WINDOW + 1
     if inside < 1 or windows < inside or len(at) < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     # seed of each window: of the seeds in it the smallest, so that of the first one not beaten by a later one inside
     x = np.arange(windows)
-    low, high = np.searchsorted(at, x), np.searchsorted(at, x + WINDOW) - 1
+    low, high = np.searchsorted(at, x), np.searchsorted(at, x + RUN_WINDOW) - 1
     own, u = low.copy(), h.view(np.uint64)
     for step in range(1, int((high - low).max()) + 1):
         k = np.minimum(low + step, high)
@@ -146,12 +152,12 @@ def segments(pos: np.ndarray, apos: np.ndarray, size: int, gap: int) -> tuple[np
 
 def candidates(pos: np.ndarray, apos: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(start, end, other start, other end, lowest and highest diagonal) of the chains of one document pair's seeds."""
-    start, other, size = segments(pos, apos, K, WINDOW)
+    start, other, size = segments(pos, apos, K, SLACK - K)
     for _, path in chains(start, other, size, SEED_COST, K):
         for part in np.split(np.array(path), np.nonzero(start[path[1:]] - (start + size)[path[:-1]] > MAX_GAP)[0] + 1):
             a, b = part[0], part[-1]
             s, e = int(start[a]), int(start[b] + size[b])
-            if e - s >= LEAST_WORDS - 2 * (WINDOW + K) and (size[part].sum() > 2 * K or len(part) > 1):
+            if e - s >= LEAST_WORDS - 2 * SLACK and (size[part].sum() > 2 * K or len(part) > 1):
                 diag = (start - other)[part]
                 yield s, e, int(other[a]), int(other[b] + size[b]), int(diag.min()), int(diag.max())
 
@@ -199,7 +205,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame], hot: np.ndarray = np.empty(0, np.int64)) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
         for pdf in batches:
             out = []
@@ -207,22 +213,50 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 words = lower_words(text)
                 if len(words) < LEAST_WORDS:
                     continue
-                at, h = seeds(hashes.of(words))
-                more, span, key = frames(at, h, len(words))
-                span = np.concatenate([np.zeros(len(at), np.int32), span.astype(np.int32)])
-                at, h = np.concatenate([at, more]), np.concatenate([h, key])
-                first = np.zeros(len(h), bool)
-                first[np.unique(h, return_index=True)[1]] = True
-                out.append((np.full(len(h), doc), at.astype(np.int32), span, h, first))
+                own = hashes.of(words)
+                at, h = seeds(own)
+                more, span, key = frames(*seeds(own, RUN_WINDOW), len(words))
+                h = np.concatenate([h, key])
+                salt = np.where(np.isin(h, hot), doc % SALTS, -1).astype(np.int32) if len(hot) else np.full(len(h), -1, np.int32)
+                out.append((np.full(len(h), doc), np.concatenate([at << 6, more << 6 | span]), h, salt))
             if out:
-                yield pd.DataFrame(dict(zip(("doc", "pos", "span", "h", "first"), map(np.concatenate, zip(*out)))))
+                yield pd.DataFrame(dict(zip(("doc", "at", "h", "salt"), map(np.concatenate, zip(*out)))))
 
-    found = stage(rows.mapInPandas(find, "doc long, pos int, span int, h long, first boolean"), "seeds")
-    anchor = found.where("first").groupBy("h").agg(F.min("doc").alias("anchor"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("apos"))
-    anchor = stage(anchor.where("anchor < last").drop("last"), "anchors")  # a written table, so that the join can split a frequent seed
-    links = found.select("doc", "pos", "span", "h").join(anchor.hint("merge"), "h").where("doc <> anchor")
-    ends = F.explode(F.expr("if(span > 0, array(0, span), array(0))")).alias("on")  # a run's first and last seed
-    links = links.select("doc", "anchor", "pos", "apos", ends).select("doc", "anchor", (F.col("pos") + F.col("on")).alias("pos"), (F.col("apos") + F.col("on")).alias("apos"))
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links to the first row of each ``h`` and salt; of a run, its first and its last seed (``on`` words later).
+
+        Salted rows keep their ``h``, and each salt's first row is a link to itself, so that all find their common first.
+        """
+        last = None
+        for pdf in batches:
+            h, salt, doc, at = (pdf[c].to_numpy(np.int64) for c in ("h", "salt", "doc", "at"))
+            if not len(h):
+                continue
+            new = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))
+            first = np.nonzero(new)[0][np.cumsum(new) - 1]
+            anchor, to = doc[first], at[first]
+            if last is not None and last[:2] == (h[0], salt[0]):
+                anchor[first == 0], to[first == 0] = last[2:]
+            last = h[-1], salt[-1], anchor[-1], to[-1]
+            k = (doc != anchor) | (salt >= 0)
+            doc, at, anchor, to, h = doc[k], at[k], anchor[k], to[k], np.where(salt >= 0, h, 0)[k]
+            span, pos, apos = at & 63, at >> 6, to >> 6
+            run = span > 0
+            pairs = ((doc, doc[run]), (anchor, anchor[run]), (pos, (pos + span)[run]), (apos, (apos + span)[run]), (h, h[run]), (0 * span, span[run]))
+            yield pd.DataFrame(dict(zip(("doc", "anchor", "pos", "apos", "h", "on"), map(np.concatenate, pairs))))
+
+    # seeds of one document only are the most by far: they are shuffled once, never staged
+    typed = "doc long, at long, h long, salt int"
+    some = rows.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0).mapInPandas(find, typed)
+    common = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n")).limit(MOST_HOT).select("h").collect()
+    hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["h"] for r in common), np.int64))
+    found = rows.mapInPandas(lambda batches: find(batches, hot.value), typed)
+    met = found.repartition("h", "salt").sortWithinPartitions("h", "salt", "doc", "at").mapInPandas(meet, "doc long, anchor long, pos long, apos long, h long, on long")
+    met = stage(met, "links")
+    heads = met.where("h <> 0 and on = 0").groupBy("h").agg(F.min(F.struct("anchor", "apos")).alias("head"))  # at most MOST_HOT rows
+    links = met.where("h = 0").select("doc", "anchor", "pos", "apos")
+    salted = met.where("h <> 0").join(F.broadcast(heads), "h").select("doc", F.col("head.anchor").alias("anchor"), "pos", (F.col("head.apos") + F.col("on")).alias("apos"))
+    links = links.union(salted.where("doc <> anchor"))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc", "anchor", "s", "e", "t", "u", "low", "high"]
@@ -247,7 +281,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     dealt = links.repartition("doc").sortWithinPartitions("doc", "anchor", "pos", "apos")
     spans = dealt.mapInPandas(chain, "doc long, anchor long, s long, e long, t long, u long, low long, high long")
-    pad = WINDOW + K
+    pad = SLACK
     down = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - pad) / GRID) * GRID).cast("long")
     up = lambda c: (F.ceil((F.col(c) + pad) / GRID) * GRID).cast("long")
     spans = spans.select("doc", "anchor", "low", "high", down("s").alias("s"), up("e").alias("e"), down("t").alias("t"), up("u").alias("u"))

@@ -213,6 +213,27 @@ def test_passage_of_pieces_in_earlier_documents(spark):
         assert {(4, 33, 93, 3), (6, 70, 125, 3)} <= got and {x[0] for x in got} == {4, 6}
 
 
+def test_fuzzy_passages(spark):
+    rng = random.Random(31)
+    rows, want = [], set()
+    for k in range(60):  # 80 words of which one in ten differs
+        p = words(rng, 80, 10**6)
+        fuzzy = [f"new{rng.random()}" if i in (7, 15, 23, 31, 40, 48, 56, 64) else w for i, w in enumerate(p)]
+        rows += [(2 * k, " ".join(words(rng, 70, 10**6) + p + words(rng, 70, 10**6))), (2 * k + 1, " ".join(words(rng, 70, 10**6) + fuzzy + words(rng, 70, 10**6)))]
+        want.add((2 * k + 1, 70, 150, 2 * k))
+    assert {(r.doc_id, r.start_word, r.end_word, r.first_doc) for r in B.passages(docs(spark, rows)).collect()} == want
+
+
+def test_hot_seeds_keep_their_first_document(spark, monkeypatch):
+    monkeypatch.setattr(B, "SAMPLE", 1)
+    monkeypatch.setattr(B, "HOT", 3)
+    rng = random.Random(32)
+    p = words(rng, 60, 10**6)
+    d = docs(spark, [(k, " ".join(words(rng, 30, 10**6) + p + words(rng, 30, 10**6))) for k in range(5, 100)])
+    got = {(r.doc_id, r.start_word, r.end_word, r.first_doc) for r in B.passages(d).collect()}
+    assert {(k, 30, 90, 5) for k in range(6, 100)} <= got and {x[0] for x in got} == set(range(6, 100))
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows, labels = [], []
