@@ -13,8 +13,8 @@ from .common import lower_words, stage
 
 #: Words the network knows, in CLASSES classes of equal size by frequency; all others are one outcome, spelled out by their counts.
 VOCAB, CLASSES = 4096, 64
-#: Widths of embedding and state; documents side by side and words of a window in training; the share of training documents it sees.
-EMBED, STATE, STREAMS, STEPS, TRAIN_ONE_IN = 16, 24, 64, 16, 8
+#: Widths of embedding and state; documents side by side and words of a window in training; it sees one training document in TRAIN_ONE_IN: all.
+EMBED, STATE, STREAMS, STEPS, TRAIN_ONE_IN = 16, 24, 64, 16, 1
 #: Words of a document that a stream trains on in one go, so that long documents don't leave the other streams idle.
 PIECE = 1024
 #: Rounds of training between which the replicas' weights are averaged.

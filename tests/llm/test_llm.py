@@ -287,6 +287,13 @@ def test_lm_counts_and_scores(spark):
         assert abs(r.base_score - sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)) < 1e-9 and r.score < 0
 
 
+def test_lm_learns_from_every_training_document(spark):
+    rng = random.Random(33)
+    d = docs(spark, [(i, " ".join(words(rng, 40, 50))) for i in range(60)]).coalesce(1)
+    score = lambda **more: {r.doc_id: round(r.score, 3) for r in lm.score_documents(d, **more).collect()}
+    assert score() == score(one_in=1) != score(one_in=8)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
