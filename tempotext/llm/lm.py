@@ -13,20 +13,62 @@ from .common import lower_words, stage
 
 #: Words the network knows, in CLASSES classes of equal size by frequency; all others are one outcome, spelled out by their counts.
 VOCAB, CLASSES = 4096, 64
-#: Widths of embedding and state; documents side by side and words of a window in training; it sees one training document in TRAIN_ONE_IN: all.
-EMBED, STATE, STREAMS, STEPS, TRAIN_ONE_IN = 16, 24, 64, 16, 1
+#: Widths of embedding and state; documents side by side and words of a window in training. Every training document is learned from.
+EMBED, STATE, STREAMS, STEPS = 16, 16, 512, 16
 #: Words of a document that a stream trains on in one go, so that long documents don't leave the other streams idle.
 PIECE = 1024
 #: Rounds of training between which the replicas' weights are averaged.
 ROUNDS = 2
+#: Rate of the first step.
+RATE = 0.04
 #: Words whose counts every task holds; counts of rarer ones are joined.
 HELD_WORDS = 1 << 18
-#: Documents scored side by side, and words after which a task scores what it has gathered.
+#: Documents scored side by side, and words after which a task scores, or learns from, what it has gathered.
 LANES, AT_ONCE = 512, 1_500_000
+#: Different words that a task counts before it sends them on.
+COUNTED = 400_000
+#: Tree of the weights' average: replicas are summed in so many groups, these in so many, whose sums go to the driver.
+TREE = (1024, 16)
 END = b"\n"  # no word holds a line feed, so this can stand for the end of a document
 HELD = "coalesce(crc32(cast(cast({} as string) as binary)) % 7 = 2, false)"
 
 
+class Index(dict):
+    """Places of words; ``none`` for any other word, which is not remembered."""
+
+    none = 0
+
+    @classmethod
+    def of(cls, words: list[bytes], none: int) -> Index:
+        out = cls(zip(words, range(len(words))))
+        out.none = none
+        return out
+
+    def __missing__(self, word: bytes) -> int:
+        return self.none
+
+    def __reduce__(self):
+        return Index.of, (list(self), self.none)
+
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
+class Adam:
+    """Steps along running means of the gradient, clipped to norm 1; the rate falls with the root of the steps taken."""
+
+    def __init__(self, size: int, rate: float) -> None:
+        self.m, self.v, self.t, self.rate = np.zeros(size, np.float32), np.zeros(size, np.float32), 0, rate
+
+    def apply(self, flat: np.ndarray, grad: np.ndarray) -> None:
+        self.t += 1
+        grad *= np.float32(min(1.0, 1.0 / (float(np.linalg.norm(grad)) + 1e-9)))
+        self.m += np.float32(0.1) * (grad - self.m)
+        self.v += np.float32(0.01) * (grad * grad - self.v)
+        now = self.rate / np.sqrt(1 + self.t / 40) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        flat -= np.float32(now) * self.m / (np.sqrt(self.v) + np.float32(1e-6))
+
+
 class Network:
     """Parameters as one flat vector; word ids 0..VOCAB-1 by frequency, VOCAB for any other."""
 
@@ -68,15 +110,19 @@ class Network:
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of the class's probability times the word's within it, for states and targets."""
         logits = h @ self.C + self.c
+        logits -= logits.max(1, keepdims=True)
         cls = np.minimum(y // (VOCAB // CLASSES), CLASSES)
         out = logits[np.arange(len(y)), cls] - np.log(np.exp(logits).sum(1))
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[edge[k] : edge[k + 1]]
-            if len(at):
-                inner = h[at] @ self.O[k] + self.o[k]
-                out[at] += inner[np.arange(len(at)), y[at] - k * (VOCAB // CLASSES)] - np.log(np.exp(inner).sum(1))
+        order, edge = by_class(cls)
+        hs, word, inner_p = h[order], y[order] % (VOCAB // CLASSES), np.zeros(len(y), np.float32)
+        for k in np.nonzero(edge[1:-1] > edge[:-2])[0]:
+            part = slice(edge[k], edge[k + 1])
+            inner = hs[part] @ self.O[k]
+            inner += self.o[k]
+            inner -= inner.max(1, keepdims=True)
+            inner_p[part] = inner[np.arange(len(inner)), word[part]]
+            inner_p[part] -= np.log(np.exp(inner, out=inner).sum(1))
+        out[order] += inner_p
         return out
 
     def step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -90,66 +136,79 @@ class Network:
         gx = (self.E @ self.W + self.b)[x]
         states, parts = [], []
         for t in range(t_max):
-            h = np.where(start[t][:, None], np.float32(0), h)
+            if start[t].any():
+                h = np.where(start[t][:, None], np.float32(0), h)
             states.append(h)
             h, *rest = self.gates(gx[t], h)
             parts.append((h, *rest))
         hs = np.stack([p[0] for p in parts]).reshape(-1, STATE)
-        ys, ms = y.ravel(), mask.ravel()
-        logits = hs @ self.C + self.c
-        p = np.exp(logits - logits.max(1, keepdims=True))
+        counted = np.nonzero(mask.ravel())[0]
+        ys, size = y.ravel()[counted], VOCAB // CLASSES
+        order, edge = by_class(np.minimum(ys // size, CLASSES))
+        counted = counted[order]
+        hc, word, cls = hs[counted], ys[order] % size, np.repeat(np.arange(CLASSES + 1), np.diff(edge))
+        row = np.arange(len(hc))
+        p = hc @ self.C
+        p += self.c
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
-        size = VOCAB // CLASSES
-        cls = np.minimum(ys // size, CLASSES)
-        row = np.arange(len(ys))
-        loss = -np.log(p[row, cls] + 1e-30)
+        loss = -np.log(p[row, cls] + 1e-30).sum(dtype=float)
         p[row, cls] -= 1
-        p *= ms[:, None]
-        d["C"] += hs.T @ p
+        d["C"] += hc.T @ p
         d["c"] += p.sum(0)
-        dh = p @ self.C.T
-        for k in np.unique(cls[ms > 0]):
-            if k == CLASSES:
-                continue
-            at = np.nonzero((cls == k) & (ms > 0))[0]
-            inner = hs[at] @ self.O[k] + self.o[k]
-            q = np.exp(inner - inner.max(1, keepdims=True))
+        dc = p @ self.C.T
+        for k in np.nonzero(edge[1:-1] > edge[:-2])[0]:
+            part = slice(edge[k], edge[k + 1])
+            q = hc[part] @ self.O[k]
+            q += self.o[k]
+            q -= q.max(1, keepdims=True)
+            np.exp(q, out=q)
             q /= q.sum(1, keepdims=True)
-            word = ys[at] - k * size
-            loss[at] -= np.log(q[np.arange(len(at)), word] + 1e-30)
-            q[np.arange(len(at)), word] -= 1
-            d["O"][k] += hs[at].T @ q
+            at = row[: len(q)], word[part]
+            loss -= np.log(q[at] + 1e-30).sum(dtype=float)
+            q[at] -= 1
+            d["O"][k] += hc[part].T @ q
             d["o"][k] += q.sum(0)
-            dh[at] += q @ self.O[k].T
+            dc[part] += q @ self.O[k].T
+        dh = np.zeros_like(hs)
+        dh[counted] = dc
         dh = dh.reshape(t_max, n, STATE)
-        dgx = np.empty_like(gx)
-        carry = np.zeros((n, STATE), np.float32)
+        dgx, dgh = np.empty_like(gx), np.empty_like(gx)
+        carry, states, back = np.zeros((n, STATE), np.float32), np.stack(states), self.U.T.copy()
         for t in range(t_max - 1, -1, -1):
             _, r, z, new, gn = parts[t]
             g = dh[t] + carry
-            dn = g * (1 - z) * (1 - new * new)
             dz = g * (states[t] - new) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dgx[t] = np.concatenate([dr, dz, dn], 1)
-            dg = np.concatenate([dr, dz, dn * r], 1)
-            d["U"] += states[t].T @ dg
-            carry = (g * z + dg @ self.U.T) * ~start[t][:, None]
+            dn = g * (1 - z) * (1 - new * new)
+            both = dgx[t]
+            both[:, :STATE], both[:, STATE : 2 * STATE], both[:, 2 * STATE :] = dn * gn * r * (1 - r), dz, dn
+            dgh[t] = both
+            dgh[t, :, 2 * STATE :] *= r
+            carry = g * z + dgh[t] @ back
+            if start[t].any():
+                carry[start[t]] = 0
+        d["U"] += states.reshape(-1, STATE).T @ dgh.reshape(-1, 3 * STATE)
         flat = dgx.reshape(-1, 3 * STATE)
         ids = x.ravel()
-        d["W"] += self.E[ids].T @ flat
+        order = np.argsort(ids.astype(np.int16), kind="stable")
+        ids, into = ids[order], flat[order]
+        first = np.nonzero(np.append(True, ids[1:] != ids[:-1]))[0]
+        sums = np.add.reduceat(into, first)  # by word
+        d["W"] += self.E[ids[first]].T @ sums
         d["b"] += flat.sum(0)
-        np.add.at(d["E"], ids, flat @ self.W.T)
-        return grad, h, float((loss * ms).sum())
+        d["E"][ids[first]] += sums @ self.W.T
+        return grad, h, loss
 
-    def train(self, texts: list[np.ndarray], rate: float = 0.004) -> int:
-        """Adam over documents dealt to parallel streams; returns the words seen."""
+    def train(self, texts: list[np.ndarray], adam: Adam) -> int:
+        """One pass over documents dealt to parallel streams; returns the words seen."""
         pieces = [(t[a : a + PIECE], t[a - 1]) for t in texts for a in range(0, len(t), PIECE)]  # and the word before, or the end
         lanes = deal([len(t) for t, _ in pieces], STREAMS)
         length = max((sum(len(pieces[k][0]) for k in lane) for lane in lanes), default=0)
         if not length:
             return 0
         length = -(-length // STEPS) * STEPS
-        y = np.zeros((length, len(lanes)), np.int64)
+        y = np.zeros((length, len(lanes)), np.int32)
         x, mask, start = np.zeros_like(y), np.zeros(y.shape, np.float32), np.zeros(y.shape, bool)
         for j, lane in enumerate(lanes):
             at = 0
@@ -160,20 +219,12 @@ class Network:
                 x[at, j] = before
                 at += n
         h = np.zeros((len(lanes), STATE), np.float32)
-        m, v = np.zeros_like(self.flat), np.zeros_like(self.flat)
-        steps = length // STEPS
-        for t in range(steps):
+        for t in range(length // STEPS):
             part = slice(t * STEPS, (t + 1) * STEPS)
             words = mask[part].sum()
-            if not words:
-                continue
-            grad, h, _ = self.step(x[part], y[part], mask[part], start[part], h)
-            grad /= words
-            grad *= min(1.0, 1.0 / (float(np.linalg.norm(grad)) + 1e-9))
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            now = rate * (1.0 - 0.9 * t / steps) * np.sqrt(1 - 0.99 ** (t + 1)) / (1 - 0.9 ** (t + 1))
-            self.flat -= np.float32(now) * m / (np.sqrt(v) + 1e-6)
+            if words:
+                grad, h, _ = self.step(x[part], y[part], mask[part], start[part], h)
+                adam.apply(self.flat, grad / words)
         return int(mask.sum())
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -209,6 +260,12 @@ class Network:
         return out
 
 
+def by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by class, and where each class begins in it."""
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    return order, np.append(0, np.cumsum(np.bincount(cls, minlength=CLASSES + 1)))
+
+
 def deal(sizes: list[int], lanes: int) -> list[list[int]]:
     """Documents to lanes of about equal length: longest first, each to the shortest lane."""
     import heapq
@@ -226,71 +283,97 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(word BINARY, c): counts of words over all rows of ``train``; an end for each row is counted under END."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
         for pdf in batches:
-            seen: Counter = Counter()
             for text in pdf["text"]:
                 seen.update(lower_words(text))
             seen[END] += len(pdf)
-            yield pd.DataFrame({"word": list(seen.keys()), "c": list(seen.values())})
+            if len(seen) > COUNTED:
+                yield pd.DataFrame({"word": list(seen.keys()), "c": list(seen.values())})
+                seen = Counter()
+        yield pd.DataFrame({"word": list(seen.keys()), "c": list(seen.values())})
 
     return train.select("text").mapInPandas(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
-    """At most ``most`` of the most frequent words, by count: as many whole steps of a logarithmic scale as fit."""
-    step = F.floor(F.log2(F.col("c").cast("double")) * 64)
-    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.col("step").desc()).collect()
-    total, least = 0, None
-    for r in sizes:
-        total += r["n"]
-        if total > most:
-            break
-        least = r["step"]
-    if least is None:
-        return {}
-    words = counts.where(step >= least).toArrow()
-    pairs = sorted(zip(words["c"].to_pylist(), words["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
-    return {w: c for c, w in pairs}
-
+    """The ``most`` most frequent words with their counts in that order; equal counts are ordered by XXH64 of the word.
 
-def encode(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
-    words = lower_words(text)
-    words.append(END)
-    get = ids.get
-    return np.fromiter((get(w, VOCAB) for w in words), np.int64, len(words))
+    No sort: the place to cut is found on a logarithmic scale of counts, then among the counts of one step of it, then
+    among 65,536 ranges of the hash, each from a small table of sizes; what lies before it is collected.
+    """
+    step, place = F.floor(F.log2(F.col("c").cast("double")) * 64), F.shiftrightunsigned(F.xxhash64("word"), 48)
+    chosen, rest, left = F.lit(False), F.lit(True), most
+    for scale in (-step, -F.col("c"), place):
+        sizes = counts.where(rest).groupBy(scale.alias("s")).agg(F.count("*").alias("n")).orderBy("s").collect()
+        at = 0
+        while at < len(sizes) and sizes[at]["n"] <= left:
+            left -= sizes[at]["n"]
+            at += 1
+        if at == len(sizes):
+            chosen = chosen | rest
+            break
+        chosen, rest = chosen | (rest & (scale < sizes[at]["s"])), rest & (scale == sizes[at]["s"])
+    else:
+        chosen = chosen | rest  # one range of the hash among equal counts, cut below
+    words = counts.where(chosen).select("word", "c", F.xxhash64("word").alias("h")).toArrow()
+    rows = zip(words["c"].to_pylist(), (h % (1 << 64) for h in words["h"].to_pylist()), words["word"].to_pylist())
+    return {w: c for c, _, w in sorted(rows, key=lambda r: (-r[0], r[1], r[2]))[:most]}
 
 
-def train_network(train: DataFrame, ids: dict[bytes, int], logs: np.ndarray, one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS) -> Network:
+def train_network(train: DataFrame, ids: Index, logs: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Network:
     """Replicas learn from their own documents; weights are averaged by words seen, as a tree, after each round.
 
-    The documents are one in ``one_in`` of ``train`` by a hash of the id, so what is learned from grows with the corpus;
-    each round takes its own share of them.
+    Each round takes its own share of the documents, by a hash, so every document of ``train`` is learned from once. A
+    task holds no more encoded words than AT_ONCE and one document.
     """
     flat = Network(logs).flat
-    chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(one_in * rounds))
+    sums = "part long, n long, weights binary"
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(flat))
+        for x in rows["weights"]:
+            total += np.frombuffer(x, np.float64)
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "n": [int(rows["n"].sum())], "weights": [total.tobytes()]})
+
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(rounds))
     for k in range(rounds):
-        part = train.where(chosen == k).select("text")
 
-        def learn(rows: Iterator, start: np.ndarray = flat) -> Iterator[tuple[np.ndarray, int]]:
-            net = Network()
+        def learn(batches: Iterator[pd.DataFrame], start: np.ndarray = flat, rate: float = rate / (1 + k)) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            net, n, texts, size = Network(), 0, [], 0
             net.flat[:] = start
-            n = net.train([encode(r[0], ids) for r in rows])
+            adam = Adam(len(start), rate)
+            for pdf in batches:
+                for text in pdf["text"]:
+                    words = lower_words(text)
+                    words.append(END)
+                    texts.append(ids.encode(words))
+                    size += len(words)
+                    if size > AT_ONCE:
+                        n += net.train(texts, adam)
+                        texts, size = [], 0
+            n += net.train(texts, adam)
             if n:
-                yield net.flat.astype(np.float64) * n, n
-
-        total = part.rdd.mapPartitions(learn).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=3) if not part.isEmpty() else None
-        if total:
-            flat = (total[0] / total[1]).astype(np.float32)
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [n], "weights": [(net.flat.astype(np.float64) * n).tobytes()]})
+
+        part = train.where(share == k).select("text").mapInPandas(learn, sums)
+        for groups in TREE:
+            part = part.groupBy(F.pmod("part", F.lit(groups))).applyInPandas(add, sums)
+        found = part.collect()  # TREE[-1] rows at most
+        if found:
+            flat = (sum(np.frombuffer(r["weights"], np.float64) for r in found) / sum(r["n"] for r in found)).astype(np.float32)
     net = Network()
     net.flat[:] = flat
     return net
 
 
-def score_documents(docs: DataFrame, one_in: int = TRAIN_ONE_IN, held_words: int = HELD_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, held_words: int = HELD_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
-    Counts are of all training rows; a null id is a training row, a null text is empty (its end alone is scored),
-    repeated rows count and score as often as they occur, other columns are not read, an empty table gives no rows.
+    Counts and the network are of all training rows; a null id is a training row, a null text is empty (its end alone is
+    scored), repeated rows count and score as often as they occur, other columns are not read, an empty table gives no rows.
     The probability of a word outside the network's vocabulary is that of the outcome "other" times its add-one share
     of the counts of all such words. Counts of the ``held_words`` most frequent words go to every task (a bound on
     what is broadcast); counts of the rest are joined.
@@ -302,47 +385,52 @@ def score_documents(docs: DataFrame, one_in: int = TRAIN_ONE_IN, held_words: int
     held = frequent(counts, held_words)
     first = [w for w in list(held)[: VOCAB - 1] if w != END]
     vocab = sorted([*first[: VOCAB - 1], END], key=lambda w: -held.get(w, 0))
-    ids = {w: k for k, w in enumerate(vocab)}
+    ids = Index.of(vocab, VOCAB)
     known = sum(held.get(w, 0) for w in vocab)
     other = (n - known) + (v - len(vocab)) + 1  # add-one total of the words outside the vocabulary
     share = np.full(VOCAB + 1, 1e-12)
     share[: len(vocab)] = [held.get(w, 0) + 1 for w in vocab]
     share[VOCAB] = max(other, 1)
-    network = train_network(train, ids, np.log(share / share.sum()).astype(np.float32), one_in).flat
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast((held, ids, network))
+    network = train_network(train, ids, np.log(share / share.sum()).astype(np.float32)).flat
+    listed = list(dict.fromkeys([*vocab, *held]))  # the network's words first, so that a place below VOCAB is its word
+    number = np.array([held.get(w, 0) for w in listed] + [0], np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast((Index.of(listed, len(listed)), number, len(vocab), network))
     total = float(n + v + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        held, ids, flat = sent.value
+        index, number, known, flat = sent.value
         net = Network()
         net.flat[:] = flat
-        get, known_id, at = held.get, ids.get, TaskContext.get().partitionId() << 40
-        ten = np.log(10.0)
+        at = TaskContext.get().partitionId() << 40
+        logs = np.log10(number + 1.0)
         for pdf in batches:
-            codes, stats, rare, scores, size = [], [], [], [], 0
+            if not len(pdf):
+                continue
+            codes, scores, size, rare, done = [], [], 0, [], 0
             for text in pdf["text"]:
                 words = lower_words(text)
                 words.append(END)
+                own = index.encode(words)
+                rare.append([words[k] for k in np.nonzero(number[own] == 0)[0]])
                 if size > AT_ONCE:
-                    scores.append(net.score(codes))
-                    codes, size = [], 0
+                    scores.append(net.score([np.where(c < known, c, VOCAB) for c in codes[done:]]))
+                    done, size = len(codes), 0
                 size += len(words)
-                codes.append(np.fromiter((known_id(w, VOCAB) for w in words), np.int32, len(words)))
-                c = np.fromiter((get(w, 0) for w in words), np.float64, len(words))
-                have = c > 0
-                lone = [words[k] for k in np.nonzero(~have)[0]]
-                rare.append(lone)
-                logs = np.log10(c[have] + 1)
-                outside = (codes[-1] == VOCAB)[have]
-                stats.append((len(words), int(have.sum()), logs.sum() - len(logs) * np.log10(total), logs[outside].sum() - outside.sum() * np.log10(max(other, 1))))
-            scores = np.concatenate([*scores, net.score(codes)]) / ten
-            n_tokens, n_known, base, extra = map(np.array, zip(*stats)) if stats else ([],) * 4
+                codes.append(own)
+            scores = np.concatenate([*scores, net.score([np.where(c < known, c, VOCAB) for c in codes[done:]])]) / np.log(10.0)
+            sizes = np.array([len(c) for c in codes])
+            all_ = np.concatenate(codes)
+            sums = lambda x: np.add.reduceat(x, np.cumsum(sizes) - sizes)
+            have = number[all_] > 0
+            outside = have & (all_ >= known)
+            n_known = sums(have.astype(np.int64))
+            base = sums(np.where(have, logs[all_], 0.0)) - n_known * np.log10(total)
+            extra = sums(np.where(outside, logs[all_], 0.0)) - sums(outside.astype(np.int64)) * np.log10(max(other, 1))
             uid = at + np.arange(len(pdf))
             at += len(pdf)
-            yield pd.DataFrame({"uid": uid, "doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base": base, "score": scores + extra, "rare": rare})
+            yield pd.DataFrame({"uid": uid, "doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "n_tokens": sizes, "n_known": n_known, "base": base, "score": scores + extra, "rare": rare})
 
     part = stage(rows.mapInPandas(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>"), "scored")
     lone = part.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count("*").alias("f"))

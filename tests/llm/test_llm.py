@@ -272,7 +272,7 @@ def test_gradient():
 
 def test_lm_counts_and_scores(spark):
     d = docs(spark, [(i, t) for i, t in enumerate(["a b a", "A c", "", None, "zz yy a"] * 12)])
-    rows = {r.doc_id: r for r in lm.score_documents(d, one_in=1, held_words=2).collect()}
+    rows = {r.doc_id: r for r in lm.score_documents(d, held_words=2).collect()}
     import zlib
 
     train = [(t or "").lower().split() + ["\n"] for i, t in enumerate(["a b a", "A c", "", None, "zz yy a"] * 12) if zlib.crc32(str(i).encode()) % 7 != 2]
@@ -289,9 +289,51 @@ def test_lm_counts_and_scores(spark):
 
 def test_lm_learns_from_every_training_document(spark):
     rng = random.Random(33)
-    d = docs(spark, [(i, " ".join(words(rng, 40, 50))) for i in range(60)]).coalesce(1)
-    score = lambda **more: {r.doc_id: round(r.score, 3) for r in lm.score_documents(d, **more).collect()}
-    assert score() == score(one_in=1) != score(one_in=8)
+    rows = [(i, " ".join(words(rng, 40, 50))) for i in range(60)]
+    score = lambda r: {x.doc_id: x.score for x in lm.score_documents(docs(spark, r).coalesce(1)).collect()}
+    first = score(rows)
+    assert first == score(rows)
+    for k in (0, 31, 59):  # the same words in another order: the counts stay, what the network learns does not
+        other = [(i, " ".join(reversed(t.split())) if i == k else t) for i, t in rows]
+        changed = score(other)
+        held = [i for i in first if i != k and abs(changed[i] - first[i]) > 1e-7]
+        import zlib
+
+        assert bool(held) == (zlib.crc32(str(k).encode()) % 7 != 2)
+
+
+def test_lane_scoring_equals_plain_loop():
+    rng = np.random.default_rng(5)
+    net = lm.Network(np.log(np.full(lm.VOCAB + 1, 1 / (lm.VOCAB + 1))).astype(np.float32))
+    net.flat += rng.normal(0, 0.3, len(net.flat)).astype(np.float32)
+    end = 7
+    texts = [np.append(rng.integers(0, lm.VOCAB + 1, n), end).astype(np.int32) for n in (0, 1, 3, 40, 90, 31, 32, 33)]
+
+    def plain(text):
+        h, before, total = np.zeros((1, lm.STATE), np.float32), end, 0.0
+        for w in text:
+            h = net.gates((net.E @ net.W + net.b)[[before]], h)[0]
+            logits = (h @ net.C + net.c)[0].astype(float)
+            k = min(int(w) // (lm.VOCAB // lm.CLASSES), lm.CLASSES)
+            total += logits[k] - np.log(np.exp(logits).sum())
+            if k < lm.CLASSES:
+                inner = (h @ net.O[k] + net.o[k])[0].astype(float)
+                total += inner[int(w) % (lm.VOCAB // lm.CLASSES)] - np.log(np.exp(inner).sum())
+            before = w
+        return total
+
+    assert np.allclose(net.score(texts), [plain(t) for t in texts], rtol=1e-4)
+    net.c[:] = 200.0  # large logits stay finite
+    assert np.isfinite(net.score(texts)).all()
+
+
+def test_frequent_words_are_exactly_the_most_frequent(spark):
+    rows = [(f"w{k}".encode(), 5) for k in range(50)] + [(b"x", 9), (b"y", 9), (b"z", 1000), *[(f"q{k}".encode(), 4) for k in range(30)]]
+    table = spark.createDataFrame(rows, "word binary, c long")
+    for most in (0, 1, 2, 3, 10, 52, 53, 60, 83, 100):
+        got = lm.frequent(table, most)
+        assert len(got) == min(most, 83) and sorted(got.values(), reverse=True) == sorted((c for _, c in rows), reverse=True)[:most]
+        assert set(got) <= set(lm.frequent(table, most + 1))
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
