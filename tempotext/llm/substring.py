@@ -21,6 +21,10 @@ RUN_WINDOW = 20
 SLACK = 21
 #: A seed that a sample of one document in SAMPLE holds HOT times or more is dealt to SALTS tasks; at most MOST_HOT of them.
 SAMPLE, HOT, SALTS, MOST_HOT = 64, 16, 64, 20_000
+#: Rows of one hash that a task holds to find the first of them; those of a larger group find it by a join.
+MOST_HELD = 200_000
+#: Words that a task makes seeds of in one go; a longer text is alone.
+AT_ONCE = 200_000
 #: Seeds further apart than this begin a new chain. A slice fetched for alignment begins and ends at multiples of GRID.
 MAX_GAP, GRID = 60, 64
 #: Cost of a word left out on one side: within chains of seeds, and in alignment, where 2 a side keeps 4 of 5 words equal.
@@ -40,54 +44,88 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the minimizers of a word sequence: every ``window`` k-mers in a row hold one at least."""
+def rolling(x: np.ndarray, window: int, best: np.ufunc) -> np.ndarray:
+    """``best`` of every ``window`` values in a row, by doubling."""
+    size = 1
+    while 2 * size <= window:
+        x = best(x[:-size], x[size:])
+        size *= 2
+    return best(x[: len(x) - (window - size)], x[window - size :]) if window > size else x
+
+
+def kmers(h: np.ndarray) -> np.ndarray:
+    """Hashes of K words in a row."""
     n = len(h) - K + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     mixed = np.zeros(n, np.uint64)
     for j in range(K):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(29)
-    if n <= window:
-        at = np.array([int(mixed.argmin())])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(mixed, window)
-        at = np.concatenate([view[a : a + 65536].argmin(1) + np.arange(a, min(a + 65536, len(view))) for a in range(0, len(view), 65536)])
-        at = np.unique(at)
-    return at, mixed[at].view(np.int64)
+    return mixed
 
 
-def frames(at: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, words from the first to the last seed, hash) of the runs of seeds that LEAST_WORDS words alone determine.
+def minimizers(mixed: np.ndarray, left: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the smallest of the ``window`` k-mers from each place on, whether they lie within one document).
 
-    ``n``: words of the sequence. Equal stretches of LEAST_WORDS words have the same run, whatever is around them, and a
-    sequence has at most two runs a seed.
+    ``left``: k-mers from a place to the end of its document, itself included; of equal ones the first is smallest.
+    """
+    place, low = np.arange(len(mixed)), 0xFFFFFF  # the place goes to the low bits of the hash, modulo 2**24
+    least = rolling((mixed & np.uint64(~low & (1 << 64) - 1)) | (place & low).astype(np.uint64), window, np.minimum)
+    place = place[: len(least)]
+    return place + ((least.view(np.int64) - place) & low), left[: len(least)] >= window
+
+
+def seeds(mixed: np.ndarray, left: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places of the minimizers: every ``window`` k-mers in a row of a document hold one at least."""
+    own, whole = minimizers(mixed, left, window)
+    own = own[whole]
+    return own[np.append(True, own[1:] != own[:-1])] if len(own) else own
+
+
+def frames(mixed: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, words from the first to the last seed, hash) of the runs of sparser seeds that LEAST_WORDS words alone determine.
+
+    Equal stretches of LEAST_WORDS words have the same run, whatever is around them, and a text has at most two runs a seed.
     """
     inside = LEAST_WORDS - K - RUN_WINDOW + 2  # windows of k-mers that lie wholly in LEAST_WORDS words
-    windows = n - K + 1 - RUN_WINDOW + 1
-    if inside < 1 or windows < inside or len(at) < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    # seed of each window: of the seeds in it the smallest, so that of the first one not beaten by a later one inside
-    x = np.arange(windows)
-    low, high = np.searchsorted(at, x), np.searchsorted(at, x + RUN_WINDOW) - 1
-    own, u = low.copy(), h.view(np.uint64)
-    for step in range(1, int((high - low).max()) + 1):
-        k = np.minimum(low + step, high)
-        own = np.where(u[k] < u[own], k, own)
-    runs = np.unique(np.stack([own[: windows - inside + 1], own[inside - 1 :]], 1), axis=0)
-    runs = runs[runs[:, 0] < runs[:, 1]]
-    a, b = runs[:, 0], runs[:, 1]
+    own, whole = minimizers(mixed, left, RUN_WINDOW)
+    n = len(own) - inside + 1
+    if n < 1:
+        return (np.empty(0, np.int64),) * 3
+    at = own[whole]
+    at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+    ok = left[:n] >= RUN_WINDOW + inside - 1
+    first, last = own[:n][ok], own[inside - 1 :][ok]
+    new = np.append(True, (first[1:] != first[:-1]) | (last[1:] != last[:-1])) if len(first) else np.empty(0, bool)
+    new &= first < last
+    first, last = first[new], last[new]
+    if not len(first):
+        return (np.empty(0, np.int64),) * 3
+    a, b = np.searchsorted(at, first), np.searchsorted(at, last)
+    u = mixed[at]
     odd, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
     up, down = np.full(len(at), odd, np.uint64), np.full(len(at), inverse, np.uint64)
     up[0] = down[0] = 1
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(u * np.cumprod(up), dtype=np.uint64)])
-    span = at[b] - at[a]
+    span = last - first
     key = (total[b + 1] - total[a]) * np.cumprod(down)[a] + span.astype(np.uint64)
     key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return at[a], span, (key ^ (key >> np.uint64(32))).view(np.int64)
+    return first, span, (key ^ (key >> np.uint64(32))).view(np.int64)
+
+
+def marks(docs: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, position, span, hash) of the seeds, whose span is 0, and runs of some documents' word hashes together."""
+    sizes = np.array([len(x) for x in texts])
+    starts = np.cumsum(sizes) - sizes
+    mixed = kmers(np.concatenate(texts))
+    own = np.repeat(np.arange(len(texts)), sizes)[: len(mixed)]
+    left = (starts + sizes)[own] - np.arange(len(mixed)) - K + 1
+    one = seeds(mixed, left)
+    two, span, key = frames(mixed, left)
+    at = np.concatenate([one, two])
+    doc = own[at]
+    return docs[doc], at - starts[doc], np.append(np.zeros(len(one), np.int64), span), np.append(mixed[one].view(np.int64), key)
 
 
 def chains(start: np.ndarray, other: np.ndarray, size: np.ndarray, cost: float, overlap: int) -> list[tuple[float, list[int]]]:
@@ -99,67 +137,98 @@ def chains(start: np.ndarray, other: np.ndarray, size: np.ndarray, cost: float,
     starts has passed their end.
     """
     n = len(start)
-    order = np.lexsort((other, start))
-    end, tail = start + size, other + size
-    ranks = np.unique(tail)
-    tree_score, tree_seg = np.full(len(ranks) + 1, -np.inf), np.full(len(ranks) + 1, -1)
-    score, back = np.zeros(n), np.full(n, -1)
+    order = np.lexsort((other, start)).tolist()
+    ends, tails = start + size, other + size
+    ranks = np.unique(tails)
+    place = (np.searchsorted(ranks, tails) + 1).tolist()
+    below = np.searchsorted(ranks, other + overlap, "right").tolist()
+    start, other, size, end, tail = (x.tolist() for x in (start, other, size, ends, tails))
+    top, none = len(ranks), float("-inf")
+    tree_score, tree_seg = [none] * (top + 1), [-1] * (top + 1)
+    score, back = [0.0] * n, [-1] * n
     waiting: list[tuple[int, int]] = []
     for j in order:
-        while waiting and waiting[0][0] - overlap <= start[j]:
+        s, o = start[j], other[j]
+        while waiting and waiting[0][0] - overlap <= s:
             _, i = heapq.heappop(waiting)
-            value, at = score[i] + cost * (end[i] + tail[i]), int(np.searchsorted(ranks, tail[i])) + 1
-            while at <= len(ranks):
+            value, at = score[i] + cost * (end[i] + tail[i]), place[i]
+            while at <= top:
                 if value > tree_score[at]:
                     tree_score[at], tree_seg[at] = value, i
                 at += at & -at
-        best, seg, at = -np.inf, -1, int(np.searchsorted(ranks, other[j] + overlap, "right"))
+        best, seg, at = none, -1, below[j]
         while at > 0:
             if tree_score[at] > best:
                 best, seg = tree_score[at], tree_seg[at]
             at -= at & -at
-        gain = best - cost * (start[j] + other[j])
-        if seg >= 0 and start[j] > start[seg] and other[j] > other[seg]:
-            over = max(0, end[seg] - start[j], tail[seg] - other[j])
-            gain -= over + min(0, start[j] - end[seg]) * cost + min(0, other[j] - tail[seg]) * cost if over else 0
+        gain = best - cost * (s + o)
+        if seg >= 0 and s > start[seg] and o > other[seg]:
+            over = max(0, end[seg] - s, tail[seg] - o)
+            gain -= over + min(0, s - end[seg]) * cost + min(0, o - tail[seg]) * cost if over else 0
         else:
             seg = -1
-        score[j] = size[j] + (gain if seg >= 0 and gain > 0 else 0)
-        back[j] = seg if seg >= 0 and gain > 0 else -1
-        heapq.heappush(waiting, (int(end[j]), int(j)))
-    out, used = [], np.zeros(n, bool)
-    for j in np.argsort(-score, kind="stable"):
-        path, k = [], int(j)
+        better = seg >= 0 and gain > 0
+        score[j] = size[j] + (gain if better else 0)
+        back[j] = seg if better else -1
+        heapq.heappush(waiting, (end[j], j))
+    out, used = [], [False] * n
+    for j in sorted(range(n), key=lambda j: -score[j]):
+        path, k = [], j
         while k >= 0 and not used[k]:
             used[k] = True
             path.append(k)
-            k = int(back[k])
+            k = back[k]
         if path:
-            out.append((float(score[j] - (score[k] if k >= 0 else 0)), path[::-1]))
+            out.append((score[j] - (score[k] if k >= 0 else 0), path[::-1]))
     return out
 
 
-def segments(pos: np.ndarray, apos: np.ndarray, size: int, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of matches on one diagonal with at most ``gap`` words between: start, start on the other side, words spanned."""
-    order = np.lexsort((pos, pos - apos))
-    pos, apos = pos[order], apos[order]
+def segments(pair: np.ndarray, pos: np.ndarray, apos: np.ndarray, size: int, gap: int) -> tuple[np.ndarray, ...]:
+    """Runs of matches of a pair on one diagonal with at most ``gap`` words between: pair, start, start on the other side, words spanned."""
+    order = np.lexsort((pos, pos - apos, pair))
+    pair, pos, apos = pair[order], pos[order], apos[order]
     cut = np.ones(len(pos), bool)
-    cut[1:] = (np.diff(pos - apos) != 0) | (np.diff(pos) > size + gap)
+    cut[1:] = (pair[1:] != pair[:-1]) | (np.diff(pos - apos) != 0) | (np.diff(pos) > size + gap)
     first = np.nonzero(cut)[0]
     last = np.append(first[1:], len(pos)) - 1
-    return pos[first], apos[first], pos[last] + size - pos[first]
+    return pair[first], pos[first], apos[first], pos[last] + size - pos[first]
 
 
-def candidates(pos: np.ndarray, apos: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(start, end, other start, other end, lowest and highest diagonal) of the chains of one document pair's seeds."""
-    start, other, size = segments(pos, apos, K, SLACK - K)
-    for _, path in chains(start, other, size, SEED_COST, K):
-        for part in np.split(np.array(path), np.nonzero(start[path[1:]] - (start + size)[path[:-1]] > MAX_GAP)[0] + 1):
-            a, b = part[0], part[-1]
-            s, e = int(start[a]), int(start[b] + size[b])
-            if e - s >= LEAST_WORDS - 2 * SLACK and (size[part].sum() > 2 * K or len(part) > 1):
-                diag = (start - other)[part]
-                yield s, e, int(other[a]), int(other[b] + size[b]), int(diag.min()), int(diag.max())
+def candidates(m: np.ndarray) -> np.ndarray:
+    """Rows (document, other document, start, end, other start, other end, lowest and highest diagonal) of the chains of seeds.
+
+    ``m``: rows (document, other document, position, other position) in order. Pairs of one segment need no chaining.
+    """
+    new = np.append(True, (m[1:, :2] != m[:-1, :2]).any(1))
+    first = np.nonzero(new)[0]
+    last = np.append(first[1:], len(m)) - 1
+    wide = m[last, 2] - m[first, 2] >= K  # two seeds at least
+    pair = np.cumsum(new) - 1
+    kept = wide[pair]
+    if not kept.any():
+        return np.empty((0, 8), np.int64)
+    pair, start, other, size = segments(pair[kept], m[kept, 2], m[kept, 3], K, SLACK - K)
+    edge = np.append(np.nonzero(np.append(True, pair[1:] != pair[:-1]))[0], len(pair))
+    count = np.diff(edge)
+    least = LEAST_WORDS - 2 * SLACK
+    one = edge[:-1][count == 1]
+    one = one[(size[one] > 2 * K) & (size[one] >= least)]
+    diag = start - other
+    out = [np.stack([start[one], start[one] + size[one], other[one], other[one] + size[one], diag[one], diag[one]], 1)]
+    whose = [pair[one]]
+    more = []
+    for a, b in zip(edge[:-1][count > 1], edge[1:][count > 1]):
+        s, o, z, d = start[a:b], other[a:b], size[a:b], diag[a:b]
+        for _, path in chains(s, o, z, SEED_COST, K):
+            if len(path) == 1 and z[path[0]] <= 2 * K:
+                continue
+            for part in np.split(np.array(path), np.nonzero(s[path[1:]] - (s + z)[path[:-1]] > MAX_GAP)[0] + 1) if len(path) > 1 else [np.array(path)]:
+                i, j = part[0], part[-1]
+                if s[j] + z[j] - s[i] >= least and (z[part].sum() > 2 * K or len(part) > 1):
+                    more.append((s[i], s[j] + z[j], o[i], o[j] + z[j], d[part].min(), d[part].max()))
+                    whose.append(pair[a : a + 1])
+    rows = np.concatenate([out[0], np.array(more, np.int64).reshape(-1, 6)])
+    return np.concatenate([m[first[np.concatenate(whose)], :2], rows], 1)
 
 
 def align(x: np.ndarray, y: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int, int, int, float]]:
@@ -206,68 +275,101 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
 
     def find(batches: Iterator[pd.DataFrame], hot: np.ndarray = np.empty(0, np.int64)) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
+        hashes, held, ids, size = Hashes(), [], [], 0
+
+        def made() -> pd.DataFrame:
+            doc, at, span, h = marks(np.array(ids, np.int64), held)
+            often = np.where(np.isin(h, hot), h, 0)
+            salted = h ^ (((doc % SALTS) + 1) * 0x9E3779B97F4A7C1)
+            return pd.DataFrame({"h": np.where(often != 0, salted, h), "doc": doc, "at": at << 6 | span, "often": often})
+
         for pdf in batches:
-            out = []
             for doc, text in zip(pdf["doc"], pdf["text"]):
                 words = lower_words(text)
-                if len(words) < LEAST_WORDS:
-                    continue
-                own = hashes.of(words)
-                at, h = seeds(own)
-                more, span, key = frames(*seeds(own, RUN_WINDOW), len(words))
-                h = np.concatenate([h, key])
-                salt = np.where(np.isin(h, hot), doc % SALTS, -1).astype(np.int32) if len(hot) else np.full(len(h), -1, np.int32)
-                out.append((np.full(len(h), doc), np.concatenate([at << 6, more << 6 | span]), h, salt))
-            if out:
-                yield pd.DataFrame(dict(zip(("doc", "at", "h", "salt"), map(np.concatenate, zip(*out)))))
+                if len(words) >= LEAST_WORDS:
+                    if held and size + len(words) > AT_ONCE:
+                        yield made()
+                        held, ids, size = [], [], 0
+                    held.append(hashes.of(words))
+                    ids.append(doc)
+                    size += len(words)
+        if held:
+            yield made()
+
+    names = ["doc", "anchor", "pos", "apos", "h", "on"]
+
+    def links(doc, at, anchor, to, h) -> pd.DataFrame:
+        """Rows of ``names``; of a run its first and its last seed, ``on`` words later."""
+        span, pos, apos = at & 63, at >> 6, to >> 6
+        run = span > 0
+        pairs = ((doc, doc[run]), (anchor, anchor[run]), (pos, (pos + span)[run]), (apos, (apos + span)[run]), (h, h[run]), (0 * span, span[run]))
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, pairs))))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Links to the first row of each ``h`` and salt; of a run, its first and its last seed (``on`` words later).
-
-        Salted rows keep their ``h``, and each salt's first row is a link to itself, so that all find their common first.
-        """
-        last = None
+        """Links of all rows of an ``h`` to its first one. Rows of frequent hashes, or of one with more than MOST_HELD rows,
+        go on with ``h`` and without a partner, which the smallest of all of them is."""
+
+        def resolve(m: np.ndarray) -> pd.DataFrame:
+            """Whole groups: rows (h, doc, at, often)."""
+            often = m[:, 3] != 0
+            open_, m = m[often], m[~often]
+            new = np.append(True, m[1:, 0] != m[:-1, 0])[: len(m)]
+            group = np.cumsum(new) - 1
+            shared = np.bincount(group, minlength=1)[group] > 1 if len(m) else np.empty(0, bool)
+            m, group = m[shared], group[shared]
+            order = np.lexsort((m[:, 2], m[:, 1], group))
+            m, group = m[order], group[order]
+            first = np.nonzero(np.append(True, group[1:] != group[:-1])[: len(group)])[0]
+            to = np.repeat(first, np.diff(np.append(first, len(group)))) if len(group) else first
+            k = m[:, 1] != m[to, 1]
+            return pd.concat([links(m[k, 1], m[k, 2], m[to, 1][k], m[to, 2][k], 0 * m[k, 0]), lone(open_, open_[:, 3])])
+
+        def lone(m: np.ndarray, h: np.ndarray) -> pd.DataFrame:
+            return links(m[:, 1], m[:, 2], 0 * h, 0 * h, h)
+
+        held, large = np.empty((0, 4), np.int64), None
         for pdf in batches:
-            h, salt, doc, at = (pdf[c].to_numpy(np.int64) for c in ("h", "salt", "doc", "at"))
-            if not len(h):
+            rows = np.stack([pdf[c].to_numpy(np.int64) for c in ("h", "doc", "at", "often")], 1)
+            if not len(rows):
                 continue
-            new = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))
-            first = np.nonzero(new)[0][np.cumsum(new) - 1]
-            anchor, to = doc[first], at[first]
-            if last is not None and last[:2] == (h[0], salt[0]):
-                anchor[first == 0], to[first == 0] = last[2:]
-            last = h[-1], salt[-1], anchor[-1], to[-1]
-            k = (doc != anchor) | (salt >= 0)
-            doc, at, anchor, to, h = doc[k], at[k], anchor[k], to[k], np.where(salt >= 0, h, 0)[k]
-            span, pos, apos = at & 63, at >> 6, to >> 6
-            run = span > 0
-            pairs = ((doc, doc[run]), (anchor, anchor[run]), (pos, (pos + span)[run]), (apos, (apos + span)[run]), (h, h[run]), (0 * span, span[run]))
-            yield pd.DataFrame(dict(zip(("doc", "anchor", "pos", "apos", "h", "on"), map(np.concatenate, pairs))))
+            if large is not None:
+                n = int((rows[:, 0] == large).sum())  # they come first
+                yield lone(rows[:n], np.where(rows[:n, 3] != 0, rows[:n, 3], rows[:n, 0]))
+                rows = rows[n:]
+                if not len(rows):
+                    continue
+                large = None
+            held = np.concatenate([held, rows])
+            whole = len(held) - int((held[::-1, 0] == held[-1, 0]).argmin() if (held[:, 0] != held[-1, 0]).any() else len(held))
+            if whole:
+                yield resolve(held[:whole])
+                held = held[whole:]
+            if len(held) > MOST_HELD:
+                large = held[-1, 0]
+                yield lone(held, np.where(held[:, 3] != 0, held[:, 3], held[:, 0]))
+                held = held[:0]
+        yield resolve(held)
 
     # seeds of one document only are the most by far: they are shuffled once, never staged
-    typed = "doc long, at long, h long, salt int"
+    typed = "h long, doc long, at long, often long"
     some = rows.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0).mapInPandas(find, typed)
     common = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n")).limit(MOST_HOT).select("h").collect()
     hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["h"] for r in common), np.int64))
     found = rows.mapInPandas(lambda batches: find(batches, hot.value), typed)
-    met = found.repartition("h", "salt").sortWithinPartitions("h", "salt", "doc", "at").mapInPandas(meet, "doc long, anchor long, pos long, apos long, h long, on long")
+    # one sort column of eight bytes: Spark sorts it by radix
+    met = found.repartition("h").sortWithinPartitions("h").mapInPandas(meet, "doc long, anchor long, pos long, apos long, h long, on long")
     met = stage(met, "links")
-    heads = met.where("h <> 0 and on = 0").groupBy("h").agg(F.min(F.struct("anchor", "apos")).alias("head"))  # at most MOST_HOT rows
-    links = met.where("h = 0").select("doc", "anchor", "pos", "apos")
-    salted = met.where("h <> 0").join(F.broadcast(heads), "h").select("doc", F.col("head.anchor").alias("anchor"), "pos", (F.col("head.apos") + F.col("on")).alias("apos"))
-    links = links.union(salted.where("doc <> anchor"))
+    open_ = met.where("h <> 0")
+    heads = open_.where("on = 0").groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("head"))
+    found = met.where("h = 0").select("doc", "anchor", "pos", "apos")
+    late = open_.join(heads, "h").where("doc <> head.doc").select("doc", F.col("head.doc").alias("anchor"), "pos", (F.col("head.pos") + F.col("on")).alias("apos"))
+    found = found.union(late)
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc", "anchor", "s", "e", "t", "u", "low", "high"]
 
         def groups(m: np.ndarray) -> pd.DataFrame:
-            cut = np.append(np.nonzero(np.append(True, (m[1:, :2] != m[:-1, :2]).any(1)))[0], len(m))
-            out = []
-            for a, b in zip(cut[:-1][np.diff(cut) > 1], cut[1:][np.diff(cut) > 1]):
-                if m[b - 1, 2] - m[a, 2] >= K:
-                    out += [(m[a, 0], m[a, 1], *c) for c in candidates(m[a:b, 2], m[a:b, 3])]
-            return pd.DataFrame(np.array(out, np.int64).reshape(-1, 8), columns=names)
+            return pd.DataFrame(candidates(m), columns=names)
 
         held = np.empty((0, 4), np.int64)
         for pdf in batches:
@@ -279,7 +381,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if len(held):
             yield groups(held)
 
-    dealt = links.repartition("doc").sortWithinPartitions("doc", "anchor", "pos", "apos")
+    dealt = found.repartition("doc").sortWithinPartitions("doc", "anchor", "pos", "apos")
     spans = dealt.mapInPandas(chain, "doc long, anchor long, s long, e long, t long, u long, low long, high long")
     pad = SLACK
     down = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - pad) / GRID) * GRID).cast("long")
