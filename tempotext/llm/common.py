@@ -11,9 +11,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors and the driver see: ``spark.checkpoint.dir``; unset, one of our own in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return base.rstrip("/")
 
@@ -44,6 +46,34 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` has it (Spark's names don't tell cases apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def number_rows(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """``docs`` with a column, whose name is returned, that tells all rows apart.
+
+    A row whose id no other row has keeps it; rows of null or repeated ids are numbered from 2**62 on, so any decision by
+    number is about one row. Those are written first, as their numbers depend on how they are read.
+    """
+    name = fresh(docs, "row_id")
+    repeated = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(F.col(id_col).alias(name)).where(F.col(name).isNotNull())
+    own = docs.withColumn(name, F.col(id_col).cast("long"))
+    loose = docs.where(F.col(id_col).isNull())
+    if not repeated.isEmpty():
+        repeated = stage(repeated, "repeated")
+        loose = loose.unionByName(docs.join(repeated, F.col(id_col) == F.col(name), "left_semi"))
+        own = own.join(repeated, name, "left_anti").select(own.columns)
+    own = own.where(F.col(name).isNotNull())
+    if loose.isEmpty():
+        return own, name
+    return own.unionByName(stage(loose.withColumn(name, F.lit(1 << 62) + F.monotonically_increasing_id()), "loose")), name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
+from .common import number_rows, stage
 
 K1, B = 1.2, 0.75
 #: Share of an item's score for itself that a passage must reach, then shares of its word 5-grams that must be there.
@@ -258,6 +258,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that hold no test item, with all their columns; rows without id are kept."""
-    held = stage(leaks(docs.where("doc_id is not null"), benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(held, "doc_id", "left_anti").select(docs.columns)
+    """Rows of ``docs`` that hold no test item, with all their columns.
+
+    Rows of null and of repeated ids are judged one by one. An empty benchmark keeps all rows.
+    """
+    rows, row = number_rows(docs)
+    held = stage(leaks(rows, benchmark, id_col=row).select(F.col("doc_id").alias(row)).distinct(), "leaks")
+    return rows.join(held, row, "left_anti").select(docs.columns)

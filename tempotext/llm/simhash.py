@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, lower_words, stage
+from .common import components, lower_words, number_rows, stage
 
 #: Rows of one comparison tile; whole buckets are packed together up to this many.
 TILE = 512
@@ -229,7 +229,7 @@ def near_copies(docs: DataFrame, bands: int = 32, rows: int = 5, shingle: int =
     0.999997 and closer ones more surely; each link is verified on the whole shingle sets, so no estimate joins rows.
     Rows of equal sets are one class. Each member of a bucket is first verified against the bucket's least class; then
     all pairs of a bucket that are still in different groups are. Null and empty texts are one class; a null id never
-    names a group.
+    names a group. Repeated rows give repeated rows, an empty table none, other columns are not read.
     """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -312,11 +312,12 @@ def near_copies(docs: DataFrame, bands: int = 32, rows: int = 5, shingle: int =
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """Rows of ``docs`` whose id names its near-duplicate group, one of each, with all columns; a row with a null id stays."""
-    groups = near_copies(docs, **params)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stage(keep, "keep"), "doc_id", "left_semi").select(docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each near-duplicate group, that of the smallest id, with all its columns.
+
+    Rows are judged one by one: of rows that share an id but not a group each can stay; rows of null ids come after all
+    others, so one stays only if its group has no other row that does.
+    """
+    rows, row = number_rows(docs)
+    groups = near_copies(rows.select(F.col(row).alias("doc_id"), "text"), **params)
+    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(row))
+    return rows.join(stage(keep, "keep"), row, "left_semi").select(docs.columns)

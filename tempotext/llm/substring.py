@@ -11,7 +11,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD, lower_words, stage
+from .common import WORD, fresh, lower_words, number_rows, stage
 
 #: Words of a seed; k-mers of a window of which the smallest hash is a seed; words of a passage; its share of equal words.
 K, WINDOW, LEAST_WORDS, LEAST_IDENTITY = 5, 4, 50, 0.8
@@ -423,8 +423,11 @@ def cut_passages(docs: DataFrame) -> DataFrame:
     """``docs`` without the passages that an earlier document holds; white space around what stays is kept.
 
     A document of which no word stays goes; ``n_chars`` becomes the length of the new text. All other rows are as they were.
+    Rows of null and of repeated ids are documents of their own that come after all others.
     """
-    spans = passages(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
+    rows, row = number_rows(docs)
+    own, new = fresh(rows, "spans"), fresh(rows, "new")
+    spans = passages(rows, id_col=row).groupBy(F.col("doc_id").alias(row)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(own))
     word = re.compile(WORD)
 
     @F.pandas_udf("string")
@@ -444,9 +447,9 @@ def cut_passages(docs: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype="object")
 
-    joined = docs.join(stage(spans, "cuts").hint("merge"), "doc_id", "left")
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest(F.coalesce("text", F.lit("")), F.col("_spans")))
-    out = joined.withColumn("_new", new).where("_new is not null or text is null")
+    joined = rows.join(stage(spans, "cuts").hint("merge"), row, "left")
+    cut = F.when(F.col(own).isNull(), F.col("text")).otherwise(rest(F.coalesce("text", F.lit("")), F.col(own)))
+    out = joined.withColumn(new, cut).where(F.col(new).isNotNull() | F.col("text").isNull())
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast("long")))
-    return out.withColumn("text", F.col("_new")).select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long")))
+    return out.withColumn("text", F.col(new)).select(docs.columns)

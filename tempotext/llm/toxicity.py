@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, stage
+from .common import crc_mod, fresh, stage
 
 #: Labelled documents of each class that the classifier is fitted on, at most, in the order of a hash of the id.
 FIT_ROWS = 6_000
@@ -198,5 +198,10 @@ def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> Da
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """Rows of ``docs`` that score below 0.5, with all their columns."""
-    return score(docs, fit(docs, labels, **params), out="_toxicity").where("_toxicity < 0.5").select(docs.columns)
+    """Rows of ``docs`` that score below 0.5, with all their columns.
+
+    Each row is judged by its own text: null ids and repeated rows like any others, null and empty texts score 0 and stay.
+    Without labels of both kinds all rows stay; an empty table stays empty.
+    """
+    out = fresh(docs, "toxicity")
+    return score(docs, fit(docs, labels, **params), out=out).where(F.col(out) < 0.5).select(docs.columns)

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tempotext.llm import decontaminate as D, embed_dedup as E, html_extract as H, lm, mixing, queries, simhash as S, substring as B, toxicity as X, url_rules as U, warc as Wc
 
@@ -67,9 +68,35 @@ def test_keep_one(spark):
     rng = random.Random(2)
     base = words(rng, 400)
     near = " ".join(base[:200] + ["new"] + base[201:])
-    d = docs(spark, [(1, " ".join(base)), (2, near), (3, " ".join(words(rng, 400))), (3, "again"), (None, "no id")])
+    alone = " ".join(words(rng, 400))
+    d = docs(spark, [(1, " ".join(base)), (2, near), (3, alone), (3, "again"), (3, alone), (None, "no id"), (None, near), (None, "no id"), (3, near)])
     got = S.keep_one(d).collect()
-    assert sorted((r.doc_id for r in got), key=str) == [1, 3, None]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, " ".join(base)), (3, alone), (3, "again"), (None, "no id")], key=str)
+    assert S.keep_one(d.limit(0)).count() == 0
+
+
+def test_stages_judge_rows_one_by_one_with_clashing_columns(spark):
+    rng = random.Random(41)
+    item = words(rng, 40, 20000)
+    mk = lambda mid: " ".join(words(rng, 60, 20000) + mid + words(rng, 60, 20000))
+    clean, leak = mk([]), mk(item)
+    rows = [(1, clean), (2, leak), (2, mk([])), (None, mk(item)), (None, mk([])), (4, None), (4, ""), (2, leak)]
+    d = docs(spark, rows)
+    for c in ("row_id", "spans", "new", "toxicity", "row_id_"):
+        d = d.withColumn(c, d.doc_id)
+    b = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    kept = D.drop_leaks(d, b)
+    assert kept.columns == d.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [rows[k] for k in (0, 2, 4, 5, 6)]))
+    p = words(rng, 80, 10**6)
+    d2 = docs(spark, [(5, mk(p)), (7, mk(p)), (7, mk([])), (None, mk(p)), (None, None)]).withColumn("spans", F.lit(1)).withColumn("new", F.lit(2))
+    left = B.cut_passages(d2).collect()
+    assert len(left) == 5 and sorted(len((r.text or "").split()) for r in left) == [0, 120, 120, 120, 200] and all(r.spans == 1 and r.new == 2 for r in left)
+    assert next(r for r in left if len((r.text or "").split()) == 200).doc_id == 5
+    lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert X.drop_toxic(d, lab).count() == len(rows) and X.drop_toxic(d, lab).columns == d.columns
+    m = mixing.mix(d.withColumn("keep_0", F.lit(3)), keep=("source", "keep_0"))
+    assert m.columns[-2:] == ["source", "keep_0"] and m.count() == len(rows)
 
 
 def test_near_copies_equal_brute_force(spark):
