@@ -67,16 +67,18 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     null component and kept null; ties and repeated rows link like any others (a repeated row is another vector with
     the same id). Extra columns are not read; an empty table gives no rows.
 
-    Equal vectors of a label are one class, weighted by its rows. Classes are sorted by label and leading component
-    and cut into blocks; blocks of a label are compared only if their leading components come within
-    sqrt(2 - 2 * threshold), beyond which no cosine can reach the threshold. A tile gives link counts per class and the
-    edges of a spanning forest, never its pairs.
+    Equal vectors of a label are one class, weighted by its rows and named by 128 bits of hashes. Unit vectors whose cosine
+    reaches the threshold are within reach = sqrt(2 - 2 * threshold) of each other in every component. So classes are
+    dealt to strips of that width by the leading component and sorted by the second within a strip, and blocks of
+    them are compared only within a strip or with the next one, if their second components come within reach as well.
+    A tile gives link counts per class and the edges of a spanning forest, never its pairs. Cosines are of the rotated
+    unit vectors; rounding can decide pairs within about 1e-14 of the threshold.
     """
     raw = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     fit = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     fit &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     raw = raw.withColumn("fit", F.coalesce(fit, F.lit(False)))
-    key = F.xxhash64("label", "v")
+    key = F.concat(F.hex(F.xxhash64("label", "v")), F.lit("-"), F.hex(F.xxhash64(F.lit(7), "v", "label")))
     raw = stage(raw.withColumn("key", F.when(F.col("fit"), key)).withColumn("v", F.when(F.col("fit"), F.col("v"))), "vectors")
     classes = stage(raw.where("fit").groupBy("key", "label").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least")), "classes")
     bases = pca_basis(classes)
@@ -90,11 +92,13 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 v = v / np.max(np.abs(v))  # so that squares neither overflow nor vanish
                 v = v / np.sqrt(v @ v)
                 out.append(v @ bases[len(v)] if len(v) in bases else v)
-            yield pd.DataFrame({"label": pdf["label"], "dims": [len(v) for v in out], "first": [v[0] for v in out], "key": pdf["key"], "n": pdf["n"], "w": out})
+            lead = [(v[0], v[1] if len(v) > 1 else 0.0) for v in out]
+            yield pd.DataFrame({"label": pdf["label"], "dims": [len(v) for v in out], "strip": [int(np.floor(x / reach)) for x, _ in lead], "second": [y for _, y in lead], "key": pdf["key"], "n": pdf["n"], "w": out})
 
     kind = dict(classes.dtypes)["label"]
-    turned = classes.mapInPandas(rotate, f"label {kind}, dims int, first double, key long, n long, w array<double>")
-    ordered = turned.repartitionByRange("label", "dims", "first", "key").sortWithinPartitions("label", "dims", "first", "key")
+    shape = f"label {kind}, dims int, strip int, second double, key string, n long, w array<double>"
+    order = ["label", "dims", "strip", "second", "key"]
+    ordered = classes.mapInPandas(rotate, shape).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -102,18 +106,18 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         part, block, last, size = TaskContext.get().partitionId(), 0, None, 0
         for pdf in batches:
             ids = np.empty(len(pdf), np.int64)
-            for k, group in enumerate(zip(pdf["label"], pdf["dims"])):
+            for k, group in enumerate(zip(pdf["label"], pdf["dims"], pdf["strip"])):
                 if group != last or size == tile:
                     block, last, size = block + 1, group, 0
                 ids[k] = (part << 32) + block
                 size += 1
             yield pdf.assign(block=ids)
 
-    blocks = stage(ordered.mapInPandas(cut, ordered._jdf.schema().toDDL() + ", block bigint"), "blocks")
-    spans = blocks.groupBy("label", "dims", "block").agg(F.min("first").alias("lo"), F.max("first").alias("hi"))
-    left, right = spans.alias("l"), spans.alias("r")
-    near = (F.col("l.block") <= F.col("r.block")) & (F.col("l.lo") <= F.col("r.hi") + reach) & (F.col("r.lo") <= F.col("l.hi") + reach)
-    pairs = left.join(right, (F.col("l.label") == F.col("r.label")) & (F.col("l.dims") == F.col("r.dims")) & near).select(F.col("l.block").alias("x"), F.col("r.block").alias("y"))
+    blocks = stage(ordered.mapInPandas(cut, shape + ", block long"), "blocks")
+    spans = blocks.groupBy("label", "dims", "strip", "block").agg(F.min("second").alias("lo"), F.max("second").alias("hi"))
+    left = spans.select("label", "dims", F.explode(F.array(F.col("strip"), F.col("strip") + 1)).alias("strip"), F.col("strip").alias("own"), F.col("block").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
+    near = ((F.col("own") != F.col("strip")) | (F.col("x") <= F.col("block"))) & (F.col("xlo") <= F.col("hi") + reach) & (F.col("lo") <= F.col("xhi") + reach)
+    pairs = left.join(spans, ["label", "dims", "strip"]).where(near).select("x", F.col("block").alias("y"))
     ends = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     dealt = blocks.select("block", "key", "n", "w").join(stage(ends, "tiles"), "block").select("x", "y", "block", "key", "n", "w")
 
@@ -135,7 +139,7 @@ def cosine_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         own = np.nonzero(seen)[0]
         return pd.DataFrame({"key": keys[own], "links": seen[own].astype(np.int64), "root": keys[root[own]]})
 
-    found = stage(dealt.groupBy("x", "y").applyInPandas(compare, "key long, links long, root long"), "found")
+    found = stage(dealt.groupBy("x", "y").applyInPandas(compare, "key string, links long, root string"), "found")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     grouped = classes.select("key", "n", "least").join(links, "key", "left").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
