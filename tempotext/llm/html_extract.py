@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -32,41 +33,76 @@ APART_WORDS = frozenset(
     "widget widgets toolbar copyright legal disclaimer skip search complementary contentinfo outbrain taboola".split()
 )
 APART_ROOTS = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<rest>(?:[^<>"']++|"[^"]{0,16384}"|'[^']{0,16384}'|["'])*+)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<rest>(?:[^<>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
 ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
 RAW_END = {x: re.compile(rf"</{x}\b[^>]*>", re.I) for x in RAW}
+#: Class names that begin or go on so speak of other places ("no-sidebar", "page-with-comments").
+MODIFIERS = frozenset("no not non without with has have is hide hidden show enable enabled disable disabled".split())
+#: Elements a head may hold; any other one, or text, ends it.
+HEAD = frozenset("head title base link meta script style noscript template".split())
+#: Elements whose begin tag ends an open one of the second group, unless one of the third group is in between.
+ENDS = {
+    **dict.fromkeys(("li",), (("li",), ("ul", "ol", "menu"))), **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl",))), **dict.fromkeys(("td", "th"), (("td", "th"), ("tr", "table"))),
+    "tr": (("tr",), ("table",)), **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot"), ("table",))), **dict.fromkeys(("option", "optgroup"), (("option",), ("select",))),
+}
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Pass 1: characters from which a block is decided by its words, shares of stop words and of linked characters.
 LONG, STOP_HIGH, STOP_LOW, LINKED, LINKED_ROOT = 70, 0.2, 0.05, 0.33, 0.6
+#: Share of stop words among a page's words from which its language is one of the list's.
+KNOWN = 0.08
 
 
-def apart(name: str, rest: str, in_root: bool) -> bool:
-    """Whether an element's own name and attributes set its text apart from the article."""
+def hints(value: str) -> set[str]:
+    """Words of a class, id or role, without those after a modifier."""
+    out: set[str] = set()
+    for name in value.split():
+        for x in NAME_PART.findall(name):
+            if x.lower() in MODIFIERS:
+                break
+            out.add(x.lower())
+    return out
+
+
+def apart(name: str, rest: str, in_root: bool) -> tuple[bool, bool]:
+    """Whether an element's text is surely not the article's, by its kind or as it is hidden, and whether its names say so."""
     if name in APART or (name == "header" and not in_root):
-        return True
+        return True, False
     if "=" not in rest and "hidden" not in rest:
-        return False
+        return False, False
     words: set[str] = set()
     for key, a, b, c in ATTR.findall(rest):
         key, value = key.lower(), a or b or c
         if key == "hidden" and value.lower() != "until-found" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, False
         if key in ("class", "id", "role"):
-            words.update(x.lower() for x in NAME_PART.findall(value))
+            words |= hints(value)
     if name in ("html", "body", "article", "main"):
-        return bool(words & APART_ROOTS) and name not in ("html", "body")
-    return bool(words & APART_WORDS) or not in_root and "header" in words
+        return False, bool(words & APART_ROOTS) and name not in ("html", "body")
+    return False, bool(words & APART_WORDS) or not in_root and "header" in words
+
 
+class Block(NamedTuple):
+    """A stretch of text between block elements: share of linked characters, surely apart, elements above it whose names
+    say apart, its article or main element (0: none), heading."""
 
-def blocks(page: str) -> list[tuple[str, float, bool, int, bool]]:
-    """(text, share of linked characters, set apart, root, heading) of the blocks in page order; root 0 is outside any article or main."""
+    text: str
+    linked: float
+    bad: bool
+    named: tuple[int, ...]
+    root: int
+    heading: bool
+
+
+def blocks(page: str) -> tuple[list[Block], set[int]]:
+    """Blocks in page order, and the elements named apart that hold an article or main element all the same."""
     out, parts = [], []  # parts: (text, linked)
-    stack: list[tuple[str, bool, int]] = []
-    bad, root, roots, linked, heading = False, 0, 0, False, False
+    stack: list[tuple[str, bool, tuple[int, ...], int]] = []
+    bad, named, root, roots, linked, heading = False, (), 0, 0, False, False
+    names, wrappers = 0, set()
 
     def close() -> None:
         nonlocal parts
@@ -74,17 +110,27 @@ def blocks(page: str) -> list[tuple[str, float, bool, int, bool]]:
             text = " ".join("".join(x for x, _ in parts).split())
             if text:
                 size = sum(len(x) for x, _ in parts if not x.isspace()) or 1
-                out.append((text, sum(len(x) for x, y in parts if y) / size, bad, root, heading))
+                out.append(Block(text, sum(len(x) for x, y in parts if y) / size, bad, named, root, heading))
             parts = []
 
     def pop(k: int) -> None:
-        nonlocal bad, root
+        nonlocal bad, named, root
         close()
-        bad, root = stack[k][1:]
+        bad, named, root = stack[k][1:]
         del stack[k:]
 
+    def end(which: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in which:
+                pop(k)
+                return
+            if stack[k][0] in stop:
+                return
+
     def text(x: str) -> None:
         if x:
+            if stack and stack[-1][0] == "head" and not x.isspace():
+                pop(len(stack) - 1)
             parts.append((html.unescape(x) if "&" in x else x, linked))
 
     at, n = 0, len(page)
@@ -113,9 +159,11 @@ def blocks(page: str) -> list[tuple[str, float, bool, int, bool]]:
                 if stack[k][0] in ("article", "main", "body"):  # a stray end tag doesn't leave its article
                     break
             continue
+        if name not in HEAD:
+            end(("head",), ())
         if name in RAW:
-            end = RAW_END[name].search(page, at)
-            at = end.end() if end else n
+            stop = RAW_END[name].search(page, at)
+            at = stop.end() if stop else n
             continue
         if name == "br":
             parts.append((" ", False))
@@ -123,8 +171,14 @@ def blocks(page: str) -> list[tuple[str, float, bool, int, bool]]:
             linked = True
         if name in BLOCK:
             close()
-            if stack and stack[-1][0] == "p" or name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                pop(len(stack) - 1)
+            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, whatever inline elements are open in it
+                if stack[k][0] == "p":
+                    pop(k)
+                    break
+                if stack[k][0] in BLOCK:
+                    break
+            if name in ENDS:
+                end(*ENDS[name])
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
             if name in ("article", "main", "p") or heading:
                 linked = False
@@ -132,38 +186,58 @@ def blocks(page: str) -> list[tuple[str, float, bool, int, bool]]:
             continue
         if name in VOID:
             continue
-        set_apart = apart(name, m["rest"], root > 0)
-        if name in BLOCK or set_apart:
-            if set_apart:
+        surely, by_name = apart(name, m["rest"], root > 0)
+        if name in BLOCK or surely or by_name:
+            if surely or by_name:
                 close()
-            stack.append((name, bad, root))
-            bad = bad or set_apart
-            if name in ("article", "main") and not bad and not root:
-                roots += 1
-                root = roots
+            stack.append((name, bad, named, root))
+            bad = bad or surely
+            if by_name:
+                names += 1
+                named = (*named, names)
+            if name in ("article", "main") and not bad and not by_name:
+                wrappers.update(named)
+                if not root:
+                    roots += 1
+                    root = roots
     close()
-    return out
+    return out, wrappers
 
 
 def main_text(page: str | None) -> str:
     """Text of the blocks that two passes call good, in page order, joined by one space.
 
-    Pass 1 decides a block by where it stands, its share of linked characters, its length and its share of stop words
-    (letters only count, so marks around words don't matter). Pass 2 gives undecided blocks, short ones mostly, the
-    label of the nearest decided block, before or after; at equal distance good wins. Within an article or main
-    element only its own blocks count, and with none decided the element itself speaks for them. If an article has
-    good blocks, those outside it are not its text.
+    Pass 1 decides a block by its share of linked characters, its length and its share of stop words (letters only
+    count, so marks around words don't matter), and by the elements it stands in; a page that holds hardly any stop
+    words is in another language, where length speaks for a block alone. What the names of an element say is evidence
+    only: it does not count for one that holds an article or main element, nor for one that holds the page's only
+    long prose together with a heading. Pass 2 gives undecided blocks, short ones mostly, the label of the nearest decided
+    block, before or after; at equal distance good wins. Within an article or main element only its own blocks count,
+    and with none decided the element itself speaks for them. If an article has good blocks, those outside it are not
+    its text.
     """
-    found = blocks(page) if page else []
+    found, wrappers = blocks(page) if page else ([], set())
+    words = [LETTERS.findall(b.text.lower()) for b in found]
+    stops = [sum(w in STOP_WORDS for w in x) for x in words]
+    known = sum(stops) >= KNOWN * sum(map(len, words))
+
+    def prose(k: int) -> bool:
+        b = found[k]
+        return len(b.text) >= LONG and not b.heading and b.linked <= LINKED and (not known or stops[k] >= STOP_HIGH * len(words[k]))
+
+    if any(b.named for b in found):
+        long_ = [k for k, b in enumerate(found) if not b.bad and prose(k)]
+        for x in {x for b in found for x in b.named} - wrappers:
+            if long_ and all(x in found[k].named for k in long_) and any(b.heading and x in b.named for b in found):
+                wrappers.add(x)
+    away = [b.bad or any(x not in wrappers for x in b.named) for b in found]
     label: list[bool | None] = []
-    for text, linked, bad, root, heading in found:
-        words = LETTERS.findall(text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if bad or linked > (LINKED_ROOT if root else LINKED):
+    for k, b in enumerate(found):
+        if away[k] or b.linked > (LINKED_ROOT if b.root else LINKED):
             label.append(False)
-        elif len(text) >= LONG and stop >= STOP_HIGH and not heading:
+        elif prose(k):
             label.append(True)
-        elif len(text) >= 3 * LONG and stop < STOP_LOW and not root:
+        elif known and len(b.text) >= 3 * LONG and stops[k] < STOP_LOW * len(words[k]) and not b.root:
             label.append(False)
         else:
             label.append(None)
@@ -172,15 +246,12 @@ def main_text(page: str | None) -> str:
     for k, own in enumerate(label):
         if own is not None:
             continue
-        root = found[k][3]
-        near = [d for d in _around(decided, k, lambda d: not root or found[d][3] == root and not found[d][2])]
-        if not near:
-            final[k] = True
-        else:
-            gap = min(abs(d - k) for d in near)
-            final[k] = any(label[d] for d in near if abs(d - k) == gap) or bool(root and any(label[d] for d in near))
-    inside = any(good and b[3] for good, b in zip(final, found))
-    return " ".join(b[0] for good, b in zip(final, found) if good and (b[3] or not inside))
+        root = found[k].root
+        near = _around(decided, k, lambda d: not root or found[d].root == root and not away[d])
+        gap = min((abs(d - k) for d in near), default=0)
+        final[k] = not near or any(label[d] for d in near if abs(d - k) == gap)
+    inside = any(good and b.root for good, b in zip(final, found))
+    return " ".join(b.text for good, b in zip(final, found) if good and (b.root or not inside))
 
 
 def _around(decided: list[int], k: int, fits) -> list[int]:

@@ -131,6 +131,17 @@ def test_cosine_links_equal_brute_force(spark):
     assert all(got[i].kept == (want[i] == i) for i in got) and E.cosine_links(df.limit(0)).count() == 0
 
 
+def test_cosine_links_of_one_hot_label(spark):
+    rng = np.random.default_rng(13)
+    x = np.repeat(rng.normal(size=(50, 6)), 8, axis=0) + rng.normal(size=(400, 6)) * 0.08
+    df = spark.createDataFrame([(i, [float(v) for v in row], 7, 0) for i, row in enumerate(x)] + [(None, [1.0] * 6, 7, 0)], "vec_id long, embedding array<double>, label int, key int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & ~np.eye(400, dtype=bool)
+    got = {r.vec_id: r for r in E.cosine_links(df, tile=16).collect()}
+    want = groups(400, [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if b < a])
+    assert near.sum() > 1000 and [got[i].n_links for i in range(400)] == near.sum(1).tolist() and [got[i].component_id for i in range(400)] == want and None in got
+
+
 def test_urls_by_both_paths(spark):
     rng = random.Random(4)
     rules = [(h, p, rng.choice(["allow", "block"])) for h in ("com", "a.com", "b.a.com", "org") for p in ("/", "/en/", "/en/x/", "")] + [(None, "/", "block")]
@@ -180,6 +191,35 @@ def test_html():
     assert H.main_text("<a" * 20000) is not None
 
 
+PROSE = "The cat and the dog were in the house for all of the time that they had, and it was good for them."
+OTHER = "Kissa ja koira olivat talossa koko sen ajan, jonka heilla oli, eika kukaan tiennyt mita tapahtuisi seuraavaksi, kun aurinko laski metsan taakse ja ilta pimeni hiljalleen. " * 2
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<html><head><title>t</title><body><h1>T</h1><p>{PROSE}", f"T {PROSE}"),  # no end of the head
+    (f"<head><title>t</title>bare {PROSE}", f"bare {PROSE}"),
+    (f"<body><div class='content no-sidebar'><p>{PROSE}</div><div class='sidebar'><p>{PROSE} aside</div>", PROSE),
+    (f"<body class=sidebar><div id='page' class='with-social'><p>{PROSE}</div><div class=social>Share</div>", PROSE),
+    (f"<body><div class='sidebar layout'><main><p>{PROSE}</main></div>", PROSE),
+    (f"<body><div id=c><h1>Otsikko</h1><p>{OTHER}<p>{OTHER}</div><nav>x</nav>", f"Otsikko {OTHER}{OTHER}".strip()),  # none of the listed languages
+    (f'<body><article><img alt="{"x > y " * 4000}"><p>{PROSE}</article>', PROSE),  # a very long attribute
+    (f"<body><ul><li class=ad><p>Buy<li><p>{PROSE}</ul>", PROSE),  # end tags left out
+    (f"<body><article><p>{PROSE}<p>{PROSE}<p>Near it.<p>Between.<div class=x><a href=1>{PROSE}</a></div></article>", f"{PROSE} {PROSE} Near it."),  # the nearest decides
+])
+def test_html_pages(page, want):
+    assert H.main_text(page) == want
+
+
+def test_extract(spark):
+    page = f"<body><article><p>{PROSE}</article>"
+    long_ = "<body><article>" + f"<p>{PROSE}" * 3000 + "</article>"
+    rows = [(1, "u", page), (1, "u", page), (None, None, page), (2, "u", None), (3, "u", ""), (4, "u", long_)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("other")).withColumn("n_chars", F.lit(0))
+    got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in H.extract(d).collect()), key=str)
+    assert got == sorted([(i or 0, t, len(t)) for i, t in ((1, PROSE), (1, PROSE), (None, PROSE), (2, ""), (3, ""), (4, " ".join([PROSE] * 3000)))], key=str)
+    assert H.extract(d.limit(0)).count() == 0
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     d = spark.createDataFrame([(i, " ".join(["w"] * rng.randrange(30)), ["a", "b", None, "d"][i % 4]) for i in range(200)] + [(3, None, "a"), (3, None, "a"), (None, "x y", "b")], "doc_id long, text string, source string")
