@@ -21,7 +21,7 @@ RUN_WINDOW = 20
 SLACK = 21
 #: A seed that a sample of one document in SAMPLE holds HOT times or more is dealt to SALTS tasks; at most MOST_HOT of them.
 SAMPLE, HOT, SALTS, MOST_HOT = 64, 16, 64, 20_000
-#: Rows of one hash that a task holds to find the first of them; those of a larger group find it by a join.
+#: Rows of one hash that a task holds to find the first of them.
 MOST_HELD = 200_000
 #: Words that a task makes seeds of in one go; a longer text is alone.
 AT_ONCE = 200_000
@@ -267,7 +267,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A passage has LEAST_WORDS words or more of which LEAST_IDENTITY or more equal those of a document with a smaller
     id, in order; ends are exclusive, words are as in ``common.WORD`` with A-Z lowered. Each seed is joined to its first
     occurrence (smallest id) only, so a passage in m documents gives m-1 candidates and copies are never paired with
-    each other. So is each run of seeds in LEAST_WORDS words, hence a passage whose pieces occur singly in earlier
+    each other. Very frequent seeds are dealt to SALTS classes of ids; they are joined to the first of their class, and
+    those firsts to the first of all. So is each run of seeds in LEAST_WORDS words, hence a passage whose pieces occur singly in earlier
     documents meets the first document that holds LEAST_WORDS words of it in a row; of fuzzy copies that share no such
     stretch, pieces that all go to other documents can still be missed. Rows with a null id or fewer words have none; rows that repeat an id are one document; other columns
     are not read. The first document of a passage is not reported.
@@ -296,59 +297,51 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if held:
             yield made()
 
-    names = ["doc", "anchor", "pos", "apos", "h", "on"]
-
-    def links(doc, at, anchor, to, h) -> pd.DataFrame:
-        """Rows of ``names``; of a run its first and its last seed, ``on`` words later."""
-        span, pos, apos = at & 63, at >> 6, to >> 6
-        run = span > 0
-        pairs = ((doc, doc[run]), (anchor, anchor[run]), (pos, (pos + span)[run]), (apos, (apos + span)[run]), (h, h[run]), (0 * span, span[run]))
-        return pd.DataFrame(dict(zip(names, map(np.concatenate, pairs))))
+    names = ["doc", "anchor", "pos", "apos", "h"]
+
+    def resolve(m: np.ndarray, part: bool = False) -> pd.DataFrame:
+        """Links of the rows (h, doc, at, often) of whole groups to the first of their group, as rows of ``names``.
+
+        The first rows of groups of frequent hashes, or of a ``part`` of a group, come with ``h`` and their ``at`` as well.
+        """
+        new = np.append(True, m[1:, 0] != m[:-1, 0])[: len(m)]
+        group = np.cumsum(new) - 1
+        shared = (np.bincount(group, minlength=1)[group] > 1) | (m[:, 3] != 0) | part if len(m) else np.empty(0, bool)
+        m, group = m[shared], group[shared]
+        order = np.lexsort((m[:, 2], m[:, 1], group))
+        m, group = m[order], group[order]
+        first = np.nonzero(np.append(True, group[1:] != group[:-1])[: len(group)])[0]
+        to = m[np.repeat(first, np.diff(np.append(first, len(group))))] if len(group) else m
+        head = m[first][(m[first, 3] != 0) | part]
+        k = m[:, 1] != to[:, 1]
+        m, to = m[k], to[k]
+        span, pos, apos = m[:, 2] & 63, m[:, 2] >> 6, to[:, 2] >> 6
+        run = span > 0  # a run gives its first and its last seed
+        none, h = 0 * head[:, 0], np.where(head[:, 3] != 0, head[:, 3], head[:, 0])
+        parts = ((m[:, 1], m[run, 1], head[:, 1]), (to[:, 1], to[run, 1], none), (pos, (pos + span)[run], head[:, 2]), (apos, (apos + span)[run], none), (0 * pos, 0 * pos[run], h))
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, parts))))
+
+    most = MOST_HELD
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Links of all rows of an ``h`` to its first one. Rows of frequent hashes, or of one with more than MOST_HELD rows,
-        go on with ``h`` and without a partner, which the smallest of all of them is."""
-
-        def resolve(m: np.ndarray) -> pd.DataFrame:
-            """Whole groups: rows (h, doc, at, often)."""
-            often = m[:, 3] != 0
-            open_, m = m[often], m[~often]
-            new = np.append(True, m[1:, 0] != m[:-1, 0])[: len(m)]
-            group = np.cumsum(new) - 1
-            shared = np.bincount(group, minlength=1)[group] > 1 if len(m) else np.empty(0, bool)
-            m, group = m[shared], group[shared]
-            order = np.lexsort((m[:, 2], m[:, 1], group))
-            m, group = m[order], group[order]
-            first = np.nonzero(np.append(True, group[1:] != group[:-1])[: len(group)])[0]
-            to = np.repeat(first, np.diff(np.append(first, len(group)))) if len(group) else first
-            k = m[:, 1] != m[to, 1]
-            return pd.concat([links(m[k, 1], m[k, 2], m[to, 1][k], m[to, 2][k], 0 * m[k, 0]), lone(open_, open_[:, 3])])
-
-        def lone(m: np.ndarray, h: np.ndarray) -> pd.DataFrame:
-            return links(m[:, 1], m[:, 2], 0 * h, 0 * h, h)
-
-        held, large = np.empty((0, 4), np.int64), None
+        """Links to the first row of each ``h``; a group of more than MOST_HELD rows is resolved in parts of that size."""
+        held, parted = np.empty((0, 4), np.int64), False
         for pdf in batches:
-            rows = np.stack([pdf[c].to_numpy(np.int64) for c in ("h", "doc", "at", "often")], 1)
-            if not len(rows):
+            held = np.concatenate([held, np.stack([pdf[c].to_numpy(np.int64) for c in ("h", "doc", "at", "often")], 1)])
+            if not len(held):
                 continue
-            if large is not None:
-                n = int((rows[:, 0] == large).sum())  # they come first
-                yield lone(rows[:n], np.where(rows[:n, 3] != 0, rows[:n, 3], rows[:n, 0]))
-                rows = rows[n:]
-                if not len(rows):
-                    continue
-                large = None
-            held = np.concatenate([held, rows])
-            whole = len(held) - int((held[::-1, 0] == held[-1, 0]).argmin() if (held[:, 0] != held[-1, 0]).any() else len(held))
-            if whole:
-                yield resolve(held[:whole])
-                held = held[whole:]
-            if len(held) > MOST_HELD:
-                large = held[-1, 0]
-                yield lone(held, np.where(held[:, 3] != 0, held[:, 3], held[:, 0]))
-                held = held[:0]
-        yield resolve(held)
+            last = int(np.argmax(held[:, 0] == held[-1, 0]))  # where the last group begins: equal hashes come together
+            if last:
+                if parted:
+                    end = int(np.argmax(held[:, 0] != held[0, 0]))
+                    yield resolve(held[:end], True)
+                    held, last, parted = held[end:], last - end, False
+                yield resolve(held[:last])
+                held = held[last:]
+            if len(held) > most:
+                yield resolve(held, True)
+                held, parted = held[:0], True
+        yield resolve(held, parted)
 
     # seeds of one document only are the most by far: they are shuffled once, never staged
     typed = "h long, doc long, at long, often long"
@@ -357,13 +350,16 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["h"] for r in common), np.int64))
     found = rows.mapInPandas(lambda batches: find(batches, hot.value), typed)
     # one sort column of eight bytes: Spark sorts it by radix
-    met = found.repartition("h").sortWithinPartitions("h").mapInPandas(meet, "doc long, anchor long, pos long, apos long, h long, on long")
+    met = found.repartition("h").sortWithinPartitions("h").mapInPandas(meet, "doc long, anchor long, pos long, apos long, h long")
     met = stage(met, "links")
-    open_ = met.where("h <> 0")
-    heads = open_.where("on = 0").groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("head"))
-    found = met.where("h = 0").select("doc", "anchor", "pos", "apos")
-    late = open_.join(heads, "h").where("doc <> head.doc").select("doc", F.col("head.doc").alias("anchor"), "pos", (F.col("head.pos") + F.col("on")).alias("apos"))
-    found = found.union(late)
+    found = met.where("h = 0").drop("h")
+    # the firsts of a hash's salts or parts, few for any number of rows, link to the first of all
+    firsts = met.where("h <> 0").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("doc", "pos"))).alias("all"))
+    firsts = firsts.select(F.get("all", F.lit(0)).alias("to"), F.explode(F.slice("all", 2, 1 << 30)).alias("x")).where("x.doc <> to.doc")
+    at = lambda x, last: (F.shiftright(x, 6) + (F.col("x.pos").bitwiseAND(63) if last else 0)).alias("p" if x == "x.pos" else "q")
+    for last in (False, True):
+        some = firsts.where(F.col("x.pos").bitwiseAND(63) > 0) if last else firsts
+        found = found.union(some.select("x.doc", F.col("to.doc").alias("anchor"), at("x.pos", last), at("to.pos", last)))
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc", "anchor", "s", "e", "t", "u", "low", "high"]

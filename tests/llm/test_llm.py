@@ -267,7 +267,7 @@ def test_passages(spark):
     got = {r.doc_id: r for r in B.passages(d).collect()}
     assert set(got) == {2, 4} and (got[2].start_word, got[2].end_word) == (7, 88) and (got[2].first_start, got[2].first_end) == (100, 180) and got[4].identity == 1.0
     left = {r.doc_id: r for r in B.cut_passages(d).collect()}
-    assert set(left) == {1, 2, 3, 5, 6, None} and len(left[2].text.split()) == 307 and left[2].n_chars == len(left[2].text)
+    assert set(left) == {1, 2, 3, 5, 6} and len(left[2].text.split()) == 307 and left[2].n_chars == len(left[2].text)
 
 
 def test_passage_of_pieces_in_earlier_documents(spark):
@@ -291,14 +291,18 @@ def test_fuzzy_passages(spark):
     assert {(r.doc_id, r.start_word, r.end_word, r.first_doc) for r in B.passages(docs(spark, rows)).collect()} == want
 
 
-def test_hot_seeds_keep_their_first_document(spark, monkeypatch):
+@pytest.mark.parametrize("hot, held", [(3, 200_000), (10**9, 10)])
+def test_hot_seeds_lose_no_copy(spark, monkeypatch, hot, held):
     monkeypatch.setattr(B, "SAMPLE", 1)
-    monkeypatch.setattr(B, "HOT", 3)
+    monkeypatch.setattr(B, "HOT", hot)
+    monkeypatch.setattr(B, "MOST_HELD", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7 if held == 10 else 10_000)
     rng = random.Random(32)
     p = words(rng, 60, 10**6)
     d = docs(spark, [(k, " ".join(words(rng, 30, 10**6) + p + words(rng, 30, 10**6))) for k in range(5, 100)])
-    got = {(r.doc_id, r.start_word, r.end_word, r.first_doc) for r in B.passages(d).collect()}
-    assert {(k, 30, 90, 5) for k in range(6, 100)} <= got and {x[0] for x in got} == set(range(6, 100))
+    got = B.passages(d).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert {r.doc_id for r in got if (r.start_word, r.end_word, r.first_start, r.first_end) == (30, 90, 30, 90)} == set(range(6, 100)) and all(r.first_doc < r.doc_id for r in got)
 
 
 def test_toxicity(spark):
