@@ -6,9 +6,9 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .text import punct_key
+from .text import normalize_text, punct_key
 
 
 def common_length(a: str, b: str) -> int:
@@ -38,6 +38,20 @@ def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def default_matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """As ``matcher_ratio``, but characters that make up more than one in a hundred of a ``b`` of 200 or more begin no match."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+
+
+def matches(a: str, b: str, least: float) -> bool:
+    """Matching blocks ratio of ``least`` or more; its upper bounds, by lengths and by counts of characters, come first."""
+    if not a or not b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+        return False
+    m = SequenceMatcher(None, a, b, autojunk=False)
+    return m.quick_ratio() >= least and m.ratio() >= least
+
+
 def contains(a: str, b: str, least: int = 4, share: float = 0.30) -> bool:
     small, large = sorted((a, b), key=len)
     return len(small) >= least and small in large and len(small) / len(large) >= share
@@ -48,14 +62,25 @@ def text_contains(a: Column, b: Column, least: int = 4, share: float = 0.30) ->
     return (small >= least) & (small >= large * share) & F.when(F.length(a) <= F.length(b), F.contains(b, a)).otherwise(F.contains(a, b))
 
 
-def overlap_join(a: Column, b: Column, least: int = 4, share: float = 0.30) -> Column:
-    """``a`` + rest of ``b`` at the longest suffix of one that begins the other; null if too short."""
-    x, y = F.translate(a, "\n", ""), F.translate(b, "\n", "")
-    most = F.least(F.length(x), F.length(y))
-    sizes = F.when(most >= least, F.sequence(most, F.lit(least), F.lit(-1)))
-    fits = F.filter(sizes, lambda n: (n >= most * share) & (F.substr(x, F.length(x) - n + 1, n) == F.substr(y, F.lit(1), n)))
-    n = F.get(fits, F.lit(0))
-    return F.when(n.isNotNull(), F.concat(x, F.substr(y, n + 1, F.length(y))))
+def joined(a: str, b: str, least: int = 4, share: float = 0.30) -> str | None:
+    """``a`` with the rest of ``b`` at their longest overlap, line ends left out; None if too short."""
+    x, y = a.replace("\n", ""), b.replace("\n", "")
+    for n in range(min(len(x), len(y)), least - 1, -1):
+        if n < share * min(len(x), len(y)):
+            return None
+        if x.endswith(y[:n]):
+            return x + y[n:]
+    return None
+
+
+@F.pandas_udf(StringType())
+def _joined(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([joined(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="object")
+
+
+def overlap_join(a: Column, b: Column) -> Column:
+    """``a`` + rest of ``b``, both normalised, at the longest suffix of one that begins the other; null if too short."""
+    return _joined(normalize_text(a), normalize_text(b))
 
 
 def safe_correction(old: Column, new: Column) -> Column:

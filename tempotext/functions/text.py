@@ -10,7 +10,6 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 # Marks that a punctuation-free comparison leaves out.
-PUNCTUATION = r"[\s。．.、,，!！?？・「」『』（）()…]"
 COMPARED = r"""[\s、。，．,.!?！？:：;；'"“”‘’]"""
 
 
@@ -59,7 +58,7 @@ def coverage_key(c: Column) -> Column:
 
 
 def punct_key(c: Column) -> Column:
-    return F.regexp_replace(c, "(?U)" + PUNCTUATION, "")
+    return F.regexp_replace(c, "(?U)" + COMPARED, "")
 
 
 def content_key(c: Column) -> Column:
@@ -129,9 +128,14 @@ def has_kanji(c: Column) -> Column:
 
 
 def split_terminal_units(c: Column) -> Column:
-    """Trimmed stretches that end in a run of sentence marks, or in a full stop before white space or the end."""
-    cut = F.regexp_extract_all(c, F.lit(r"(?s)(?:[^。！？!?.]|\.(?!\s|\z))+(?:[。！？!?]+|\.(?=\s|\z)|\z)|[。！？!?.]+"), F.lit(0))
-    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
+    """Trimmed stretches of one character or more that end in a run of sentence marks, or in a full stop before white space or the end.
+
+    One with kana or kanji on both sides of white space is cut at all white space. Loops are possessive: lines have any length.
+    """
+    cut = F.regexp_extract_all(c, F.lit(r"(?s).(?:[^。！？!?.]++|\.(?!\s|\z))*+(?:[。！？!?]++|\.(?=\s|\z)|\z)"), F.lit(0))
+    units = F.filter(F.transform(cut, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    spaced = lambda x: x.rlike(r"(?U)[\x{3040}-\x{9fff}]\s+[\x{3040}-\x{9fff}]")
+    return F.flatten(F.transform(units, lambda x: F.when(spaced(x), F.split(x, r"(?U)\s+")).otherwise(F.array(x))))
 
 
 def split_reference_sentences(c: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.similarity import text_contains
+from ..functions.similarity import matches, text_contains
 from ..functions.text import coverage_key
+from .times import overlapping, running_max
 
 PAD, COVER, GAP, MERGE, SPAN, CONTEXT = 650, 700, 500, 250, 20_000, 3_000
+SUPPORT = 0.46
 
 
 def merge_cues(cues: DataFrame, gap_ms: int = MERGE) -> DataFrame:
@@ -37,18 +40,31 @@ def merge_intervals(spans: DataFrame, gap_ms: int = GAP) -> DataFrame:
 def align_references(segments: DataFrame, cues: DataFrame, pad_ms: int = PAD) -> DataFrame:
     """Each segment with the distinct texts of the cues that overlap it, padded, in cue order; none: an empty list."""
     c = cues.select("video_id", F.col("n").alias("cn"), F.col("start_ms").alias("cs"), F.col("end_ms").alias("ce"), F.col("text").alias("ct"))
-    near = (F.col("video_id") == F.col("cv")) & (F.col("ce") >= F.greatest(F.lit(0), F.col("start_ms") - pad_ms)) & (F.col("cs") <= F.col("end_ms") + pad_ms)
-    both = segments.join(c.withColumnRenamed("video_id", "cv"), near, "left")
-    texts = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("cn").isNotNull(), F.struct("cn", "ct")))), lambda x: x["ct"]))
-    return both.groupBy("video_id", "n").agg(texts.alias("reference"))
+    both = overlapping(segments.select("video_id", "n", "start_ms", "end_ms"), c, ("start_ms", "end_ms"), ("cs", "ce"), pad_ms).where("ce >= 0")
+    texts = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("cn", "ct"))), lambda x: x["ct"]))
+    found = both.groupBy("video_id", "n").agg(texts.alias("reference"))
+    return segments.select("video_id", "n").join(found, ["video_id", "n"], "left").withColumn("reference", F.coalesce("reference", F.array().cast("array<string>")))
 
 
-def uncovered_cues(cues: DataFrame, segments: DataFrame, pad_ms: int = COVER) -> DataFrame:
-    """Cues without a segment near them in time that contains, or is contained in, their text (keys of letters and digits)."""
-    s = segments.select(F.col("video_id").alias("sv"), F.col("start_ms").alias("ss"), F.col("end_ms").alias("se"), coverage_key(F.col("text")).alias("sk"))
+def uncovered_cues(cues: DataFrame, segments: DataFrame, pad_ms: int = COVER, least: float = SUPPORT) -> DataFrame:
+    """Cues without a segment near them in time that supports their text.
+
+    Texts are compared by keys of their letters and digits, and an empty one supports nothing. A segment supports a cue if
+    one key contains the other, or by a matching blocks ratio of ``least``; that one is asked only for cues that no
+    segment supports by the first test.
+    """
+    s = segments.select("video_id", F.col("start_ms").alias("ss"), F.col("end_ms").alias("se"), coverage_key(F.col("text")).alias("sk")).where("sk <> ''")
     c = cues.withColumn("k", coverage_key(F.col("text")))
-    near = (F.col("video_id") == F.col("sv")) & (F.col("se") >= F.col("start_ms") - pad_ms) & (F.col("ss") <= F.col("end_ms") + pad_ms)
-    return c.join(s, near & ((F.col("k") == F.col("sk")) | text_contains(F.col("k"), F.col("sk"))), "left_anti").drop("k")
+    near = overlapping(c.where("k <> ''").select("video_id", "n", "start_ms", "end_ms", "k"), s, ("start_ms", "end_ms"), ("ss", "se"), pad_ms)
+    near = near.withColumn("held", (F.col("k") == F.col("sk")) | text_contains(F.col("k"), F.col("sk")))
+    held = near.where("held").select("video_id", "n").distinct()
+
+    @F.pandas_udf("boolean")
+    def supported(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([matches(x, y, least) for x, y in zip(a, b)], dtype=bool)
+
+    like = near.where("not held").join(held, ["video_id", "n"], "left_anti").where(supported("k", "sk")).select("video_id", "n").distinct()
+    return c.join(held.unionByName(like), ["video_id", "n"], "left_anti").drop("k")
 
 
 def tumbling_windows(rows: DataFrame, span_ms: int = SPAN) -> DataFrame:
@@ -75,14 +91,14 @@ def chunk_with_context(rows: DataFrame, size: int = 100, context: int = 10) -> D
 
 
 def nearest_frame(points: DataFrame, frames: DataFrame) -> DataFrame:
-    """(video_id, t, frame_index): the frame closest to max(0, t), the earlier of two; by one pass over both in time order."""
+    """(video_id, t, frame_index): the frame closest to max(0, t), the earlier of two; null without frames. Two running maxima."""
     p = points.select("video_id", "t", F.greatest(F.lit(0), F.col("t")).alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("i")).distinct()
     f = frames.select("video_id", F.lit(None).cast("long").alias("t"), F.col("ts_ms").alias("ts"), F.lit(0).alias("kind"), F.col("frame_index").alias("i"))
-    w = W.partitionBy("video_id").orderBy("ts", "kind", "i")
-    s = F.when(F.col("kind") == 0, F.struct("ts", "i"))
-    both = p.unionByName(f).withColumn("b", F.last(s, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("a", F.first(s, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
-    pick = F.when(F.col("b").isNull(), F.col("a.i")).when(F.col("a").isNull() | (F.col("ts") - F.col("b.ts") <= F.col("a.ts") - F.col("ts")), F.col("b.i")).otherwise(F.col("a.i"))
-    return both.where("kind = 1").select("video_id", "t", pick.alias("frame_index"))
+    frame = lambda sign: F.when(F.col("kind") == 0, F.struct((sign * F.col("ts")).alias("ts"), (sign * F.col("i")).alias("i")))
+    both = running_max(p.unionByName(f), frame(1), F.col("ts"), F.col("kind"), "b")
+    both = running_max(both, frame(-1), -F.col("ts"), F.col("kind"), "a").where("kind = 1")
+    before, after = F.col("ts") - F.col("b.ts"), -F.col("a.ts") - F.col("ts")
+    return both.select("video_id", "t", F.when(F.col("a").isNull() | (before <= after), F.col("b.i")).otherwise(-F.col("a.i")).alias("frame_index"))
 
 
 def effective_duration(cues: DataFrame, segments: DataFrame) -> DataFrame:
@@ -108,7 +124,9 @@ def interpolate_unit_times(units: DataFrame) -> DataFrame:
 
 def sentence_at_time(points: DataFrame, sentences: DataFrame) -> DataFrame:
     """(video_id, t, n): the first sentence that holds t, else the last that began by then; null if none."""
-    s = sentences.select(F.col("video_id").alias("sv"), "n", "start_ms", "end_ms")
-    both = points.join(s, (F.col("video_id") == F.col("sv")) & (F.col("start_ms") <= F.col("t")), "left")
-    holds = F.min(F.when(F.col("t") < F.col("end_ms"), F.col("n")))
-    return both.groupBy("video_id", "t").agg(F.coalesce(holds, F.max("n")).alias("n"))
+    p = points.select("video_id", "t").distinct()
+    s = sentences.select("video_id", "n", "start_ms", (F.col("end_ms") - 1).alias("last_ms"))
+    holds = overlapping(s, p, ("start_ms", "last_ms"), ("t", "t")).groupBy("video_id", "t").agg(F.min("n").alias("held"))
+    rows = p.select("video_id", "t", F.lit(None).cast("long").alias("n"), F.lit(1).alias("kind")).unionByName(s.select("video_id", F.col("start_ms").alias("t"), "n", F.lit(0).alias("kind")))
+    begun = running_max(rows, F.col("n"), F.col("t"), F.col("kind"), "begun").where("kind = 1")
+    return begun.join(holds, ["video_id", "t"], "left").select("video_id", "t", F.coalesce("held", "begun").alias("n"))

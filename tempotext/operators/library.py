@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import fenced_json, has_kanji, meaning_key, source_key, term_key
+from ..functions.text import fenced_json, has_kanji, headword, meaning_key, source_key, term_key
 
 
 def keyed(saves: DataFrame) -> DataFrame:
@@ -20,12 +20,18 @@ def upsert_library(saves: DataFrame) -> DataFrame:
 
 
 def library_entries(saves: DataFrame) -> DataFrame:
-    """Entries with distinct encounters, forms and the meanings in the order of their first save."""
+    """Entries with distinct encounters, forms, the meanings in the order of their first save, display and reading.
+
+    The display is the first save's lemma; if that has no kanji, the first form with some, whichever save brought it.
+    """
     k = keyed(saves)
+    written = has_kanji(F.col("surface"))
     meanings = k.groupBy("entry_key", "meaning_key").agg(F.min("save_id").alias("first"), F.min_by("meaning", "save_id").alias("meaning"))
     meanings = meanings.groupBy("entry_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "meaning"))), lambda x: x["meaning"]).alias("meanings"))
     main = k.groupBy("entry_key").agg(F.countDistinct("context_key").alias("encounters"), F.countDistinct("form_key").alias("forms"), F.max("save_id").alias("updated"))
-    return main.join(meanings, "entry_key")
+    lemma, form = F.min_by("lemma", "save_id"), F.min_by(F.when(written, F.col("surface")), F.when(written, F.col("save_id")))
+    shown = k.groupBy("entry_key").agg(F.when(has_kanji(lemma), lemma).otherwise(F.coalesce(form, lemma)).alias("display"), F.min_by("reading", "save_id").alias("reading"))
+    return main.join(meanings, "entry_key").join(shown, "entry_key")
 
 
 def library_totals(saves: DataFrame) -> DataFrame:
@@ -44,8 +50,9 @@ def entry_encounters(saves: DataFrame) -> DataFrame:
 
 
 def export_glossary(saves: DataFrame) -> DataFrame:
-    """A line for each entry: key, then meanings in order."""
-    return library_entries(saves).select("entry_key", F.concat("entry_key", F.lit("："), F.array_join("meanings", "；")).alias("line"))
+    """(entry_key, updated, line): a line for each entry, its head word and meanings in order; last saved entries come first."""
+    line = F.concat(headword(F.col("display"), F.col("reading")), F.lit("："), F.array_join("meanings", "；"))
+    return library_entries(saves).select("entry_key", "updated", line.alias("line")).orderBy(F.desc("updated"), "entry_key")
 
 
 def delete_entry_cascade(saves: DataFrame, entries: DataFrame) -> DataFrame:

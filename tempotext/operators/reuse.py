@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.similarity import indel_ratio, matcher_ratio, text_contains
+from ..functions.similarity import default_matcher_ratio, indel_ratio, text_contains
 from ..functions.text import compact_key, fingerprint, normalize_text, source_key
 from .cues import chunk_with_context
 from .segments import ALTERNATIVES, Votes
@@ -129,8 +129,8 @@ def _ranked(texts: pd.Series) -> pd.DataFrame:
 
 
 def representative_text(obs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, text, alternatives, confidence): the text most observations are like. Rows of a text are counted before Python sees it."""
-    texts = obs.where(F.trim("text") != "").groupBy(*keys, "text").agg(F.min(F.struct("ts_ms", "frame_index")).alias("first"), F.count("*").alias("n"), F.sum(F.greatest("confidence", F.lit(0.01))).alias("score"), F.sum("confidence").alias("total"))
+    """(keys, text, alternatives, confidence): the normalised text most observations are like. Rows of a text are counted before Python sees it."""
+    texts = obs.withColumn("text", normalize_text(F.col("text"))).where("text <> ''").groupBy(*keys, "text").agg(F.min(F.struct("ts_ms", "frame_index")).alias("first"), F.count("*").alias("n"), F.sum(F.greatest("confidence", F.lit(0.01))).alias("score"), F.sum("confidence").alias("total"))
     g = texts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "text", "n", "score"))).alias("texts"), (F.sum("total") / F.sum("n")).alias("confidence"))
     return g.withColumn("r", _ranked("texts")).select(*keys, "r.text", "r.alternatives", "confidence")
 
@@ -169,7 +169,7 @@ def reference_conflict(pairs: DataFrame, *keys: str, least: int = 6, share: floa
     near = (F.length("a") >= least) & (F.col("b") != "") & ~F.contains("a", "b") & ~F.contains("b", "a")
     # The ratio is twice the matches over both lengths: lengths too far apart cannot reach it.
     near = near & (2 * F.least(F.length("a"), F.length("b")) >= share * (F.length("a") + F.length("b")))
-    hit = k.where(near).where(matcher_ratio("a", "b") >= share).select(*keys).distinct().withColumn("conflict", F.lit(True))
+    hit = k.where(near).where(default_matcher_ratio("a", "b") >= share).select(*keys).distinct().withColumn("conflict", F.lit(True))
     return pairs.select(*keys).distinct().join(hit, list(keys), "left").select(*keys, F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 

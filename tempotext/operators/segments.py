@@ -5,7 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.similarity import contains, ratio
+from ..functions.similarity import contains, joined, ratio
+from ..functions.text import normalize_text
+from .times import overlapping
 
 SIMILAR, CLUSTER, REVIEW, ALTERNATIVES = 82.0, 72.0, 0.55, 3
 #: Islands that one Python call folds, one after the other: calls are dear, islands are small.
@@ -53,11 +55,12 @@ def segment_observations(obs: DataFrame, duration_ms: int, interval_ms: int, thr
 
     Observations in time order: a blank text ends the open segment; another joins it if it is like the current
     representative, else ends it at its own time and opens the next. The end of data ends it at ``duration_ms``.
-    Blanks cut a video natively into islands; one Python call folds the rows of a bounded number of them.
+    Texts are normalised first; null ones are blank. Blanks cut a video natively into islands; one Python call folds the
+    rows of a bounded number of them.
     """
     order = W.partitionBy("video_id").orderBy("ts_ms", "frame_index")
-    rows = obs.withColumn("next_ms", F.coalesce(F.lead("ts_ms").over(order), F.lit(duration_ms).cast("long")))
-    rows = rows.withColumn("island", F.sum((F.trim("text") == "").cast("long")).over(order)).where(F.trim("text") != "")
+    rows = obs.withColumn("text", F.coalesce(normalize_text(F.col("text")), F.lit(""))).withColumn("next_ms", F.coalesce(F.lead("ts_ms").over(order), F.lit(duration_ms).cast("long")))
+    rows = rows.withColumn("island", F.sum((F.col("text") == "").cast("long")).over(order)).where("text <> ''")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts_ms", "frame_index"], kind="stable")
@@ -88,20 +91,12 @@ def segment_observations(obs: DataFrame, duration_ms: int, interval_ms: int, thr
     return rows.select("video_id", "island", "ts_ms", "frame_index", "text", "confidence", "next_ms").groupBy("video_id", F.floor(F.col("island") / ISLANDS)).applyInPandas(fold, schema)
 
 
-def joined(a: str, b: str, least: int = 4, share: float = 0.30) -> str | None:
-    """``a`` with the rest of ``b`` at their longest overlap."""
-    x, y = a.replace("\n", ""), b.replace("\n", "")
-    for n in range(min(len(x), len(y)), least - 1, -1):
-        if n >= share * min(len(x), len(y)) and x.endswith(y[:n]):
-            return x + y[n:]
-    return None
-
-
 def merge_adjacent_segments(segments: DataFrame, interval_ms: int, threshold: float = SIMILAR) -> DataFrame:
     """Neighbours within ``interval_ms`` become one if alike (weighted confidence, longer text) or if one's end begins the next.
 
-    Gaps above the interval cut a video natively; the fold runs within what is left.
+    Texts are normalised first. Gaps above the interval cut a video natively; the fold runs within what is left.
     """
+    segments = segments.withColumn("text", normalize_text(F.col("text")))
     order = W.partitionBy("video_id").orderBy("start_ms")
     cut = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(order) > interval_ms, F.lit(True))
     rows = segments.withColumn("cut", cut.cast("long")).withColumn("island", F.sum("cut").over(order))
@@ -147,7 +142,8 @@ def dedupe_observations(obs: DataFrame, selected: DataFrame) -> DataFrame:
 
 def segment_evidence(segments: DataFrame, obs: DataFrame) -> DataFrame:
     """First, middle and last non-blank observation within each segment, both ends included."""
-    hits = segments.join(obs.where(F.trim("text") != "").select("video_id", "frame_index", "ts_ms"), "video_id").where("ts_ms between start_ms and end_ms")
+    points = obs.where(normalize_text(F.col("text")) != "").select("video_id", "frame_index", "ts_ms")
+    hits = overlapping(segments, points, ("start_ms", "end_ms"), ("ts_ms", "ts_ms"))
     w = W.partitionBy("video_id", "start_ms")
     hits = hits.withColumns({"rn": F.row_number().over(w.orderBy("ts_ms", "frame_index")), "c": F.count("*").over(w)})
     return hits.where("rn = 1 or rn = c div 2 + 1 or rn = c").select("video_id", "start_ms", "frame_index", "ts_ms")

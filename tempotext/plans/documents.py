@@ -24,16 +24,16 @@ def write_transcript(s, d):
 
 
 @query(f"""select video_id, printf('seg%06d', row_number() over (partition by video_id order by start_ms, n)) id, case when n % 11 = 0 then '【画面补充】' else '' end || {_SQUEEZED} as text, start_ms, end_ms
-from segs where not regexp_matches(text, '[<>&]')""", "cues", "segs")
+from segs""", "cues", "segs")
 def read_timed_transcript(s, d):
-    return D.read_timed_transcript(_bodies(X.ocr_segments(s, d).where(~F.col("text").rlike("[<>&]"))))
+    return D.read_timed_transcript(_bodies(X.ocr_segments(s, d).withColumn("text", X.escaped(F.col("text")))))
 
 
 def _plain(s, d) -> DataFrame:
-    return X.cues(s, d).where(~F.col("text").rlike("[<>&]"))
+    return X.cues(s, d).withColumn("text", X.escaped(F.col("text")))
 
 
-_MERGED = SQL["merge_cues"].replace("from cues window", f"from (select video_id, n, {_SQUEEZED} as text, start_ms, end_ms from cues where not regexp_matches(text, '[<>&]')) window")
+_MERGED = SQL["merge_cues"].replace("from cues window", f"from (select video_id, n, {_SQUEEZED} as text, start_ms, end_ms from cues) window")
 
 
 @query(name="read_vtt_captions")

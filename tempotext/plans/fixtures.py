@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 DURATION, INTERVAL = 2_592_000, 2_000
 
@@ -25,11 +25,16 @@ def observations_of(events: DataFrame, *more: str) -> DataFrame:
 
 def cues(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "t")).where(F.trim("t") != "")
-    k = lines.select(F.col("doc_id").alias("video_id"), F.substring(F.trim("t"), 1, 80).alias("text"), F.row_number().over(W.partitionBy("doc_id").orderBy("p")).cast("long").alias("n"))
+    k = lines.select(F.col("doc_id").alias("video_id"), F.trim("t").alias("text"), F.row_number().over(W.partitionBy("doc_id").orderBy("p")).cast("long").alias("n"))
     end = F.sum(F.length("text")).over(W.partitionBy("video_id").orderBy("n"))
     return k.select("video_id", "n", "text", (60 * (end - F.length("text"))).alias("start_ms"), (60 * end + 500).alias("end_ms"))
 
 
+def escaped(c: Column) -> Column:
+    """Markup characters as references, as files with markup hold them."""
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def ocr_segments(spark: SparkSession, d: str) -> DataFrame:
     c = cues(spark, d).where((F.col("video_id") * 31 + F.col("n")) % 7 != 0)
     noisy = (F.col("video_id") + F.col("n")) % 5 == 0
@@ -82,7 +87,7 @@ def assets(spark: SparkSession, d: str) -> DataFrame:
 #: The same views in DuckDB SQL, for ``with`` clauses.
 SQL = {
     "observations": "select user_id % 16 video_id, event_id frame_index, epoch_us(ts)//1000000 - 1704067200 ts_ms, case event_type when 'error' then '' else event_type end text, least(value/500.0::double, 1.0::double) confidence, event_id//4 batch_index from events",
-    "cues": "select doc_id video_id, n, text, (60*(sum(length(text)) over (partition by doc_id order by n) - length(text)))::bigint start_ms, (60*(sum(length(text)) over (partition by doc_id order by n)) + 500)::bigint end_ms from (select doc_id, substring(trim(t),1,80) as text, row_number() over (partition by doc_id order by p) n from (select doc_id, unnest(string_split(text,chr(10))) t, generate_subscripts(string_split(text,chr(10)),1) p from documents) where trim(t) <> '')",
+    "cues": "select doc_id video_id, n, text, (60*(sum(length(text)) over (partition by doc_id order by n) - length(text)))::bigint start_ms, (60*(sum(length(text)) over (partition by doc_id order by n)) + 500)::bigint end_ms from (select doc_id, trim(t) as text, row_number() over (partition by doc_id order by p) n from (select doc_id, unnest(string_split(text,chr(10))) t, generate_subscripts(string_split(text,chr(10)),1) p from documents) where trim(t) <> '')",
     "segs": "select video_id, n, start_ms+40 start_ms, end_ms-40 end_ms, case when (video_id+n)%5=0 then replace(text,'e','c') else text end as text, ((video_id*7+n*13)%100)/100.0::double confidence, 1+n%4 observation_count from cues where (video_id*31+n)%7<>0",
     "corrections": "select s.video_id, s.n, case when (s.video_id+s.n)%13=0 then '' when (s.video_id+s.n)%11=0 then substring(c.text,1,(length(c.text)//3)::int) else c.text end corrected_text from segs s join cues c using (video_id,n) where (video_id+n)%5=0 or (video_id+n)%11=0 or (video_id+n)%13=0",
     "frames": "select vec_id%4 video_id, row_number() over (partition by vec_id%4 order by label, vec_id) frame_index, (row_number() over (partition by vec_id%4 order by label, vec_id)-1)*100 ts_ms, embedding signature, (row_number() over (partition by vec_id%4 order by label, vec_id))%3 visual_line_count, vec_id from embeddings",

@@ -108,22 +108,24 @@ def align_references(s, d):
 
 
 _KEY = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
-_UNCOVERED = f"""
-, k as (select *, {_KEY.format("text")} k from cues), sk as (select *, {_KEY.format("text")} k from segs),
-u as (select video_id, n, start_ms, end_ms from k where not exists (select 1 from sk where sk.video_id = k.video_id and sk.end_ms >= k.start_ms - 700 and sk.start_ms <= k.end_ms + 700
-  and (sk.k = k.k or (least(length(k.k), length(sk.k)) >= 4 and least(length(k.k), length(sk.k)) >= 0.30 * greatest(length(k.k), length(sk.k)) and (contains(k.k, sk.k) or contains(sk.k, k.k))))))"""
 
 
-@query(_UNCOVERED + "select * from u", "cues", "segs")
+@query()
 def uncovered_cues(s, d):
     return C.uncovered_cues(X.cues(s, d), X.ocr_segments(s, d)).select("video_id", "n", "start_ms", "end_ms")
 
 
-@query(_UNCOVERED + """
-, m as (select *, max(end_ms) over (partition by video_id order by start_ms, end_ms rows between unbounded preceding and 1 preceding) reach from u),
+@query("""
+, m as (select *, max(end_ms) over (partition by video_id order by start_ms, end_ms rows between unbounded preceding and 1 preceding) reach from segs),
 g as (select *, sum(case when reach is null or start_ms > reach + 500 then 1 else 0 end) over (partition by video_id order by start_ms, end_ms rows between unbounded preceding and current row) i from m)
 select video_id, min(start_ms) start_ms, max(end_ms) end_ms from g group by video_id, i""", "cues", "segs")
 def merge_intervals(s, d):
+    return C.merge_intervals(X.ocr_segments(s, d))
+
+
+@query()
+def coverage_windows(s, d):
+    """Spans of the cues without support, merged."""
     return C.merge_intervals(C.uncovered_cues(X.cues(s, d), X.ocr_segments(s, d)))
 
 
@@ -181,14 +183,17 @@ def assign_ids(s, d):
     return C.assign_ids(X.ocr_segments(s, d), "s", "start_ms").select("video_id", "id", "n")
 
 
+# Full stops inside a unit, those before no white space, become chr(1), twice as one may follow another; then units, cut at
+# white space where kana or kanji are on both sides of some.
 _UNITS = r"""
-, u as (select video_id, n, start_ms, end_ms, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*|[.!?]+'), lambda x: trim(x)), lambda x: x <> '') us from (select * from cues where not regexp_matches(text, '[.][^.!? ]')) c),
+, d0 as (select video_id, n, start_ms, end_ms, regexp_replace(regexp_replace(text, '\.([^\s])', chr(1) || '\1', 'g'), '\.([^\s])', chr(1) || '\1', 'g') as text from cues),
+d1 as (select *, list_filter(list_transform(regexp_extract_all(text, '(?s).[^.。！？!?]*(?:[。！？!?]+|[.]|$)'), lambda x: replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), chr(1), '.')), lambda x: x <> '') parts from d0),
+u as (select video_id, n, start_ms, end_ms, flatten(list_transform(parts, lambda x: case when regexp_matches(x, '[\x{3040}-\x{9fff}]\s+[\x{3040}-\x{9fff}]') then string_split_regex(x, '\s+') else [x] end)) us from d1),
 e as (select video_id, n, start_ms, end_ms, unnest(us) unit, generate_subscripts(us, 1) - 1 pos from u)"""
 
 
 def _units(s: SparkSession, d: str) -> DataFrame:
-    c = X.cues(s, d).where(~F.col("text").rlike(r"[.][^.!? ]"))
-    return c.select("video_id", "n", "start_ms", "end_ms", F.posexplode(T.split_terminal_units(F.col("text"))).alias("pos", "unit"))
+    return X.cues(s, d).select("video_id", "n", "start_ms", "end_ms", F.posexplode(T.split_terminal_units(F.col("text"))).alias("pos", "unit"))
 
 
 @query(_UNITS + "select video_id, n, pos, unit from e", "cues")
@@ -214,16 +219,17 @@ def _column(name: str, make: Callable[[Column], Column], sql: str, view: str = "
     SQL[name] = X.sql(f"select {', '.join(keys)}, {sql} as value from {view}", *views)
 
 
+_COMPARED = r"""regexp_replace({}, '[\s、。，．,.!?！？:：;；''"“”‘’]', '', 'g')"""
 _column("normalize_text", T.normalize_text, r"trim(regexp_replace(text, '[ \t]+', ' ', 'g'))")
 _column("term_key", T.term_key, r"replace(lower(regexp_replace(text, '\s+', '', 'g')), 'ß', 'ss')")
 _column("meaning_key", T.meaning_key, r"replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss')")
 _column("compact_key", T.compact_key, r"regexp_replace(text, '[ \t\n]+', '', 'g')")
 _column("coverage_key", T.coverage_key, _KEY.format("text"))
-_column("punct_key", T.punct_key, r"regexp_replace(text, '[\s。．.、,，!！?？・「」『』（）()…]', '', 'g')")
+_column("punct_key", T.punct_key, _COMPARED.format("text"))
 _column("content_key", T.content_key, r"regexp_replace(text, '[\s。．.]', '', 'g')")
 _column("conservation_key", T.conservation_key, r"regexp_replace(text, '\s', '', 'g')")
-_column("sanitize_filename", T.sanitize_filename, r"""coalesce(nullif(regexp_replace(trim(regexp_replace(regexp_replace(text, '[\\/:*?"<>|]', '_', 'g'), '\s+', ' ', 'g')), '^[ .]+|[ .]+$', '', 'g'), ''), 'untitled')""")
-_column("visible_text", lambda c: T.visible_text(F.concat(F.lit("<b>"), F.regexp_replace(c, "[&<>]", ""), F.lit("</b><br/>x"))), r"regexp_replace(text, '[&<>]', '', 'g') || chr(10) || 'x'")
+_column("sanitize_filename", T.sanitize_filename, r"""regexp_replace(left(coalesce(nullif(regexp_replace(trim(regexp_replace(regexp_replace(text, '[\\/:*?"<>|]', '_', 'g'), '\s+', ' ', 'g')), '^[ .]+|[ .]+$', '', 'g'), ''), 'untitled'), 180), '[ .]+$', '')""")
+_column("visible_text", lambda c: T.visible_text(F.concat(F.lit("<b>"), X.escaped(c), F.lit("</b><br/>x"))), "text || chr(10) || 'x'")
 _column("format_timestamp", T.format_timestamp, "case when start_ms >= 3600000 then printf('%02d:', start_ms//3600000) else '' end || printf('%02d:%02d.%03d', start_ms//60000%60, start_ms//1000%60, start_ms%1000)", of="start_ms")
 _column("parse_timestamp", lambda c: T.parse_timestamp(T.format_timestamp(c)), "start_ms", of="start_ms")
 _column("has_kanji", T.has_kanji, "regexp_matches(text, '[㐀-鿿]')")
@@ -251,7 +257,7 @@ def text_contains(s, d):
     return _pairs(s, d).select("video_id", "n", S.text_contains(F.col("a"), F.col("b")).alias("value"))
 
 
-@query(_PAIRS + """, c as (select video_id, n, a, b, list_filter(range(least(length(a), length(b)), 3, -1), lambda k: k >= 0.30 * least(length(a), length(b)) and right(a, k::int) = left(b, k::int)) ks from pr)
+@query(_PAIRS + """, c as (select video_id, n, a, b, list_filter(range(least(length(a), length(b)), 3, -1), lambda k: k >= 0.30 * least(length(a), length(b)) and right(a, k::int) = left(b, k::int)) ks from (select video_id, n, trim(regexp_replace(a, '[ \t]+', ' ', 'g')) a, trim(regexp_replace(b, '[ \t]+', ' ', 'g')) b from pr) pr)
 select video_id, n, case when len(ks) > 0 then a || substring(b, (ks[1] + 1)::int) end as value from c""", "cues")
 def overlap_join(s, d):
     return _pairs(s, d).select("video_id", "n", S.overlap_join(F.col("a"), F.col("b")).alias("value"))
@@ -274,7 +280,7 @@ def signature_similarity(s, d):
     return f.select("video_id", "frame_index", F.round(S.signature_similarity(F.col("signature"), F.col("next")), 6).alias("value"))
 
 
-_P = r"length(regexp_replace({}, '[\s。．.、,，!！?？・「」『』（）()…]', '', 'g'))"
+_P = "length(" + _COMPARED + ")"
 _OUTCOME = f"""
 , o as (select s.video_id, s.n, s.text, c.corrected_text x, {_P.format("s.text")} a, {_P.format("c.corrected_text")} b from segs s left join corrections c using (video_id, n)),
 f as (select *, case when x is null or trim(x) = '' or x = text then 'kept' when a > 0 and b > 0 and abs(a - b) <= greatest(2, round_even(a * 0.2::double, 0)) then 'changed' else 'rejected' end outcome from o) """
@@ -313,10 +319,11 @@ def upsert_library(s, d):
 
 
 _ENTRIES = _LIB + """, m as (select entry_key, meaning, min(save_id) f from k group by all), e as (select entry_key, count(distinct context_key) encounters, count(distinct surface) forms, max(save_id) updated from k group by 1),
-x as (select e.*, (select list(meaning order by f) from m where m.entry_key = e.entry_key) meanings from e) """
+w as (select entry_key, arg_min(lemma, save_id) lemma, arg_min(reading, save_id) reading, arg_min(surface, save_id) filter (regexp_matches(surface, '[㐀-鿿]')) form from k group by 1),
+x as (select e.*, reading, case when regexp_matches(lemma, '[㐀-鿿]') then lemma else coalesce(form, lemma) end display, (select list(meaning order by f) from m where m.entry_key = e.entry_key) meanings from e join w using (entry_key)) """
 
 
-@query(_ENTRIES + "select entry_key, encounters, forms, updated, array_to_string(meanings, ',') meanings from x", "saves")
+@query(_ENTRIES + "select entry_key, encounters, forms, updated, display, reading, array_to_string(meanings, ',') meanings from x", "saves")
 def library_entries(s, d):
     return L.library_entries(X.saves(s, d)).withColumn("meanings", F.array_join("meanings", ","))
 
@@ -331,9 +338,14 @@ def top_library_entries(s, d):
     return L.top_library_entries(X.saves(s, d))
 
 
-@query(_ENTRIES + "select entry_key, entry_key || '：' || array_to_string(meanings, '；') line from x", "saves")
+@query(_ENTRIES.replace(_LIB, _LIB.replace("from saves", "from (select * replace (case when save_id % 5 = 0 then surface || '漢' else surface end as surface, case when user_id % 2 = 0 then 'r' || lemma else '' end as reading) from (select s.*, e.user_id from saves s join events e on e.event_id = s.save_id))"))
+       + "select entry_key, updated, display || case when reading <> '' then '（' || reading || '）' else '' end || '：' || array_to_string(meanings, '；') line from x", "saves")
 def export_glossary(s, d):
-    return L.export_glossary(X.saves(s, d))
+    """Every fifth surface has kanji, half of the users' words have readings."""
+    k = F.col("save_id")
+    users = X.read(s, d, "events").select(F.col("event_id").alias("save_id"), "user_id")
+    v = X.saves(s, d).join(users, "save_id").withColumn("surface", F.when(k % 5 == 0, F.concat("surface", F.lit("漢"))).otherwise(F.col("surface")))
+    return L.export_glossary(v.withColumn("reading", F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("r"), "lemma")).otherwise("")))
 
 
 @query(_LIB + ", c as (select entry_key, context_key, min(save_id) save_id, arg_min(meaning, save_id) meaning from k group by 1, 2) select *, row_number() over (partition by entry_key order by save_id desc) as rank from c", "saves")

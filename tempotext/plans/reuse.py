@@ -55,7 +55,7 @@ def reference_conflict(s, d):
 
 @query()
 def align_characters(s, d):
-    a = _noisy(s, d).where("(video_id + n) % 5 = 0").select("video_id", "n", F.explode(S.align_characters(F.col("reference"), F.col("text"))).alias("x"))
+    a = _noisy(s, d).select("video_id", "n", F.explode(S.align_characters(F.col("reference"), F.col("text"))).alias("x"))
     return a.select("video_id", "n", "x.a_index", "x.b_index")
 
 
@@ -191,9 +191,9 @@ def discover_transcripts(s, d):
     return R.discover_transcripts(files)
 
 
-@query("select doc_id video_id, case when doc_id % 5 = 0 then '' else trim(replace(substring(text, 1, 50), chr(10), ' ')) end title, case when doc_id % 3 = 0 then '' else 'https://x.example/' || doc_id end source_url from documents")
+@query("select doc_id video_id, case when doc_id % 5 = 0 then '' else trim(replace(text, chr(10), ' ')) end title, case when doc_id % 3 = 0 then '' else 'https://x.example/' || doc_id end source_url from documents")
 def read_transcript_metadata(s, d):
-    k, t = F.col("doc_id"), F.replace(F.substring("text", 1, 50), F.lit("\n"), F.lit(" "))
+    k, t = F.col("doc_id"), F.replace("text", F.lit("\n"), F.lit(" "))
     quoted = F.regexp_replace(F.to_json(F.array(t)), r"(?s)^\[|\]$", "")
     filler = F.when(k % 3 == 0, F.repeat(F.lit("-\n"), F.lit(20))).otherwise("")
     body = F.concat(F.lit("---\ntitle: "), F.when(k % 5 == 0, "not json").otherwise(quoted), F.lit("\n"), filler, F.lit('source_url: "https://x.example/'), k.cast("string"), F.lit('"\n---\n'), "text")

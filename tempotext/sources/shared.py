@@ -8,6 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under a folder of the application's own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    """A new path under ``spark.checkpoint.dir``; unset, under a folder of the application's own in local mode, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/tempotext-{label}-{uuid.uuid4().hex[:12]}"

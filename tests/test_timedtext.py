@@ -87,10 +87,94 @@ def test_caption_choice(spark):
 def test_coverage(spark):
     cue = spark.createDataFrame([("v", 1, 1000, 2000, "お昼も一人で食べています")], "video_id string, n long, start_ms long, end_ms long, text string")
     other = cue.withColumns({"text": F.lit("前の字幕")})
-    assert C.uncovered_cues(cue, other).count() == 1 and C.uncovered_cues(cue, cue).count() == 0
+    same = cue.withColumns({"start_ms": F.lit(900).cast("long"), "end_ms": F.lit(2100).cast("long"), "text": F.lit("お昼も1人で食べています")})
+    assert C.uncovered_cues(cue, other).count() == 1 and C.uncovered_cues(cue, same).count() == 0
+    assert C.uncovered_cues(cue.withColumn("text", F.lit("…")), same.withColumn("text", F.lit("…"))).count() == 1  # empty keys support nothing
     assert [(r.start_ms, r.end_ms) for r in C.merge_intervals(C.uncovered_cues(cue, other)).collect()] == [(1000, 2000)]
 
 
+def test_normalised_segments(spark):
+    rows = [(1, 0, 0, "ＡＢＣ　今日", 0.9), (1, 500, 1, "ABC 今日", 0.9), (1, 1000, 2, "\u00a0 \n", 0.0), (1, 1500, 3, None, 0.0), (1, 2000, 4, "ABC今日", 0.9)]
+    got = G.segment_observations(spark.createDataFrame(rows, OBS), 3000, 500).orderBy("start_ms").collect()
+    assert [(r.text, r.start_ms, r.end_ms, r.observation_count) for r in got] == [("ABC 今日", 0, 1000, 2), ("ABC今日", 2000, 3000, 1)]
+    assert [r.text for r in G.merge_adjacent_segments(spark.createDataFrame([(1, 0, 500, "ＡＢＣ今日", 0.9, 1, ["x"], False), (1, 600, 900, "ABC今日", 0.9, 1, ["y"], False)], "video_id long, start_ms long, end_ms long, text string, confidence double, observation_count long, alternatives array<string>, needs_review boolean"), 500).collect()] == ["ABC今日"]
+
+
+def test_units(spark):
+    cut = lambda x: one(spark, T.split_terminal_units(F.lit(x)))
+    assert cut("!b c. d.e...f. 今日は 学校へ。！行く") == ["!b c.", "d.e...f.", "今日は", "学校へ。！", "行く"]
+    assert len(cut("a.b" * 40000 + ". c")) == 2 and cut("") == [] and cut(" . ") == ["."]
+
+
+def test_coverage_equals_brute_force(spark):
+    import random
+    import re
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = [" ".join(word() for _ in range(6)) for _ in range(12)]
+    mixed = lambda t: " ".join(w if rng.random() < 0.6 else word() for w in t.split())
+    cues = [(1, n, 700 * n, 700 * n + rng.randrange(3000), mixed(rng.choice(texts))) for n in range(80)]
+    segs = [(1, n, s, s + rng.randrange(90000 if n == 0 else 2500), mixed(rng.choice(texts)) if n % 9 else "  ") for n in range(60) for s in [rng.randrange(58000)]]
+    key = lambda x: re.sub(r"[\s\W_]+", "", x).lower()
+
+    def supports(a, b):
+        a, b = key(a), key(b)
+        small, large = sorted((a, b), key=len)
+        return bool(a and b) and (len(small) >= 4 and small in large and len(small) / len(large) >= 0.3 or SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.46)
+
+    want = {c[1] for c in cues if not any(s[3] >= c[2] - 700 and s[2] <= c[3] + 700 and supports(c[4], s[4]) for s in segs)}
+    shape = "video_id long, n long, start_ms long, end_ms long, text string"
+    a, b = spark.createDataFrame(cues, shape), spark.createDataFrame(segs, shape)
+    assert {r.n for r in C.uncovered_cues(a, b).collect()} == want and 0 < len(want) < 80
+    near = {r.n: r.reference for r in C.align_references(a, b).collect()}
+    assert all(set(near[c[1]]) == {s[4] for s in segs if s[3] >= max(0, c[2] - 650) and s[2] <= c[3] + 650} for c in cues)
+
+
+def test_nearest_frame_and_sentence_at_time(spark):
+    import random
+
+    rng = random.Random(4)
+    frames = sorted({(v, rng.randrange(200_000)) for v in (1, 2) for _ in range(60)})
+    points = [(v, rng.randrange(-500, 260_000)) for v in (1, 2, 3) for _ in range(200)] + [(1, frames[5][1])]
+    f = spark.createDataFrame([(v, i, t) for i, (v, t) in enumerate(frames)], "video_id long, frame_index long, ts_ms long")
+    p = spark.createDataFrame(points, "video_id long, t long")
+    got = {(r.video_id, r.t): r.frame_index for r in C.nearest_frame(p, f).collect()}
+    for v, t in points:
+        own = [(abs(x - max(0, t)), x, i) for i, (w, x) in enumerate(frames) if w == v]
+        assert got[v, t] == (min(own)[2] if own else None)
+    s = [(v, n, x, x + rng.randrange(40_000)) for v in (1, 2) for n, x in enumerate(sorted(rng.randrange(200_000) for _ in range(50)))]
+    held = {(r.video_id, r.t): r.n for r in C.sentence_at_time(p, spark.createDataFrame(s, "video_id long, n long, start_ms long, end_ms long")).collect()}
+    for v, t in points:
+        own = [x for x in s if x[0] == v and x[2] <= t]
+        assert held[v, t] == min([x[1] for x in own if t < x[3]], default=max([x[1] for x in own], default=None))
+
+
+def test_align_and_ratios_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    pairs = [("".join(rng.choice("abcde ") for _ in range(rng.choice([0, 3, 40, 900]))),) * 2 for _ in range(12)]
+    pairs = [(a, "".join(c for c in b if rng.random() > 0.1)) for a, b in pairs]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
+        return row[-1]
+
+    from difflib import SequenceMatcher
+
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a string, b string")
+    for r in df.select("i", S.indel_ratio("a", "b").alias("x"), S.align_characters("a", "b").alias("y"), S.default_matcher_ratio("a", "b").alias("z")).collect():
+        a, b = pairs[r.i]
+        assert abs(r.x - (200 * lcs(a, b) / (len(a) + len(b)) if a or b else 100)) < 1e-9 and abs(r.z - SequenceMatcher(None, a, b).ratio()) < 1e-12
+        assert [(p.a_index, p.b_index) for p in r.y] == [(m.a + k, m.b + k) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for k in range(m.size)]
+
+
 def norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6)
