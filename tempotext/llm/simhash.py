@@ -16,6 +16,8 @@ from .common import components, lower_words, number_rows, stage
 TILE = 512
 #: A bucket with more distinct fingerprints than this is cut into blocks, and each pair of blocks is a tile of its own.
 HEAVY = 4096
+#: Shingle sets of a block; a task holds two blocks of a larger bucket.
+BLOCK = 256
 
 
 def fingerprint(words: list[bytes], shingle: int, seed: int) -> int:
@@ -234,21 +236,20 @@ def near_copies(docs: DataFrame, bands: int = 32, rows: int = 5, shingle: int =
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [shingle_set(lower_words(t), shingle) for t in pdf["text"]]
-            cls = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": pdf["doc_id"].astype("Int64"), "cls": cls, "keys": [band_keys(x, bands, rows) if len(x) else [] for x in sets]})
+            cls, found = np.empty(len(pdf), np.uint64), []
+            for k, t in enumerate(pdf["text"]):
+                own = shingle_set(lower_words(t), shingle)
+                cls[k] = xxhash.xxh64_intdigest(own.tobytes())
+                found.append(band_keys(own, bands, rows) if len(own) else own.view(np.int64))
+            yield pd.DataFrame({"row": pdf["row"], "id": pdf["id"].astype("Int64"), "cls": cls.view(np.int64), "keys": found})
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"cls": pdf["cls"], "own": [shingle_set(lower_words(t), shingle).view(np.int64) for t in pdf["text"]]})
-
-    @F.pandas_udf("long")
-    def class_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([xxhash.xxh64_intdigest(shingle_set(lower_words(t), shingle).tobytes()) for t in texts], np.uint64).view(np.int64))
+            yield pd.DataFrame({"cls": pdf["cls"], "own": [shingle_set(lower_words(t), shingle).tobytes() for t in pdf["text"]]})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = [alike(x.view(np.uint64), y.view(np.uint64)) for x, y in zip(pdf["own"], pdf["other"])]
+            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf["own"], pdf["other"])]
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,17 +279,19 @@ def near_copies(docs: DataFrame, bands: int = 32, rows: int = 5, shingle: int =
                     if len(held) > 1:
                         yield links(held)
                     last, held = (key, x, y), []
-                held.append((cls, root, own.view(np.uint64)))
+                held.append((cls, root, np.frombuffer(own, np.uint64)))
         if len(held) > 1:
             yield links(held)
 
-    prints = stage(docs.select("doc_id", "text").mapInPandas(keys, "id long, cls long, keys array<long>"), "prints")
-    classes = stage(prints.groupBy("cls").agg(F.min("id").alias("least")), "classes")
+    numbered, row = number_rows(docs)
+    texts = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    prints = stage(texts.mapInPandas(keys, "row long, id long, cls long, keys array<long>"), "prints")
+    classes = stage(prints.groupBy("cls").agg(F.min("id").alias("least"), F.min("row").alias("row")), "classes")
     keyed = prints.select("cls", F.explode("keys").alias("key")).distinct()
     shared = stage(keyed.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first < last").drop("last"), "shared")
     members = stage(keyed.join(shared.hint("merge"), "key"), "members")
-    texts = docs.select(class_of("text").alias("cls"), "text").join(members.select("cls").distinct().hint("merge"), "cls", "left_semi")
-    sets = stage(texts.dropDuplicates(["cls"]).mapInPandas(tokens, "cls long, own array<long>"), "sets")
+    asked = classes.join(members.select("cls").distinct().hint("merge"), "cls").select("cls", "row")  # a row of each class
+    sets = stage(texts.join(asked.hint("merge"), "row").select("cls", "text").mapInPandas(tokens, "cls long, own binary"), "sets")
     pairs = members.where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
     one, two = sets.select(F.col("cls").alias("a"), "own"), sets.select(F.col("cls").alias("b"), F.col("own").alias("other"))
     first = stage(pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "own", "other").mapInPandas(verify, "a long, b long"), "links")
@@ -297,7 +300,7 @@ def near_copies(docs: DataFrame, bands: int = 32, rows: int = 5, shingle: int =
     grouped = members.select("key", "cls").join(roots.select(F.col("node").alias("cls"), "root").hint("merge"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     grouped = stage(grouped, "grouped")
     mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    mixed = mixed.where("low < high").select("key", F.ceil(F.col("n") / (HEAVY // 2)).cast("int").alias("k"))
+    mixed = mixed.where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
     open_ = grouped.join(mixed.hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     open_ = open_.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     open_ = open_.select("key", F.least("mine", "theirs").alias("x"), F.greatest("mine", "theirs").alias("y"), "cls", "root").join(sets.hint("merge"), "cls")
@@ -318,6 +321,6 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     others, so one stays only if its group has no other row that does.
     """
     rows, row = number_rows(docs)
-    groups = near_copies(rows.select(F.col(row).alias("doc_id"), "text"), **params)
+    groups = near_copies(rows.select(F.col(row).alias("doc_id"), "text"), **params)  # all ids differ, so its numbers are these
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(row))
     return rows.join(stage(keep, "keep"), row, "left_semi").select(docs.columns)

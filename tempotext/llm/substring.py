@@ -36,7 +36,7 @@ class Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
@@ -393,11 +393,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out = []
             for doc, text, wanted in zip(pdf["doc"], pdf["text"], pdf["asked"]):
                 h = (hashes.of(lower_words(text)) & np.uint64(0x7FFFFFFF)).astype(np.int32)
-                out += [(doc, x["s"], x["e"], h[x["s"] : x["e"]]) for x in wanted]
+                out += [(doc, x["s"], x["e"], h[x["s"] : x["e"]].tobytes()) for x in wanted]
             yield pd.DataFrame(out, columns=["doc", "s", "e", "words"])
 
     # none of these tables has a bound, so none is broadcast, however small it is now
-    slices = rows.join(asked.hint("merge"), "doc").mapInPandas(cut, "doc long, s long, e long, words array<int>")
+    slices = rows.join(asked.hint("merge"), "doc").mapInPandas(cut, "doc long, s long, e long, words binary")
     slices = stage(slices.dropDuplicates(["doc", "s", "e"]), "slices")
     theirs = slices.select(F.col("doc").alias("anchor"), F.col("s").alias("t"), F.col("e").alias("u"), F.col("words").alias("theirs"))
     pairs = spans.join(slices.hint("merge"), ["doc", "s", "e"]).join(theirs.hint("merge"), ["anchor", "t", "u"])
@@ -408,7 +408,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out = []
             for r in pdf.itertuples(index=False):
                 shift = r.s - r.t
-                for s, e, t, u, share in align(np.asarray(r.words), np.asarray(r.theirs), r.low - shift - 3, r.high - shift + 3):
+                for s, e, t, u, share in align(np.frombuffer(r.words, np.int32), np.frombuffer(r.theirs, np.int32), r.low - shift - 3, r.high - shift + 3):
                     out.append((r.doc, s + r.s, e + r.s, r.anchor, t + r.t, u + r.t, share))
             yield pd.DataFrame(out, columns=names)
 

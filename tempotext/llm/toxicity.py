@@ -37,7 +37,7 @@ class Weights(dict):
 
     def __missing__(self, word: str) -> float:
         z = sum(self.of.get(f, 0.0) for f in features(word))
-        if len(self) < 500_000:
+        if len(self) < 100_000:
             self[word] = z
         return z
 
