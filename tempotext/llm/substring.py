@@ -444,6 +444,7 @@ def cut_passages(docs: DataFrame) -> DataFrame:
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype="object")
 
     joined = rows.join(stage(spans, "cuts").hint("merge"), row, "left")
+    rest = rest.asNondeterministic()  # so that the filter below does not run it a second time
     cut = F.when(F.col(own).isNull(), F.col("text")).otherwise(rest(F.coalesce("text", F.lit("")), F.col(own)))
     out = joined.withColumn(new, cut).where(F.col(new).isNotNull() | F.col("text").isNull())
     if "n_chars" in docs.columns:
