@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
+from .blocks import matched_ratio, matching
 from .text import normalize_text, punct_key
 
 
@@ -35,7 +36,7 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks ratio 0-1; the order of arguments matters."""
-    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([matched_ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
@@ -48,8 +49,7 @@ def matches(a: str, b: str, least: float) -> bool:
     """Matching blocks ratio of ``least`` or more; its upper bounds, by lengths and by counts of characters, come first."""
     if not a or not b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
         return False
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.quick_ratio() >= least and m.ratio() >= least
+    return SequenceMatcher(None, a, b, autojunk=False).quick_ratio() >= least and matched_ratio(a, b) >= least
 
 
 def contains(a: str, b: str, least: int = 4, share: float = 0.30) -> bool:
@@ -98,8 +98,8 @@ def signature_similarity(a: Column, b: Column, empty: float = 1e-9) -> Column:
 
 @F.pandas_udf(ArrayType(StructType([StructField(x, LongType()) for x in ("a_index", "b_index", "size")])))
 def matching_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Blocks of equal characters of two short texts, in order."""
-    return pd.Series([[(m.a, m.b, m.size) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if m.size] if x is not None and y is not None else [] for x, y in zip(a, b)])
+    """Blocks of equal characters of two texts, in order."""
+    return pd.Series([matching(x, y) if x is not None and y is not None else [] for x, y in zip(a, b)])
 
 
 def align_characters(a: Column, b: Column) -> Column:

@@ -381,4 +381,4 @@ def recent_history(s, d):
     return L.recent_history(X.assets(s, d))
 
 
-from . import documents, frames, reuse, sentences, streams  # noqa: E402,F401  (add their queries)
+from . import documents, engines, frames, reuse, sentences, streams  # noqa: E402,F401  (add their queries)
