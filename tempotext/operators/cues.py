@@ -72,6 +72,18 @@ def tumbling_windows(rows: DataFrame, span_ms: int = SPAN) -> DataFrame:
     return rows.groupBy("video_id", F.expr(f"start_ms div {span_ms}").alias("window_index")).agg(F.count("*").alias("cues"), F.max("end_ms").alias("last_end"))
 
 
+def window_bounds(cues: DataFrame, segments: DataFrame, durations: DataFrame, span_ms: int = SPAN) -> DataFrame:
+    """(video_id, window_index, start_ms, end_ms, cues, segments) of windows in which a cue or a segment starts; the last ends with the video.
+
+    The duration is that of ``effective_duration``; windows that would begin at or after it are left out, but for the first.
+    """
+    at = F.expr(f"start_ms div {span_ms}").alias("window_index")
+    both = cues.select("video_id", at, F.lit(1).alias("c"), F.lit(0).alias("s")).unionByName(segments.select("video_id", at, F.lit(0).alias("c"), F.lit(1).alias("s")))
+    w = both.groupBy("video_id", "window_index").agg(F.sum("c").alias("cues"), F.sum("s").alias("segments")).join(effective_duration(cues, segments, durations), "video_id")
+    start = F.col("window_index") * span_ms
+    return w.where((start < F.col("duration_ms")) | (F.col("window_index") == 0)).select("video_id", "window_index", start.alias("start_ms"), F.least("duration_ms", start + span_ms).alias("end_ms"), "cues", "segments")
+
+
 def window_context(rows: DataFrame, span_ms: int = SPAN, context_ms: int = CONTEXT) -> DataFrame:
     """(video_id, window_index, n, target): rows that overlap a window or its context; each row finds its windows by division, not by search."""
     first, last = F.floor(F.greatest(F.lit(0), F.col("start_ms") - context_ms) / span_ms), F.floor((F.col("end_ms") + context_ms) / span_ms)
@@ -101,8 +113,12 @@ def nearest_frame(points: DataFrame, frames: DataFrame) -> DataFrame:
     return both.select("video_id", "t", F.when(F.col("a").isNull() | (before <= after), F.col("b.i")).otherwise(-F.col("a.i")).alias("frame_index"))
 
 
-def effective_duration(cues: DataFrame, segments: DataFrame) -> DataFrame:
-    return cues.select("video_id", "end_ms").unionByName(segments.select("video_id", "end_ms")).groupBy("video_id").agg(F.max("end_ms").alias("duration_ms"))
+def effective_duration(cues: DataFrame, segments: DataFrame, durations: DataFrame | None = None) -> DataFrame:
+    """The greatest end of a video's cues and segments, and of its own duration (video_id, duration_ms) if given."""
+    ends = cues.select("video_id", "end_ms").unionByName(segments.select("video_id", "end_ms"))
+    if durations is not None:
+        ends = ends.unionByName(durations.select("video_id", F.col("duration_ms").alias("end_ms")))
+    return ends.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms"))
 
 
 def infer_language(rows: DataFrame, first: int = 80) -> DataFrame:

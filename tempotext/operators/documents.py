@@ -6,15 +6,17 @@ empty and are left out where empty ones are; empty tables give empty tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import content_key, fingerprint, format_timestamp, join_pieces, parse_timestamp, squeeze, visible_text
-from .cues import SPAN, merge_cues
+from .cues import CONTEXT, SPAN, merge_cues, window_context
 
 # Marks and patterns of the transcript format.
 REVIEW_MARK, ANNOTATION = " ⚠️", "【画面补充】"
 TIMED_LINE = r"(?s)^\s*[-*+]\s+\[(\d{2}(?::\d{2})?:\d{2}\.\d{3})\s*[–—-]\s*(\d{2}(?::\d{2})?:\d{2}\.\d{3})\]\s*(.*?)\s*$"
 TIMING = r"((?:\d{2,}:)?\d{2}:\d{2}[.,]\d{3})\s*-->\s*((?:\d{2,}:)?\d{2}:\d{2}[.,]\d{3})"
+SOURCES = ("youtube_primary+burned_ocr_visual_verification", "burned_ocr+youtube_reading_reference", "burned_ocr")
+PLACEHOLDER = "_在配置的字幕区域中未检测到文字。_"
 FORMATS = {"json3": 0, "vtt": 1, "srv3": 2, "ttml": 3}
 
 
@@ -31,6 +33,28 @@ def write_transcript(segments: DataFrame) -> DataFrame:
     return rows.groupBy("video_id").agg(F.array_join(_listed("at", "line"), "\n").alias("body"))
 
 
+def transcript_files(videos: DataFrame, segments: DataFrame) -> DataFrame:
+    """(video_id, body): a whole file for each video (video_id, title, source_url, model, language): front matter, heading, lines.
+
+    Segments have ``source``, which names the front matter's subtitle source and the annotations; a video without any gets the
+    placeholder. Values are JSON strings; null ones are empty.
+    """
+    s = segments.withColumn("is_annotation", F.coalesce(F.col("source") == "screen_annotation", F.lit(False)))
+    any_ = lambda x: F.coalesce(F.bool_or(F.col("source") == x), F.lit(False))
+    label = F.when(any_("youtube_primary"), SOURCES[0]).when(any_("burned_ocr_corrected"), SOURCES[1]).otherwise(SOURCES[2])
+    facts = s.groupBy("video_id").agg(label.alias("label"), F.count("*").alias("size"))
+    v = videos.join(write_transcript(s), "video_id", "left").join(facts, "video_id", "left")
+
+    def line(name: str, value: Column) -> Column:
+        quoted = F.regexp_extract(F.to_json(F.struct(F.coalesce(value.cast("string"), F.lit("")).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+        return F.concat(F.lit(f"{name}: "), quoted)
+
+    head = [line("title", F.col("title")), line("video_id", F.col("video_id")), line("source_url", F.col("source_url")), line("subtitle_source", F.coalesce("label", F.lit(SOURCES[2])))]
+    head += [F.lit('ocr_backend: "cloud_vlm"'), line("ocr_model", F.col("model")), line("language", F.col("language")), F.concat(F.lit("segments: "), F.coalesce("size", F.lit(0)).cast("string"))]
+    title = F.concat(F.lit("# "), F.coalesce("title", F.lit("")))
+    return v.select("video_id", F.concat_ws("\n", F.lit("---"), *head, F.lit("---"), F.lit(""), title, F.lit(""), F.coalesce("body", F.lit(PLACEHOLDER)), F.lit("")).alias("body"))
+
+
 def read_timed_transcript(bodies: DataFrame) -> DataFrame:
     """(video_id, id, text, start_ms, end_ms): fragments of the timed lines of ``body``; ids count the kept lines only."""
     lines = bodies.select("video_id", F.posexplode(F.split("body", r"\r\n|[\r\n]")).alias("pos", "line")).where(F.col("line").rlike(TIMED_LINE))
@@ -114,6 +138,18 @@ def validate_window_decisions(decisions: DataFrame, cues: DataFrame, span_ms: in
     return want.join(have, ["video_id", "window_index"], "left").select("video_id", "window_index", F.coalesce(F.col("want") == F.col("have"), F.lit(False)).alias("valid"))
 
 
+def validate_window_sources(decisions: DataFrame, segments: DataFrame, span_ms: int = SPAN, context_ms: int = CONTEXT) -> DataFrame:
+    """(video_id, window_index, valid): recognised ids (``ocr_ids``) of the decisions (kind: spoken or annotation) are allowed ones.
+
+    Those of spoken rows lie in the window or its context; those of annotations are rows that start in it, each used once.
+    """
+    ids = decisions.select("video_id", "window_index", "kind", F.explode("ocr_ids").alias("n"))
+    known = window_context(segments.select("video_id", "n", "start_ms", "end_ms"), span_ms, context_ms)
+    used = ids.groupBy("video_id", "window_index", "n").agg(F.count_if(F.col("kind") == "annotation").alias("notes")).join(known, ["video_id", "window_index", "n"], "left")
+    bad = used.where("target is null or (notes > 0 and not target) or notes > 1").select("video_id", "window_index").distinct().withColumn("valid", F.lit(False))
+    return decisions.select("video_id", "window_index").distinct().join(bad, ["video_id", "window_index"], "left").select("video_id", "window_index", F.coalesce("valid", F.lit(True)).alias("valid"))
+
+
 def previous_tail(rows: DataFrame, span_ms: int = SPAN, most: int = 3) -> DataFrame:
     """(video_id, window_index, tail): the last ``most`` rows, as (n, text), of the window with rows before this one; none: empty."""
     w = rows.groupBy("video_id", F.expr(f"start_ms div {span_ms}").alias("window_index")).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("all"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import fenced_json, has_kanji, headword, meaning_key, source_key, term_key
+from ..functions.text import fenced_json, has_kanji, headword, meaning_key, source_key, term_key, video_key
 
 
 def keyed(saves: DataFrame) -> DataFrame:
@@ -72,10 +72,45 @@ def orphan_assets(assets: DataFrame, gone: DataFrame) -> DataFrame:
     return assets.join(gone, "job_id", "left_semi").select("path").distinct().join(keep, "path", "left_anti")
 
 
+def orphan_videos(jobs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Video keys of deleted jobs (job_id, source_url) that no remaining job has: their own files may go. Other urls have none."""
+    k = jobs.select("job_id", video_key(F.col("source_url")).alias("video_key")).where("video_key is not null")
+    keep = k.join(gone, "job_id", "left_anti").select("video_key").distinct()
+    return k.join(gone, "job_id", "left_semi").select("video_key").distinct().join(keep, "video_key", "left_anti")
+
+
 def usage_rollup(calls: DataFrame) -> DataFrame:
-    """Calls and summed usage by stage, through a map so that any key is summed."""
-    m = calls.withColumn("usage", F.create_map(F.lit("tokens"), F.col("tokens").cast("double"), F.lit("calls"), F.lit(1.0)))
-    return m.select("stage", F.explode("usage").alias("key", "value")).groupBy("stage", "key").agg(F.sum("value").alias("total"))
+    """(stage, key, total, first_value) of calls (stage, ord, repair, usage: map of strings), with the keys ``calls`` and ``repairs``.
+
+    A key whose values are all numbers has their sum, another the first value in the order of calls; null values are left out.
+    """
+    own = F.map_from_arrays(F.array(F.lit("calls"), F.lit("repairs")), F.array(F.lit("1"), F.when(F.coalesce("repair", F.lit(False)), "1").otherwise("0")))
+    pairs = calls.select("stage", "ord", F.explode(F.map_concat(F.map_filter("usage", lambda k, v: ~k.isin("calls", "repairs")), own)).alias("key", "value"))
+    pairs = pairs.where("value is not null").withColumn("number", F.expr("try_cast(value as double)"))
+    g = pairs.groupBy("stage", "key").agg(F.sum("number").alias("sum"), F.bool_and(F.col("number").isNotNull()).alias("all"), F.min_by("value", F.struct("ord", "value")).alias("first"))
+    return g.select("stage", "key", F.when(F.col("all"), F.col("sum")).alias("total"), F.when(~F.col("all"), F.col("first")).alias("first_value"))
+
+
+def library_tables(saves: DataFrame) -> dict[str, DataFrame]:
+    """The four tables of a library: entries, forms, meanings, encounters. By each unique key the first save (least save_id) wins.
+
+    Saves have the columns of ``keyed``'s input, and may have source_url, job_id, sentence_id and sentence. ``updated`` is the
+    last save that added anything. An earlier library is a table of saves, so its union with new ones is the upsert.
+    """
+    k = keyed(saves)
+    more = [c for c in ("source_url", "job_id", "sentence_id", "sentence") if c in saves.columns]
+
+    def firsts(key: str, *columns: str) -> DataFrame:
+        rows = k.groupBy("entry_key", key).agg(F.min_by(F.struct("save_id", *columns), "save_id").alias("x"))
+        return rows.select("entry_key", key, "x.*")
+
+    forms, meanings = firsts("form_key", "surface", "reading"), firsts("meaning_key", "meaning", *more[-1:])
+    encounters = firsts("context_key", "meaning_key", *more)
+    added = forms.select("entry_key", "save_id").unionByName(meanings.select("entry_key", "save_id")).unionByName(encounters.select("entry_key", "save_id"))
+    updated = added.groupBy("entry_key").agg(F.max("save_id").alias("updated"))
+    first = k.groupBy("entry_key").agg(F.min_by(F.struct("kind", "lemma", "reading"), "save_id").alias("x"), F.min("save_id").alias("created")).select("entry_key", "x.*", "created")
+    shown = library_entries(saves).select("entry_key", "display")
+    return {"entries": first.join(shown, "entry_key").join(updated, "entry_key"), "forms": forms, "meanings": meanings, "encounters": encounters}
 
 
 def recent_history(jobs: DataFrame, most: int = 100) -> DataFrame:

@@ -134,8 +134,11 @@ def segment_stats(segments: DataFrame) -> DataFrame:
     )
 
 
-def dedupe_observations(obs: DataFrame, selected: DataFrame) -> DataFrame:
-    """The last row of each frame, of selected frames only."""
+def dedupe_observations(obs: DataFrame, selected: DataFrame, model: str | None = None) -> DataFrame:
+    """The last row of each frame, of selected frames only; with ``model``, none of a video that has a selected row of another model."""
+    if model is not None:
+        own = obs.join(selected.select("video_id", "frame_index").distinct(), ["video_id", "frame_index"], "left_semi")
+        obs = obs.join(own.where(~F.col("model").eqNullSafe(model)).select("video_id").distinct(), "video_id", "left_anti")
     last = F.row_number().over(W.partitionBy("video_id", "frame_index").orderBy(F.col("ts_ms").desc()))
     return obs.join(selected.select("video_id", "frame_index").distinct(), ["video_id", "frame_index"], "left_semi").withColumn("_last", last).where("_last = 1").drop("_last")
 
@@ -149,7 +152,11 @@ def segment_evidence(segments: DataFrame, obs: DataFrame) -> DataFrame:
     return hits.where("rn = 1 or rn = c div 2 + 1 or rn = c").select("video_id", "start_ms", "frame_index", "ts_ms")
 
 
-def assign_batches(pending: DataFrame, size: int) -> DataFrame:
-    """Rows of a video in frame order to batches of ``size``, numbered from 0."""
+def assign_batches(pending: DataFrame, size: int, saved: DataFrame | None = None) -> DataFrame:
+    """Rows of a video in frame order to batches of ``size``, numbered from 0, or on from the largest ``batch`` of its ``saved`` rows."""
     rn = F.row_number().over(W.partitionBy("video_id").orderBy("frame_index"))
-    return pending.withColumn("batch", F.floor((rn - 1) / size))
+    batches = pending.withColumn("batch", F.floor((rn - 1) / size))
+    if saved is None:
+        return batches
+    last = saved.groupBy("video_id").agg((F.max("batch") + 1).alias("_next"))
+    return batches.join(last, "video_id", "left").withColumn("batch", F.col("batch") + F.coalesce("_next", F.lit(0))).drop("_next")

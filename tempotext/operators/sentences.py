@@ -204,3 +204,8 @@ def edit_log(before: DataFrame, edits: DataFrame) -> DataFrame:
     """(edit_id, video_id, before, after): texts of the selected sentences and of the new ones, of valid edits; append it to the log."""
     valid = check_edits(before, edits).where("reason = ''")
     return valid.select("edit_id", "video_id", F.col("chosen.text").alias("before"), F.col("pieces").alias("after"))
+
+
+def append_edit_log(before: DataFrame, edits: DataFrame, path: str) -> None:
+    """Adds the rows of ``edit_log`` to the log at ``path``; earlier rows are neither read nor written."""
+    edit_log(before, edits).withColumn("edited_at", F.current_timestamp()).write.mode("append").parquet(path)

@@ -286,7 +286,7 @@ _OUTCOME = f"""
 f as (select *, case when x is null or trim(x) = '' or x = text then 'kept' when a > 0 and b > 0 and abs(a - b) <= greatest(2, round_even(a * 0.2::double, 0)) then 'changed' else 'rejected' end outcome from o) """
 
 
-@query(_OUTCOME + "select video_id, n, outcome, case when outcome = 'changed' then x else text end final_text from f", "cues", "segs", "corrections")
+@query(_OUTCOME + "select video_id, n, outcome, text original_text, case when outcome = 'changed' then x else text end final_text from f", "cues", "segs", "corrections")
 def apply_corrections(s, d):
     return K.apply_corrections(X.ocr_segments(s, d), X.corrections(s, d))
 
@@ -296,17 +296,6 @@ def safe_correction(s, d):
     return X.ocr_segments(s, d).join(X.corrections(s, d), ["video_id", "n"]).select("video_id", "n", S.safe_correction(F.col("text"), F.col("corrected_text")).alias("value"))
 
 
-@query(_OUTCOME + "select video_id, count(*) segments, sum((outcome = 'changed')::int)::bigint changed, sum((outcome = 'rejected')::int)::bigint rejected from f group by 1", "cues", "segs", "corrections")
-def run_summary(s, d):
-    return K.run_summary(K.apply_corrections(X.ocr_segments(s, d), X.corrections(s, d)))
-
-
-@query("""select video_id, n, array_to_string(list_filter([case when end_ms < start_ms then 'end before start' end, case when confidence < 0.05 or confidence > 1 then 'confidence' end, case when trim(text) = '' then 'empty text' end, case when length(text) < 5 then 'short text' end], lambda x: x is not null), '; ') reasons
-from segs where end_ms < start_ms or confidence < 0.05 or confidence > 1 or length(text) < 5""", "cues", "segs")
-def check_rows(s, d):
-    return K.check_rows(X.ocr_segments(s, d))
-
-
 # ---- study library ---------------------------------------------------------------------------------------------------
 
 _LIB = ", k as (select *, kind || '␟' || lemma || '␟' || reading entry_key from saves) "
@@ -371,14 +360,9 @@ def orphan_assets(s, d):
     return L.orphan_assets(a, a.where("conv_id % 3 = 0").select("job_id").distinct())
 
 
-@query("select stage, 'tokens' as key, sum(tokens)::double total from assets group by 1 union all select stage, 'calls', count(*)::double from assets group by 1", "assets")
-def usage_rollup(s, d):
-    return L.usage_rollup(X.assets(s, d))
-
-
 @query("select job_id, max(conv_id) conv_id, count(*) results from assets group by 1 order by 2 desc, 1 limit 100", "assets")
 def recent_history(s, d):
     return L.recent_history(X.assets(s, d))
 
 
-from . import documents, engines, frames, reuse, sentences, streams  # noqa: E402,F401  (add their queries)
+from . import documents, engines, frames, records, reuse, sentences, streams  # noqa: E402,F401  (add their queries)
