@@ -52,7 +52,8 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if len(held) > COUNTED:
                     yield made()
                     held = Counter()
-        yield made()
+        if held:
+            yield made()
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
     return rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
@@ -286,15 +287,17 @@ def near_words(words: DataFrame, most: int = MOST_WORDS) -> DataFrame:
         states = states.join(large, by, "left_anti")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def made(pdf: pd.DataFrame) -> pd.DataFrame:
+        def made(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
             size, back, key, word, n = (pdf[c].to_numpy() for c in (*by, "word", "n"))
             a, b = near_in(size.astype(np.int64), back.astype(bool), key, word)
+            if not len(a):
+                return
             one, two = np.append(a, b), np.append(b, a)
-            order = np.lexsort((word[two].astype("U") if len(two) else two, -n[two], one))
+            order = np.lexsort((word[two].astype("U"), -n[two], one))
             one, two = one[order], two[order]
-            first = np.nonzero(np.append(True, one[1:] != one[:-1]))[0] if len(one) else one
+            first = np.nonzero(np.append(True, one[1:] != one[:-1]))[0]
             count = np.diff(np.append(first, len(one)))
-            return pd.DataFrame({"word": word[one[first]], "n_near": count, "form_n": n[two[first]], "form": word[two[first]]})
+            yield pd.DataFrame({"word": word[one[first]], "n_near": count, "form_n": n[two[first]], "form": word[two[first]]})
 
         held: list[pd.DataFrame] = []
         letters = 0
@@ -311,13 +314,13 @@ def near_words(words: DataFrame, most: int = MOST_WORDS) -> DataFrame:
                     last = whole[by].ne(whole[by].iloc[-1]).any(axis=1).to_numpy()
                     cut = int(np.nonzero(last)[0][-1]) + 1 if last.any() else 0
                     if cut:
-                        yield made(whole.iloc[:cut])
+                        yield from made(whole.iloc[:cut])
                     held = [whole.iloc[cut:]]
                     letters = int(held[0]["word"].str.len().max()) * len(held[0]) if len(held[0]) else 0
         if held:
             whole = pd.concat(held, ignore_index=True)
             if len(whole):
-                yield made(whole)
+                yield from made(whole)
 
     found = states.repartition(*by).sortWithinPartitions(*by).mapInPandas(find, _NEAR)
     if hot is not None:
@@ -339,7 +342,8 @@ def _by_deletions(states: DataFrame) -> DataFrame:
     inserted = short.join(long_, ["size", "back", "key", "u"])
     inserted = inserted.where("not back or substring(u, 1, cast(floor(size / 2) as int)) <> substring(v, 1, cast(floor(size / 2) as int))").select("u", "nu", "v", "nv")
     pairs = replaced.unionByName(inserted)
-    two = F.explode(F.array(F.struct(F.col("u").alias("word"), F.lit(1).cast("long").alias("n_near"), F.col("nv").alias("form_n"), F.col("v").alias("form")), F.struct(F.col("v"), F.lit(1).cast("long"), F.col("nu"), F.col("u"))))
+    one = lambda w, n, form: F.struct(F.col(w).alias("word"), F.lit(1).cast("long").alias("n_near"), F.col(n).alias("form_n"), F.col(form).alias("form"))
+    two = F.explode(F.array(one("u", "nv", "v"), one("v", "nu", "u")))
     return pairs.select(two.alias("x")).select("x.*")
 
 
