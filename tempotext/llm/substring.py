@@ -19,6 +19,8 @@ K, WINDOW, LEAST_WORDS, LEAST_IDENTITY = 5, 4, 50, 0.8
 RUN_WINDOW = 20
 #: Words at either end of a passage that may hold no seed.
 SLACK = 21
+#: No document: an id that none has.
+NONE = -(1 << 63)
 #: A seed that a sample of one document in SAMPLE holds HOT times or more is dealt to SALTS tasks; at most MOST_HOT of them.
 SAMPLE, HOT, SALTS, MOST_HOT = 64, 16, 64, 20_000
 #: Rows of one hash that a task holds to find the first of them.
@@ -27,8 +29,11 @@ MOST_HELD = 200_000
 AT_ONCE = 200_000
 #: Seeds further apart than this begin a new chain. A slice fetched for alignment begins and ends at multiples of GRID.
 MAX_GAP, GRID = 60, 64
-#: Cost of a word left out on one side: within chains of seeds, and in alignment, where 2 a side keeps 4 of 5 words equal.
-SEED_COST, ALIGN_COST = 0.1, 2.0
+#: Cost of a word left out on one side: within chains of seeds, and in alignment, where a chain goes on as long as more than
+#: 3 of 5 words equal; what is kept of it has LEAST_IDENTITY.
+SEED_COST, ALIGN_COST = 0.1, 0.75
+#: Words left out in a row that end a passage; words beyond the seeds at either end that alignment sees.
+BREAK, PAD = 10, 45
 
 
 class Hashes(dict):
@@ -231,11 +236,58 @@ def candidates(m: np.ndarray) -> np.ndarray:
     return np.concatenate([m[first[np.concatenate(whose)], :2], rows], 1)
 
 
+def stretches(size: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) of the longest runs of a chain that keep LEAST_IDENTITY over LEAST_WORDS words, longest first.
+
+    ``size``: equal words of each run, ``gap``: words left out before it. What is left of the chain on either side of a stretch
+    is searched on its own. The longest comes from the prefix minima of equal words less LEAST_IDENTITY of all.
+    """
+    todo = [(0, len(size))]
+    while todo:
+        a, b = todo.pop()
+        if b <= a:
+            continue
+        words = size[a:b] + np.append(0, gap[a + 1 : b])
+        up = np.append(0, np.cumsum(words))
+        if up[-1] < LEAST_WORDS:
+            continue
+        gain = np.append(0, np.cumsum(size[a:b] - LEAST_IDENTITY * words))
+        # before run k: its own gap does not count where a stretch begins with it
+        start = gain[:-1] - LEAST_IDENTITY * np.append(0, gap[a + 1 : b])
+        low = np.minimum.accumulate(start)
+        begin = np.searchsorted(-low, -(gain[1:] + 1e-9))  # the first run from which the share holds up to each run
+        begin = np.minimum(begin, np.arange(b - a))
+        length = up[1:] - up[begin] - np.append(0, gap[a + 1 : b])[begin]
+        length[gain[1:] - start[begin] < -1e-9] = 0
+        k = int(length.argmax())
+        if length[k] < LEAST_WORDS:
+            continue
+        first, last = a + int(begin[k]), a + k
+        yield first, last
+        todo += [(a, first), (last + 1, b)]
+
+
+def uncovered(m: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Rows (document, ..., position, ...) of ``m`` whose seed does not lie in a stretch (document, ..., start, end) of ``known``; both in order."""
+    docs = np.unique(known[:, 0])
+    base = np.searchsorted(docs, known[:, 0])
+    wide = int(max(known[:, 3].max(), m[:, 2].max(initial=0) + K)) + 1
+    start, end = base * wide + known[:, 2], base * wide + known[:, 3]
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    at = np.searchsorted(docs, m[:, 0])
+    has = docs[np.minimum(at, len(docs) - 1)] == m[:, 0]
+    place = at * wide + m[:, 2]
+    k = np.searchsorted(start, place, "right") - 1
+    inside = has & (k >= 0) & (reach[np.maximum(k, 0)] >= place + K)
+    return m[~inside]
+
+
 def align(x: np.ndarray, y: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int, int, int, float]]:
     """Passages (start, end, other start, other end, share of equal words) of two word sequences in a band of diagonals.
 
-    Runs of two or more equal words on each diagonal are chained at a cost of two words for each one left out on a
-    side, so every part of a passage keeps about four of five words.
+    Runs of equal words on each diagonal are chained, single words only on diagonals that have longer runs. No chain ends in words that
+    cost more than they give; it is cut where BREAK words or more are left out, and the longest stretches with LEAST_IDENTITY are kept.
     """
     starts, others, sizes = [], [], []
     for d in range(low, high + 1):
@@ -246,43 +298,60 @@ def align(x: np.ndarray, y: np.ndarray, low: int, high: int) -> Iterator[tuple[i
         same = np.concatenate([[False], x[a : a + n] == y[b : b + n], [False]])
         edge = np.nonzero(same[1:] != same[:-1])[0]
         s, e = edge[::2], edge[1::2]
-        long_ = e - s >= 2
-        starts.append(s[long_] + a)
-        others.append(s[long_] + b)
-        sizes.append((e - s)[long_])
+        size = e - s
+        if not len(size) or size.max() < 3:
+            keep = size >= 2
+        else:  # single words within reach of a longer run of their diagonal
+            long_ = np.nonzero(size >= 2)[0]
+            after = np.append(s[long_], 1 << 40)[np.searchsorted(long_, np.arange(len(s)))] - e
+            before = s - np.append(-(1 << 40), e[long_])[np.searchsorted(long_, np.arange(len(s)), "right")]
+            keep = (size >= 2) | (np.minimum(after, before) < BREAK)
+        starts.append(s[keep] + a)
+        others.append(s[keep] + b)
+        sizes.append(size[keep])
     if not starts or not sum(map(len, starts)):
         return
     start, other, size = np.concatenate(starts), np.concatenate(others), np.concatenate(sizes)
     for score, path in chains(start, other, size, ALIGN_COST, 0):
-        a, b = path[0], path[-1]
-        s, e, t, u = int(start[a]), int(start[b] + size[b]), int(other[a]), int(other[b] + size[b])
-        share = float(size[path].sum()) / max(e - s, u - t)
-        if e - s >= LEAST_WORDS and share >= LEAST_IDENTITY:
-            yield s, e, t, u, share
+        path = np.array(path)
+        s, t, z = start[path], other[path], size[path]
+        gap = np.append(0, np.maximum(s[1:] - (s + z)[:-1], t[1:] - (t + z)[:-1]))
+        for part in np.split(np.arange(len(path)), np.nonzero(gap >= BREAK)[0]):
+            for i, j in stretches(z[part], gap[part]):
+                i, j = part[i], part[j]
+                a, b, c, d = int(s[i]), int(s[j] + z[j]), int(t[i]), int(t[j] + z[j])
+                if b - a >= LEAST_WORDS:
+                    yield a, b, c, d, float(z[i : j + 1].sum()) / max(b - a, d - c)
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, first_doc, first_start, first_end, identity): passages that an earlier document holds.
 
     A passage has LEAST_WORDS words or more of which LEAST_IDENTITY or more equal those of a document with a smaller
-    id, in order; ends are exclusive, words are as in ``common.WORD`` with A-Z lowered. Each seed is joined to its first
-    occurrence (smallest id) only, so a passage in m documents gives m-1 candidates and copies are never paired with
-    each other. Very frequent seeds are dealt to SALTS classes of ids; they are joined to the first of their class, and
-    those firsts to the first of all. So is each run of seeds in LEAST_WORDS words, hence a passage whose pieces occur singly in earlier
-    documents meets the first document that holds LEAST_WORDS words of it in a row; of fuzzy copies that share no such
-    stretch, pieces that all go to other documents can still be missed. Rows with a null id or fewer words have none; rows that repeat an id are one document; other columns
-    are not read. The first document of a passage is not reported.
+    id, in order; ends are exclusive, words are as in ``common.WORD`` with A-Z lowered. There are two rounds. In the first, each seed
+    is joined to its first occurrence (smallest id) only, so a passage in m documents gives m-1 candidates and copies are never
+    paired with each other; so is each run of seeds in LEAST_WORDS words, hence a passage whose pieces occur singly in
+    earlier documents meets the first document that holds LEAST_WORDS words of it in a row. In the second, the seeds that no
+    passage of the first covers are joined to the document that holds them just before, so of fuzzy copies whose pieces have other first
+    holders the later still meets the earlier; one that has such pieces in documents on both sides of the earlier copy is missed.
+    Very frequent seeds are dealt to SALTS classes of ids; they are joined to the first of their class, and those firsts
+    to the first of all; the document before is that of the class.
+
+    Rows with a null id or fewer words have none; rows that repeat an id are one document; other columns
+    are not read. The first document of a passage is not reported. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
 
+    def salt(doc: np.ndarray) -> np.ndarray:
+        return ((doc % SALTS) + 1) * 0x9E3779B97F4A7C1
+
     def find(batches: Iterator[pd.DataFrame], hot: np.ndarray = np.empty(0, np.int64)) -> Iterator[pd.DataFrame]:
         hashes, held, ids, size = Hashes(), [], [], 0
 
         def made() -> pd.DataFrame:
             doc, at, span, h = marks(np.array(ids, np.int64), held)
-            often = np.where(np.isin(h, hot), h, 0)
-            salted = h ^ (((doc % SALTS) + 1) * 0x9E3779B97F4A7C1)
-            return pd.DataFrame({"h": np.where(often != 0, salted, h), "doc": doc, "at": at << 6 | span, "often": often})
+            often = np.isin(h, hot)
+            return pd.DataFrame({"h": np.where(often, h ^ salt(doc), h), "doc": doc, "at": at << 7 | often << 6 | span})
 
         for pdf in batches:
             for doc, text in zip(pdf["doc"], pdf["text"]):
@@ -297,37 +366,46 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if held:
             yield made()
 
-    names = ["doc", "anchor", "pos", "apos", "h"]
+    names = ["doc", "anchor", "pos", "apos", "h", "prior", "ppos"]
 
     def resolve(m: np.ndarray, part: bool = False) -> pd.DataFrame:
-        """Links of the rows (h, doc, at, often) of whole groups to the first of their group, as rows of ``names``.
+        """Links of the rows (h, doc, at) of whole groups to the first of their group, as rows of ``names``.
 
-        The first rows of groups of frequent hashes, or of a ``part`` of a group, come with ``h`` and their ``at`` as well.
+        A seed's link also names the document before it in its group, if that is another. The first rows of groups
+        of frequent hashes, or of a ``part`` of a group, come with ``h`` and their ``at`` as well.
         """
         new = np.append(True, m[1:, 0] != m[:-1, 0])[: len(m)]
         group = np.cumsum(new) - 1
-        shared = (np.bincount(group, minlength=1)[group] > 1) | (m[:, 3] != 0) | part if len(m) else np.empty(0, bool)
+        shared = (np.bincount(group, minlength=1)[group] > 1) | (m[:, 2] >> 6 & 1 != 0) | part if len(m) else np.empty(0, bool)
         m, group = m[shared], group[shared]
         order = np.lexsort((m[:, 2], m[:, 1], group))
         m, group = m[order], group[order]
-        first = np.nonzero(np.append(True, group[1:] != group[:-1])[: len(group)])[0]
+        head_of = np.append(True, group[1:] != group[:-1])[: len(group)]
+        first = np.nonzero(head_of)[0]
         to = m[np.repeat(first, np.diff(np.append(first, len(group))))] if len(group) else m
-        head = m[first][(m[first, 3] != 0) | part]
+        often = m[first][:, 2] >> 6 & 1 != 0
+        head = m[first][often | part]
+        h = np.where(often, m[first][:, 0] ^ salt(m[first][:, 1]), m[first][:, 0])[often | part]
+        # the row before a document's first row in a group is of the document before it
+        own = np.maximum.accumulate(np.where(head_of | np.append(True, m[1:, 1] != m[:-1, 1])[: len(m)], np.arange(len(m)), 0)) if len(m) else first
+        prior = m[np.maximum(own - 1, 0)]
         k = m[:, 1] != to[:, 1]
-        m, to = m[k], to[k]
-        span, pos, apos = m[:, 2] & 63, m[:, 2] >> 6, to[:, 2] >> 6
+        m, to, prior = m[k], to[k], prior[k]
+        span, pos, apos = m[:, 2] & 63, m[:, 2] >> 7, to[:, 2] >> 7
         run = span > 0  # a run gives its first and its last seed
-        none, h = 0 * head[:, 0], np.where(head[:, 3] != 0, head[:, 3], head[:, 0])
-        parts = ((m[:, 1], m[run, 1], head[:, 1]), (to[:, 1], to[run, 1], none), (pos, (pos + span)[run], head[:, 2]), (apos, (apos + span)[run], none), (0 * pos, 0 * pos[run], h))
+        more = ~run & (prior[:, 1] != to[:, 1])
+        none = 0 * head[:, 0]
+        before, at = np.where(more, prior[:, 1], NONE), np.where(more, prior[:, 2] >> 7, 0)
+        parts = ((m[:, 1], m[run, 1], head[:, 1]), (to[:, 1], to[run, 1], none), (pos, (pos + span)[run], head[:, 2]), (apos, (apos + span)[run], none), (0 * pos, 0 * pos[run], h), (before, before[run], none + NONE), (at, at[run], none))
         return pd.DataFrame(dict(zip(names, map(np.concatenate, parts))))
 
     most = MOST_HELD
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Links to the first row of each ``h``; a group of more than MOST_HELD rows is resolved in parts of that size."""
-        held, parted = np.empty((0, 4), np.int64), False
+        held, parted = np.empty((0, 3), np.int64), False
         for pdf in batches:
-            held = np.concatenate([held, np.stack([pdf[c].to_numpy(np.int64) for c in ("h", "doc", "at", "often")], 1)])
+            held = np.concatenate([held, np.stack([pdf[c].to_numpy(np.int64) for c in ("h", "doc", "at")], 1)])
             if not len(held):
                 continue
             last = int(np.argmax(held[:, 0] == held[-1, 0]))  # where the last group begins: equal hashes come together
@@ -344,28 +422,44 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         yield resolve(held, parted)
 
     # seeds of one document only are the most by far: they are shuffled once, never staged
-    typed = "h long, doc long, at long, often long"
+    typed = "h long, doc long, at long"
     some = rows.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0).mapInPandas(find, typed)
     common = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n")).limit(MOST_HOT).select("h").collect()
     hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["h"] for r in common), np.int64))
     found = rows.mapInPandas(lambda batches: find(batches, hot.value), typed)
     # one sort column of eight bytes: Spark sorts it by radix
-    met = found.repartition("h").sortWithinPartitions("h").mapInPandas(meet, "doc long, anchor long, pos long, apos long, h long")
+    met = found.repartition("h").sortWithinPartitions("h").mapInPandas(meet, "doc long, anchor long, pos long, apos long, h long, prior long, ppos long")
     met = stage(met, "links")
-    found = met.where("h = 0").drop("h")
+    found = met.where("h = 0").drop("h", "prior", "ppos")
     # the firsts of a hash's salts or parts, few for any number of rows, link to the first of all
     firsts = met.where("h <> 0").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("doc", "pos"))).alias("all"))
     firsts = firsts.select(F.get("all", F.lit(0)).alias("to"), F.explode(F.slice("all", 2, 1 << 30)).alias("x")).where("x.doc <> to.doc")
-    at = lambda x, last: (F.shiftright(x, 6) + (F.col("x.pos").bitwiseAND(63) if last else 0)).alias("p" if x == "x.pos" else "q")
+    at = lambda x, last: (F.shiftright(x, 7) + (F.col("x.pos").bitwiseAND(63) if last else 0)).alias("p" if x == "x.pos" else "q")
     for last in (False, True):
         some = firsts.where(F.col("x.pos").bitwiseAND(63) > 0) if last else firsts
         found = found.union(some.select("x.doc", F.col("to.doc").alias("anchor"), at("x.pos", last), at("to.pos", last)))
 
+    one = stage(_aligned(rows, found), "passages")
+    # covered stretches travel as links of anchor NONE
+    covered = one.select(F.col("doc_id").alias("doc"), F.lit(NONE).alias("anchor"), F.col("start_word").alias("pos"), F.col("end_word").alias("apos"))
+    rest = met.where(F.col("prior") != NONE).select("doc", F.col("prior").alias("anchor"), "pos", F.col("ppos").alias("apos"))
+    return one.unionByName(_aligned(rows, rest.unionByName(covered)))
+
+
+def _aligned(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The passages of ``rows`` (doc, text) in the chains of ``links`` (doc, anchor, pos, apos).
+
+    A link of anchor NONE says that [pos, apos) of its document is known: links of seeds in it are left out.
+    """
+
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc", "anchor", "s", "e", "t", "u", "low", "high"]
 
         def groups(m: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame(candidates(m), columns=names)
+            known = m[:, 1] == NONE
+            if known.any():
+                m = uncovered(m[~known], m[known])
+            return pd.DataFrame(candidates(m) if len(m) else np.empty((0, 8), np.int64), columns=names)
 
         held = np.empty((0, 4), np.int64)
         for pdf in batches:
@@ -377,11 +471,10 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if len(held):
             yield groups(held)
 
-    dealt = found.repartition("doc").sortWithinPartitions("doc", "anchor", "pos", "apos")
+    dealt = links.repartition("doc").sortWithinPartitions("doc", "anchor", "pos", "apos")
     spans = dealt.mapInPandas(chain, "doc long, anchor long, s long, e long, t long, u long, low long, high long")
-    pad = SLACK
-    down = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - pad) / GRID) * GRID).cast("long")
-    up = lambda c: (F.ceil((F.col(c) + pad) / GRID) * GRID).cast("long")
+    down = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - PAD) / GRID) * GRID).cast("long")
+    up = lambda c: (F.ceil((F.col(c) + PAD) / GRID) * GRID).cast("long")
     spans = spans.select("doc", "anchor", "low", "high", down("s").alias("s"), up("e").alias("e"), down("t").alias("t"), up("u").alias("u"))
     spans = stage(spans.distinct(), "spans")
     asked = spans.select("doc", "s", "e").union(spans.select("anchor", "t", "u")).distinct()
