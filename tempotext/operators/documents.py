@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import content_key, fingerprint, format_timestamp, join_pieces, parse_timestamp, squeeze, visible_text
+from ..functions.text import content_key, fingerprint, format_timestamp, join_pieces, normalize_text, parse_timestamp, squeeze, visible_text
 from .cues import CONTEXT, SPAN, merge_cues, window_context
 
 # Marks and patterns of the transcript format.
@@ -158,18 +158,6 @@ def previous_tail(rows: DataFrame, span_ms: int = SPAN, most: int = 3) -> DataFr
     return w.select("video_id", "window_index", F.coalesce(before, F.slice("all", 1, 0)).alias("tail"))
 
 
-def window_fingerprints(rows: DataFrame, span_ms: int = SPAN) -> DataFrame:
-    """(video_id, window_index, print) over a window's texts and the tail before it, so a change reaches the next window."""
-    own = rows.groupBy("video_id", F.expr(f"start_ms div {span_ms}").alias("window_index")).agg(F.array_join(_listed("n", "text"), "\x1f").alias("own"))
-    both = own.join(previous_tail(rows, span_ms), ["video_id", "window_index"])
-    return both.select("video_id", "window_index", fingerprint(F.col("own"), F.array_join("tail.text", "\x1f")).alias("print"))
-
-
-def incremental_windows(rows: DataFrame, saved: DataFrame, span_ms: int = SPAN) -> DataFrame:
-    """Windows whose fingerprint is not among the saved ones: those to compute again."""
-    return window_fingerprints(rows, span_ms).join(saved, ["video_id", "window_index", "print"], "left_anti")
-
-
 # ---- sentences and replies -------------------------------------------------------------------------------------------
 
 
@@ -187,11 +175,12 @@ def proportional_retime(pieces: DataFrame) -> DataFrame:
 def parse_recognition_replies(replies: DataFrame) -> DataFrame:
     """(video_id, frame_id, text, confidence, line_count) of replies: JSON between the first and last brace, fences around it ignored.
 
-    Missing confidence is 0.5; lines are those of the text or as many as the reply states. A reply without JSON gives no row.
+    Texts are normalised: blank lines go. Missing confidence is 0.5; lines are those of the text or as many as the reply
+    states. A reply without JSON gives no row.
     """
     schema = "frames array<struct<frame_id: long, text: string, confidence: double, line_count: long>>"
     frames = F.from_json(F.regexp_extract("reply", r"(?s)\{.*\}", 0), schema)["frames"]
-    rows = replies.select("video_id", F.explode(frames).alias("f")).select("video_id", "f.*").withColumn("text", F.trim(F.coalesce("text", F.lit(""))))
+    rows = replies.select("video_id", F.explode(frames).alias("f")).select("video_id", "f.*").withColumn("text", normalize_text(F.coalesce("text", F.lit(""))))
     lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return rows.select("video_id", "frame_id", "text", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.greatest(lines, F.coalesce("line_count", F.lit(0))).alias("line_count"))
 

@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.blocks import matching
 from ..functions.similarity import safe_correction
@@ -19,11 +19,13 @@ from ..functions.text import COMPARED
 from ..sources.shared import scratch
 from .cues import CONTEXT, SPAN, chunk_with_context, window_context
 from .documents import retry_missing
-from .reuse import reference_conflict, review_ids, validate_corrections
+from .reuse import reference_conflict, validate_corrections
 from .sentences import CLOSING, TERMINAL, validate_boundaries
 
 ANSWER = "video_id {0}, frame_id long, text string, confidence double, line_count long"
-DECISION = "video_id {0}, window_index long, ord long, kind string, ids array<bigint>, text string, recheck boolean"
+#: A window's result: the tail it was given and its decisions.
+_MADE = "kind: string, cue_ids: array<bigint>, ocr_ids: array<bigint>, text: string, recheck: boolean"
+RESULT = "video_id {0}, window_index long, tail array<string>, decisions array<struct<" + _MADE + ">>"
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
@@ -66,7 +68,7 @@ def _ask(frames: DataFrame, fn: Callable, size: int) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _groups(parts, ["video_id"], size):
-            got = fn(batch).copy()
+            got = fn(batch).drop_duplicates("frame_id")
             got["video_id"] = batch["video_id"].iloc[0]
             yield got[got["frame_id"].isin(batch["frame_index"])][names]
 
@@ -78,13 +80,14 @@ def recognize_frames(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFram
     """(video_id, frame_id, text, confidence, line_count): answers of ``fn`` for frames (video_id, frame_index, ...), one a frame.
 
     ``fn`` gets up to ``batch_size`` frames of one video and returns (frame_id, text, confidence, line_count). Answers for
-    other frames are dropped; frames without an answer are asked once more, alone. Of several answers the least text counts.
+    other frames are dropped; of several for a frame the first counts. Frames without an answer are asked once more, alone;
+    those that have none then come with null text, confidence and line count.
     """
     first = _written(_ask(frames, fn, batch_size), "answers")
     again = _written(_ask(retry_missing(frames, first), fn, 1), "answers")
     both = first.unionByName(again)
-    one = both.groupBy("video_id", "frame_id").agg(F.min(F.struct("text", "confidence", "line_count")).alias("x"))
-    return one.select("video_id", "frame_id", "x.*")
+    asked = frames.where("video_id is not null and frame_index is not null").select("video_id", F.col("frame_index").cast("long").alias("frame_id")).distinct()
+    return asked.join(both, ["video_id", "frame_id"], "left").select("video_id", "frame_id", "text", "confidence", "line_count")
 
 
 def ends_with_mark(before: pd.DataFrame, target: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
@@ -152,7 +155,7 @@ def propose_corrections(segments: DataFrame, fn: Callable | None = None, size: i
 def spoken_per_cue(window: pd.DataFrame, tail: list[str]) -> pd.DataFrame:
     """The default decisions: a spoken row for each target cue."""
     own = window[(window["role"] == "cue") & window["target"]]
-    return pd.DataFrame({"kind": "spoken", "ids": [[n] for n in own["n"]], "text": own["text"].to_list(), "recheck": False})
+    return pd.DataFrame({"kind": "spoken", "cue_ids": [[n] for n in own["n"]], "ocr_ids": [[] for _ in own["n"]], "text": own["text"].to_list(), "recheck": False})
 
 
 def _window_rows(cues: DataFrame, segments: DataFrame, span_ms: int, context_ms: int) -> DataFrame:
@@ -167,51 +170,129 @@ def _window_rows(cues: DataFrame, segments: DataFrame, span_ms: int, context_ms:
     return side(cues, "cue").unionByName(side(segments, "ocr")).join(own, ["video_id", "window_index"], "left_semi")
 
 
-def _run_windows(rows: DataFrame, fn: Callable, in_order: bool, most: int) -> DataFrame:
-    """Decisions of windows with a target row; in order, each gets the last ``most`` texts of the window before it."""
-    schema = DECISION.format(_key_type(rows))
-    names = [x.split()[0] for x in schema.split(", ")]
+_SEEN = ["role", "n", "start_ms", "end_ms", "text", "target"]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, tail = None, []
-        for window in _groups(parts, ["video_id", "window_index"]):
-            key = window["video_id"].iloc[0]
-            tail = tail if in_order and key == video else []
-            got = fn(window, tail)
-            got = got.assign(video_id=key, window_index=window["window_index"].iloc[0], ord=range(len(got)))
-            video, tail = key, [x for x in got.loc[got["kind"] == "spoken", "text"]][-most:]
-            if len(got):
-                yield got[names]
 
-    keys = ["video_id"] if in_order else ["video_id", "window_index"]
-    return _spread(rows, *keys).sortWithinPartitions("video_id", "window_index", "role", "n").mapInPandas(run, schema)
+def _to_see_again(made: pd.DataFrame, window: pd.DataFrame) -> list[int]:
+    """Recognised ids that flagged decisions name, once each; all of the window's own if a flagged spoken one and none names any."""
+    flagged = made[made["recheck"].astype(bool)]
+    ids = [x for own in flagged["ocr_ids"] for x in (own if own is not None else [])]
+    if not ids and (flagged["kind"] == "spoken").any():
+        ids = window.loc[(window["role"] == "ocr") & window["target"], "n"].to_list()
+    return list(dict.fromkeys(ids))
 
 
-def reconcile_windows(cues: DataFrame, segments: DataFrame, fn: Callable = spoken_per_cue, in_order: bool = False, span_ms: int = SPAN, context_ms: int = CONTEXT, most: int = 3) -> DataFrame:
-    """(video_id, window_index, ord, kind, ids, text, recheck): decisions of ``fn`` on each window of cues and recognised segments.
+def _walk(rows: DataFrame, fn: Callable, review: Callable | None, most: int) -> DataFrame:
+    """Results of windows of rows with ``run`` and ``before``: the windows of a run go one after the other, the first with the tail ``before``."""
+    schema = RESULT.format(_key_type(rows))
+    fields = [x.split(":")[0] for x in _MADE.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, tail = None, []
+        for window in _groups(parts, ["video_id", "run", "window_index"]):
+            key = (window["video_id"].iloc[0], window["run"].iloc[0])
+            tail = tail if key == last else list(window["before"].iloc[0])
+            seen = window[_SEEN]
+            made = fn(seen, tail)
+            ids = _to_see_again(made, seen) if review else []
+            if ids:
+                again = review(ids, seen)
+                again = again[again["text"].fillna("").str.strip() != ""]
+                if len(again):
+                    more = pd.DataFrame({"role": "reread", "n": again["id"], "text": again["text"], "target": False})
+                    made = fn(pd.concat([seen, more.reindex(columns=_SEEN)], ignore_index=True), tail)
+            result = made[fields].to_dict("records")
+            yield pd.DataFrame({"video_id": [key[0]], "window_index": [window["window_index"].iloc[0]], "tail": [tail], "decisions": [result]})
+            last, tail = key, [x["text"] for x in result if x["kind"] == "spoken"][-most:] if most else []
+
+    return _spread(rows, "video_id", "run").sortWithinPartitions("video_id", "run", "window_index", "role", "n").mapInPandas(run, schema)
+
+
+def decisions_of(results: DataFrame) -> DataFrame:
+    """(video_id, window_index, ord, kind, cue_ids, ocr_ids, text, recheck), one row for each decision of the windows' results."""
+    return results.select("video_id", "window_index", F.posexplode("decisions").alias("ord", "x")).select("video_id", "window_index", F.col("ord").cast("long").alias("ord"), "x.*")
+
+
+def reconcile_windows(
+    cues: DataFrame, segments: DataFrame, fn: Callable = spoken_per_cue, in_order: bool = False, span_ms: int = SPAN, context_ms: int = CONTEXT, most: int = 3, review: Callable | None = None
+) -> DataFrame:
+    """(video_id, window_index, ord, kind, cue_ids, ocr_ids, text, recheck): decisions of ``fn`` on each window of cues and recognised segments.
 
     ``fn(window, tail)`` gets the rows (role: cue or ocr, n, start_ms, end_ms, text, target) of a window and its context and
-    returns (kind: spoken or annotation, ids, text, recheck). With ``in_order`` the windows of a video run one after the
+    returns (kind: spoken or annotation, cue_ids, ocr_ids, text, recheck). With ``in_order`` the windows of a video run one after the
     other in one task, streamed, with the last ``most`` spoken texts of the window before; else every window runs on its own
-    and ``tail`` is empty. Check the result with ``validate_window_decisions``.
+    and ``tail`` is empty. Check the result with ``validate_window_decisions`` and ``validate_window_sources``.
+
+    With ``review(ids, window)``, which returns (id, text), the recognised rows that flagged decisions name are read again: those of all
+    the window's own segments if a spoken one is flagged and none names any. If some text comes back, ``fn`` decides once more with
+    those as rows of role ``reread`` and the same tail, and the next window's tail is of what it decides then.
     """
-    return _run_windows(_window_rows(cues, segments, span_ms, context_ms), fn, in_order, most)
+    rows = _window_rows(cues, segments, span_ms, context_ms)
+    rows = rows.withColumn("run", F.lit(0).cast("long") if in_order else F.col("window_index")).withColumn("before", F.array().cast("array<string>"))
+    return decisions_of(_walk(rows, fn, review, most if in_order else 0))
+
+
+def second_pass(cues: DataFrame, segments: DataFrame, fn: Callable, review: Callable, span_ms: int = SPAN, context_ms: int = CONTEXT, most: int = 3) -> DataFrame:
+    """Decisions of all windows, in order, where flagged ones are read again by ``review`` and decided once more within their window."""
+    return reconcile_windows(cues, segments, fn, True, span_ms, context_ms, most, review)
+
+
+def window_prints(rows: DataFrame, config: str = "") -> DataFrame:
+    """(video_id, window_index, print): over all rows of a window and its context, with role, times and text, and the configuration."""
+    all_ = F.array_sort(F.collect_list(F.struct("role", "n", "start_ms", "end_ms", "text", "target")))
+    return rows.groupBy("video_id", "window_index").agg(F.sha2(F.concat(F.lit(config), F.lit("\x1f"), F.to_json(all_)), 256).alias("print"))
 
 
-def second_pass(cues: DataFrame, segments: DataFrame, decisions: DataFrame, rereads: DataFrame, fn: Callable = spoken_per_cue, span_ms: int = SPAN, context_ms: int = CONTEXT) -> DataFrame:
-    """Decisions after one more pass over the windows with flagged rows of which some reread (video_id, window_index, id, text) has text.
+def incremental_windows(
+    cues: DataFrame, segments: DataFrame, saved: DataFrame | None = None, fn: Callable = spoken_per_cue, config: str = "", span_ms: int = SPAN, context_ms: int = CONTEXT, most: int = 3, review: Callable | None = None
+) -> DataFrame:
+    """(video_id, window_index, print, tail, decisions, round): results of all windows, of which only those that changed are computed.
 
-    Those windows run again with the rereads of the flagged rows as rows of role ``reread``; all other decisions stay.
+    ``saved`` is what an earlier call returned (None at first). A window is computed again where its print (rows of the
+    window and its context, with times, and ``config``) is new, or where the tail that it was given is no longer what
+    the window before ends in. Round 1 walks each run of windows with new prints in order, beginning with the saved tail before it; each
+    further round computes the windows behind those whose tail came out otherwise, until none does. So the result is that of
+    a walk over all windows, and work and shuffles of the functions grow with the change. ``round`` is 0 for windows that are reused.
     """
-    at = F.expr(f"start_ms div {span_ms}").cast("long")
-    targets = segments.select("video_id", at.alias("window_index"), F.col("n").cast("long").alias("id"))
-    seen = rereads.where("trim(text) <> ''").join(review_ids(decisions, targets), ["video_id", "window_index", "id"], "left_semi")
-    windows = seen.select("video_id", "window_index").distinct()
-    rows = _window_rows(cues, segments, span_ms, context_ms).join(windows, ["video_id", "window_index"], "left_semi")
-    none = F.lit(None).cast("long")
-    more = seen.select("video_id", "window_index", F.col("id").alias("n"), F.lit(False).alias("target"), none.alias("start_ms"), none.alias("end_ms"), "text", F.lit("reread").alias("role"))
-    again = _run_windows(rows.unionByName(more), fn, False, 0)
-    return decisions.select(*again.columns).join(windows, ["video_id", "window_index"], "left_anti").unionByName(again)
+    rows = _window_rows(cues, segments, span_ms, context_ms)
+    key = ["video_id", "window_index"]
+    now = window_prints(rows, config)
+    old = now.select(*key).limit(0).select(*key, *[F.lit(None).cast(t).alias(c) for c, t in (("old", "string"), ("tail", "array<string>"), ("decisions", f"array<struct<{_MADE}>>"))]) if saved is None else saved.select(*key, F.col("print").alias("old"), "tail", "decisions")
+    by_video = W.partitionBy("video_id").orderBy("window_index")
+    spoken = F.filter("decisions", lambda x: x["kind"] == "spoken")
+    ends = F.transform(F.slice(spoken, F.greatest(F.size(spoken) - most + 1, F.lit(1)), F.lit(most)), lambda x: x["text"]) if most else F.array().cast("array<string>")
+    base = now.join(old, key, "left").withColumn("ends", F.coalesce(ends, F.array().cast("array<string>"))).withColumn("prior", F.lag("window_index").over(by_video))
+    # a window whose predecessor came or went gets another tail; its saved end is known, so it is seen in the first round
+    base = base.withColumn("before", F.coalesce(F.lag("ends").over(by_video), F.array().cast("array<string>")))
+    fresh = F.col("old").isNull() | (F.col("old") != F.col("print"))
+    base = base.withColumn("fresh", fresh).withColumn("dirty", fresh | (~F.coalesce(F.lag(fresh).over(by_video), F.lit(False)) & ~F.col("tail").eqNullSafe(F.col("before"))))
+    base = base.withColumn("run", F.sum((~F.col("dirty")).cast("long")).over(by_video)).withColumn("start", F.min(F.when(F.col("dirty"), F.col("window_index"))).over(W.partitionBy("video_id", "run")))
+    base = _written(base, "windows")
+    # the tail before a run is that before its first window
+    heads = base.where("dirty and window_index = start").select("video_id", F.col("start").alias("run"), "before")
+    todo = base.where("dirty").select(*key, F.col("start").alias("run")).join(heads, ["video_id", "run"])
+    parts: list[DataFrame] = []
+    while not (todo := _written(todo, "todo")).isEmpty():
+        made = _written(_walk(rows.join(todo, key), fn, review, most).withColumn("round", F.lit(len(parts) + 1)), "made")
+        # a later round's results replace earlier ones
+        parts = [p.join(made.select(*key), key, "left_anti") for p in parts] + [made]
+        tails = made.select("video_id", F.col("window_index").alias("prior"), F.coalesce(ends, F.array().cast("array<string>")).alias("new"))
+        given = parts[0]
+        for p in parts[1:]:
+            given = given.unionByName(p)
+        given = given.select(*key, F.col("tail").alias("used"))
+        behind = base.select(*key, "prior", "tail").join(tails, ["video_id", "prior"]).join(given, key, "left")
+        behind = behind.where(~F.coalesce("used", "tail").eqNullSafe(F.col("new")))
+        todo = behind.select(*key, F.col("window_index").alias("run"), F.col("new").alias("before"))
+    out = base.select(*key, "print", F.col("tail").alias("_tail"), F.col("decisions").alias("_decisions"))
+    if not parts:
+        return out.select(*key, "print", F.col("_tail").alias("tail"), F.col("_decisions").alias("decisions"), F.lit(0).alias("round"))
+    made = parts[0]
+    for p in parts[1:]:
+        made = made.unionByName(p)
+    both = out.join(made, key, "left")
+    new = F.col("round").isNotNull()
+    return both.select(*key, "print", F.when(new, F.col("tail")).otherwise(F.col("_tail")).alias("tail"), F.when(new, F.col("decisions")).otherwise(F.col("_decisions")).alias("decisions"), F.coalesce("round", F.lit(0)).alias("round"))
 
 
 # ---- cuts from a reference -------------------------------------------------------------------------------------------

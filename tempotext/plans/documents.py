@@ -126,16 +126,6 @@ def previous_tail(s, d):
     return D.previous_tail(X.cues(s, d)).withColumn("tail", F.array_join(F.col("tail.n").cast("array<string>"), ","))
 
 
-_OLD = _TAIL.replace(", w as", ", w0 as", 1).replace(", t as", ", t0 as", 1).replace("from w window", "from w0 window").replace("list(text", "list(case when n % 50 = 7 then 'old' else text end")
-
-
-@query(_TAIL + _OLD + "select t.video_id, t.window_index from t join t0 using (video_id, window_index) where t.ts <> t0.ts or coalesce(t.texts <> t0.texts, false)", "cues")
-def incremental_windows(s, d):
-    c = X.cues(s, d)
-    saved = D.window_fingerprints(c.withColumn("text", F.when(F.col("n") % 50 == 7, "old").otherwise(F.col("text"))))
-    return D.incremental_windows(c, saved).select("video_id", "window_index")
-
-
 # ---- sentences and replies -------------------------------------------------------------------------------------------
 
 
@@ -153,13 +143,17 @@ def proportional_retime(s, d):
 
 
 def _replies(s, d) -> DataFrame:
+    """Answers in JSON between fences; every fifth text is written full-width, on two lines with an empty one between."""
     i = F.col("frame_index")
-    f = F.struct(i.alias("frame_id"), "text", F.when(i % 4 != 0, F.col("confidence")).alias("confidence"), F.when(i % 3 != 0, i % 3).alias("line_count"))
+    text = F.when(i % 5 == 1, F.concat(F.lit("Ａ　"), "text", F.lit("\n \n "), "text")).otherwise(F.col("text"))
+    f = F.struct(i.alias("frame_id"), text.alias("text"), F.when(i % 4 != 0, F.col("confidence")).alias("confidence"), F.when(i % 3 != 0, i % 3).alias("line_count"))
     made = X.observations(s, d).where("frame_index % 7 <> 0").groupBy("video_id", "batch_index").agg(F.to_json(F.struct(F.collect_list(f).alias("frames"))).alias("j"))
     return made.select("video_id", F.concat(F.lit("Here:\n```json\n"), "j", F.lit("\n```")).alias("reply"))
 
 
-@query("select video_id, frame_index frame_id, trim(text) as text, case when frame_index % 4 = 0 then 0.5::double else confidence end confidence, greatest((trim(text) <> '')::int, frame_index % 3)::bigint line_count from observations where frame_index % 7 <> 0", "observations")
+@query("""
+, t as (select *, case when frame_index % 5 = 1 then case when text = '' then 'A' else 'A ' || text || chr(10) || text end else text end said from observations where frame_index % 7 <> 0)
+select video_id, frame_index frame_id, said as text, case when frame_index % 4 = 0 then 0.5::double else confidence end confidence, greatest((said <> '')::int + (contains(said, chr(10)))::int, frame_index % 3)::bigint line_count from t""", "observations")
 def parse_recognition_replies(s, d):
     return D.parse_recognition_replies(_replies(s, d))
 

@@ -135,7 +135,7 @@ def tumbling_windows(s, d):
 
 
 @query("""
-, w as (select *, unnest(range((greatest(0, start_ms - 3000)//20000)::bigint, ((end_ms + 3000)//20000 + 1)::bigint)) window_index from cues)
+, w as (select *, unnest(range((greatest(0, start_ms - 3001)//20000)::bigint, ((end_ms + 3000)//20000 + 1)::bigint)) window_index from cues)
 select video_id, window_index, n, start_ms//20000 = window_index target from w where end_ms >= window_index*20000 - 3000 and start_ms <= (window_index+1)*20000 + 3000""", "cues")
 def window_context_join(s, d):
     return C.window_context(X.cues(s, d))
