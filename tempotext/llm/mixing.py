@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import WORD, stage
+from .shards import positions
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Rows of one key range within a source, on average; prefix sums run within ranges and over range totals.
-RANGE_ROWS = 1000
 
 
 def n_words(text: Column) -> Column:
@@ -61,29 +60,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     last; equal keys (repeated rows) are ordered by id and size, and equal rows are interchangeable. An empty table
     gives no rows.
 
-    The order within a source is cut into key ranges of equal width: a key density is at most 1, so a range holds about
-    RANGE_ROWS rows of a source of any size or share. Totals are summed over groups of RANGE_ROWS ranges first, then over
-    the ranges of a group, then over the rows of a range. Texts are read once; what is known of them is written.
+    All rows are laid out once in the order of source, key, id and size by Spark's range partitioning, which also cuts between rows
+    equal in all of these, and written; prefix sums run over blocks of rows, then over the totals of blocks and partitions
+    (``shards.positions``), so no source, id or key has a window of its own. Texts are read once; what is known of them is written.
     """
     cols = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), (-F.log(uniform(F.col(id_col), seed)) / quality(F.col(text_col))).alias("key"), *cols)
-    rows = stage(rows, "keys")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    targets = source_targets(sizes.select("source", "source_size"), share, most, weights)
-    plan = sizes.select(F.col("source").alias("s"), "n").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("source")
+    rows = stage(rows.withColumn("tie", F.monotonically_increasing_id()), "keys")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = source_targets(sizes, share, most, weights)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     plan = plan.withColumn("rest", F.floor(F.col("target")) - F.col("epochs") * F.col("source_size"))
-    plan = plan.withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS)).select("s", "source_size", "target", "epochs", "rest", "ranges")
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("range", F.floor(F.col("key") * F.col("ranges")))
-    totals = rows.groupBy("s", "range").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("range") / RANGE_ROWS))
-    sums = totals.groupBy("s", "group").agg(F.sum("words").alias("words"))
-    before = lambda *by: F.coalesce(F.sum("words").over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(F.col("s").alias("gs"), F.col("group").alias("gg"), before("s", "group").alias("base"))
-    totals = totals.withColumn("before", before("s", "group", "range")).join(sums, F.col("s").eqNullSafe(F.col("gs")) & (F.col("group") == F.col("gg")))
-    totals = totals.select(F.col("s").alias("ts"), F.col("range").alias("tr"), (F.col("base") + F.col("before")).alias("before"))
-    rows = rows.join(totals, F.col("s").eqNullSafe(F.col("ts")) & (F.col("range") == F.col("tr")))
-    inner = W.partitionBy("s", "range").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    prefix = F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
+    before = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    plan = plan.withColumn("base", F.coalesce(F.sum("source_size").over(before), F.lit(0))).withColumnRenamed("source", "s")
+    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("id"), F.col("size"), F.col("tie")]
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie").withColumn("at", F.monotonically_increasing_id())
+    rows = positions(stage(laid, "laid")).join(plan, F.col("source").eqNullSafe(F.col("s")))
+    prefix = F.col("offset") - F.col("base")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - prefix))
     taken = (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken, *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)])

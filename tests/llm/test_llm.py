@@ -220,6 +220,18 @@ def test_extract(spark):
     assert H.extract(d.limit(0)).count() == 0
 
 
+def test_mixing_of_many_null_and_repeated_ids(spark):
+    """Half of the rows have no id, a third one id, texts repeat: no window is by source, id or key, and the words add up."""
+    rows = [(None if k % 2 else 7 if k % 3 else k, " ".join(["w"] * (k % 5))) for k in range(6000)]
+    d = docs(spark, rows).withColumn("source", F.when(F.col("n_chars") > 4, "a"))
+    out = mixing.mix(d.repartition(3), keep=("source",))
+    got = out.collect()
+    assert len(got) == 6000 and sorted(map(str, got)) == sorted(map(str, mixing.mix(d, keep=("source",)).collect()))
+    for name in (None, "a"):
+        own = [r for r in got if r.source == name]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1 and all(r.taken <= 2 * r["size"] for r in own)
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     d = spark.createDataFrame([(i, " ".join(["w"] * rng.randrange(30)), ["a", "b", None, "d"][i % 4]) for i in range(200)] + [(3, None, "a"), (3, None, "a"), (None, "x y", "b")], "doc_id long, text string, source string")
