@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -92,17 +94,18 @@ class Block(NamedTuple):
     text: str
     linked: float
     bad: bool
-    named: tuple[int, ...]
+    named: int
     root: int
     heading: bool
 
 
-def blocks(page: str) -> tuple[list[Block], set[int]]:
-    """Blocks in page order, and the elements named apart that hold an article or main element all the same."""
+def blocks(page: str) -> tuple[list[Block], list[int], set[int]]:
+    """Blocks in page order, the elements named apart by number, each with the one around it (0: none), and those that hold an article or main element all the same."""
     out, parts = [], []  # parts: (text, linked)
-    stack: list[tuple[str, bool, tuple[int, ...], int]] = []
-    bad, named, root, roots, linked, heading = False, (), 0, 0, False, False
-    names, wrappers = 0, set()
+    stack: list[tuple[str, bool, int, int]] = []
+    open_: Counter[str] = Counter()  # names on the stack
+    bad, named, root, roots, linked, heading = False, 0, 0, 0, False, False
+    above, wrappers = [0], set()
 
     def close() -> None:
         nonlocal parts
@@ -117,6 +120,8 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
         nonlocal bad, named, root
         close()
         bad, named, root = stack[k][1:]
+        for x in stack[k:]:
+            open_[x[0]] -= 1
         del stack[k:]
 
     def end(which: tuple[str, ...], stop: tuple[str, ...]) -> None:
@@ -152,14 +157,14 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
             if name in BLOCK:
                 close()
                 linked = heading = False
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1 if open_[name] else -1, -1, -1):
                 if stack[k][0] == name:
                     pop(k)
                     break
                 if stack[k][0] in ("article", "main", "body"):  # a stray end tag doesn't leave its article
                     break
             continue
-        if name not in HEAD:
+        if name not in HEAD and open_["head"]:
             end(("head",), ())
         if name in RAW:
             stop = RAW_END[name].search(page, at)
@@ -191,17 +196,21 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
             if surely or by_name:
                 close()
             stack.append((name, bad, named, root))
+            open_[name] += 1
             bad = bad or surely
             if by_name:
-                names += 1
-                named = (*named, names)
+                above.append(named)
+                named = len(above) - 1
             if name in ("article", "main") and not bad and not by_name:
-                wrappers.update(named)
+                x = named
+                while x and x not in wrappers:
+                    wrappers.add(x)
+                    x = above[x]
                 if not root:
                     roots += 1
                     root = roots
     close()
-    return out, wrappers
+    return out, above, wrappers
 
 
 def main_text(page: str | None) -> str:
@@ -216,7 +225,7 @@ def main_text(page: str | None) -> str:
     and with none decided the element itself speaks for them. If an article has good blocks, those outside it are not
     its text.
     """
-    found, wrappers = blocks(page) if page else ([], set())
+    found, above, wrappers = blocks(page) if page else ([], [0], set())
     words = [LETTERS.findall(b.text.lower()) for b in found]
     stops = [sum(w in STOP_WORDS for w in x) for x in words]
     known = sum(stops) >= KNOWN * sum(map(len, words))
@@ -225,12 +234,43 @@ def main_text(page: str | None) -> str:
         b = found[k]
         return len(b.text) >= LONG and not b.heading and b.linked <= LINKED and (not known or stops[k] >= STOP_HIGH * len(words[k]))
 
-    if any(b.named for b in found):
-        long_ = [k for k, b in enumerate(found) if not b.bad and prose(k)]
-        for x in {x for b in found for x in b.named} - wrappers:
-            if long_ and all(x in found[k].named for k in long_) and any(b.heading and x in b.named for b in found):
-                wrappers.add(x)
-    away = [b.bad or any(x not in wrappers for x in b.named) for b in found]
+    around_all = _around_all(above, [found[k].named for k in range(len(found)) if not found[k].bad and prose(k)])
+    headed = set()
+    for b in found:
+        x = b.named if b.heading else 0
+        while x and x not in headed:
+            headed.add(x)
+            x = above[x]
+    wrappers |= {x for x in around_all if x in headed}
+    text = _kept(found, _named_apart(above, wrappers), words, stops, known, prose)
+    if not text and around_all:
+        # what an element is called is no reason to leave out all prose that the page has
+        text = _kept(found, _named_apart(above, wrappers | around_all), words, stops, known, prose)
+    return text
+
+
+def _around_all(above: list[int], inner: list[int]) -> set[int]:
+    """Named elements around all of some blocks, given by the innermost one of each: those that every block's walk up meets."""
+    if not inner or not all(inner):
+        return set()
+    met, todo = [0] * len(above), Counter(inner)
+    for x in range(len(above) - 1, 0, -1):  # an element comes after those around it
+        met[x] += todo[x]
+        met[above[x]] += met[x]
+    return {x for x in range(1, len(above)) if met[x] == len(inner)}
+
+
+def _named_apart(above: list[int], wrappers: set[int]) -> list[bool]:
+    """For each named element, whether its name or that of one around it counts."""
+    out = [False] * len(above)
+    for x in range(1, len(above)):
+        out[x] = out[above[x]] or x not in wrappers
+    return out
+
+
+def _kept(found: list[Block], apart_by_name: list[bool], words: list[list[str]], stops: list[int], known: bool, prose) -> str:
+    """The two passes: labels of the blocks, then those of their neighbours for the undecided ones; the good blocks' text."""
+    away = [b.bad or apart_by_name[b.named] for b in found]
     label: list[bool | None] = []
     for k, b in enumerate(found):
         if away[k] or b.linked > (LINKED_ROOT if b.root else LINKED):
@@ -243,29 +283,24 @@ def main_text(page: str | None) -> str:
             label.append(None)
     final = list(label)
     decided = [k for k, x in enumerate(label) if x is not None]
+    within: dict[int, list[int]] = {}
+    for k in decided:
+        if found[k].root and not away[k]:
+            within.setdefault(found[k].root, []).append(k)
     for k, own in enumerate(label):
         if own is not None:
             continue
-        root = found[k].root
-        near = _around(decided, k, lambda d: not root or found[d].root == root and not away[d])
+        near = _around(within.get(found[k].root, []) if found[k].root else decided, k)
         gap = min((abs(d - k) for d in near), default=0)
         final[k] = not near or any(label[d] for d in near if abs(d - k) == gap)
     inside = any(good and b.root for good, b in zip(final, found))
     return " ".join(b.text for good, b in zip(final, found) if good and (b.root or not inside))
 
 
-def _around(decided: list[int], k: int, fits) -> list[int]:
-    """The nearest decided blocks before and after k that fit."""
-    from bisect import bisect_left
-
+def _around(decided: list[int], k: int) -> list[int]:
+    """The nearest of some blocks before and after k."""
     at = bisect_left(decided, k)
-    out = []
-    for side in (range(at - 1, -1, -1), range(at, len(decided))):
-        for x in side:
-            if fits(decided[x]):
-                out.append(decided[x])
-                break
-    return out
+    return decided[max(at - 1, 0) : at + 1] if at else decided[:1]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators of tempotext.llm against brute force, round trips and planted cases, with nulls, ties, repeats and empty tables."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -220,6 +221,22 @@ def test_extract(spark):
     assert H.extract(d.limit(0)).count() == 0
 
 
+PROSE = "The cat and the dog were in the house for all of the time that they had, and it was good. " * 3
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + PROSE, "<div>" * 20_000 + PROSE + "</b>" * 20_000, "<div class='box menu'><p>x</p>" * 20_000 + "<article><p>" + PROSE, "".join(f"<article><p>short {k}</p></article>" for k in range(4000)) + f"<article><p>{PROSE}"])
+def test_html_of_deep_and_many_elements_is_read_in_linear_time(page):
+    began = time.process_time()
+    assert H.main_text(page).endswith(PROSE.strip())
+    assert time.process_time() - began < 3
+
+
+def test_names_alone_do_not_empty_a_page():
+    assert H.main_text(f'<div id="search-results-page"><p>{PROSE}</p></div>') == PROSE.strip()
+    assert H.main_text(f'<div class="sidebar"><p>{PROSE}</p></div><div><p>{PROSE}</p></div>') == PROSE.strip()
+    assert H.main_text(f'<nav><p>{PROSE}</p></nav>') == ""
+
+
 def test_mixing_of_many_null_and_repeated_ids(spark):
     """Half of the rows have no id, a third one id, texts repeat: no window is by source, id or key, and the words add up."""
     rows = [(None if k % 2 else 7 if k % 3 else k, " ".join(["w"] * (k % 5))) for k in range(6000)]
