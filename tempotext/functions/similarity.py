@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .blocks import matched_ratio, matching
+from .blocks import matched_ratio, matching, reaches
 from .text import normalize_text, punct_key
 
 
@@ -49,7 +49,7 @@ def matches(a: str, b: str, least: float) -> bool:
     """Matching blocks ratio of ``least`` or more; its upper bounds, by lengths and by counts of characters, come first."""
     if not a or not b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
         return False
-    return SequenceMatcher(None, a, b, autojunk=False).quick_ratio() >= least and matched_ratio(a, b) >= least
+    return SequenceMatcher(None, a, b, autojunk=False).quick_ratio() >= least and reaches(a, b, least)
 
 
 def contains(a: str, b: str, least: int = 4, share: float = 0.30) -> bool:
@@ -62,15 +62,29 @@ def text_contains(a: Column, b: Column, least: int = 4, share: float = 0.30) ->
     return (small >= least) & (small >= large * share) & F.when(F.length(a) <= F.length(b), F.contains(b, a)).otherwise(F.contains(a, b))
 
 
+def _overlap(x: str, y: str) -> int:
+    """Length of the longest end of ``x`` that begins ``y``, by the prefix function of ``y`` read over ``x``: linear."""
+    n = min(len(x), len(y))
+    y, x = y[:n], x[len(x) - n :]
+    back, k = [0] * n, 0
+    for i in range(1, n):
+        while k and y[i] != y[k]:
+            k = back[k - 1]
+        k += y[i] == y[k]
+        back[i] = k
+    k = 0
+    for ch in x:
+        while k and (k == n or ch != y[k]):
+            k = back[k - 1]
+        k += k < n and ch == y[k]
+    return k
+
+
 def joined(a: str, b: str, least: int = 4, share: float = 0.30) -> str | None:
     """``a`` with the rest of ``b`` at their longest overlap, line ends left out; None if too short."""
     x, y = a.replace("\n", ""), b.replace("\n", "")
-    for n in range(min(len(x), len(y)), least - 1, -1):
-        if n < share * min(len(x), len(y)):
-            return None
-        if x.endswith(y[:n]):
-            return x + y[n:]
-    return None
+    n = _overlap(x, y)
+    return x + y[n:] if n >= least and n >= share * min(len(x), len(y)) else None
 
 
 @F.pandas_udf(StringType())

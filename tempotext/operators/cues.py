@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -46,25 +48,44 @@ def align_references(segments: DataFrame, cues: DataFrame, pad_ms: int = PAD) ->
     return segments.select("video_id", "n").join(found, ["video_id", "n"], "left").withColumn("reference", F.coalesce("reference", F.array().cast("array<string>")))
 
 
-def uncovered_cues(cues: DataFrame, segments: DataFrame, pad_ms: int = COVER, least: float = SUPPORT) -> DataFrame:
+def uncovered_cues(cues: DataFrame, segments: DataFrame, pad_ms: int = COVER, least: float | None = SUPPORT) -> DataFrame:
     """Cues without a segment near them in time that supports their text.
 
     Texts are compared by keys of their letters and digits, and an empty one supports nothing. A segment supports a cue if
-    one key contains the other, or by a matching blocks ratio of ``least``; that one is asked only for cues that no
-    segment supports by the first test.
+    one key contains the other, or by a matching blocks ratio of ``least`` (None: by containment only). That one is asked only for
+    cues that no segment supports by the first test, of segments whose length allows it, those of the likest length first, until
+    one supports the cue.
     """
     s = segments.select("video_id", F.col("start_ms").alias("ss"), F.col("end_ms").alias("se"), coverage_key(F.col("text")).alias("sk")).where("sk <> ''")
     c = cues.withColumn("k", coverage_key(F.col("text")))
     near = overlapping(c.where("k <> ''").select("video_id", "n", "start_ms", "end_ms", "k"), s, ("start_ms", "end_ms"), ("ss", "se"), pad_ms)
     near = near.withColumn("held", (F.col("k") == F.col("sk")) | text_contains(F.col("k"), F.col("sk")))
     held = near.where("held").select("video_id", "n").distinct()
-
-    @F.pandas_udf("boolean")
-    def supported(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([matches(x, y, least) for x, y in zip(a, b)], dtype=bool)
-
-    like = near.where("not held").join(held, ["video_id", "n"], "left_anti").where(supported("k", "sk")).select("video_id", "n").distinct()
-    return c.join(held.unionByName(like), ["video_id", "n"], "left_anti").drop("k")
+    if least is not None:
+        held = held.unionByName(_alike_cues(near.where("not held").join(held, ["video_id", "n"], "left_anti"), least))
+    return c.join(held, ["video_id", "n"], "left_anti").drop("k")
+
+
+def _alike_cues(near: DataFrame, least: float) -> DataFrame:
+    """(video_id, n) of the pairs (video_id, n, k, sk) of which one reaches the ratio; a cue's pairs are read as a stream."""
+    a, b = F.length("k"), F.length("sk")
+    pairs = near.where(2 * F.least(a, b) >= least * (a + b)).select("video_id", "n", F.abs(a - b).alias("gap"), "k", "sk")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cue, done = None, False
+        for pdf in batches:
+            out = []
+            for v, n, k, sk in zip(pdf["video_id"], pdf["n"], pdf["k"], pdf["sk"]):
+                if (v, n) != cue:
+                    cue, done = (v, n), False
+                if not done and matches(k, sk, least):
+                    done = True
+                    out.append(cue)
+            if out:
+                yield pd.DataFrame(out, columns=["video_id", "n"])
+
+    kind = near.select("video_id", "n").schema
+    return pairs.repartition("video_id", "n").sortWithinPartitions("video_id", "n", "gap").select("video_id", "n", "k", "sk").mapInPandas(first, kind)
 
 
 def tumbling_windows(rows: DataFrame, span_ms: int = SPAN) -> DataFrame:

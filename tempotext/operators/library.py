@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import fenced_json, has_kanji, headword, meaning_key, source_key, term_key, video_key
 
@@ -13,29 +13,56 @@ def keyed(saves: DataFrame) -> DataFrame:
     return saves.withColumns({"entry_key": entry, "form_key": term_key(F.col("surface")), "meaning_key": meaning_key(F.col("meaning"))})
 
 
+#: Kinds of items. Fields that must not be blank.
+KINDS = ("word", "collocation", "grammar")
+NEEDED = ("lemma", "surface", "meaning", "context_key")
+
+
+def _stripped(c: str) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def rejected_saves(saves: DataFrame) -> DataFrame:
+    """(save_id, reason) of saves that the library doesn't take: of an unknown kind, or without lemma, surface, meaning or context key."""
+    reason = F.when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), "kind")
+    for c in NEEDED:
+        reason = reason.when(_stripped(c) == "", c)
+    return saves.select("save_id", reason.alias("reason")).where("reason is not null")
+
+
+def accepted(saves: DataFrame) -> DataFrame:
+    """Keyed saves that the library takes, with white space around their fields gone; context keys stay as they are."""
+    ok = F.col("kind").isin(*KINDS)
+    for c in NEEDED:
+        ok = ok & (_stripped(c) != "")
+    return keyed(saves.where(ok).withColumns({c: _stripped(c) for c in ("lemma", "surface", "reading", "meaning")}))
+
+
 def upsert_library(saves: DataFrame) -> DataFrame:
-    """(save_id, added_entry, added_form, added_meaning, added_encounter): what each save added, in save order."""
+    """(save_id, added_entry, added_form, added_meaning, added_encounter): what each save added, in save order; rejected ones are left out."""
     first = lambda *k: F.row_number().over(W.partitionBy(*k).orderBy("save_id")) == 1
-    return keyed(saves).select("save_id", first("entry_key").alias("added_entry"), first("entry_key", "form_key").alias("added_form"), first("entry_key", "meaning_key").alias("added_meaning"), first("entry_key", "context_key").alias("added_encounter"))
+    return accepted(saves).select("save_id", first("entry_key").alias("added_entry"), first("entry_key", "form_key").alias("added_form"), first("entry_key", "meaning_key").alias("added_meaning"), first("entry_key", "context_key").alias("added_encounter"))
 
 
 def library_entries(saves: DataFrame) -> DataFrame:
     """Entries with distinct encounters, forms, the meanings in the order of their first save, display and reading.
 
     The display is the first save's lemma; if that has no kanji, the first form with some, whichever save brought it.
+    ``updated`` is the last save that added a form, a meaning or an encounter.
     """
-    k = keyed(saves)
+    k = accepted(saves)
     written = has_kanji(F.col("surface"))
     meanings = k.groupBy("entry_key", "meaning_key").agg(F.min("save_id").alias("first"), F.min_by("meaning", "save_id").alias("meaning"))
-    meanings = meanings.groupBy("entry_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "meaning"))), lambda x: x["meaning"]).alias("meanings"))
-    main = k.groupBy("entry_key").agg(F.countDistinct("context_key").alias("encounters"), F.countDistinct("form_key").alias("forms"), F.max("save_id").alias("updated"))
+    meanings = meanings.groupBy("entry_key").agg(F.max("first").alias("_m"), F.transform(F.array_sort(F.collect_list(F.struct("first", "meaning"))), lambda x: x["meaning"]).alias("meanings"))
+    first = lambda key, name, last: k.groupBy("entry_key", key).agg(F.min("save_id").alias("s")).groupBy("entry_key").agg(F.count("*").alias(name), F.max("s").alias(last))
+    main = first("context_key", "encounters", "_e").join(first("form_key", "forms", "_f"), "entry_key")
     lemma, form = F.min_by("lemma", "save_id"), F.min_by(F.when(written, F.col("surface")), F.when(written, F.col("save_id")))
     shown = k.groupBy("entry_key").agg(F.when(has_kanji(lemma), lemma).otherwise(F.coalesce(form, lemma)).alias("display"), F.min_by("reading", "save_id").alias("reading"))
-    return main.join(meanings, "entry_key").join(shown, "entry_key")
+    return main.join(meanings, "entry_key").join(shown, "entry_key").select("entry_key", "encounters", "forms", F.greatest("_e", "_f", "_m").alias("updated"), "meanings", "display", "reading")
 
 
 def library_totals(saves: DataFrame) -> DataFrame:
-    e = keyed(saves).select("entry_key", "context_key").distinct().groupBy("entry_key").agg(F.count("*").alias("n"))
+    e = accepted(saves).select("entry_key", "context_key").distinct().groupBy("entry_key").agg(F.count("*").alias("n"))
     return e.agg(F.count("*").alias("entries"), F.sum("n").alias("encounters"))
 
 
@@ -45,12 +72,12 @@ def top_library_entries(saves: DataFrame, most: int = 240) -> DataFrame:
 
 def entry_encounters(saves: DataFrame) -> DataFrame:
     """Encounters of every entry with the meaning of their first save, ranked from the newest."""
-    k = keyed(saves).groupBy("entry_key", "context_key").agg(F.min("save_id").alias("save_id"), F.min_by("meaning", "save_id").alias("meaning"))
+    k = accepted(saves).groupBy("entry_key", "context_key").agg(F.min("save_id").alias("save_id"), F.min_by("meaning", "save_id").alias("meaning"))
     return k.withColumn("rank", F.row_number().over(W.partitionBy("entry_key").orderBy(F.desc("save_id"))))
 
 
 def export_glossary(saves: DataFrame) -> DataFrame:
-    """(entry_key, updated, line): a line for each entry, its head word and meanings in order; last saved entries come first."""
+    """(entry_key, updated, line): a line for each entry, its head word and meanings in order; those changed last come first."""
     line = F.concat(headword(F.col("display"), F.col("reading")), F.lit("："), F.array_join("meanings", "；"))
     return library_entries(saves).select("entry_key", "updated", line.alias("line")).orderBy(F.desc("updated"), "entry_key")
 
@@ -95,9 +122,9 @@ def library_tables(saves: DataFrame) -> dict[str, DataFrame]:
     """The four tables of a library: entries, forms, meanings, encounters. By each unique key the first save (least save_id) wins.
 
     Saves have the columns of ``keyed``'s input, and may have source_url, job_id, sentence_id and sentence. ``updated`` is the
-    last save that added anything. An earlier library is a table of saves, so its union with new ones is the upsert.
+    last save that added anything. Saves that ``rejected_saves`` names are left out. An earlier library is a table of saves, so its union with new ones is the upsert.
     """
-    k = keyed(saves)
+    k = accepted(saves)
     more = [c for c in ("source_url", "job_id", "sentence_id", "sentence") if c in saves.columns]
 
     def firsts(key: str, *columns: str) -> DataFrame:
@@ -119,7 +146,7 @@ def recent_history(jobs: DataFrame, most: int = 100) -> DataFrame:
 
 def library_state(items: DataFrame, saves: DataFrame) -> DataFrame:
     """(item_id, entry_exists, meaning_saved, context_saved, meaning_count, encounter_count) of items against the saved library; absent: zeros."""
-    k, i = keyed(saves), keyed(items)
+    k, i = accepted(saves), keyed(items)
     entry = k.groupBy("entry_key").agg(F.countDistinct("meaning_key").alias("_m"), F.countDistinct("context_key").alias("_e"))
     has = lambda c: k.select("entry_key", c).distinct().withColumn(f"_has_{c}", F.lit(True))
     x = i.join(entry, "entry_key", "left").join(has("meaning_key"), ["entry_key", "meaning_key"], "left").join(has("context_key"), ["entry_key", "context_key"], "left")
@@ -133,7 +160,7 @@ def library_context(sentences: DataFrame, saves: DataFrame, most: int = 240, kee
     Entries with a form or lemma in the sentence come first, then those met most often and last. The candidates are one row
     of at most ``most`` entries, joined to every sentence, so sentences are neither shuffled nor multiplied.
     """
-    k = keyed(saves)
+    k = accepted(saves)
     forms = k.groupBy("entry_key").agg(F.array_union(F.collect_set("form_key"), F.collect_set(term_key(F.col("lemma")))).alias("forms"))
     top = top_library_entries(saves, most).join(forms, "entry_key")
     entry = F.struct((-F.col("encounters")).alias("e"), (-F.col("updated")).alias("u"), F.col("entry_key").alias("key"), F.filter("forms", lambda x: x != "").alias("forms"))

@@ -129,3 +129,17 @@ def library_meanings(s, d):
 @query(_LIB + "select entry_key, context_key, min(save_id) save_id, arg_min(meaning, save_id) meaning_key from k group by 1, 2", "saves")
 def library_encounters(s, d):
     return L.library_tables(X.saves(s, d))["encounters"]
+
+
+@query(_LIB + "select entry_key, surface form_key, min(save_id) save_id, arg_min(surface, save_id) surface, '' reading from k group by 1, 2", "saves")
+def library_forms(s, d):
+    return L.library_tables(X.saves(s, d))["forms"]
+
+
+@query("select save_id, case when kind = 'grammar' then 'kind' when save_id % 7 = 0 then 'lemma' when save_id % 11 = 0 then 'surface' when save_id % 13 = 0 then 'meaning' else 'context_key' end reason from saves where kind = 'grammar' or save_id % 7 = 0 or save_id % 11 = 0 or save_id % 13 = 0 or save_id % 17 = 0", "saves")
+def rejected_saves(s, d):
+    """Grammar goes by a name that is no kind; some fields are blank, one of them with a wide space, or null."""
+    k = F.col("save_id")
+    blank = lambda n, x, c: F.when(k % n == 0, F.lit(x).cast("string")).otherwise(F.col(c))
+    v = X.saves(s, d).withColumn("kind", F.when(F.col("kind") == "grammar", "rule").otherwise(F.col("kind")))
+    return L.rejected_saves(v.withColumns({"lemma": blank(7, " ", "lemma"), "surface": blank(11, "\u3000", "surface"), "meaning": blank(13, None, "meaning"), "context_key": blank(17, "", "context_key")}))

@@ -115,12 +115,26 @@ def uncovered_cues(s, d):
     return C.uncovered_cues(X.cues(s, d), X.ocr_segments(s, d)).select("video_id", "n", "start_ms", "end_ms")
 
 
-@query("""
-, m as (select *, max(end_ms) over (partition by video_id order by start_ms, end_ms rows between unbounded preceding and 1 preceding) reach from segs),
+#: Cues that no near segment contains or is contained in, by keys of letters and digits.
+_UNCOVERED = f"""
+, ck as (select *, {_KEY.format("text")} k from cues), sk as (select video_id, start_ms, end_ms, {_KEY.format("text")} k from segs),
+held as (select distinct c.video_id, c.n from ck c join sk s on s.video_id = c.video_id and s.end_ms >= c.start_ms - 700 and s.start_ms <= c.end_ms + 700 and s.k <> '' and c.k <> ''
+  and (s.k = c.k or (least(length(s.k), length(c.k)) >= 4 and least(length(s.k), length(c.k)) >= 0.30 * greatest(length(s.k), length(c.k)) and (contains(s.k, c.k) or contains(c.k, s.k))))),
+open as (select video_id, n, start_ms, end_ms from cues anti join held using (video_id, n)) """
+
+
+@query(_UNCOVERED + "select * from open", "cues", "segs")
+def uncovered_by_containment(s, d):
+    return C.uncovered_cues(X.cues(s, d), X.ocr_segments(s, d), least=None).select("video_id", "n", "start_ms", "end_ms")
+
+
+@query(_UNCOVERED + """
+, m as (select *, max(end_ms) over (partition by video_id order by start_ms, end_ms rows between unbounded preceding and 1 preceding) reach from open),
 g as (select *, sum(case when reach is null or start_ms > reach + 500 then 1 else 0 end) over (partition by video_id order by start_ms, end_ms rows between unbounded preceding and current row) i from m)
 select video_id, min(start_ms) start_ms, max(end_ms) end_ms from g group by video_id, i""", "cues", "segs")
 def merge_intervals(s, d):
-    return C.merge_intervals(X.ocr_segments(s, d))
+    """Spans of the cues that no segment contains, merged."""
+    return C.merge_intervals(C.uncovered_cues(X.cues(s, d), X.ocr_segments(s, d), least=None))
 
 
 @query()
@@ -233,7 +247,7 @@ _column("visible_text", lambda c: T.visible_text(F.concat(F.lit("<b>"), X.escape
 _column("format_timestamp", T.format_timestamp, "case when start_ms >= 3600000 then printf('%02d:', start_ms//3600000) else '' end || printf('%02d:%02d.%03d', start_ms//60000%60, start_ms//1000%60, start_ms%1000)", of="start_ms")
 _column("parse_timestamp", lambda c: T.parse_timestamp(T.format_timestamp(c)), "start_ms", of="start_ms")
 _column("has_kanji", T.has_kanji, "regexp_matches(text, '[㐀-鿿]')")
-_column("split_reference_sentences", lambda c: F.size(T.split_reference_sentences(c)).cast("long"), r"len(list_filter(list_transform(regexp_extract_all(regexp_replace(text, '\[[^\]]*\]|【[^】]*】', '', 'g'), '[^。！？!?]+[。！？!?]*'), lambda x: trim(x)), lambda x: x <> ''))")
+_column("split_reference_sentences", lambda c: F.array_join(T.split_reference_sentences(c), "|"), r"array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(text, '\[[^\]]*\]|【[^】]*】', '', 'g'), '[^。！？!?]+[。！？!?]*'), lambda x: trim(x)), lambda x: x <> ''), '|')")
 _column("video_key", T.video_key, "case when page_id % 4 < 3 then 'v' || (page_id//8) end", view="sources", of="source_url", keys=("page_id",))
 _column("same_source", T.source_key, "case when page_id % 4 < 3 then 'v' || (page_id//8) else trim(source_url) end", view="sources", of="source_url", keys=("page_id",))
 _column("select_display_form", lambda c: T.display_form(F.col("surface"), c), "lemma", view="saves", of="lemma", keys=("save_id",))
@@ -307,7 +321,10 @@ def upsert_library(s, d):
     return L.upsert_library(X.saves(s, d))
 
 
-_ENTRIES = _LIB + """, m as (select entry_key, meaning, min(save_id) f from k group by all), e as (select entry_key, count(distinct context_key) encounters, count(distinct surface) forms, max(save_id) updated from k group by 1),
+# An entry changes with a new form, meaning or encounter.
+_ENTRIES = _LIB + """, m as (select entry_key, meaning, min(save_id) f from k group by all), u as (select entry_key, max(f) updated from (select entry_key, min(save_id) f from k group by entry_key, surface union all select entry_key, min(save_id) from k group by entry_key, meaning
+  union all select entry_key, min(save_id) from k group by entry_key, context_key) group by 1),
+e as (select entry_key, count(distinct context_key) encounters, count(distinct surface) forms, any_value(updated) updated from k join u using (entry_key) group by 1),
 w as (select entry_key, arg_min(lemma, save_id) lemma, arg_min(reading, save_id) reading, arg_min(surface, save_id) filter (regexp_matches(surface, '[㐀-鿿]')) form from k group by 1),
 x as (select e.*, reading, case when regexp_matches(lemma, '[㐀-鿿]') then lemma else coalesce(form, lemma) end display, (select list(meaning order by f) from m where m.entry_key = e.entry_key) meanings from e join w using (entry_key)) """
 

@@ -100,7 +100,8 @@ def library_state(s, d):
 
 
 @query("""
-, k as (select *, kind || '␟' || lemma || '␟' || reading entry_key from saves), e as (select entry_key, count(distinct context_key) enc, max(save_id) updated, list_distinct(list_append(list(surface), any_value(lemma))) forms from k group by 1),
+, k as (select *, kind || '␟' || lemma || '␟' || reading entry_key from saves), upd as (select entry_key, max(f) updated from (select entry_key, min(save_id) f from k group by entry_key, surface union all select entry_key, min(save_id) from k group by entry_key, meaning
+  union all select entry_key, min(save_id) from k group by entry_key, context_key) group by 1), e as (select entry_key, count(distinct context_key) enc, any_value(updated) updated, list_distinct(list_append(list(surface), any_value(lemma))) forms from k join upd using (entry_key) group by 1),
 top as (select * from e order by enc desc, updated desc, entry_key limit 240), t as (select video_id, n, replace(lower(regexp_replace(text || 'w' || (n % 97), '\\s+', '', 'g')), 'ß', 'ss') t from cues),
 x as (select video_id, n, entry_key, len(list_filter(forms, lambda f: contains(t, f))) > 0 hit, row_number() over (partition by video_id, n order by len(list_filter(forms, lambda f: contains(t, f))) > 0 desc, enc desc, updated desc, entry_key) rn from t, top)
 select video_id, n, sum(hit::int)::bigint matches, string_agg(entry_key, ',' order by rn) entries from x where rn <= 80 group by 1, 2""", "cues", "saves")

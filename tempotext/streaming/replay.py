@@ -25,10 +25,10 @@ def stream_upsert_library(saves: DataFrame, path: str, checkpoint: str) -> DataF
     Each batch appends the first saves of its keys only, so the table grows with keys, and reading takes the least save of
     each key: a batch that is replayed, or comes out of order, changes nothing.
     """
-    from ..operators.library import keyed
+    from ..operators.library import accepted
 
     def firsts(rows: DataFrame) -> DataFrame:
-        k = keyed(rows)
+        k = accepted(rows)
         parts = [F.struct(F.lit(name).alias("kind_of_key"), F.concat_ws("␟", *cols).alias("key")) for name, cols in KEYS.items()]
         return k.select("save_id", F.explode(F.array(*parts)).alias("x")).groupBy("x.kind_of_key", "x.key").agg(F.min("save_id").alias("save_id"))
 
