@@ -55,11 +55,11 @@ def segment_observations(obs: DataFrame, duration_ms: int, interval_ms: int, thr
 
     Observations in time order: a blank text ends the open segment; another joins it if it is like the current
     representative, else ends it at its own time and opens the next. The end of data ends it at ``duration_ms``.
-    Texts are normalised first; null ones are blank. Blanks cut a video natively into islands; one Python call folds the
+    Texts are normalised first; null ones are blank, a null confidence is 0. Blanks cut a video natively into islands; one Python call folds the
     rows of a bounded number of them.
     """
     order = W.partitionBy("video_id").orderBy("ts_ms", "frame_index")
-    rows = obs.withColumn("text", F.coalesce(normalize_text(F.col("text")), F.lit(""))).withColumn("next_ms", F.coalesce(F.lead("ts_ms").over(order), F.lit(duration_ms).cast("long")))
+    rows = obs.withColumn("text", F.coalesce(normalize_text(F.col("text")), F.lit(""))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)).cast("double")).withColumn("next_ms", F.coalesce(F.lead("ts_ms").over(order), F.lit(duration_ms).cast("long")))
     rows = rows.withColumn("island", F.sum((F.col("text") == "").cast("long")).over(order)).where("text <> ''")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

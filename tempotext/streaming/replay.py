@@ -41,59 +41,63 @@ def stream_upsert_library(saves: DataFrame, path: str, checkpoint: str) -> DataF
     return table.groupBy("kind_of_key", "key").agg(F.min("save_id").alias("save_id"))
 
 
-def stream_segments(obs: DataFrame, interval_ms: int, threshold: float, late: str = "1 hour") -> DataFrame:
-    """Streaming form of ``segment_observations`` over rows (video_id, at, ts_ms, frame_index, text, confidence) in time order a video.
+def stream_segments(obs: DataFrame, interval_ms: int, threshold: float, late: str = "1 hour", duration_ms: int | None = None) -> DataFrame:
+    """Streaming form of ``segment_observations`` over rows (video_id, at, ts_ms, frame_index, text, confidence); ``at`` rises with ``ts_ms``.
 
-    State is the open segment of a video: its start, its texts with counts and scores, its representative. It is sent when
-    a row closes it, or when the watermark passes its last row by ``late``, then ended at that row's time.
+    Rows of a video wait until the watermark, ``late`` behind the newest row of all, has passed them, and are then read in time order,
+    so it doesn't matter how they are spread over batches; rows that come later still are dropped. State is the rows that wait and the open
+    segment: its start, its texts with counts and scores. A segment is sent when a row closes it: send a row without text at a
+    video's end to close its last one. Texts, nulls, alternatives and ends (at most ``duration_ms``) are as in the batch form.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    from ..operators.segments import REVIEW, Votes, alike
+    from ..functions.text import normalize_text
+    from ..operators.segments import ALTERNATIVES, REVIEW, Votes, alike
 
-    names = ["video_id", "start_ms", "end_ms", "text", "confidence", "observation_count", "needs_review"]
-
-    def closed(video: int, open_: tuple, end: int) -> tuple:
-        start, _, texts, counts, scores, total, n, _ = open_
-        head = _votes(Votes(), texts, counts, scores).ranked()[0]
-        return video, start, max(start + interval_ms, end), head, total / n, n, total / n < REVIEW
+    names = ["video_id", "start_ms", "end_ms", "text", "confidence", "observation_count", "alternatives", "needs_review"]
 
     def walk(key: tuple, batches, state: GroupState):
-        out, open_ = [], state.get if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([closed(key[0], open_, open_[1])], columns=names)
-            return
-        last = open_[7] if open_ else 0
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "frame_index"], kind="stable")
-        votes, head = None, ""
-        if open_:
-            votes = _votes(Votes(), *open_[2:5])
-            head = votes.ranked()[0]
-        for t, at, text, c in zip(rows["ts_ms"], rows["at"], rows["text"], rows["confidence"]):
-            last = max(last, int(at.timestamp() * 1000))
-            if not text.strip() or (open_ and not alike(head, text, threshold)):
-                if open_:
-                    out.append(closed(key[0], open_, int(t)))
-                open_ = votes = None
-            if text.strip():
+        out, waiting, votes, head, start, total, n = [], [], None, "", 0, 0.0, 0
+        if state.exists:
+            start, texts, counts, scores, total, n, *columns = state.get
+            waiting = list(zip(*columns))
+            if n:
+                votes = _votes(Votes(), texts, counts, scores)
+                head = votes.ranked()[0]
+        if not state.hasTimedOut:
+            for rows in batches:
+                waiting += zip(rows["at_ms"].tolist(), rows["ts_ms"].tolist(), rows["frame_index"].tolist(), rows["text"].tolist(), rows["confidence"].tolist())
+        mark = state.getCurrentWatermarkMs()
+        ready = sorted((r for r in waiting if r[0] <= mark), key=lambda r: r[1:3])
+        waiting = [r for r in waiting if r[0] > mark]
+        for _, t, _, text, c in ready:
+            if votes is not None and (text == "" or not alike(head, text, threshold)):
+                ranked, end = votes.ranked(), max(start + interval_ms, t)
+                out.append((key[0], start, end if duration_ms is None else min(duration_ms, end), ranked[0], total / n, n, ranked[1 : 1 + ALTERNATIVES], total / n < REVIEW))
+                votes = None
+            if text != "":
                 if votes is None:
-                    votes, open_ = Votes(), (int(t), int(t), [], [], [], 0.0, 0, last)
+                    votes, start, total, n = Votes(), t, 0.0, 0
                 votes.add(text, c)
-                head = votes.ranked()[0]
-                own = list(votes.texts.items())
-                open_ = (open_[0], int(t), [x for x, _ in own], [int(v[0]) for _, v in own], [float(v[1]) for _, v in own], open_[5] + float(c), open_[6] + 1, last)
-        if open_:
-            state.update(open_)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
-        elif state.exists:
-            state.remove()
+                total, n = total + c, n + 1
+                head = text if len(votes.texts) == 1 else votes.ranked()[0]
+        if votes is None and not waiting:
+            if state.exists:
+                state.remove()
+        else:
+            own = list(votes.texts.items()) if votes is not None else []
+            columns = [list(x) for x in zip(*waiting)] or [[] for _ in range(5)]
+            state.update((start, [x for x, _ in own], [int(v[0]) for _, v in own], [float(v[1]) for _, v in own], float(total), n if own else 0, *columns))
+            if waiting:
+                state.setTimeoutTimestamp(max(min(columns[0]), mark + 1))
         yield pd.DataFrame(out, columns=names)
 
-    shape = "start long, last long, texts array<string>, counts array<long>, scores array<double>, total double, n long, seen long"
-    rows = obs.withWatermark("at", late).groupBy("video_id")
-    return rows.applyInPandasWithState(walk, "video_id long, start_ms long, end_ms long, text string, confidence double, observation_count long, needs_review boolean", shape, "append", GroupStateTimeout.EventTimeTimeout)
+    shape = "start long, texts array<string>, counts array<long>, scores array<double>, total double, n long, w_at array<long>, w_ts array<long>, w_frame array<long>, w_text array<string>, w_conf array<double>"
+    rows = obs.withColumn("text", F.coalesce(normalize_text(F.col("text")), F.lit(""))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)).cast("double"))
+    rows = rows.withColumn("at_ms", F.unix_millis("at")).withWatermark("at", late).groupBy("video_id")
+    schema = "video_id long, start_ms long, end_ms long, text string, confidence double, observation_count long, alternatives array<string>, needs_review boolean"
+    return rows.applyInPandasWithState(walk, schema, shape, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _votes(votes, texts, counts, scores):

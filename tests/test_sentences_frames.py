@@ -152,17 +152,25 @@ def test_analysis_and_readings(spark):
     assert [(r.sentence_id, r.missing) for r in got] == [("s", [0])]
 
 
-def test_stream_segments_equals_batch(spark, tmp_path):
-    """Closed segments of a stream in three files are those of the batch form; rows after the last close stay open."""
-    rng, rows = random.Random(3), []
+@pytest.mark.parametrize("in_order", [True, False])
+def test_stream_segments_equals_batch(spark, tmp_path, in_order):
+    """A stream in three files, in order of time or dealt at random, gives the batch form's segments, alternatives and clamped ends too."""
+    rng, rows, end = random.Random(3), [], 89_700
     for v in (1, 2):
         for i in range(90):
-            rows.append((v, i * 1000, i, rng.choice(["hello there", "hello thera", "goodbye now", ""]), 0.5))
-    df = spark.createDataFrame(rows, "video_id long, ts_ms long, frame_index long, text string, confidence double").withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("ts_ms") / 1000))
+            text = rng.choice(["hello there", "hello thera", "ｈｅｌｌｏ　ｔｈｅｒｅ", "goodbye now", "hello\n\n there", "", None])
+            rows.append((v, i * 1000, i, text, rng.choice([0.5, 0.9, 0.1, None])))
+        rows.append((v, end + 300, 90, None, None))  # the end of the video
+    typed = "video_id long, ts_ms long, frame_index long, text string, confidence double"
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("ts_ms") / 1000)
+    df = spark.createDataFrame(rows, typed).withColumn("at", at)
+    later = spark.createDataFrame([(3, 10**7, 0, None, None)], typed).withColumn("at", at)  # moves the watermark past all
     src = str(tmp_path / "in")
     for k in range(3):
-        df.where(f"frame_index div 30 = {k}").coalesce(1).write.mode("append").parquet(src)
+        part = df.where(f"frame_index div 31 = {k}" if in_order else f"pmod(hash(video_id, frame_index), 3) = {k}")
+        (part.unionByName(later) if k == 2 else part).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    got = Z.replay(Z.stream_segments(stream, 500, 82.0), str(tmp_path / "out"), str(tmp_path / "ck")).select("video_id", "start_ms", "end_ms", "text", "observation_count").collect()
-    want = G.segment_observations(df.drop("at"), 90_000, 500).where("end_ms < 90000").select("video_id", "start_ms", "end_ms", "text", "observation_count").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    got = Z.replay(Z.stream_segments(stream, 500, 82.0, duration_ms=end), str(tmp_path / "out"), str(tmp_path / "ck")).collect()
+    want = G.segment_observations(df.drop("at"), end, 500).collect()
+    rounded = lambda rows: sorted((r.video_id, r.start_ms, r.end_ms, r.text, round(r.confidence, 9), r.observation_count, tuple(r.alternatives), r.needs_review) for r in rows)
+    assert rounded(got) == rounded(want) and len(want) > 40
