@@ -221,20 +221,20 @@ def test_extract(spark):
     assert H.extract(d.limit(0)).count() == 0
 
 
-PROSE = "The cat and the dog were in the house for all of the time that they had, and it was good. " * 3
+GOOD = "The cat and the dog were in the house for all of the time that they had, and it was good. " * 3
 
 
-@pytest.mark.parametrize("page", ["<div>" * 20_000 + PROSE, "<div>" * 20_000 + PROSE + "</b>" * 20_000, "<div class='box menu'><p>x</p>" * 20_000 + "<article><p>" + PROSE, "".join(f"<article><p>short {k}</p></article>" for k in range(4000)) + f"<article><p>{PROSE}"])
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + GOOD, "<div>" * 20_000 + GOOD + "</b>" * 20_000, "<div class='box menu'><p>x</p>" * 20_000 + "<article><p>" + GOOD, "".join(f"<article><p>short {k}</p></article>" for k in range(4000)) + f"<article><p>{GOOD}"])
 def test_html_of_deep_and_many_elements_is_read_in_linear_time(page):
     began = time.process_time()
-    assert H.main_text(page).endswith(PROSE.strip())
+    assert H.main_text(page).endswith(GOOD.strip())
     assert time.process_time() - began < 3
 
 
 def test_names_alone_do_not_empty_a_page():
-    assert H.main_text(f'<div id="search-results-page"><p>{PROSE}</p></div>') == PROSE.strip()
-    assert H.main_text(f'<div class="sidebar"><p>{PROSE}</p></div><div><p>{PROSE}</p></div>') == PROSE.strip()
-    assert H.main_text(f'<nav><p>{PROSE}</p></nav>') == ""
+    assert H.main_text(f'<div id="search-results-page"><p>{GOOD}</p></div>') == GOOD.strip()
+    assert H.main_text(f'<div class="sidebar"><p>{GOOD}</p></div><div><p>{GOOD}</p></div>') == GOOD.strip()
+    assert H.main_text(f'<nav><p>{GOOD}</p></nav>') == ""
 
 
 def test_mixing_of_many_null_and_repeated_ids(spark):
