@@ -158,9 +158,10 @@ def check_edits(sentences: DataFrame, edits: DataFrame) -> DataFrame:
 
     Rejected: no ids, an id twice, an id of no sentence, ids that do not follow each other, a text without sentences.
     """
-    at = sentences.select("video_id", F.col("n").alias("id"), "text", "start_ms", "end_ms")
+    more = [c for c in SOURCES if c in sentences.columns]
+    at = sentences.select("video_id", F.col("n").alias("id"), "text", "start_ms", "end_ms", *more)
     named = edits.select("edit_id", "video_id", F.explode(F.array_distinct("ids")).alias("id")).join(at, ["video_id", "id"])
-    found = named.groupBy("edit_id").agg(F.array_sort(F.collect_list(F.struct("id", "text", "start_ms", "end_ms"))).alias("chosen"))
+    found = named.groupBy("edit_id").agg(F.array_sort(F.collect_list(F.struct("id", "text", "start_ms", "end_ms", *more))).alias("chosen"))
     e = edits.join(found, "edit_id", "left").withColumn("pieces", split_manual_sentences(F.coalesce("text", F.lit(""))))
     n = F.coalesce(F.size("ids"), F.lit(0))
     first, last = F.element_at("chosen.id", 1), F.element_at("chosen.id", -1)
@@ -168,22 +169,67 @@ def check_edits(sentences: DataFrame, edits: DataFrame) -> DataFrame:
     return e.withColumn("reason", reason)
 
 
-def resegment_sentences(sentences: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Columns of sentences that name the segments and units they were made of, as lists of numbers.
+SOURCES = ("source_segments", "source_units")
+
+
+@F.pandas_udf(LongType())
+def _place(whole: pd.Series, part: pd.Series) -> pd.Series:
+    """Where ``part`` first stands in ``whole``, -1 if nowhere; Python searches in linear time."""
+    return pd.Series([w.find(x) if w is not None and x is not None else -1 for w, x in zip(whole, part)], dtype="int64")
+
+
+def _distinct_of(parts: Column, name: str) -> Column:
+    return F.array_distinct(F.flatten(F.transform(parts, lambda p: p[name])))
+
+
+def _source_parts(valid: DataFrame, segments: DataFrame) -> DataFrame:
+    """(edit_id, parts) of the edits whose selected text stands in the text of its source segments, one after the other.
+
+    Parts are as those of sentences, but of segments, and ``from`` counts from where the selected text begins. Edits that name
+    unknown segments, or none, have no row.
+    """
+    seg = segments.select("video_id", F.col("n").alias("id"), F.col("start_ms").alias("start_ms"), F.col("end_ms").alias("end_ms"), content_key(F.coalesce("text", F.lit(""))).alias("key"))
+    ids = F.array_distinct(F.flatten(F.filter(F.col("chosen.source_segments"), lambda x: x.isNotNull())))
+    named = valid.select("edit_id", "video_id", "chosen", F.posexplode(ids).alias("k", "id")).join(seg, ["video_id", "id"], "left").withColumn("size", F.length("key").cast("long"))
+    units = F.array_distinct(F.flatten(F.transform(F.filter("chosen", lambda c: F.array_contains(c["source_segments"], F.col("id"))), lambda c: F.coalesce(c["source_units"], F.array().cast("array<bigint>")))))
+    named = named.withColumn("source_units", units).withColumn("source_segments", F.array("id"))
+    named = named.withColumn("from", F.sum("size").over(W.partitionBy("edit_id").orderBy("k")) - F.col("size"))
+    part = F.struct("k", "from", "size", "start_ms", "end_ms", "source_segments", "source_units", "key")
+    whole = named.groupBy("edit_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.bool_and(F.col("key").isNotNull()).alias("known")).where("known")
+    found = whole.join(valid.select("edit_id", content_key(F.array_join("chosen.text", "")).alias("text")), "edit_id")
+    found = found.withColumn("place", _place(F.array_join("parts.key", ""), F.col("text"))).where("place >= 0")
+    moved = F.transform("parts", lambda p: F.struct(p["k"].alias("k"), (p["from"] - F.col("place")).alias("from"), p["size"].alias("size"), p["start_ms"].alias("start_ms"), p["end_ms"].alias("end_ms"), *[p[c].alias(c) for c in SOURCES]))
+    return found.select("edit_id", moved.alias("by_source"))
+
+
+def resegment_sentences(sentences: DataFrame, edits: DataFrame, segments: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(sentences after valid edits, rejects): the selected sentences become those of the edited text, ids count anew.
 
     If only cuts moved (equal content) each new sentence has the times of its own characters, else the span is shared by
     content length. Sentences are numbered 1, 2, ... in a video; valid edits of a video must not overlap.
+
+    Sentences may name their sources (``source_segments``, ``source_units``); new ones then name those of their characters, or all
+    of the selection's where the content changed. With ``segments`` (video_id, n, text, start_ms, end_ms) the characters have the times of
+    their segments, if the selected text stands in the text of the named segments; else those of the sentences.
     """
     checked = check_edits(sentences, edits)
     valid, whole = checked.where("reason = ''"), F.array_join("chosen.text", "")
+    sourced = all(c in sentences.columns for c in SOURCES)
+    none = F.array().cast("array<bigint>")
+    of = lambda c, name: F.coalesce(c[name], none) if sourced else none
     same = content_key(F.coalesce(whole, F.lit(""))) == content_key(F.col("text"))
-    sized = F.transform("chosen", lambda c: F.struct(c["text"].alias("t"), c["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms")))
+    sized = F.transform("chosen", lambda c: F.struct(c["text"].alias("t"), c["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms"), *[of(c, x).alias(x) for x in SOURCES]))
     v = valid.withColumns({"same": same, "first": F.element_at("chosen.id", 1), "s0": F.element_at("chosen.start_ms", 1), "e0": F.greatest(F.element_at("chosen.start_ms", 1), F.element_at("chosen.end_ms", -1)), "sized": sized})
     # Offsets of the selected sentences' content, then of the new ones', by running sums within an edit.
-    c = v.select("edit_id", F.posexplode("sized").alias("k", "c")).withColumn("size", F.length(content_key(F.coalesce("c.t", F.lit("")))))
+    c = v.select("edit_id", F.posexplode("sized").alias("k", "c")).withColumn("size", F.length(content_key(F.coalesce("c.t", F.lit("")))).cast("long"))
     run = W.partitionBy("edit_id").orderBy("k")
     c = c.withColumn("from", F.sum("size").over(run) - F.col("size"))
-    parts = c.groupBy("edit_id").agg(F.array_sort(F.collect_list(F.struct("k", "from", "size", F.col("c.start_ms").alias("start_ms"), F.col("c.end_ms").alias("end_ms")))).alias("parts"))
+    parts = c.groupBy("edit_id").agg(F.array_sort(F.collect_list(F.struct("k", "from", "size", *[F.col(f"c.{x}").alias(x) for x in ("start_ms", "end_ms", *SOURCES)]))).alias("parts"))
+    if segments is not None and sourced:
+        parts = parts.join(_source_parts(v.where("same"), segments), "edit_id", "left").select("edit_id", F.coalesce("by_source", "parts").alias("parts"), F.col("parts").alias("all"))
+    else:
+        parts = parts.withColumn("all", F.col("parts"))
     p = v.select("edit_id", "video_id", "first", "same", "s0", "e0", F.posexplode("pieces").alias("k", "piece")).withColumn("own", F.length(content_key(F.col("piece"))).cast("long"))
     p = p.withColumn("weight", F.greatest(F.lit(1), F.col("own")))
     w = W.partitionBy("edit_id")
@@ -192,12 +238,16 @@ def resegment_sentences(sentences: DataFrame, edits: DataFrame) -> tuple[DataFra
     at = lambda x: (F.col("s0") + F.bround(span * x / F.col("total"))).cast("long")
     start, end = at(F.col("share") - F.col("weight")), F.when(F.col("k") == F.col("count") - 1, F.col("e0")).otherwise(at(F.col("share")))
     exact = F.col("same") & (F.col("own") > 0)
-    new = p.select("video_id", F.col("first").alias("n"), "k", F.col("piece").alias("text"), F.when(exact, _time_at(F.col("done") - F.col("own"), False)).otherwise(start).alias("start_ms"), F.when(exact, _time_at(F.col("done") - 1, True)).otherwise(F.greatest(start, end)).alias("end_ms"))
+    touched = F.filter("parts", lambda x: (x["size"] > 0) & (x["from"] < F.col("done")) & (x["from"] + x["size"] > F.col("done") - F.col("own")))
+    named = [F.when(exact, _distinct_of(touched, x)).otherwise(_distinct_of(F.col("all"), x)).alias(x) for x in SOURCES] if sourced else []
+    new = p.select(
+        "video_id", F.col("first").alias("n"), "k", F.col("piece").alias("text"), F.when(exact, _time_at(F.col("done") - F.col("own"), False)).otherwise(start).alias("start_ms"), F.when(exact, _time_at(F.col("done") - 1, True)).otherwise(F.greatest(start, end)).alias("end_ms"), *named
+    )
     gone = v.select("video_id", F.explode("ids").alias("n")).distinct()
-    kept = sentences.join(gone, ["video_id", "n"], "left_anti").select("video_id", "n", F.lit(0).alias("k"), "text", "start_ms", "end_ms")
+    kept = sentences.join(gone, ["video_id", "n"], "left_anti").select("video_id", "n", F.lit(0).alias("k"), "text", "start_ms", "end_ms", *(SOURCES if sourced else ()))
     all_ = kept.unionByName(new)
     rank = F.row_number().over(W.partitionBy("video_id").orderBy("n", "k")).cast("long")
-    return all_.select("video_id", rank.alias("n"), "text", "start_ms", "end_ms"), checked.where("reason <> ''").select("edit_id", "video_id", "reason")
+    return all_.select("video_id", rank.alias("n"), "text", "start_ms", "end_ms", *(SOURCES if sourced else ())), checked.where("reason <> ''").select("edit_id", "video_id", "reason")
 
 
 def edit_log(before: DataFrame, edits: DataFrame) -> DataFrame:

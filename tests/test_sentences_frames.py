@@ -174,3 +174,31 @@ def test_stream_segments_equals_batch(spark, tmp_path, in_order):
     want = G.segment_observations(df.drop("at"), end, 500).collect()
     rounded = lambda rows: sorted((r.video_id, r.start_ms, r.end_ms, r.text, round(r.confidence, 9), r.observation_count, tuple(r.alternatives), r.needs_review) for r in rows)
     assert rounded(got) == rounded(want) and len(want) > 40
+
+
+SOURCED = "video_id long, n long, text string, start_ms long, end_ms long, source_units array<long>, source_segments array<long>"
+EDIT = "edit_id long, video_id long, ids array<long>, text string"
+
+
+def test_resegmentation_moves_a_boundary_and_keeps_the_timeline(spark):
+    own = spark.createDataFrame([(1, 1, "こんにちは", 0, 1000, [1], [1]), (1, 2, "フリーダー", 1000, 2000, [2], [2]), (1, 3, "ですさっき病院に行ったら", 2000, 5000, [3], [3])], SOURCED)
+    edit = spark.createDataFrame([(1, 1, [1, 2, 3], "こんにちは。\nフリーダーです。\nさっき病院に行ったら")], EDIT)
+    new = N.resegment_sentences(own, edit)[0].orderBy("n").collect()
+    assert [r.text for r in new] == ["こんにちは。", "フリーダーです。", "さっき病院に行ったら"]
+    assert (new[0].start_ms, new[0].end_ms, new[1].start_ms, new[2].end_ms) == (0, 1000, 1000, 5000) and new[1].end_ms == new[2].start_ms and 2000 < new[1].end_ms < 5000
+    assert new[1].source_segments == [2, 3] and new[1].source_units == [2, 3]
+
+
+def test_resegmentation_by_source_times(spark):
+    """The second segment has a pause before it; the selected text begins within the first."""
+    seen = spark.createDataFrame([(1, 7, "あいうえ", 0, 400), (1, 8, "", 400, 500), (1, 9, "かきくけこ", 2000, 2500)], "video_id long, n long, text string, start_ms long, end_ms long")
+    own = spark.createDataFrame([(1, 1, "あ", 0, 50, [1], [5]), (1, 2, "うえ。かき", 100, 3000, [2], [7, 8, 9]), (1, 3, "くけこ", 3000, 4000, [3], [9])], SOURCED)
+    edit = spark.createDataFrame([(1, 1, [2, 3], "うえか。きくけこ")], EDIT)
+    new = N.resegment_sentences(own, edit, seen)[0].orderBy("n").collect()
+    assert [(r.text, r.start_ms, r.end_ms, r.source_segments, r.source_units) for r in new[1:]] == [("うえか。", 200, 2100, [7, 9], [2, 3]), ("きくけこ", 2100, 2500, [9], [2, 3])]
+    # a segment that is unknown, or a text that does not stand there: the sentences' own times
+    for other in (seen.where("n <> 9"), seen.withColumn("text", F.lit("x"))):
+        assert [r.start_ms for r in N.resegment_sentences(own, edit, other)[0].orderBy("n").collect()][1:] == [r.start_ms for r in N.resegment_sentences(own, edit)[0].orderBy("n").collect()][1:]
+    changed = spark.createDataFrame([(1, 1, [2], "べつ。")], EDIT)
+    got = N.resegment_sentences(own, changed, seen)[0].where("n = 2").first()
+    assert (got.start_ms, got.end_ms, got.source_segments) == (100, 3000, [7, 8, 9])
