@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.blocks import matching
 from ..functions.similarity import safe_correction
 from ..functions.text import COMPARED
-from ..sources.shared import scratch
+from ..sources.shared import kept
 from .cues import CONTEXT, SPAN, chunk_with_context, window_context
 from .documents import retry_missing
 from .reuse import reference_conflict, validate_corrections
@@ -28,14 +28,6 @@ _MADE = "kind: string, cue_ids: array<bigint>, ocr_ids: array<bigint>, text: str
 RESULT = "video_id {0}, window_index long, tail array<string>, decisions array<struct<" + _MADE + ">>"
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    """Answers of a function are written once, so that no later step calls it again."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _spread(df: DataFrame, *keys) -> DataFrame:
     """By keys over the session's shuffle partitions, not fewer for few rows: the function's time counts, not the rows' size."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -83,8 +75,8 @@ def recognize_frames(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFram
     other frames are dropped; of several for a frame the first counts. Frames without an answer are asked once more, alone;
     those that have none then come with null text, confidence and line count.
     """
-    first = _written(_ask(frames, fn, batch_size), "answers")
-    again = _written(_ask(retry_missing(frames, first), fn, 1), "answers")
+    first = kept(_ask(frames, fn, batch_size), "answers")
+    again = kept(_ask(retry_missing(frames, first), fn, 1), "answers")
     both = first.unionByName(again)
     asked = frames.where("video_id is not null and frame_index is not null").select("video_id", F.col("frame_index").cast("long").alias("frame_id")).distinct()
     return asked.join(both, ["video_id", "frame_id"], "left").select("video_id", "frame_id", "text", "confidence", "line_count")
@@ -145,7 +137,7 @@ def propose_corrections(segments: DataFrame, fn: Callable | None = None, size: i
             return pd.DataFrame({"video_id": key[0], "n": got["n"], "ord": range(len(got)), "corrected_text": got["corrected_text"]})
 
         rows = chunk_with_context(segments, size, context).join(segments.select("video_id", "n", "text", "reference"), ["video_id", "n"])
-        made = _written(_spread(rows, "video_id", "chunk").groupBy("video_id", "chunk").applyInPandas(run, schema), "corrections")
+        made = kept(_spread(rows, "video_id", "chunk").groupBy("video_id", "chunk").applyInPandas(run, schema), "corrections")
     pairs = segments.select("video_id", "n", "text", F.explode("reference").alias("reference"))
     conflict = reference_conflict(pairs, "video_id", "n")
     targets = segments.select("video_id", "n").distinct().join(conflict, ["video_id", "n"], "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
@@ -267,13 +259,13 @@ def incremental_windows(
     fresh = F.col("old").isNull() | (F.col("old") != F.col("print"))
     base = base.withColumn("fresh", fresh).withColumn("dirty", fresh | (~F.coalesce(F.lag(fresh).over(by_video), F.lit(False)) & ~F.col("tail").eqNullSafe(F.col("before"))))
     base = base.withColumn("run", F.sum((~F.col("dirty")).cast("long")).over(by_video)).withColumn("start", F.min(F.when(F.col("dirty"), F.col("window_index"))).over(W.partitionBy("video_id", "run")))
-    base = _written(base, "windows")
+    base = kept(base, "windows")
     # the tail before a run is that before its first window
     heads = base.where("dirty and window_index = start").select("video_id", F.col("start").alias("run"), "before")
     todo = base.where("dirty").select(*key, F.col("start").alias("run")).join(heads, ["video_id", "run"])
     parts: list[DataFrame] = []
-    while not (todo := _written(todo, "todo")).isEmpty():
-        made = _written(_walk(rows.join(todo, key), fn, review, most).withColumn("round", F.lit(len(parts) + 1)), "made")
+    while not (todo := kept(todo, "todo")).isEmpty():
+        made = kept(_walk(rows.join(todo, key), fn, review, most).withColumn("round", F.lit(len(parts) + 1)), "made")
         # a later round's results replace earlier ones
         parts = [p.join(made.select(*key), key, "left_anti") for p in parts] + [made]
         tails = made.select("video_id", F.col("window_index").alias("prior"), F.coalesce(ends, F.array().cast("array<string>")).alias("new"))

@@ -122,7 +122,8 @@ def _ranked(texts: pd.Series) -> pd.DataFrame:
     out = []
     for own in texts:
         votes = Votes()
-        votes.texts = {x["text"]: [x["n"], x["score"]] for x in own}
+        for x in own:
+            votes.count(x["text"], x["n"], x["score"])
         ranked = votes.ranked()
         out.append((ranked[0], ranked[1 : 1 + ALTERNATIVES]))
     return pd.DataFrame(out, columns=["text", "alternatives"])

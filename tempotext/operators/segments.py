@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.similarity import contains, joined, ratio
 from ..functions.text import normalize_text
+from .folds import ROWS, in_parts
 from .times import overlapping
 
 SIMILAR, CLUSTER, REVIEW, ALTERNATIVES = 82.0, 72.0, 0.55, 3
-#: Islands that one Python call folds, one after the other: calls are dear, islands are small.
-ISLANDS = 256
+_FIELDS = {"video_id": LongType(), "start_ms": LongType(), "end_ms": LongType(), "text": StringType(), "confidence": DoubleType(), "observation_count": LongType(), "alternatives": ArrayType(StringType()), "needs_review": BooleanType()}
+SEGMENT = StructType([StructField(k, t) for k, t in _FIELDS.items()])
 
 
 def alike(a: str, b: str, threshold: float) -> bool:
-    """Equal, contained, or close by indel ratio."""
-    return a == b or contains(_compact(a), _compact(b)) or ratio(a, b) >= threshold
+    """Equal, contained, or close by indel ratio; lengths too far apart cannot be close."""
+    if a == b or contains(_compact(a), _compact(b)):
+        return True
+    return 200.0 * min(len(a), len(b)) >= threshold * (len(a) + len(b)) and ratio(a, b) >= threshold
 
 
 def _compact(x: str) -> str:
@@ -24,92 +28,98 @@ def _compact(x: str) -> str:
 
 
 class Votes:
-    """Counts and scores of an open segment's texts in first-seen order, with pair similarities remembered."""
+    """Counts and scores of an open segment's texts in first-seen order, and the text that leads.
+
+    A new text is compared with each one before it once; after that a vote only raises the supports of the texts like its own.
+    """
 
     def __init__(self) -> None:
         self.texts: dict[str, list[float]] = {}
-        self.close: dict[tuple[str, str], bool] = {}
+        self.near: dict[str, list[str]] = {}
+        self.place: dict[str, list[int]] = {}
+        self.head = ""
 
     def add(self, text: str, confidence: float) -> None:
-        own = self.texts.setdefault(text, [0, 0.0])
-        own[0] += 1
-        own[1] += max(confidence, 0.01)
+        self.count(text, 1, max(confidence, 0.01))
+
+    def count(self, text: str, times: int, score: float) -> None:
+        if text not in self.texts:
+            close = [u for u in self.texts if alike(*sorted((u, text)), CLUSTER)]
+            # Place, length and support of the text.
+            self.place[text] = [len(self.texts), len(_compact(text)), sum(self.texts[u][0] for u in close)]
+            self.texts[text], self.near[text] = [0, 0.0], [*close, text]
+            for u in close:
+                self.near[u].append(text)
+        own = self.texts[text]
+        own[0] += times
+        own[1] += score
+        for u in self.near[text]:
+            self.place[u][2] += times
+        # All others stand as they stood behind the head of before.
+        self.head = min([self.head or text, *self.near[text]], key=self._rank)
+
+    def _rank(self, t: str) -> tuple:
+        (first, size, support), (n, score) = self.place[t], self.texts[t]
+        return -support, -size, -n, -score, first
 
     def ranked(self) -> list[str]:
         """By observations of similar texts, then length, own observations and confidence; ties in first-seen order."""
+        return sorted(self.texts, key=self._rank)
 
-        def support(t: str) -> int:
-            total = 0
-            for u, (n, _) in self.texts.items():
-                pair = (t, u) if t < u else (u, t)
-                if pair not in self.close:
-                    self.close[pair] = alike(*pair, CLUSTER)
-                total += n * self.close[pair]
-            return total
-
-        return sorted(self.texts, key=lambda t: (-support(t), -len(_compact(t)), -self.texts[t][0], -self.texts[t][1]))
 
-
-def segment_observations(obs: DataFrame, duration_ms: int, interval_ms: int, threshold: float = SIMILAR) -> DataFrame:
+def segment_observations(obs: DataFrame, duration_ms: int, interval_ms: int, threshold: float = SIMILAR, part_rows: int = ROWS) -> DataFrame:
     """(video_id, start_ms, end_ms, text, confidence, observation_count, alternatives, needs_review).
 
     Observations in time order: a blank text ends the open segment; another joins it if it is like the current
     representative, else ends it at its own time and opens the next. The end of data ends it at ``duration_ms``.
-    Texts are normalised first; null ones are blank, a null confidence is 0. Blanks cut a video natively into islands; one Python call folds the
-    rows of a bounded number of them.
+    Texts are normalised first; null ones are blank, a null confidence is 0. A video is folded in parts of about ``part_rows`` rows
+    (``in_parts``), cut at blanks if there are some, else between unlike texts.
     """
-    order = W.partitionBy("video_id").orderBy("ts_ms", "frame_index")
+    seen = ["ts_ms", "frame_index", "text", "confidence"]
+    order = W.partitionBy("video_id").orderBy(*seen)
     rows = obs.withColumn("text", F.coalesce(normalize_text(F.col("text")), F.lit(""))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)).cast("double")).withColumn("next_ms", F.coalesce(F.lead("ts_ms").over(order), F.lit(duration_ms).cast("long")))
-    rows = rows.withColumn("island", F.sum((F.col("text") == "").cast("long")).over(order)).where("text <> ''")
+    rows = rows.withColumn("sure", F.coalesce(F.lag("text").over(order), F.lit("")) == "").where("text <> ''")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "frame_index"], kind="stable")
-        out, votes, head, start, conf = [], None, "", 0, []
+        out, votes, start, conf = [], None, 0, []
 
         def finish(end: int) -> None:
             ranked = votes.ranked()
             mean = sum(conf) / len(conf)
             out.append((pdf["video_id"].iat[0], start, min(duration_ms, max(start + interval_ms, end)), ranked[0], mean, len(conf), ranked[1 : 1 + ALTERNATIVES], mean < REVIEW))
 
-        island = None
-        for ts, text, c, own, before in zip(pdf["ts_ms"], pdf["text"], pdf["confidence"], pdf["island"], pdf["next_ms"].shift(fill_value=0)):
-            if own != island:
+        for ts, text, c, sure, before in zip(pdf["ts_ms"], pdf["text"], pdf["confidence"], pdf["sure"], pdf["next_ms"].shift(fill_value=0)):
+            if votes is None or sure or not alike(votes.head, text, threshold):
                 if votes is not None:
                     finish(int(before))
-                votes, island = None, own
-            if votes is None or not alike(head, text, threshold):
-                if votes is not None:
-                    finish(int(ts))
                 votes, start, conf = Votes(), int(ts), []
             votes.add(text, c)
             conf.append(c)
-            head = text if len(votes.texts) == 1 else votes.ranked()[0]
         finish(int(pdf["next_ms"].iat[-1]))
-        return pd.DataFrame(out, columns=["video_id", "start_ms", "end_ms", "text", "confidence", "observation_count", "alternatives", "needs_review"])
+        return pd.DataFrame(out, columns=SEGMENT.names)
 
-    schema = "video_id long, start_ms long, end_ms long, text string, confidence double, observation_count long, alternatives array<string>, needs_review boolean"
-    return rows.select("video_id", "island", "ts_ms", "frame_index", "text", "confidence", "next_ms").groupBy("video_id", F.floor(F.col("island") / ISLANDS)).applyInPandas(fold, schema)
+    @F.pandas_udf("boolean")
+    def joins(head: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([x is not None and y is not None and alike(x, y, threshold) for x, y in zip(head, text)], dtype="bool")
 
+    return in_parts(rows.select("video_id", *seen, "next_ms", "sure"), seen, fold, joins, SEGMENT, part_rows)
 
-def merge_adjacent_segments(segments: DataFrame, interval_ms: int, threshold: float = SIMILAR) -> DataFrame:
+
+def merge_adjacent_segments(segments: DataFrame, interval_ms: int, threshold: float = SIMILAR, part_rows: int = ROWS) -> DataFrame:
     """Neighbours within ``interval_ms`` become one if alike (weighted confidence, longer text) or if one's end begins the next.
 
-    Texts are normalised first. Gaps above the interval cut a video natively; the fold runs within what is left.
+    Texts are normalised first, null ones are empty. The fold runs in parts of about ``part_rows`` rows (``in_parts``), cut at gaps above the
+    interval if there are some, else between unlike texts.
     """
-    segments = segments.withColumn("text", normalize_text(F.col("text")))
-    order = W.partitionBy("video_id").orderBy("start_ms")
-    cut = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(order) > interval_ms, F.lit(True))
-    rows = segments.withColumn("cut", cut.cast("long")).withColumn("island", F.sum("cut").over(order))
-    schema = "video_id long, start_ms long, end_ms long, text string, confidence double, observation_count long, alternatives array<string>, needs_review boolean"
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def fold(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    seen = ["start_ms", "end_ms", "text", "observation_count", "confidence"]
+    order = W.partitionBy("video_id").orderBy(*seen)
+    rows = segments.select(*SEGMENT.names).withColumns({"text": F.coalesce(normalize_text(F.col("text")), F.lit("")), "alternatives": F.coalesce("alternatives", F.array().cast("array<string>"))})
+    rows = rows.withColumn("sure", F.coalesce(F.col("start_ms") - F.lag("end_ms").over(order) > interval_ms, F.lit(True)))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
-        pdf = pdf.sort_values("start_ms", kind="stable")
-        island = None
-        for row, own in zip(pdf[names].to_dict("records"), pdf["island"]):
-            last = out[-1] if out and own == island else None
-            island = own
+        for row, sure in zip(pdf[SEGMENT.names].to_dict("records"), pdf["sure"]):
+            last = out[-1] if out and not sure else None
             both = None
             if last and (same := alike(last["text"], row["text"], threshold)) | bool(both := joined(last["text"], row["text"])):
                 n = last["observation_count"] + row["observation_count"]
@@ -122,9 +132,13 @@ def merge_adjacent_segments(segments: DataFrame, interval_ms: int, threshold: fl
                 last |= {"end_ms": row["end_ms"], "text": text, "confidence": mean, "observation_count": n, "alternatives": list(dict.fromkeys(seen))[:ALTERNATIVES], "needs_review": mean < REVIEW}
             else:
                 out.append(row)
-        return pd.DataFrame(out, columns=names)
+        return pd.DataFrame(out, columns=SEGMENT.names)
+
+    @F.pandas_udf("boolean")
+    def joins(head: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([x is not None and y is not None and (alike(x, y, threshold) or bool(joined(x, y))) for x, y in zip(head, text)], dtype="bool")
 
-    return rows.drop("cut").groupBy("video_id", F.floor(F.col("island") / ISLANDS)).applyInPandas(fold, schema)
+    return in_parts(rows, seen, fold, joins, SEGMENT, part_rows)
 
 
 def segment_stats(segments: DataFrame) -> DataFrame:

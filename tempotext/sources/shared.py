@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -15,3 +15,10 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/tempotext-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a written table: it is computed once, and lost executors don't bring its past back."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

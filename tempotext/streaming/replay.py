@@ -58,13 +58,14 @@ def stream_segments(obs: DataFrame, interval_ms: int, threshold: float, late: st
     names = ["video_id", "start_ms", "end_ms", "text", "confidence", "observation_count", "alternatives", "needs_review"]
 
     def walk(key: tuple, batches, state: GroupState):
-        out, waiting, votes, head, start, total, n = [], [], None, "", 0, 0.0, 0
+        out, waiting, votes, start, total, n = [], [], None, 0, 0.0, 0
         if state.exists:
             start, texts, counts, scores, total, n, *columns = state.get
             waiting = list(zip(*columns))
             if n:
-                votes = _votes(Votes(), texts, counts, scores)
-                head = votes.ranked()[0]
+                votes = Votes()
+                for own in zip(texts, counts, scores):
+                    votes.count(*own)
         if not state.hasTimedOut:
             for rows in batches:
                 waiting += zip(rows["at_ms"].tolist(), rows["ts_ms"].tolist(), rows["frame_index"].tolist(), rows["text"].tolist(), rows["confidence"].tolist())
@@ -72,7 +73,7 @@ def stream_segments(obs: DataFrame, interval_ms: int, threshold: float, late: st
         ready = sorted((r for r in waiting if r[0] <= mark), key=lambda r: r[1:3])
         waiting = [r for r in waiting if r[0] > mark]
         for _, t, _, text, c in ready:
-            if votes is not None and (text == "" or not alike(head, text, threshold)):
+            if votes is not None and (text == "" or not alike(votes.head, text, threshold)):
                 ranked, end = votes.ranked(), max(start + interval_ms, t)
                 out.append((key[0], start, end if duration_ms is None else min(duration_ms, end), ranked[0], total / n, n, ranked[1 : 1 + ALTERNATIVES], total / n < REVIEW))
                 votes = None
@@ -81,7 +82,6 @@ def stream_segments(obs: DataFrame, interval_ms: int, threshold: float, late: st
                     votes, start, total, n = Votes(), t, 0.0, 0
                 votes.add(text, c)
                 total, n = total + c, n + 1
-                head = text if len(votes.texts) == 1 else votes.ranked()[0]
         if votes is None and not waiting:
             if state.exists:
                 state.remove()
@@ -98,8 +98,3 @@ def stream_segments(obs: DataFrame, interval_ms: int, threshold: float, late: st
     rows = rows.withColumn("at_ms", F.unix_millis("at")).withWatermark("at", late).groupBy("video_id")
     schema = "video_id long, start_ms long, end_ms long, text string, confidence double, observation_count long, alternatives array<string>, needs_review boolean"
     return rows.applyInPandasWithState(walk, schema, shape, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _votes(votes, texts, counts, scores):
-    votes.texts = {x: [n, s] for x, n, s in zip(texts, counts, scores)}
-    return votes
