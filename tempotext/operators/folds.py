@@ -51,7 +51,9 @@ def in_parts(rows: DataFrame, order: list[str], fold: Callable[[pd.DataFrame], p
         return out.assign(first=pdf["text"].iat[0], sure=bool(pdf["sure"].iat[0]), parts=ends, run=pdf["run"].iat[0])
 
     folded = lambda df: df.groupBy("video_id", "run").applyInPandas(one, shape)
-    done, reach = kept(folded(rows.withColumn("run", F.col("part"))), "folded"), 1
+    # Over the session's shuffle partitions, not fewer for few rows: the fold's time counts, not the rows' size.
+    spread = rows.withColumn("run", F.col("part")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "run")
+    done, reach = kept(folded(spread), "folded"), 1
     while True:
         in_order = W.partitionBy("video_id").orderBy("run")
         ends = done.where("parts is not null").withColumn("_next", F.when(~F.lead("sure").over(in_order), F.lead("first").over(in_order)))

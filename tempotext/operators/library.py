@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import fenced_json, has_kanji, headword, meaning_key, source_key, term_key, video_key
+from ..sources import snapshots
+from ..sources.shared import kept
 
 
 def keyed(saves: DataFrame) -> DataFrame:
@@ -140,6 +143,55 @@ def library_tables(saves: DataFrame) -> dict[str, DataFrame]:
     return {"entries": first.join(shown, "entry_key").join(updated, "entry_key"), "forms": forms, "meanings": meanings, "encounters": encounters}
 
 
+#: A row of a stored library: the first save of one of the four unique keys, with what it says.
+_VALUE = ["kind", "lemma", "surface", "reading", "meaning", "meaning_key", "source_url", "job_id", "sentence_id", "sentence"]
+STORED = StructType([*[StructField(c, StringType()) for c in ("part", "entry_key", "key")], StructField("save_id", LongType()), StructField("value", StructType([StructField(c, StringType()) for c in _VALUE]))])
+
+
+def stored_rows(saves: DataFrame) -> DataFrame:
+    """The first save of each key among the accepted ``saves``, as a stored library holds it; columns that saves lack are null."""
+    k = accepted(saves)
+    value = F.struct(*[(F.col(c) if c in k.columns else F.lit(None)).cast("string").alias(c) for c in _VALUE])
+    keys = {"entry": F.lit(""), "form": F.col("form_key"), "meaning": F.col("meaning_key"), "encounter": F.col("context_key")}
+    parts = F.array(*[F.struct(F.lit(name).alias("part"), key.alias("key")) for name, key in keys.items()])
+    return _firsts(k.select("entry_key", F.col("save_id").cast("long"), value.alias("value"), F.explode(parts).alias("x")).select("x.part", "entry_key", "x.key", "save_id", "value"))
+
+
+def _firsts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("part", "entry_key", "key").agg(F.min("save_id").alias("save_id"), F.min_by("value", "save_id").alias("value"))
+
+
+def merge_library(saves: DataFrame, path: str, buckets: int = 64) -> None:
+    """Upserts a batch of saves into the library stored at ``path``: the first save of each key stays, whatever batch brings it.
+
+    Entries are spread over buckets by key; a batch reads and rewrites those it touches only, as one new state (``sources.snapshots``). A batch
+    that comes twice, or after later ones, changes nothing that the order of save ids does not. A library keeps one number of buckets.
+    """
+    bucket = snapshots.bucket_of("entry_key", buckets)
+    new = kept(stored_rows(saves).withColumn("bucket", bucket), "saves")
+    own = snapshots.touched(new)
+    if own:
+        both = load_library(saves.sparkSession, path, own).unionByName(new.drop("bucket"))
+        snapshots.commit(_firsts(both).withColumn("bucket", bucket), path, own)
+
+
+def load_library(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """The stored rows (part, entry_key, key, save_id, value) of a library, or of some of its buckets; empty if there is none."""
+    return snapshots.load(spark, path, STORED, buckets)
+
+
+def stored_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """The four tables of a stored library, as ``library_tables`` makes them from all saves."""
+    part = lambda name, key, *columns: rows.where(F.col("part") == name).select("entry_key", F.col("key").alias(key), "save_id", *[f"value.{c}" for c in columns])
+    first, form = rows.where("part = 'entry'").select("entry_key", "value.kind", "value.lemma", "value.reading", F.col("save_id").alias("created")), F.col("part") == "form"
+    written = form & has_kanji(F.col("value.surface"))
+    more = rows.where("part <> 'entry'").groupBy("entry_key").agg(F.min_by(F.when(written, F.col("value.surface")), F.when(written, F.col("save_id"))).alias("_form"), F.max("save_id").alias("updated"))
+    shown = F.when(has_kanji(F.col("lemma")), F.col("lemma")).otherwise(F.coalesce("_form", "lemma"))
+    entries = first.join(more, "entry_key").withColumn("display", shown).select("entry_key", "kind", "lemma", "reading", "created", "display", "updated")
+    told = ("source_url", "job_id", "sentence_id", "sentence")
+    return {"entries": entries, "forms": part("form", "form_key", "surface", "reading"), "meanings": part("meaning", "meaning_key", "meaning", "sentence"), "encounters": part("encounter", "context_key", "meaning_key", *told)}
+
+
 def recent_history(jobs: DataFrame, most: int = 100) -> DataFrame:
     return jobs.groupBy("job_id").agg(F.max("conv_id").alias("conv_id"), F.count("*").alias("results")).orderBy(F.desc("conv_id"), "job_id").limit(most)
 

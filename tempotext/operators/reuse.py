@@ -7,15 +7,18 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.similarity import default_matcher_ratio, indel_ratio, text_contains
 from ..functions.text import compact_key, fingerprint, normalize_text, source_key
+from ..sources import snapshots
+from ..sources.shared import kept
 from .cues import chunk_with_context
 from .segments import ALTERNATIVES, Votes
 
 # Name marks of derived transcripts, and the marks that conflicts with references ignore.
 DERIVED = ("（整理版", "综合校正版")
+ORGANIZED = "（整理版）"
 IGNORED = r"""[\s、。，．,.!?！？:：;；'"“”‘’]+"""
 CONFIG = ("fps", "roi", "language", "model")
 
@@ -30,11 +33,12 @@ def reuse_compatible(wanted: DataFrame, saved: DataFrame) -> DataFrame:
     return wanted.select("job_id").distinct().join(hit, "job_id", "left").select("job_id", F.coalesce("compatible", F.lit(False)).alias("compatible"))
 
 
-def find_reusable(requests: DataFrame, history: DataFrame, transcripts: DataFrame, configs: DataFrame, revision: int) -> DataFrame:
+def find_reusable(requests: DataFrame, history: DataFrame, transcripts: DataFrame, configs: DataFrame, revision: int, audio: DataFrame | None = None) -> DataFrame:
     """(request_id, path, audio): newest result of each kind of the same source, else its transcript file with the least path.
 
     Requests (request_id, source_url); history (source_url, kind, path, at); transcripts (path, source_url); configs (source_url,
     pipeline_revision): a source whose saved revision is another one has no reusable result. Newest by ``at``, then path.
+    ``audio`` (path): audio files there are; the one beside the chosen result, of its name but for the end, comes before the history's.
     """
     key = source_key(F.col("source_url"))
     r = requests.select("request_id", key.alias("k"))
@@ -43,7 +47,12 @@ def find_reusable(requests: DataFrame, history: DataFrame, transcripts: DataFram
     old = configs.where(~F.col("pipeline_revision").eqNullSafe(F.lit(revision))).select(key.alias("k")).distinct()
     found = r.join(h, "k", "left").join(t, "k", "left").join(old.withColumn("_old", F.lit(True)), "k", "left")
     path = F.when(F.col("_old").isNull(), F.coalesce("_raw", "_file"))
-    return found.select("request_id", path.alias("path"), F.when(path.isNotNull(), F.col("_audio")).alias("audio"))
+    found = found.select("request_id", path.alias("path"), "_audio").withColumn("_own", F.lit(None).cast("string"))
+    if audio is not None:
+        beside = audio.select("path").distinct().select(F.regexp_replace("path", r"\.[^./]+$", "").alias("_stem"), F.col("path").alias("_own"))
+        beside = beside.where(F.lower(F.substring_index("_own", ".", -1)) == "m4a").groupBy("_stem").agg(F.min("_own").alias("_own"))
+        found = found.drop("_own").withColumn("_stem", F.regexp_replace("path", r"\.[^./]+$", "")).join(beside, "_stem", "left")
+    return found.select("request_id", "path", F.when(F.col("path").isNotNull(), F.coalesce("_own", "_audio")).alias("audio"))
 
 
 def _derived(path: Column) -> Column:
@@ -56,12 +65,32 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", F.col("modificationTime").alias("modified"), "length")
 
 
-def discover_transcripts(files: DataFrame, most: int = 100) -> DataFrame:
-    """(path, stem, modified, audio): the newest ``most`` transcripts, derived ones left out, with the audio file beside each."""
+def discover_transcripts(files: DataFrame, most: int = 100, metadata: DataFrame | None = None, sentences: DataFrame | None = None) -> DataFrame:
+    """(path, stem, modified, audio, organized, title, source_url, sentences): the newest ``most`` transcripts, derived ones left out, with what belongs to each.
+
+    Audio and organised text lie beside it. ``metadata`` (path, title, source_url) is read from its first lines; a blank title is the name without its end.
+    ``sentences`` (source_name, path) are sentence files by the name of their transcript, the least path first. Ties of ``modified`` go by path.
+    """
     f = files.withColumns({"stem": F.regexp_replace("path", r"\.[^./]+$", ""), "ext": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))})
-    audio = f.where("ext = 'm4a'").groupBy("stem").agg(F.min("path").alias("audio"))
     new = f.where("ext = 'md'").where(~_derived(F.col("path"))).orderBy(F.desc("modified"), "path").limit(most)
-    return new.join(audio, "stem", "left").select("path", "stem", "modified", "audio")
+    # At most ``most`` rows ask: what lies beside them is found by semi-join before anything is grouped.
+    asked = new.select("stem")
+    beside = lambda ext, name: f.where(F.col("ext") == ext).join(asked, "stem", "left_semi").groupBy("stem").agg(F.min("path").alias(name))
+    organized = f.where("ext = 'md'").where(F.endswith("stem", F.lit(ORGANIZED))).withColumn("stem", F.expr(f"substring(stem, 1, length(stem) - {len(ORGANIZED)})"))
+    organized = organized.join(asked, "stem", "left_semi").groupBy("stem").agg(F.min("path").alias("organized"))
+    found = new.join(beside("m4a", "audio"), "stem", "left").join(organized, "stem", "left")
+    if metadata is None:
+        found = found.withColumns({"title": F.lit(""), "source_url": F.lit("")})
+    else:
+        found = found.join(metadata.select("path", "title", "source_url"), "path", "left")
+    name = F.substring_index("path", "/", -1)
+    title = F.when(F.coalesce("title", F.lit("")) == "", F.substring_index("stem", "/", -1)).otherwise(F.col("title"))
+    found = found.withColumns({"title": title, "source_url": F.coalesce("source_url", F.lit("")), "_name": name})
+    if sentences is None:
+        found = found.withColumn("sentences", F.lit(None).cast("string"))
+    else:
+        found = found.join(sentences.groupBy(F.col("source_name").alias("_name")).agg(F.min("path").alias("sentences")), "_name", "left")
+    return found.select("path", "stem", "modified", "audio", "organized", "title", "source_url", "sentences")
 
 
 def read_transcript_metadata(files: DataFrame, lines: int = 20) -> DataFrame:
@@ -78,37 +107,71 @@ def read_transcript_metadata(files: DataFrame, lines: int = 20) -> DataFrame:
 
 
 def write_stage(rows: DataFrame, path: str, schema: StructType, buckets: int = 64) -> None:
-    """Replaces the rows of the videos in ``rows`` within a stage table; other videos stay, and untouched buckets are not read."""
-    spark, bucket = rows.sparkSession, F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int")
-    new = rows.select(*schema.names).withColumn("bucket", bucket)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        old = load_stage(spark, path, schema, touched).join(new.select("video_id").distinct(), "video_id", "left_anti")
-        new = new.unionByName(old.select(*schema.names).withColumn("bucket", bucket))
-    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    """Replaces the rows of the videos in ``rows`` within a stage table; other videos stay, and untouched buckets are not read.
+
+    Readers see the table before or after the write (``sources.snapshots``); a write that fails changes nothing. A table keeps one number of buckets.
+    """
+    new = kept(rows.select(*schema.names).withColumn("bucket", snapshots.bucket_of("video_id", buckets)), "stage")
+    own = snapshots.touched(new)
+    old = load_stage(rows.sparkSession, path, schema, own).join(new.select("video_id").distinct(), "video_id", "left_anti")
+    snapshots.commit(new.unionByName(old.withColumn("bucket", snapshots.bucket_of("video_id", buckets))), path, own)
 
 
 def load_stage(spark: SparkSession, path: str, schema: StructType, buckets: list[int] | None = None) -> DataFrame:
-    """A stage table as ``write_stage`` left it, or some of its buckets."""
-    df = spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(path)
-    return (df if buckets is None else df.where(F.col("bucket").isin(buckets))).drop("bucket")
+    """A stage table as the last ``write_stage`` left it, or some of its buckets; empty if there was none."""
+    return snapshots.load(spark, path, schema, buckets)
 
 
-def read_stage(raw: DataFrame, corrected: DataFrame) -> DataFrame:
-    """Segments of each video: the corrected ones if it has any, else the raw ones; columns of ``raw``."""
+def read_stage(raw: DataFrame, corrected: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """Segments of each video: the corrected ones if it has any, else the raw ones; columns of ``raw``. Videos that are ``unreadable`` have none."""
     c = corrected.select(*raw.columns)
+    if unreadable is not None:
+        bad = unreadable.select("video_id").distinct()
+        raw, c = raw.join(bad, "video_id", "left_anti").select(*raw.columns), c.join(bad, "video_id", "left_anti").select(*raw.columns)
     return c.unionByName(raw.join(c.select("video_id").distinct(), "video_id", "left_anti").select(*raw.columns))
 
 
+def parse_stage(lines: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON lines (video_id, stage, value), one segment each: rows with ``schema``'s fields besides, and what can't be read.
+
+    A line is rejected if it is null, no JSON object, or has a field of another type or a null one; rejects keep the line as ``value``.
+    """
+    # The parser needs a nullable field to put the broken line in.
+    shape = StructType([*[StructField(f.name, f.dataType) for f in schema.fields], StructField("_corrupt_record", StringType())])
+    read = lines.withColumn("_x", F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    good = F.col("_x").isNotNull() & F.col("_x._corrupt_record").isNull()
+    for f in schema.fields:
+        good = good & F.col(f"_x.{f.name}").isNotNull()
+    good = F.coalesce(good, F.lit(False))
+    return read.where(good).select("video_id", "stage", *[F.col(f"_x.{f.name}") for f in schema.fields]), read.where(~good).select("video_id", "stage", "value")
+
+
+def read_stage_lines(lines: DataFrame, schema: StructType, fall_back: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(segments, rejects) of the JSON lines (video_id, stage, value) of stage files, ``stage`` being raw or corrected.
+
+    A file with a rejected line is unreadable as a whole. A video with a corrected file has that one's segments, none if it is unreadable
+    (with ``fall_back``: then the raw file's); one without has the raw file's. An unreadable file is a file: it is no reason to take another one.
+    """
+    rows, rejects = parse_stage(lines, schema)
+    bad = lambda stage: rejects.where(F.col("stage") == stage).select("video_id").distinct()
+    fields = ["video_id", *schema.names]
+    raw = rows.where("stage = 'raw'").join(bad("raw"), "video_id", "left_anti").select(*fields)
+    corrected = rows.where("stage = 'corrected'").join(bad("corrected"), "video_id", "left_anti").select(*fields)
+    return read_stage(raw, corrected, None if fall_back else bad("corrected")), rejects
+
+
 def incremental_chunks(rows: DataFrame, saved: DataFrame, size: int = 100, context: int = 10, config: str = "") -> DataFrame:
-    """(video_id, chunk) whose texts, with context and configuration, have no equal fingerprint among ``saved``."""
+    """(video_id, chunk) whose ids, texts and references, with context and configuration, have no equal fingerprint among ``saved``."""
     return chunk_fingerprints(rows, size, context, config).join(saved, ["video_id", "chunk", "print"], "left_anti").select("video_id", "chunk")
 
 
 def chunk_fingerprints(rows: DataFrame, size: int = 100, context: int = 10, config: str = "") -> DataFrame:
-    both = chunk_with_context(rows, size, context).join(rows.select("video_id", "n", "text"), ["video_id", "n"])
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"])
+    """(video_id, chunk, print) over rows (video_id, n, text) that may have ``references``, an array of texts; null and empty texts are alike."""
+    own = [F.coalesce("text", F.lit("")).alias("t")]
+    if "references" in rows.columns:
+        own.append(F.coalesce("references", F.array().cast("array<string>")).alias("r"))
+    both = chunk_with_context(rows, size, context).join(rows.select("video_id", "n", F.to_json(F.struct("n", *own)).alias("unit")), ["video_id", "n"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "role", "unit"))), lambda x: F.concat_ws("\x1e", x["role"], x["unit"]))
     return both.groupBy("video_id", "chunk").agg(fingerprint(F.lit(config), F.array_join(listed, "\x1f")).alias("print"))
 
 

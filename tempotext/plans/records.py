@@ -143,3 +143,21 @@ def rejected_saves(s, d):
     blank = lambda n, x, c: F.when(k % n == 0, F.lit(x).cast("string")).otherwise(F.col(c))
     v = X.saves(s, d).withColumn("kind", F.when(F.col("kind") == "grammar", "rule").otherwise(F.col("kind")))
     return L.rejected_saves(v.withColumns({"lemma": blank(7, " ", "lemma"), "surface": blank(11, "\u3000", "surface"), "meaning": blank(13, None, "meaning"), "context_key": blank(17, "", "context_key")}))
+
+
+def _merged(s, d) -> dict[str, DataFrame]:
+    """A stored library after three batches: later saves first, the earliest last, and some twice."""
+    path, v, k = scratch(s, "stored-library"), X.saves(s, d), F.col("save_id")
+    for batch in (v.where(k % 3 == 2), v.where(k % 3 == 1), v.where((k % 3 == 0) | (k % 7 == 0))):
+        L.merge_library(batch, path, 16)
+    return L.stored_tables(L.load_library(s, path))
+
+
+@query(SQL["library_tables"])
+def merge_library(s, d):
+    return _merged(s, d)["entries"]
+
+
+@query(SQL["library_encounters"])
+def merge_library_encounters(s, d):
+    return _merged(s, d)["encounters"].select("entry_key", "context_key", "save_id", "meaning_key")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import similarity as S, text as T
 from ..operators import library as L, reuse as R
 from ..sources.shared import scratch
 from . import fixtures as X
 from .documents import _DOCUMENT, _document, _spoken
-from .registry import _LIB, _PAIRS, _pairs, query
+from .registry import _LIB, _PAIRS, _PASS1, _pairs, _segments, query
 
 # ---- roll-ups and text pairs -----------------------------------------------------------------------------------------
 
@@ -174,22 +175,29 @@ _SOURCE = "case when page_id % 4 < 3 then 'v' || (page_id//8) else trim(source_u
 
 @query(f""", s as (select page_id, {_SOURCE} k from sources), h as (select k, arg_max(page_id, page_id) filter (page_id % 6 = 0) r, arg_max(page_id, page_id) filter (page_id % 6 = 3) a from s where page_id % 3 = 0 group by 1),
 t as (select k, min('output/' || page_id || '.md') f from s where page_id % 5 = 0 and page_id % 2 = 1 group by 1), o as (select distinct k from s where page_id % 7 = 0 and page_id % 2 = 1),
-j as (select page_id request_id, case when o.k is null then coalesce('output/raw' || r, f) end path, a from s left join h using (k) left join t using (k) left join o using (k)) select request_id, path, case when path is not null then 'output/audio' || a end audio from j""", "sources")
+b as (select 'output/raw' || page_id stem from s where page_id % 12 = 0 union all select 'output/' || page_id from s where page_id % 3 = 0),
+j as (select page_id request_id, case when o.k is null then coalesce('output/raw' || r, f) end path, a from s left join h using (k) left join t using (k) left join o using (k)) select request_id, path, case when path is not null then coalesce(b.stem || '.m4a', 'output/audio' || a) end audio from j left join b on b.stem = replace(path, '.md', '')""", "sources")
 def find_reusable(s, d):
     v, k = X.sources(s, d), F.col("page_id")
     name = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
     history = v.where(k % 3 == 0).select("source_url", F.when(k % 6 == 0, "raw").otherwise("audio").alias("kind"), F.when(k % 6 == 0, name("output/raw", k)).otherwise(name("output/audio", k)).alias("path"), k.alias("at"))
     files = v.where(k % 5 == 0).select("source_url", F.when(k % 2 == 1, name("output/", k, ".md")).otherwise(name("output/", k, "（整理版）.md")).alias("path"))
     configs = v.where(k % 7 == 0).select("source_url", (k % 2).alias("pipeline_revision"))
-    return R.find_reusable(v.withColumnRenamed("page_id", "request_id"), history, files, configs, 0)
+    audio = v.where(k % 12 == 0).select(name("output/raw", k, ".m4a").alias("path")).unionByName(v.where(k % 3 == 0).select(name("output/", k, ".m4a").alias("path")))
+    return R.find_reusable(v.withColumnRenamed("page_id", "request_id"), history, files, configs, 0, audio)
 
 
-@query("""select 'output/t' || page_id || '.md' path, 'output/t' || page_id stem, page_id modified, case when page_id % 3 = 0 then 'output/t' || page_id || '.m4a' end audio from pages where page_id % 4 <> 0 order by page_id desc limit 100""")
+@query("""select 'output/t' || page_id || '.md' path, 'output/t' || page_id stem, page_id modified, case when page_id % 3 = 0 then 'output/t' || page_id || '.m4a' end audio, case when page_id % 5 = 0 then 'output/t' || page_id || '（整理版）.md' end organized,
+case when page_id % 2 = 0 then url else 't' || page_id end title, case when page_id % 11 = 0 then '' else 'https://x.example/' || page_id end source_url, case when page_id % 7 = 0 then 'a/' || page_id end sentences from pages where page_id % 4 <> 0 order by page_id desc limit 100""")
 def discover_transcripts(s, d):
     p, k = X.read(s, d, "pages"), F.col("page_id")
     name = lambda end: F.concat(F.lit("output/t"), k.cast("string"), F.lit(end))
-    files = p.select(F.when(k % 4 == 0, name("（整理版）.md")).otherwise(name(".md")).alias("path"), k.alias("modified")).unionByName(p.where(k % 3 == 0).select(name(".m4a").alias("path"), k.alias("modified")))
-    return R.discover_transcripts(files)
+    made = {".md": k % 4 != 0, "（整理版）.md": (k % 4 == 0) | (k % 5 == 0), ".m4a": k % 3 == 0}
+    files = p.select(F.explode(F.filter(F.array(*[F.when(x, name(end)) for end, x in made.items()]), lambda x: x.isNotNull())).alias("path"), k.alias("modified"))
+    metadata = p.where(k % 11 != 0).select(name(".md").alias("path"), F.when(k % 2 == 0, F.col("url")).alias("title"), F.concat(F.lit("https://x.example/"), k.cast("string")).alias("source_url"))
+    metadata = metadata.unionByName(p.where(k % 11 == 0).select(name(".md").alias("path"), F.when(k % 2 == 0, F.col("url")).otherwise("").alias("title"), F.lit(None).cast("string").alias("source_url")))
+    sentences = p.where(k % 7 == 0).select(F.concat(F.lit("t"), k.cast("string"), F.lit(".md")).alias("source_name"), F.explode(F.array(F.lit("a/"), F.lit("b/"))).alias("path"), k).select("source_name", F.concat("path", k.cast("string")).alias("path"))
+    return R.discover_transcripts(files, 100, metadata, sentences)
 
 
 @query("select doc_id video_id, case when doc_id % 5 = 0 then '' else trim(replace(text, chr(10), ' ')) end title, case when doc_id % 3 = 0 then '' else 'https://x.example/' || doc_id end source_url from documents")
@@ -207,6 +215,34 @@ def read_stage(s, d):
     return R.read_stage(o, o.where("video_id % 3 = 0").withColumn("text", F.concat(F.lit("c"), F.col("n").cast("string"))))
 
 
+# One file a video and stage: every third video has a corrected one, that of 6 has a broken line, the raw one of 5 an ill-typed one.
+_UNREADABLE = {(6, "corrected"): '{"start_ms": 1, ', (5, "raw"): '{"start_ms": "soon", "text": "x"}'}
+
+
+def _stage_lines(s, d) -> DataFrame:
+    """The segments of the observations as JSON lines in files by video and stage, read back as text."""
+    g, path = _segments(s, d).select("video_id", "start_ms", "text"), scratch(s, "stage-files")
+    line = lambda text: F.to_json(F.struct("start_ms", text.alias("text"))).alias("value")
+    lines = g.select("video_id", F.lit("raw").alias("stage"), line(F.col("text")))
+    lines = lines.unionByName(g.where("video_id % 3 = 0").select("video_id", F.lit("corrected").alias("stage"), line(F.concat(F.lit("c"), "text"))))
+    bad = s.createDataFrame([(*k, v) for k, v in _UNREADABLE.items()], "video_id long, stage string, value string")
+    lines.unionByName(bad.join(g.select("video_id").distinct(), "video_id", "left_semi").select(*lines.columns)).write.partitionBy("video_id", "stage").text(path)
+    return s.read.schema("value string, video_id long, stage string").text(path)
+
+
+_STAGE = StructType([StructField("start_ms", LongType()), StructField("text", StringType())])
+
+
+@query(_PASS1 + "select video_id, start_ms, case when video_id % 3 = 0 then 'c' || text else text end as text from p1 where video_id not in (5, 6)", "observations")
+def read_stage_lines(s, d):
+    return R.read_stage_lines(_stage_lines(s, d), _STAGE)[0]
+
+
+@query(_PASS1 + "select distinct video_id, case video_id when 5 then 'raw' else 'corrected' end stage, case video_id when 5 then '" + _UNREADABLE[5, "raw"] + "' else '" + _UNREADABLE[6, "corrected"] + "' end as value from p1 where video_id in (5, 6)", "observations")
+def stage_rejects(s, d):
+    return R.read_stage_lines(_stage_lines(s, d), _STAGE)[1]
+
+
 @query(", w as (select distinct video_id from segs where video_id % 5 = 0 and n % 2 = 0) select video_id, n, case when video_id in (select video_id from w) then 'new' else text end as text from segs where video_id not in (select video_id from w) or n % 2 = 0", "cues", "segs")
 def write_stage(s, d):
     o, path = X.ocr_segments(s, d).select("video_id", "n", "text"), scratch(s, "stage")
@@ -217,8 +253,8 @@ def write_stage(s, d):
 
 @query("""
 , r as (select video_id, n, row_number() over (partition by video_id order by n) - 1 i from cues), m as (select video_id, max(i//100) last from r group by 1), x as (select *, unnest(range((greatest(0, i-10)//100)::bigint, ((i+10)//100 + 1)::bigint)) chunk from r)
-select distinct video_id, chunk from x join m using (video_id) where chunk <= last and n % 150 = 97""", "cues")
+select distinct video_id, chunk from x join m using (video_id) where chunk <= last and (n % 150 = 97 or n % 400 = 211)""", "cues")
 def incremental_chunks(s, d):
-    c = X.cues(s, d)
-    old = c.withColumn("text", F.when(F.col("n") % 150 == 97, F.concat("text", F.lit("~"))).otherwise(F.col("text")))
+    c = X.cues(s, d).withColumn("references", F.array("text"))
+    old = c.withColumns({"text": F.when(F.col("n") % 150 == 97, F.concat("text", F.lit("~"))).otherwise(F.col("text")), "references": F.when(F.col("n") % 400 != 211, F.col("references"))})
     return R.incremental_chunks(c, R.chunk_fingerprints(old))

@@ -24,7 +24,9 @@ def stream_windows(s, d):
 @query(_LIB + """, p as (select save_id, unnest([{'kind_of_key': 'entry', 'key': entry_key}, {'kind_of_key': 'form', 'key': entry_key || '␟' || surface}, {'kind_of_key': 'meaning', 'key': entry_key || '␟' || meaning}, {'kind_of_key': 'encounter', 'key': entry_key || '␟' || context_key}]) x from k)
 select x.kind_of_key, x.key, min(save_id) save_id from p group by 1, 2""", "saves")
 def stream_upsert_library(s, d):
-    return Z.stream_upsert_library(X.saves_of(_stream(s, d)), scratch(s, "library"), scratch(s, "library-state"))
+    rows = Z.stream_upsert_library(X.saves_of(_stream(s, d)), scratch(s, "library"), scratch(s, "library-state"))
+    key = F.when(F.col("part") == "entry", F.col("entry_key")).otherwise(F.concat_ws("␟", "entry_key", "key"))
+    return rows.select(F.col("part").alias("kind_of_key"), key.alias("key"), "save_id")
 
 
 @query()

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Keys whose first save wins.
-KEYS = {"entry": ["entry_key"], "form": ["entry_key", "form_key"], "meaning": ["entry_key", "meaning_key"], "encounter": ["entry_key", "context_key"]}
 
 def stream_windows(events: DataFrame, span: str = "20 seconds", late: str = "1 hour") -> DataFrame:
     """Rows per type and event-time window; rows later than ``late`` are dropped by the watermark."""
@@ -19,26 +17,17 @@ def replay(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def stream_upsert_library(saves: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Library of a stream of saves: for every key its first save, whatever batch brought it; (key, kind_of_key, save_id).
+def stream_upsert_library(saves: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> DataFrame:
+    """Library of a stream of saves, stored at ``path``: for every key its first save, whatever batch brought it (``load_library``'s rows).
 
-    Each batch appends the first saves of its keys only, so the table grows with keys, and reading takes the least save of
-    each key: a batch that is replayed, or comes out of order, changes nothing.
+    Each batch is merged into the buckets it touches (``merge_library``), so what it reads and rewrites follows the batch, and a batch that is
+    replayed, or comes out of order, changes nothing.
     """
-    from ..operators.library import accepted
+    from ..operators.library import load_library, merge_library
 
-    def firsts(rows: DataFrame) -> DataFrame:
-        k = accepted(rows)
-        parts = [F.struct(F.lit(name).alias("kind_of_key"), F.concat_ws("␟", *cols).alias("key")) for name, cols in KEYS.items()]
-        return k.select("save_id", F.explode(F.array(*parts)).alias("x")).groupBy("x.kind_of_key", "x.key").agg(F.min("save_id").alias("save_id"))
-
-    def add(batch: DataFrame, number: int) -> None:
-        firsts(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    query = saves.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = saves.writeStream.foreachBatch(lambda batch, _: merge_library(batch, path, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    table = saves.sparkSession.read.schema("kind_of_key string, key string, save_id long, batch int").parquet(path)
-    return table.groupBy("kind_of_key", "key").agg(F.min("save_id").alias("save_id"))
+    return load_library(saves.sparkSession, path)
 
 
 def stream_segments(obs: DataFrame, interval_ms: int, threshold: float, late: str = "1 hour", duration_ms: int | None = None) -> DataFrame:
