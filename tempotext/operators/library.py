@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.text import fenced_json, has_kanji, headword, meaning_key, source_key, term_key, video_key
 from ..sources import snapshots
@@ -206,21 +207,54 @@ def library_state(items: DataFrame, saves: DataFrame) -> DataFrame:
     return x.select("item_id", F.col("_m").isNotNull().alias("entry_exists"), flag(F.col("_has_meaning_key")).alias("meaning_saved"), flag(F.col("_has_context_key")).alias("context_saved"), F.coalesce("_m", F.lit(0)).alias("meaning_count"), F.coalesce("_e", F.lit(0)).alias("encounter_count"))
 
 
-def library_context(sentences: DataFrame, saves: DataFrame, most: int = 240, keep: int = 80) -> DataFrame:
+#: UTF-8 bytes of forms that one automaton holds, about; more are spread over several.
+FORM_BYTES = 8 << 20
+
+
+def library_context(sentences: DataFrame, saves: DataFrame, most: int = 240, keep: int = 80, form_bytes: int = FORM_BYTES) -> DataFrame:
     """(video_id, n, matches, entries): the ``keep`` entries to know for each sentence, of the ``most`` met most often.
 
-    Entries with a form or lemma in the sentence come first, then those met most often and last. The candidates are one row
-    of at most ``most`` entries, joined to every sentence, so sentences are neither shuffled nor multiplied.
+    Entries with a form or lemma in the sentence come first, then those met most often and last; a null text holds none. The forms of
+    the ``most`` entries are measured first: each ``form_bytes`` of them make one automaton, sent to the executors, that reads a
+    sentence once however many forms it has. Sentences are neither shuffled nor multiplied.
     """
-    k = accepted(saves)
-    forms = k.groupBy("entry_key").agg(F.array_union(F.collect_set("form_key"), F.collect_set(term_key(F.col("lemma")))).alias("forms"))
-    top = top_library_entries(saves, most).join(forms, "entry_key")
-    entry = F.struct((-F.col("encounters")).alias("e"), (-F.col("updated")).alias("u"), F.col("entry_key").alias("key"), F.filter("forms", lambda x: x != "").alias("forms"))
-    one = top.agg(F.array_sort(F.collect_list(entry)).alias("top"))
-    s = sentences.select("video_id", "n", term_key(F.col("text")).alias("t")).join(F.broadcast(one))
-    ranked = F.array_sort(F.transform("top", lambda c: F.struct((~F.exists(c["forms"], lambda f: F.contains(F.col("t"), f))).alias("miss"), c["e"].alias("e"), c["u"].alias("u"), c["key"].alias("key"))))
-    s = s.withColumn("r", F.slice(ranked, 1, keep))
-    return s.select("video_id", "n", F.size(F.filter("r", lambda x: ~x["miss"])).cast("long").alias("matches"), F.col("r.key").alias("entries"))
+    top = [r["entry_key"] for r in top_library_entries(saves, most).orderBy(F.desc("encounters"), F.desc("updated"), "entry_key").select("entry_key").collect()]  # ``most`` keys
+    spark = sentences.sparkSession
+    places = spark.createDataFrame(list(enumerate(top)), "place int, entry_key string")
+    k = accepted(saves).join(F.broadcast(places), "entry_key")
+    forms = k.select("place", F.explode(F.array("form_key", term_key(F.col("lemma")))).alias("form")).where("form <> ''").groupBy("form").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    forms = kept(forms, "forms")
+    size = forms.agg(F.sum(F.octet_length("form"))).first()[0] or 0
+    parts = -(-size // form_bytes)
+    found = F.array().cast("array<int>")
+    for part in range(parts):
+        own = forms.where(F.pmod(F.xxhash64("form"), F.lit(parts)) == part).collect()  # about ``form_bytes``
+        found = F.array_union(found, _holds(spark, {r["form"]: tuple(r["places"]) for r in own})(F.col("t")))
+    s = sentences.select("video_id", "n", F.coalesce(term_key(F.col("text")), F.lit("")).alias("t")).withColumn("hits", F.array_sort(found))
+    every = F.array(*[F.lit(i) for i in range(len(top))]).cast("array<int>")
+    r = F.slice(F.concat("hits", F.array_except(every, "hits")), 1, keep)
+    keys = F.array(*[F.lit(x) for x in top]).cast("array<string>")
+    return s.select("video_id", "n", F.least(F.size("hits"), F.lit(keep)).cast("long").alias("matches"), F.transform(r, lambda i: F.get(keys, i)).alias("entries"))
+
+
+def _holds(spark: SparkSession, forms: dict[str, tuple[int, ...]]):
+    """A column function: the places whose forms a text holds, each once."""
+    import ahocorasick
+
+    sent = spark.sparkContext.broadcast(forms)
+    made: list = []
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def hits(texts: pd.Series) -> pd.Series:
+        if not made:  # once a task
+            automaton = ahocorasick.Automaton()
+            for form, places in sent.value.items():
+                automaton.add_word(form, places)
+            automaton.make_automaton()
+            made.append(automaton)
+        return pd.Series([sorted({p for _, places in made[0].iter(t) for p in places}) if made[0] else [] for t in texts], index=texts.index)
+
+    return hits
 
 
 def encounter_titles(encounters: DataFrame, history: DataFrame) -> DataFrame:

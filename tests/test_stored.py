@@ -127,3 +127,24 @@ def test_audio_beside_the_chosen_file_comes_first(spark):
     for files, want in (["o/r.m4a", "o/x.m4a"], "o/r.m4a"), (["o/x.m4a", "o/r.txt"], "o/old.m4a"):
         got = {x.request_id: (x.path, x.audio) for x in R.find_reusable(r, h, t, c, 1, spark.createDataFrame([(f,) for f in files], "path string")).collect()}
         assert got == {1: ("o/r.md", want), 2: (None, None)}
+
+
+@pytest.mark.parametrize("form_bytes", [1 << 20, 12])
+def test_context_equals_plain_search(spark, form_bytes):
+    """With one automaton and with many: entries whose forms a sentence holds first, then by encounters and last change."""
+    s = saves(spark, range(150))
+    texts = ["l3 s2 今", "", None, "漢S1と漢s0", "nothing", "L1L2L3l4"]
+    got = L.library_context(spark.createDataFrame([(1, n, t) for n, t in enumerate(texts)], ROW), s, 6, 4, form_bytes).collect()
+    top = [r.entry_key for r in L.top_library_entries(s, 6).orderBy(F.desc("encounters"), F.desc("updated"), "entry_key").collect()]
+    forms = {}
+    for r in L.accepted(s).collect():
+        forms.setdefault(r.entry_key, set()).update({r.form_key, r.lemma.casefold()})
+    for r in got:
+        t = (texts[r.n] or "").casefold().replace(" ", "")
+        hit = [e for e in top if any(f in t for f in forms[e])]
+        assert (r.matches, r.entries) == (min(len(hit), 4), (hit + [e for e in top if e not in hit])[:4])
+
+
+def test_context_of_an_empty_library(spark):
+    got = L.library_context(spark.createDataFrame([(1, 0, "x")], ROW), saves(spark, [])).collect()
+    assert [(r.matches, r.entries) for r in got] == [(0, [])]
