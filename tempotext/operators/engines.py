@@ -12,15 +12,17 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.blocks import matching
 from ..functions.similarity import safe_correction
 from ..functions.text import COMPARED
 from ..sources.shared import kept
+from .alignment import PART, align_streams, placed
 from .cues import CONTEXT, SPAN, chunk_with_context, window_context
 from .documents import retry_missing
 from .reuse import reference_conflict, validate_corrections
 from .sentences import CLOSING, TERMINAL, validate_boundaries
+from .times import overlapping
 
 ANSWER = "video_id {0}, frame_id long, text string, confidence double, line_count long"
 #: A window's result: the tail it was given and its decisions.
@@ -297,46 +299,58 @@ def _comparable(text: str) -> list[tuple[str, int]]:
     return [(y, i) for i, x in enumerate(text) for y in unicodedata.normalize("NFKC", x) if not y.isspace() and y not in _LEFT_OUT]
 
 
-def boundaries_by_reference(units: list[tuple[int, str]], sentences: list[str], least: float = 0.72) -> list[tuple[int, int]]:
-    """(n, after_char) where the sentences of a reference end in the units (n, text) of the same video.
-
-    A sentence of three characters or more counts if ``least`` of them are aligned, its last one among them, over a stretch
-    at most 1.8 times (or 4 characters) as long. Sentence marks that follow, with closers after them, stay before the cut.
-    """
-    raw = [(n, i + 1, x) for n, text in units for i, x in enumerate(text)]
-    source = [(y, k) for k, (_, _, x) in enumerate(raw) for y, _ in _comparable(x)]
-    parts = [[y for y, _ in _comparable(x)] for x in sentences]
-    where: dict[int, int] = {}
-    for i, j, size in matching("".join(y for p in parts for y in p), "".join(y for y, _ in source)):
-        where.update(zip(range(i, i + size), range(j, j + size)))
-    out, end = set(), 0
-    for size in map(len, parts):
-        start, end = end, end + size
-        if size < 3 or end - 1 not in where:
-            continue
-        hits = [where[k] for k in range(start, end) if k in where]
-        if len(hits) < least * size or hits[-1] - hits[0] + 1 > max(size + 4, round(1.8 * size)):
-            continue
-        k = stop = source[where[end - 1]][1]
-        for marks in (TERMINAL, CLOSING):
-            while k + 1 < len(raw) and raw[k + 1][2] in marks and (marks is TERMINAL or k > stop):
-                k += 1
-        out.add(raw[k][:2])
-    return sorted(out)
-
-
-def reference_boundaries(units: DataFrame, references: DataFrame) -> DataFrame:
+@F.pandas_udf(StringType())
+def _compared(c: pd.Series) -> pd.Series:
+    return pd.Series(["".join(y for y, _ in _comparable(x or "")) for x in c], dtype=object)
+
+
+def _after_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cuts behind a unit's compared character ``k``, moved past sentence marks and then closers, into the units that follow too."""
+    for pdf in batches:
+        out = []
+        for v, n, text, k, after in zip(pdf["video_id"], pdf["n"], pdf["text"], pdf["k"], pdf["after"]):
+            at = _comparable(text)[k][1]
+            raw = [(n, at + 1)]
+            rest = [(n, i + 1, x) for i, x in enumerate(text) if i > at] + [(m["n"], i + 1, x) for m in after for i, x in enumerate(m["text"])]
+            for marks in (TERMINAL, CLOSING):
+                while len(raw) <= len(rest) and rest[len(raw) - 1][2] in marks and (marks is TERMINAL or len(raw) > 1):
+                    raw.append(rest[len(raw) - 1][:2])
+            out.append((v, *raw[-1]))
+        yield pd.DataFrame(out, columns=["video_id", "n", "after_char"])
+
+
+def _followed(units: DataFrame) -> DataFrame:
+    """``units`` with ``after``: units in a row behind it that hold marks only, and the marks that begin the one behind these."""
+    any_ = "[" + "".join("\\" + x if x in "[]()^-\\" else x for x in TERMINAL + CLOSING) + "]*"
+    w = W.partitionBy("video_id").orderBy("n")
+    u = units.withColumn("_head", F.regexp_extract("text", "^" + any_, 0)).withColumn("_more", F.length("_head") < F.length("text"))
+    u = u.withColumn("_g", F.sum(F.col("_more").cast("long")).over(w))
+    only = F.array_sort(F.collect_list(F.when(~F.col("_more") & (F.col("text") != ""), F.struct("n", "text"))))
+    g = u.groupBy("video_id", "_g").agg(only.alias("_only"), F.min(F.when(F.col("_more"), F.struct("n", F.col("_head").alias("text")))).alias("_first"))
+    g = g.withColumn("_next", F.lead("_first").over(W.partitionBy("video_id").orderBy("_g"))).drop("_first")
+    behind = F.concat(F.filter("_only", lambda m: m["n"] > F.col("n")), F.filter(F.array("_next"), lambda m: m.isNotNull()))
+    return u.join(g, ["video_id", "_g"]).withColumn("after", behind).drop("_head", "_more", "_g", "_only", "_next")
+
+
+def reference_boundaries(units: DataFrame, references: DataFrame, least: float = 0.72) -> DataFrame:
     """(video_id, n, after_char): cuts of units (video_id, n, text) where the sentences (video_id, ord, sentence) of captions end.
 
-    The alignment is over a video's whole text, so one task holds one video's text at a time, and no more.
+    A sentence of three characters or more counts if ``least`` of them are aligned, its last one among them, over a stretch
+    at most 1.8 times (or 4 characters) as long. Sentence marks that follow, with closers after them, stay before the cut. The
+    alignment is that of a video's whole text, made in parts (``align_streams``); what surrounds it is joined by places.
+    Rows without a video are left out, null texts are empty; ``n`` and ``ord`` are unique within a video.
     """
-    schema = f"video_id {_key_type(units)}, n long, after_char long"
-
-    def run(key: tuple, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        own, other = own.sort_values("n", kind="stable"), other.sort_values("ord", kind="stable")
-        got = boundaries_by_reference(list(zip(own["n"], own["text"])), other["sentence"].to_list()) if len(own) and len(other) else []
-        return pd.DataFrame({"video_id": pd.Series([key[0]] * len(got), dtype=object), "n": [n for n, _ in got], "after_char": [k for _, k in got]})
-
-    u = units.select("video_id", F.col("n").cast("long").alias("n"), F.coalesce("text", F.lit("")).alias("text"))
-    r = references.where("sentence is not null").select("video_id", "ord", "sentence")
-    return _spread(u, "video_id").groupBy("video_id").cogroup(_spread(r, "video_id").groupBy("video_id")).applyInPandas(run, schema)
+    u = units.where("video_id is not null").select("video_id", F.col("n").cast("long").alias("n"), F.coalesce("text", F.lit("")).alias("text"))
+    u = kept(placed(u.withColumn("same", _compared("text")), "n", "same"), "units")
+    r = references.where("video_id is not null and sentence is not null").select("video_id", F.col("ord").alias("n"), _compared("sentence").alias("same"))
+    r = kept(placed(r, "n", "same"), "sentences")
+    blocks = align_streams(r.select("video_id", "n", F.col("same").alias("text")), u.select("video_id", "n", F.col("same").alias("text")))
+    blocks = blocks.select("video_id", F.col("a").alias("x0"), (F.col("a") + F.col("size") - 1).alias("x1"), (F.col("b") - F.col("a")).alias("d"))
+    hit = overlapping(r.select("video_id", "pos", "last").where("last - pos >= 2"), blocks, ("pos", "last"), ("x0", "x1"), 0, PART)
+    first, last = F.greatest("pos", "x0"), F.least("last", "x1")
+    s = hit.groupBy("video_id", "pos", "last").agg(F.sum(last - first + 1).alias("hits"), F.min(first + F.col("d")).alias("from"), F.max(last + F.col("d")).alias("to"), F.max(last).alias("x"))
+    size = F.col("last") - F.col("pos") + 1
+    s = s.where((F.col("x") == F.col("last")) & (F.col("hits") >= least * size) & (F.col("to") - F.col("from") + 1 <= F.greatest(size + 4, F.bround(size * 1.8))))
+    at = overlapping(s.select("video_id", "to"), _followed(u), ("to", "to"), ("pos", "last"), 0, PART)
+    kind = f"video_id {_key_type(units)}, n long, after_char long"
+    return at.select("video_id", "n", "text", (F.col("to") - F.col("pos")).alias("k"), "after").mapInPandas(_after_marks, kind).distinct()
