@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -294,14 +295,19 @@ def incremental_windows(
 _LEFT_OUT = frozenset(COMPARED[3:-1])
 
 
+@lru_cache(maxsize=1 << 16)
+def _of_char(x: str) -> str:
+    return "".join(y for y in unicodedata.normalize("NFKC", x) if not y.isspace() and y not in _LEFT_OUT)
+
+
 def _comparable(text: str) -> list[tuple[str, int]]:
     """Characters that are compared, with the offset of the one they come from."""
-    return [(y, i) for i, x in enumerate(text) for y in unicodedata.normalize("NFKC", x) if not y.isspace() and y not in _LEFT_OUT]
+    return [(y, i) for i, x in enumerate(text) for y in _of_char(x)]
 
 
 @F.pandas_udf(StringType())
 def _compared(c: pd.Series) -> pd.Series:
-    return pd.Series(["".join(y for y, _ in _comparable(x or "")) for x in c], dtype=object)
+    return pd.Series(["".join(map(_of_char, x or "")) for x in c], dtype=object)
 
 
 def _after_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -72,8 +72,8 @@ def _pairs(rng, count):
         yield a, b
 
 
-@pytest.mark.parametrize("gram,bin_,part", [(3, 16, 1), (5, 64, 40), (12, 1024, 4096)])
-def test_parts_give_the_whole_alignment(spark, monkeypatch, gram, bin_, part):
+@pytest.mark.parametrize("gram,bin_,part,whole", [(3, 16, 1, 0), (5, 64, 40, 200), (12, 1024, 4096, A.WHOLE)])
+def test_parts_give_the_whole_alignment(spark, monkeypatch, gram, bin_, part, whole):
     monkeypatch.setattr(A, "GRAM", gram), monkeypatch.setattr(A, "BIN", bin_)
     rng = random.Random(gram)
     pairs = list(_pairs(rng, 120))
@@ -82,7 +82,7 @@ def test_parts_give_the_whole_alignment(spark, monkeypatch, gram, bin_, part):
     left, right = left + [(None, 1, "abc"), (900, 1, "abcabc"), (901, 1, None)], right + [(None, 1, "abc"), (901, 1, "abc")]
     x, y = (spark.createDataFrame(r, "video_id long, n long, text string") for r in (left, right))
     got = {}
-    for r in A.align_streams(x, y, part).collect():
+    for r in A.align_streams(x, y, part, whole).collect():
         got.setdefault(r.video_id, []).append((r.a, r.b, r.size))
     want = {v: [(m.a, m.b, m.size) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size] for v, (a, b) in enumerate(pairs)}
     assert {v: sorted(m) for v, m in got.items()} == {v: m for v, m in want.items() if m}
@@ -102,7 +102,9 @@ def test_a_long_video_is_many_parts(spark):
     assert len(cuts) >= 4 and all(p < q and s < t for (p, s), (q, t) in zip(cuts, cuts[1:]))
 
 
-def test_boundaries_against_a_plain_walk(spark):
+@pytest.mark.parametrize("whole", [0, A.WHOLE])
+def test_boundaries_against_a_plain_walk(spark, monkeypatch, whole):
+    monkeypatch.setattr(A.align_streams, "__defaults__", (A.PART, whole))
     rng = random.Random(11)
     letters, marks = "あいうえおかきくけこabcdefgＡＢ①㍍", "。！？!?…」』）)、 \n"
     units, sentences, want = [], [], []
