@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.blocks import matching
 from ..functions.similarity import safe_correction
 from ..functions.text import COMPARED
 from ..sources.shared import kept
@@ -25,6 +26,8 @@ from .reuse import reference_conflict, validate_corrections
 from .sentences import CLOSING, TERMINAL, validate_boundaries
 from .times import overlapping
 
+#: Characters of units and sentences up to which a video is cut by a reference in one task.
+WHOLE = 1 << 17
 ANSWER = "video_id {0}, frame_id long, text string, confidence double, line_count long"
 #: A window's result: the tail it was given and its decisions.
 _MADE = "kind: string, cue_ids: array<bigint>, ocr_ids: array<bigint>, text: string, recheck: boolean"
@@ -305,6 +308,34 @@ def _comparable(text: str) -> list[tuple[str, int]]:
     return [(y, i) for i, x in enumerate(text) for y in _of_char(x)]
 
 
+def boundaries_by_reference(units: list[tuple[int, str]], sentences: list[str], least: float = 0.72) -> list[tuple[int, int]]:
+    """(n, after_char) where the sentences of a reference end in the units (n, text) of the same video.
+
+    A sentence of three characters or more counts if ``least`` of them are aligned, its last one among them, over a stretch
+    at most 1.8 times (or 4 characters) as long. Sentence marks that follow, with closers after them, stay before the cut.
+    """
+    raw = [(n, i + 1, x) for n, text in units for i, x in enumerate(text)]
+    source = [(y, k) for k, (_, _, x) in enumerate(raw) for y, _ in _comparable(x)]
+    parts = [[y for y, _ in _comparable(x)] for x in sentences]
+    where: dict[int, int] = {}
+    for i, j, size in matching("".join(y for p in parts for y in p), "".join(y for y, _ in source)):
+        where.update(zip(range(i, i + size), range(j, j + size)))
+    out, end = set(), 0
+    for size in map(len, parts):
+        start, end = end, end + size
+        if size < 3 or end - 1 not in where:
+            continue
+        hits = [where[k] for k in range(start, end) if k in where]
+        if len(hits) < least * size or hits[-1] - hits[0] + 1 > max(size + 4, round(1.8 * size)):
+            continue
+        k = stop = source[where[end - 1]][1]
+        for marks in (TERMINAL, CLOSING):
+            while k + 1 < len(raw) and raw[k + 1][2] in marks and (marks is TERMINAL or k > stop):
+                k += 1
+        out.add(raw[k][:2])
+    return sorted(out)
+
+
 @F.pandas_udf(StringType())
 def _compared(c: pd.Series) -> pd.Series:
     return pd.Series(["".join(map(_of_char, x or "")) for x in c], dtype=object)
@@ -338,19 +369,21 @@ def _followed(units: DataFrame) -> DataFrame:
     return u.join(g, ["video_id", "_g"]).withColumn("after", behind).drop("_head", "_more", "_g", "_only", "_next")
 
 
-def reference_boundaries(units: DataFrame, references: DataFrame, least: float = 0.72) -> DataFrame:
-    """(video_id, n, after_char): cuts of units (video_id, n, text) where the sentences (video_id, ord, sentence) of captions end.
+def _whole_videos(u: DataFrame, r: DataFrame, least: float) -> DataFrame:
+    schema = f"video_id {_key_type(u)}, n long, after_char long"
 
-    A sentence of three characters or more counts if ``least`` of them are aligned, its last one among them, over a stretch
-    at most 1.8 times (or 4 characters) as long. Sentence marks that follow, with closers after them, stay before the cut. The
-    alignment is that of a video's whole text, made in parts (``align_streams``); what surrounds it is joined by places.
-    Rows without a video are left out, null texts are empty; ``n`` and ``ord`` are unique within a video.
-    """
-    u = units.where("video_id is not null").select("video_id", F.col("n").cast("long").alias("n"), F.coalesce("text", F.lit("")).alias("text"))
+    def run(key: tuple, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        own, other = own.sort_values("n", kind="stable"), other.sort_values("ord", kind="stable")
+        got = boundaries_by_reference(list(zip(own["n"], own["text"])), other["sentence"].to_list(), least) if len(own) and len(other) else []
+        return pd.DataFrame({"video_id": pd.Series([key[0]] * len(got), dtype=object), "n": [n for n, _ in got], "after_char": [k for _, k in got]})
+
+    return _spread(u, "video_id").groupBy("video_id").cogroup(_spread(r, "video_id").groupBy("video_id")).applyInPandas(run, schema)
+
+
+def _cut_videos(u: DataFrame, r: DataFrame, least: float, whole: int) -> DataFrame:
     u = kept(placed(u.withColumn("same", _compared("text")), "n", "same"), "units")
-    r = references.where("video_id is not null and sentence is not null").select("video_id", F.col("ord").alias("n"), _compared("sentence").alias("same"))
-    r = kept(placed(r, "n", "same"), "sentences")
-    blocks = align_streams(r.select("video_id", "n", F.col("same").alias("text")), u.select("video_id", "n", F.col("same").alias("text")))
+    r = kept(placed(r.select("video_id", F.col("ord").alias("n"), _compared("sentence").alias("same")), "n", "same"), "sentences")
+    blocks = align_streams(r.select("video_id", "n", F.col("same").alias("text")), u.select("video_id", "n", F.col("same").alias("text")), whole=whole)
     blocks = blocks.select("video_id", F.col("a").alias("x0"), (F.col("a") + F.col("size") - 1).alias("x1"), (F.col("b") - F.col("a")).alias("d"))
     hit = overlapping(r.select("video_id", "pos", "last").where("last - pos >= 2"), blocks, ("pos", "last"), ("x0", "x1"), 0, PART)
     first, last = F.greatest("pos", "x0"), F.least("last", "x1")
@@ -358,5 +391,23 @@ def reference_boundaries(units: DataFrame, references: DataFrame, least: float =
     size = F.col("last") - F.col("pos") + 1
     s = s.where((F.col("x") == F.col("last")) & (F.col("hits") >= least * size) & (F.col("to") - F.col("from") + 1 <= F.greatest(size + 4, F.bround(size * 1.8))))
     at = overlapping(s.select("video_id", "to"), _followed(u), ("to", "to"), ("pos", "last"), 0, PART)
-    kind = f"video_id {_key_type(units)}, n long, after_char long"
+    kind = f"video_id {_key_type(u)}, n long, after_char long"
     return at.select("video_id", "n", "text", (F.col("to") - F.col("pos")).alias("k"), "after").mapInPandas(_after_marks, kind).distinct()
+
+
+def reference_boundaries(units: DataFrame, references: DataFrame, least: float = 0.72, whole: int = WHOLE) -> DataFrame:
+    """(video_id, n, after_char): cuts of units (video_id, n, text) where the sentences (video_id, ord, sentence) of captions end.
+
+    A video of ``whole`` characters or fewer is one task's group. Longer ones are aligned in parts (``align_streams``), and what
+    surrounds the alignment is joined by places; both ways give the same cuts. Rows without a video are left out, null texts are
+    empty; ``n`` and ``ord`` are unique within a video.
+    """
+    u = units.where("video_id is not null").select("video_id", F.col("n").cast("long").alias("n"), F.coalesce("text", F.lit("")).alias("text"))
+    r = references.where("video_id is not null and sentence is not null").select("video_id", "ord", "sentence")
+    u, r = kept(u, "units"), kept(r, "sentences")
+    sizes = u.select("video_id", F.length("text").alias("size")).unionByName(r.select("video_id", F.length("sentence").alias("size")))
+    long_ = kept(sizes.groupBy("video_id").agg(F.sum("size").alias("size")).where(F.col("size") > whole).select("video_id"), "long")
+    if long_.isEmpty():
+        return _whole_videos(u, r, least)
+    of = lambda how: (df.join(long_, "video_id", how) for df in (u, r))
+    return _whole_videos(*of("left_anti"), least).unionByName(_cut_videos(*of("left_semi"), least, whole))

@@ -1,4 +1,4 @@
-"""Alignment in parts against the whole alignment of difflib; cuts from a reference against a plain walk over the whole text."""
+"""Alignment in parts against the whole alignment of difflib; cuts from a reference joined by places against a walk over the whole text."""
 
 import random
 from difflib import SequenceMatcher
@@ -7,36 +7,7 @@ import pytest
 
 from tempotext.functions.blocks import matching
 from tempotext.operators import alignment as A, engines as E
-from tempotext.operators.engines import _comparable
-from tempotext.operators.sentences import CLOSING, TERMINAL
-
-
-def boundaries_by_reference(units: list[tuple[int, str]], sentences: list[str], least: float = 0.72) -> list[tuple[int, int]]:
-    """(n, after_char) where the sentences of a reference end in the units (n, text) of the same video.
-
-    A sentence of three characters or more counts if ``least`` of them are aligned, its last one among them, over a stretch
-    at most 1.8 times (or 4 characters) as long. Sentence marks that follow, with closers after them, stay before the cut.
-    """
-    raw = [(n, i + 1, x) for n, text in units for i, x in enumerate(text)]
-    source = [(y, k) for k, (_, _, x) in enumerate(raw) for y, _ in _comparable(x)]
-    parts = [[y for y, _ in _comparable(x)] for x in sentences]
-    where: dict[int, int] = {}
-    for i, j, size in matching("".join(y for p in parts for y in p), "".join(y for y, _ in source)):
-        where.update(zip(range(i, i + size), range(j, j + size)))
-    out, end = set(), 0
-    for size in map(len, parts):
-        start, end = end, end + size
-        if size < 3 or end - 1 not in where:
-            continue
-        hits = [where[k] for k in range(start, end) if k in where]
-        if len(hits) < least * size or hits[-1] - hits[0] + 1 > max(size + 4, round(1.8 * size)):
-            continue
-        k = stop = source[where[end - 1]][1]
-        for marks in (TERMINAL, CLOSING):
-            while k + 1 < len(raw) and raw[k + 1][2] in marks and (marks is TERMINAL or k > stop):
-                k += 1
-        out.add(raw[k][:2])
-    return sorted(out)
+from tempotext.operators.engines import boundaries_by_reference
 
 
 def _dealt(rng, text):
@@ -102,9 +73,8 @@ def test_a_long_video_is_many_parts(spark):
     assert len(cuts) >= 4 and all(p < q and s < t for (p, s), (q, t) in zip(cuts, cuts[1:]))
 
 
-@pytest.mark.parametrize("whole", [0, A.WHOLE])
-def test_boundaries_against_a_plain_walk(spark, monkeypatch, whole):
-    monkeypatch.setattr(A.align_streams, "__defaults__", (A.PART, whole))
+@pytest.mark.parametrize("whole", [0, 200, E.WHOLE])
+def test_boundaries_against_a_plain_walk(spark, whole):
     rng = random.Random(11)
     letters, marks = "あいうえおかきくけこabcdefgＡＢ①㍍", "。！？!?…」』）)、 \n"
     units, sentences, want = [], [], []
@@ -119,5 +89,5 @@ def test_boundaries_against_a_plain_walk(spark, monkeypatch, whole):
         want += [(v, *x) for x in (boundaries_by_reference(own, ref) if own and ref else [])]
     u = spark.createDataFrame(units, "video_id long, n long, text string")
     r = spark.createDataFrame(sentences, "video_id long, ord long, sentence string")
-    assert len(want) > 150 and sorted(map(tuple, E.reference_boundaries(u, r).collect())) == sorted(want)
+    assert len(want) > 150 and sorted(map(tuple, E.reference_boundaries(u, r, whole=whole).collect())) == sorted(want)
     assert E.reference_boundaries(u.limit(0), r).count() == E.reference_boundaries(u, r.limit(0)).count() == 0
