@@ -105,12 +105,12 @@ def window_bounds(cues: DataFrame, segments: DataFrame, durations: DataFrame, sp
     return w.where((start < F.col("duration_ms")) | (F.col("window_index") == 0)).select("video_id", "window_index", start.alias("start_ms"), F.least("duration_ms", start + span_ms).alias("end_ms"), "cues", "segments")
 
 
-def window_context(rows: DataFrame, span_ms: int = SPAN, context_ms: int = CONTEXT) -> DataFrame:
-    """(video_id, window_index, n, target): rows that overlap a window or its context; each row finds its windows by division, not by search."""
+def window_context(rows: DataFrame, span_ms: int = SPAN, context_ms: int = CONTEXT, *more: str) -> DataFrame:
+    """(video_id, window_index, n, target) and the columns ``more``: rows that overlap a window or its context; each row finds its windows by division, not by search."""
     first, last = F.floor(F.greatest(F.lit(0), F.col("start_ms") - context_ms - 1) / span_ms), F.floor((F.col("end_ms") + context_ms) / span_ms)
     w = rows.withColumn("window_index", F.explode(F.sequence(first, last)))
     overlap = (F.col("end_ms") >= F.col("window_index") * span_ms - context_ms) & (F.col("start_ms") <= (F.col("window_index") + 1) * span_ms + context_ms)
-    return w.where(overlap).select("video_id", "window_index", "n", (F.floor(F.col("start_ms") / span_ms) == F.col("window_index")).alias("target"))
+    return w.where(overlap).select("video_id", "window_index", "n", (F.floor(F.col("start_ms") / span_ms) == F.col("window_index")).alias("target"), *more)
 
 
 def chunk_with_context(rows: DataFrame, size: int = 100, context: int = 10) -> DataFrame:

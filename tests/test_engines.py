@@ -175,3 +175,43 @@ def test_first_answer_counts_and_missing_frames_are_named(spark):
 
     got = {r.frame_id: (r.text, r.confidence) for r in E.recognize_frames(frames, fn).collect()}
     assert got == {0: ("zz first", 0.9), 1: ("zz first", 0.9), 2: (None, None)}
+
+
+class Rows:
+    """Stands for sorted rows of windows and gives the function that a task runs."""
+
+    def sortWithinPartitions(self, *by):
+        return self
+
+    def mapInPandas(self, f, schema):
+        return f
+
+
+def test_runs_of_keys_over_frames():
+    random.seed(5)
+    for most in (None, 1, 3):
+        keys = sorted(random.randint(0, 9) for _ in range(60))
+        frame = pd.DataFrame({"k": keys, "i": range(60)})
+        cuts = sorted(random.sample(range(61), 4))
+        parts = [frame.iloc[a:b].reset_index(drop=True) for a, b in zip([0, *cuts], [*cuts, 60])]
+        want = [(k, own[i : i + (most or 60)]) for k in sorted(set(keys)) for own in [[i for i in range(60) if keys[i] == k]] for i in range(0, len(own), most or 60)]
+        assert [(k, g["i"].tolist()) for (k,), g in E._groups(iter(parts), ["k"], most, seen=["i"])] == want
+    assert list(E._groups(iter([frame.iloc[:0]]), ["k"])) == []
+
+
+def test_results_of_many_windows_leave_a_task_in_one_frame(monkeypatch):
+    """A frame for each window cost more than the windows themselves; a window that a row only passes through has no result."""
+    monkeypatch.setattr(E, "_key_type", lambda df: "long")
+    rows = [(v, 0, w, [], "cue", 10 * v + w, 0, 1, "t", w != 3) for v in range(20) for w in range(5)]
+    pdf = pd.DataFrame(rows, columns=["video_id", "run", "window_index", "before", "role", "n", "start_ms", "end_ms", "text", "target"])
+    (made,) = E._walk(Rows(), E.spoken_per_cue, None, 3)(iter([pdf.iloc[:47], pdf.iloc[47:]]))
+    assert list(zip(made["video_id"], made["window_index"])) == [(v, w) for v in range(20) for w in (0, 1, 2, 4)]
+    assert made["tail"].tolist() == [[], ["t"], ["t"], ["t"]] * 20
+
+
+def test_prints_of_windows_shuffle_no_text(spark):
+    c, o = windows(spark)
+    plan = E.window_prints(c, o)._jdf.queryExecution().executedPlan().toString().split("\n")
+    below = plan[next(i for i, x in enumerate(plan) if "Exchange hashpartitioning" in x) + 1]
+    assert "mark" in below and "text" not in below
+    assert sorted((r.video_id, r.window_index) for r in E.window_prints(c, o).collect()) == [(1, 0), (1, 2), (2, 0)]
