@@ -1,6 +1,7 @@
 """Jobs with a user's function, cuts from a reference, matching blocks."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -215,3 +216,25 @@ def test_prints_of_windows_shuffle_no_text(spark):
     below = plan[next(i for i, x in enumerate(plan) if "Exchange hashpartitioning" in x) + 1]
     assert "mark" in below and "text" not in below
     assert sorted((r.video_id, r.window_index) for r in E.window_prints(c, o).collect()) == [(1, 0), (1, 2), (2, 0)]
+
+
+@pytest.mark.parametrize("short", [0, 9, 1_000_000])
+def test_longest_stretches_by_grams(monkeypatch, short):
+    """Both searches, with and without a bound from the part around, give difflib's blocks; ties go by places."""
+    monkeypatch.setattr(B, "PRODUCT", short)
+    random.seed(4)
+    for t in range(200):
+        a = "".join(random.choice("abc\U0001f600"[: 2 + t % 3]) for _ in range(random.randint(0, 60)))
+        b = "".join(random.choice("abcd"[: 2 + t % 3]) for _ in range(random.randint(0, 60))) if t % 2 else a.replace("a", "b", t % 9)
+        m = SequenceMatcher(None, a, b, autojunk=False)
+        assert B.matching(a, b) == [(x.a, x.b, x.size) for x in m.get_matching_blocks() if x.size]
+        assert all(B.reaches(a, b, x) == (m.ratio() >= x) for x in (0.2, 0.46, 0.8, 1.0))
+
+
+def test_equal_pieces_in_a_row_are_cut_in_one_search():
+    """60,000 characters of one phrase: a search of all that is left for each piece grew with the square of the length."""
+    a = "the same phrase over and over. " * 2_000
+    began = time.process_time()
+    blocks = B.matching(a, a.replace("e", "c"))
+    assert sum(n for _, _, n in blocks) == len(a) - a.count("e")
+    assert time.process_time() - began < 3
