@@ -238,3 +238,24 @@ def test_equal_pieces_in_a_row_are_cut_in_one_search():
     blocks = B.matching(a, a.replace("e", "c"))
     assert sum(n for _, _, n in blocks) == len(a) - a.count("e")
     assert time.process_time() - began < 3
+
+
+def test_cuts_of_many_chunks_leave_a_task_in_one_frame(spark, monkeypatch):
+    """A group and a frame for each chunk cost more than the chunks themselves."""
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def check(cuts, units):
+        seen.append(cuts)
+        raise Stop
+
+    monkeypatch.setattr(E, "_chunks", lambda *a: Rows())
+    monkeypatch.setattr(E, "validate_boundaries", check)
+    with pytest.raises(Stop):
+        E.decide_boundaries(spark.createDataFrame([], "video_id long, n long, text string"))
+    rows = [(v, c, n, f"t{n}。", n - 2 * c) for v in range(9) for c in range(4) for n in range(2 * c, 2 * c + 3)]
+    pdf = pd.DataFrame(rows, columns=["video_id", "chunk", "n", "text", "part"])
+    (made,) = seen[0](iter([pdf.iloc[:50], pdf.iloc[50:]]))
+    assert list(zip(made["video_id"], made["n"], made["after_char"])) == [(v, 2 * c + 1, 3) for v in range(9) for c in range(4)]
