@@ -19,7 +19,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near copies (five words, similarity 0.8)."""
+    """One document, the smallest id, of each group of near copies: SimHash neighbours and MinHash candidates, each verified (five words, similarity 0.8)."""
     return simhash.keep_one(docs)
 
 

@@ -224,11 +224,13 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return 5 * common >= 4 * (len(both) - common)
 
 
-def near_copies(docs: DataFrame, bands: int = 32, rows: int = 5, shingle: int = 5) -> DataFrame:
+def near_copies(docs: DataFrame, bands: int = 32, rows: int = 5, shingle: int = 5, radius: int = 2) -> DataFrame:
     """(doc_id, component_id) for each row: connected groups of pairs whose five-word shingle sets have Jaccard 0.8 or more.
 
-    Candidates share one of ``bands`` MinHash keys, which a pair at 0.8 does with probability 1 - (1 - 0.8**5)**32 =
-    0.999997 and closer ones more surely; each link is verified on the whole shingle sets, so no estimate joins rows.
+    Candidates are SimHash neighbours, fingerprints of op7 (``fingerprint``, three words) that differ in ``radius`` bits or fewer, found
+    under exact masks (``fingerprint_links``). As a pair at 0.8 is often further apart than that, pairs that share one of ``bands`` MinHash keys are
+    candidates besides; a pair at 0.8 does with probability 1 - (1 - 0.8**5)**32 = 0.999997 and closer ones more surely. Each link
+    of either kind is verified on the whole shingle sets, so no estimate joins rows.
     Rows of equal sets are one class. Each member of a bucket is first verified against the bucket's least class; then
     all pairs of a bucket that are still in different groups are. Null and empty texts are one class; a null id never
     names a group. Repeated rows give repeated rows, an empty table none, other columns are not read.
@@ -236,12 +238,13 @@ def near_copies(docs: DataFrame, bands: int = 32, rows: int = 5, shingle: int =
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cls, found = np.empty(len(pdf), np.uint64), []
+            cls, fp, found = np.empty(len(pdf), np.uint64), np.empty(len(pdf), np.uint64), []
             for k, t in enumerate(pdf["text"]):
-                own = shingle_set(lower_words(t), shingle)
+                words = lower_words(t)
+                own, fp[k] = shingle_set(words, shingle), fingerprint(words, 3, 42)
                 cls[k] = xxhash.xxh64_intdigest(own.tobytes())
                 found.append(band_keys(own, bands, rows) if len(own) else own.view(np.int64))
-            yield pd.DataFrame({"row": pdf["row"], "id": pdf["id"].astype("Int64"), "cls": cls.view(np.int64), "keys": found})
+            yield pd.DataFrame({"row": pdf["row"], "id": pdf["id"].astype("Int64"), "cls": cls.view(np.int64), "fp": fp.view(np.int64), "keys": found})
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -285,14 +288,23 @@ def near_copies(docs: DataFrame, bands: int = 32, rows: int = 5, shingle: int =
 
     numbered, row = number_rows(docs)
     texts = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
-    prints = stage(texts.mapInPandas(keys, "row long, id long, cls long, keys array<long>"), "prints")
+    prints = stage(texts.mapInPandas(keys, "row long, id long, cls long, fp long, keys array<long>"), "prints")
     classes = stage(prints.groupBy("cls").agg(F.min("id").alias("least"), F.min("row").alias("row")), "classes")
     keyed = prints.select("cls", F.explode("keys").alias("key")).distinct()
     shared = stage(keyed.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first < last").drop("last"), "shared")
     members = stage(keyed.join(shared.hint("merge"), "key"), "members")
-    asked = classes.join(members.select("cls").distinct().hint("merge"), "cls").select("cls", "row")  # a row of each class
+    # Neighbours by SimHash: a class against the least one of its fingerprint, and those of close fingerprints.
+    printed = stage(prints.select("fp", "cls").distinct(), "fingerprints")
+    heads = stage(printed.groupBy("fp").agg(F.min("cls").alias("head")), "heads")
+    close = stage(fingerprint_links(heads.select("fp"), radius, exact_masks(radius, radius + 2)), "close")
+    one = lambda c, name: heads.select(F.col("fp").alias(c), F.col("head").alias(name)).hint("merge")
+    close = close.withColumnsRenamed({"a": "x", "b": "y"}).join(one("x", "a"), "x").join(one("y", "b"), "y").select("a", "b")
+    close = close.unionByName(printed.join(heads.hint("merge"), "fp").select(F.col("cls").alias("a"), F.col("head").alias("b"))).where("a <> b")
+    close = stage(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "close")
+    seen = members.select("cls").unionByName(close.select(F.col("a").alias("cls"))).unionByName(close.select(F.col("b").alias("cls"))).distinct()
+    asked = classes.join(seen.hint("merge"), "cls").select("cls", "row")  # a row of each class
     sets = stage(texts.join(asked.hint("merge"), "row").select("cls", "text").mapInPandas(tokens, "cls long, own binary"), "sets")
-    pairs = members.where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
+    pairs = members.where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).unionByName(close).distinct()
     one, two = sets.select(F.col("cls").alias("a"), "own"), sets.select(F.col("cls").alias("b"), F.col("own").alias("other"))
     first = stage(pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "own", "other").mapInPandas(verify, "a long, b long"), "links")
     roots = components(first)

@@ -128,3 +128,16 @@ def test_archives_of_no_and_repeated_rows(spark, tmp_path):
     assert len(two) == 2 and {r.payload_bytes for r in two} == {1500} and "response" in {r.record_type for r in two}
     assert Wc.round_trip(df.limit(0), str(tmp_path / "c")).count() == 0
     assert re.fullmatch("[0-9a-f]{40}", two[0].payload_digest)
+
+
+def test_near_copies_take_their_links_from_simhash(spark):
+    """With MinHash keys that no two unlike sets share, copies are found by fingerprints alone, and each link is verified."""
+    from tempotext.llm import simhash
+
+    words = [f"w{k}" for k in range(400)]
+    texts = {1: words, 2: [*words[:-1], "other"], 3: [f"v{k}" for k in range(400)], 4: ["a", "b"], 5: ["c", "d"]}
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    prints = {k: simhash.fingerprint(simhash.lower_words(" ".join(w)), 3, 42) for k, w in texts.items()}
+    assert (prints[1] ^ prints[2]).bit_count() <= 2
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(d, bands=1, rows=3000).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
