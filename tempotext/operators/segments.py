@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.similarity import contains, joined, ratio
 from ..functions.text import normalize_text
 from .folds import ROWS, in_parts
-from .times import overlapping
+from .times import BIN_MS, running_max
 
 SIMILAR, CLUSTER, REVIEW, ALTERNATIVES = 82.0, 72.0, 0.55, 3
 _FIELDS = {"video_id": LongType(), "start_ms": LongType(), "end_ms": LongType(), "text": StringType(), "confidence": DoubleType(), "observation_count": LongType(), "alternatives": ArrayType(StringType()), "needs_review": BooleanType()}
@@ -158,12 +158,34 @@ def dedupe_observations(obs: DataFrame, selected: DataFrame, model: str | None =
 
 
 def segment_evidence(segments: DataFrame, obs: DataFrame) -> DataFrame:
-    """First, middle and last non-blank observation within each segment, both ends included."""
-    points = obs.where(normalize_text(F.col("text")) != "").select("video_id", "frame_index", "ts_ms")
-    hits = overlapping(segments, points, ("start_ms", "end_ms"), ("ts_ms", "ts_ms"))
-    w = W.partitionBy("video_id", "start_ms")
-    hits = hits.withColumns({"rn": F.row_number().over(w.orderBy("ts_ms", "frame_index")), "c": F.count("*").over(w)})
-    return hits.where("rn = 1 or rn = c div 2 + 1 or rn = c").select("video_id", "start_ms", "frame_index", "ts_ms")
+    """First, middle and last non-blank observation within each segment, both ends included; segments of one start are taken together.
+
+    Observations are numbered by time, and a segment's ends are looked up among them by running maxima, so no segment is joined to all that it holds.
+    """
+    points = obs.where(normalize_text(F.col("text")) != "").where("video_id is not null and ts_ms is not null").select("video_id", "frame_index", "ts_ms")
+    points = points.withColumn("_bin", F.floor(F.col("ts_ms") / BIN_MS)).withColumn("_rn", F.row_number().over(W.partitionBy("video_id", "_bin").orderBy("ts_ms", "frame_index")))
+    sizes = points.groupBy("video_id", "_bin").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("video_id", "_bin", F.coalesce(F.sum("_n").over(W.partitionBy("video_id").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    points = points.join(sizes, ["video_id", "_bin"]).select("video_id", "frame_index", "ts_ms", (F.col("_before") + F.col("_rn")).alias("no"))
+    own = segments.where("start_ms <= end_ms")
+    side = lambda df, t, kind, start, no: df.select("video_id", F.col(t).alias("t"), F.lit(kind).alias("kind"), start.alias("start_ms"), no.alias("no"))
+    none = F.lit(None).cast("long")
+    rows = side(points, "ts_ms", 1, none, F.col("no")).unionByName(side(own, "start_ms", 0, F.col("start_ms"), none)).unionByName(side(own, "end_ms", 2, F.col("start_ms"), none))
+    found = running_max(rows, F.col("no"), F.col("t"), F.col("kind"), "upto").where("kind <> 1").withColumn("upto", F.coalesce("upto", F.lit(0)).cast("long"))
+    s = found.groupBy("video_id", "start_ms").agg(F.min(F.when(F.col("kind") == 0, F.col("upto"))).alias("lo"), F.array_sort(F.collect_list(F.when(F.col("kind") == 2, F.col("upto")))).alias("his"))
+    s = s.withColumn("counts", F.transform("his", lambda x: x - F.col("lo"))).withColumn("c", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).where("c > 0")
+    s = s.select("video_id", "start_ms", "lo", "counts", F.explode(F.array_distinct(F.expr("array(0L, c div 2, c - 1)"))).alias("at"))
+    # Of m segments of one start, what the shortest holds counts m times, what the next one holds besides m - 1 times, and so on.
+    state = F.struct(F.col("at").alias("q"), F.lit(0).cast("long").alias("seen"), F.size("counts").cast("long").alias("m"), none.alias("hit"))
+
+    def step(x: Column, n: Column) -> Column:
+        width = (n - x["seen"]) * x["m"]
+        here = x["hit"].isNull() & (x["q"] < width)
+        hit = F.when(here, (x["seen"] + F.floor(x["q"] / x["m"])).cast("long")).otherwise(x["hit"])
+        return F.struct((x["q"] - width).alias("q"), n.alias("seen"), (x["m"] - 1).alias("m"), hit.alias("hit"))
+
+    s = s.select("video_id", "start_ms", (F.col("lo") + F.aggregate("counts", state, step)["hit"] + 1).alias("no"))
+    return s.join(points, ["video_id", "no"]).select("video_id", "start_ms", "frame_index", "ts_ms")
 
 
 def assign_batches(pending: DataFrame, size: int, saved: DataFrame | None = None) -> DataFrame:

@@ -97,3 +97,26 @@ def test_empty_and_null(spark):
     assert [(r.start_ms, r.end_ms, r.text, r.confidence, r.needs_review) for r in got] == [(10, 100, "あ", 0.0, True)]
     m = spark.createDataFrame([(1, 0, 5, None, 0.5, 1, None, True)], "video_id long, start_ms long, end_ms long, text string, confidence double, observation_count long, alternatives array<string>, needs_review boolean")
     assert [(r.text, r.alternatives) for r in G.merge_adjacent_segments(m, 10).collect()] == [("", [])]
+
+
+def test_evidence_against_a_plain_search_without_joining_all_that_a_segment_holds(spark):
+    """Many observations in each segment, segments of one start, empty ones and blanks."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tempotext.operators import segments as G
+
+    rng = random.Random(8)
+    obs = [(v, f, rng.randint(0, 90_000), rng.choice(["", " ", "a", "b"])) for v in range(3) for f in range(150)]
+    segs = [(v, s, s + rng.choice([0, 5, 2_000, 60_000])) for v in range(4) for s in [rng.randint(0, 99_000) for _ in range(20)] for _ in range(rng.choice([1, 1, 2, 3]))]
+    want = []
+    for v, s in sorted({(v, s) for v, s, _ in segs}):
+        hits = sorted((t, f) for w, x, e in segs if (w, x) == (v, s) for u, f, t, text in obs if u == v and text.strip() and s <= t <= e)
+        want += [(v, s, hits[k][1], hits[k][0]) for k in {0, len(hits) // 2, len(hits) - 1} if hits]
+    o = spark.createDataFrame(obs, "video_id long, frame_index long, ts_ms long, text string")
+    got = G.segment_evidence(spark.createDataFrame(segs, "video_id long, start_ms long, end_ms long"), o)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # A span of a year is no row for each of its time bins, nor one for each observation it holds.
+    plan = G.segment_evidence(o.select("video_id", F.col("ts_ms").alias("start_ms"), F.lit(1 << 40).alias("end_ms")), o)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan
