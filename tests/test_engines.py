@@ -259,3 +259,31 @@ def test_cuts_of_many_chunks_leave_a_task_in_one_frame(spark, monkeypatch):
     pdf = pd.DataFrame(rows, columns=["video_id", "chunk", "n", "text", "part"])
     (made,) = seen[0](iter([pdf.iloc[:50], pdf.iloc[50:]]))
     assert list(zip(made["video_id"], made["n"], made["after_char"])) == [(v, 2 * c + 1, 3) for v in range(9) for c in range(4)]
+
+
+def test_plain_functions_get_no_frames(spark, monkeypatch):
+    """A frame for each window or batch cost milliseconds; functions marked ``plain`` take lists and decide as those with frames do."""
+    c, o = windows(spark)
+    o = o.withColumn("n", F.col("n") + 50)
+
+    def decide(window, tail):
+        again = list(window["role"]).count("reread")
+        own = [(n, x) for r, t, n, x in zip(window["role"], window["target"], window["n"], window["text"]) if t and r == "cue"]
+        return {"kind": ["spoken"] * len(own), "cue_ids": [[n] for n, _ in own], "ocr_ids": [[] for _ in own], "text": [f"{x}<{','.join(tail)}>{again}" for _, x in own], "recheck": [not again] * len(own)}
+
+    def review(ids, window):
+        return {"id": ids, "text": ["r" if n % 2 else " " for n in ids]}
+
+    framed = lambda window, tail: pd.DataFrame(decide(window, tail))
+    shown = lambda fn, rev: sorted((r.video_id, r.window_index, r.ord, r.text) for r in E.second_pass(c, o, fn, rev).collect())
+    seen = lambda window, tail: decide(window, tail) if isinstance(window, dict) else 1 / 0
+    assert shown(E.plain(seen), review) == shown(framed, lambda *x: pd.DataFrame(review(*x)))
+    f = spark.createDataFrame([(v, i, f"t{i}") for v in (1, 2) for i in range(10)], "video_id long, frame_index long, text string")
+
+    @E.plain
+    def read(batch):
+        assert isinstance(batch["text"], list) and len(batch["text"]) <= 4
+        own = [k for k, n in enumerate(batch["frame_index"]) if n % 5 or len(batch["text"]) == 1]
+        return {"frame_id": [batch["frame_index"][k] for k in own], "text": [batch["text"][k] for k in own], "confidence": [0.5] * len(own), "line_count": [1] * len(own)}
+
+    assert sorted((r.video_id, r.frame_id, r.text) for r in E.recognize_frames(f, read).collect()) == [(v, i, f"t{i}") for v in (1, 2) for i in range(10)]
