@@ -229,7 +229,9 @@ def reference_conflict(pairs: DataFrame, *keys: str, least: int = 6, share: floa
 
     Texts under ``least`` characters (white space and marks apart) never conflict. Only pairs that pass the native tests are compared.
     """
-    k = pairs.withColumns({"a": F.regexp_replace("text", "(?U)" + IGNORED, ""), "b": F.regexp_replace("reference", "(?U)" + IGNORED, "")})
+    # Equal texts hold each other. Keys come from a generator, or the filters that are pushed through a projection would make them anew for each test.
+    bare = lambda c, name: F.regexp_replace(c, "(?U)" + IGNORED, "").alias(name)
+    k = pairs.where("text <> reference").select(*keys, F.inline(F.array(F.struct(bare("text", "a"), bare("reference", "b")))))
     near = (F.length("a") >= least) & (F.col("b") != "") & ~F.contains("a", "b") & ~F.contains("b", "a")
     # The ratio is twice the matches over both lengths: lengths too far apart cannot reach it.
     near = near & (2 * F.least(F.length("a"), F.length("b")) >= share * (F.length("a") + F.length("b")))

@@ -202,3 +202,36 @@ def test_resegmentation_by_source_times(spark):
     changed = spark.createDataFrame([(1, 1, [2], "べつ。")], EDIT)
     got = N.resegment_sentences(own, changed, seen)[0].where("n = 2").first()
     assert (got.start_ms, got.end_ms, got.source_segments) == (100, 3000, [7, 8, 9])
+
+
+def test_default_ratio_looks_up_rare_characters_only():
+    """Equal to difflib's with its rule for frequent characters; a long pair took difflib a walk over all characters for each block."""
+    import random
+    import time
+    from difflib import SequenceMatcher
+
+    from tempotext.functions.similarity import default_ratio
+
+    random.seed(8)
+    for t in range(600):
+        signs = "abcdefgh]^-\\\n'éXYZ0123456789"[: 4 + t % 26]
+        a = "".join(random.choices(signs, [3 ** (12 - k // 2) for k in range(len(signs))] if t % 3 else None, k=random.choice((0, 5, 150, 199, 260, 500))))
+        b = "".join(random.choice((x, x, x, x, "c", "")) for x in a) if t % 2 else "".join(random.choices(signs, k=random.choice((0, 180, 200, 330))))
+        assert default_ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+    words = ["".join(random.choices("etaoinshr", k=5)) for _ in range(300)] + ["Quiz", "Jazz", "Vexed"]
+    a = " ".join(random.choices(words, k=3000))
+    b = a.replace("e", "c")
+    took = []
+    for f in (default_ratio, lambda x, y: SequenceMatcher(None, x, y).ratio()):
+        began = time.process_time()
+        took.append((f(a, b), time.process_time() - began))
+    assert took[0][0] == took[1][0] and took[0][1] < took[1][1] / 2
+
+
+def test_conflict_keys_are_made_once(spark):
+    """Filters pushed through a projection made both keys anew for each of their tests, for equal texts too."""
+    rows = [(1, "abcdefgh", "abcdefgh"), (2, "abcdefgh", "abcdefgx"), (3, None, "abcdefgh"), (4, "abcdefgh", None), (5, "abc defgh", "abcdefgh")]
+    got = R.reference_conflict(spark.createDataFrame(rows, "n long, text string, reference string").repartition(2), "n")
+    assert {r.n: r.conflict for r in got.collect()} == {1: False, 2: True, 3: False, 4: False, 5: False}
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for x in plan if "Filter" in x and "regexp_replace" in x] and [x for x in plan if "Filter" in x and "NOT (text" in x]
