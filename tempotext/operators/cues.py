@@ -155,7 +155,7 @@ def interpolate_unit_times(units: DataFrame) -> DataFrame:
     """Units (video_id, n, pos, unit, start_ms, end_ms of the fragment) timed by their share of characters, half-even."""
     w = W.partitionBy("video_id", "n")
     done, total = F.sum(F.length("unit")).over(w.orderBy("pos")), F.sum(F.length("unit")).over(w)
-    at = lambda c: (F.col("start_ms") + F.bround((F.col("end_ms") - F.col("start_ms")) * c / total)).cast("long")
+    at = lambda c: (F.col("start_ms") + F.rint((F.col("end_ms") - F.col("start_ms")) * c / total)).cast("long")
     return units.select("video_id", "n", "pos", "unit", at(done - F.length("unit")).alias("unit_start"), at(done).alias("unit_end"))
 
 
