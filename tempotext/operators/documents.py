@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import content_key, fingerprint, format_timestamp, join_pieces, normalize_text, parse_timestamp, squeeze, visible_text
+from ..functions.text import content_key, fingerprint, format_timestamp, join_pieces, made_once, normalize_text, parse_timestamp, squeeze, unescape, without_tags
 from .cues import CONTEXT, SPAN, merge_cues, window_context
 
 # Marks and patterns of the transcript format.
@@ -59,8 +59,10 @@ def read_timed_transcript(bodies: DataFrame) -> DataFrame:
     """(video_id, id, text, start_ms, end_ms): fragments of the timed lines of ``body``; ids count the kept lines only."""
     lines = bodies.select("video_id", F.posexplode(F.split("body", r"\r\n|[\r\n]")).alias("pos", "line")).where(F.col("line").rlike(TIMED_LINE))
     part = lambda k: F.regexp_extract("line", TIMED_LINE, k)
-    text = join_pieces(F.split(visible_text(F.regexp_replace(part(3), r"\s*⚠\x{FE0F}?\s*$", "")), "\n"))
-    kept = lines.select("video_id", "pos", text.alias("text"), parse_timestamp(part(1)).alias("start_ms"), parse_timestamp(part(2)).alias("end_ms")).where("text <> ''")
+    # The line is taken apart first, then each part is read, so no pattern is matched again wherever its part is named.
+    cut = lines.select("video_id", "pos", made_once(a=part(1), b=part(2), raw=without_tags(F.regexp_replace(part(3), r"\s*⚠\x{FE0F}?\s*$", ""))))
+    read = made_once(text=join_pieces(F.split(unescape(F.col("raw")), "\n")), start_ms=parse_timestamp(F.col("a")), end_ms=parse_timestamp(F.col("b")))
+    kept = cut.select("video_id", "pos", read).where("text <> ''")
     rank = F.row_number().over(W.partitionBy("video_id").orderBy("pos"))
     return kept.select("video_id", F.format_string("seg%06d", rank).alias("id"), "text", "start_ms", "end_ms")
 
@@ -68,9 +70,10 @@ def read_timed_transcript(bodies: DataFrame) -> DataFrame:
 def read_vtt_captions(files: DataFrame) -> DataFrame:
     """Cues of WebVTT texts (video_id, vtt): markup and character references decoded, empty ones dropped, then merged."""
     blocks = files.select("video_id", F.posexplode(F.split(F.regexp_replace("vtt", r"\r\n?", "\n"), r"\n[ \t]*\n")).alias("n", "block")).where(F.col("block").rlike(TIMING))
-    at = lambda k: parse_timestamp(F.regexp_extract("block", TIMING, k))
-    body = squeeze(visible_text(F.regexp_replace("block", r"(?s)^.*?-->[^\n]*(\n|\z)", "")))
-    return merge_cues(blocks.select("video_id", "n", at(1).alias("start_ms"), at(2).alias("end_ms"), body.alias("text")).where("text <> ''"))
+    at = lambda k: F.regexp_extract("block", TIMING, k)
+    cut = blocks.select("video_id", "n", made_once(a=at(1), b=at(2), raw=without_tags(F.regexp_replace("block", r"(?s)^.*?-->[^\n]*(\n|\z)", ""))))
+    read = made_once(start_ms=parse_timestamp(F.col("a")), end_ms=parse_timestamp(F.col("b")), text=squeeze(unescape(F.col("raw"))))
+    return merge_cues(cut.select("video_id", "n", read).where("text <> ''"))
 
 
 def read_json3_captions(files: DataFrame) -> DataFrame:
@@ -78,8 +81,8 @@ def read_json3_captions(files: DataFrame) -> DataFrame:
     schema = "events array<struct<tStartMs: long, dDurationMs: long, segs: array<struct<utf8: string>>>>"
     events = files.select("video_id", F.posexplode(F.from_json("json3", schema)["events"]).alias("n", "e")).where("e.segs is not null")
     start = F.greatest(F.lit(0), F.coalesce("e.tStartMs", F.lit(0)))
-    text = squeeze(visible_text(F.array_join("e.segs.utf8", "")))
-    rows = events.select("video_id", "n", start.alias("start_ms"), (start + F.greatest(F.lit(1), F.coalesce("e.dDurationMs", F.lit(0)))).alias("end_ms"), text.alias("text"))
+    cut = events.select("video_id", "n", made_once(start_ms=start, end_ms=start + F.greatest(F.lit(1), F.coalesce("e.dDurationMs", F.lit(0))), raw=without_tags(F.array_join("e.segs.utf8", ""))))
+    rows = cut.select("video_id", "n", "start_ms", "end_ms", made_once(text=squeeze(unescape(F.col("raw")))))
     return merge_cues(rows.where("text <> ''"))
 
 
@@ -167,7 +170,7 @@ def proportional_retime(pieces: DataFrame) -> DataFrame:
     p = pieces.withColumn("weight", F.greatest(F.lit(1), F.length(content_key(F.col("unit")))))
     done, total = F.sum("weight").over(w.orderBy("pos")), F.sum("weight").over(w)
     stop = F.greatest(F.col("start_ms"), F.col("end_ms"))
-    at = lambda c: (F.col("start_ms") + F.bround(F.greatest(F.lit(1), stop - F.col("start_ms")) * c / total)).cast("long")
+    at = lambda c: (F.col("start_ms") + F.rint(F.greatest(F.lit(1), stop - F.col("start_ms")) * c / total)).cast("long")
     timed = p.select("video_id", "n", "pos", "unit", at(done - F.col("weight")).alias("unit_start"), F.when(done == total, stop).otherwise(at(done)).alias("unit_end"))
     return timed.withColumn("unit_end", F.greatest("unit_start", "unit_end"))
 
