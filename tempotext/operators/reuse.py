@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-from ..functions.similarity import default_matcher_ratio, indel_ratio, text_contains
-from ..functions.text import compact_key, fingerprint, normalize_text, source_key
+from ..functions.similarity import default_matcher_ratio, ratio_reaches
+from ..functions.text import fingerprint, normalize_text, normalized, source_key
 from ..sources import snapshots
 from ..sources.shared import kept
 from .cues import chunk_with_context
@@ -217,11 +217,27 @@ def subtitle_source_label(segments: DataFrame) -> DataFrame:
     return segments.groupBy("video_id").agg(label.alias("label"))
 
 
+def _alike(x: str | None, y: str | None, threshold: float, least: int = 4, share: float = 0.30) -> bool | None:
+    texts = [normalized(t) for t in (x, y) if t is not None]
+    keys = sorted((t.replace("\n", "").replace(" ", "") for t in texts), key=len)
+    if len(texts) < 2:
+        return False if keys and len(keys[0]) < least else None
+    small, large = keys
+    return len(small) >= max(least, len(large) * share) and small in large or ratio_reaches(*texts, threshold)
+
+
 def similar_text(a: Column, b: Column, threshold: float = 82.0) -> Column:
-    """Normalised texts contain each other or have an indel ratio of ``threshold``; Python sees only pairs that do not."""
-    inside = text_contains(compact_key(a), compact_key(b))
-    rest = F.when(~F.coalesce(inside, F.lit(False)), normalize_text(a))
-    return inside | F.coalesce(indel_ratio(rest, normalize_text(b)) >= threshold, F.lit(False))
+    """Normalised texts contain each other or have an indel ratio of ``threshold``.
+
+    Both are normalised and compared in one call, so that no text is normalised again wherever its key is named. Null if one is null
+    and the other one's key is not too short to hold anything, or if both are.
+    """
+
+    @F.pandas_udf(BooleanType())
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_alike(p, q, threshold) for p, q in zip(x, y)], dtype="object")
+
+    return alike(a, b)
 
 
 def reference_conflict(pairs: DataFrame, *keys: str, least: int = 6, share: float = 0.74) -> DataFrame:
