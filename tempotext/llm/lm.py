@@ -102,27 +102,38 @@ class Network:
     def gates(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """One step: x holds the input's share of the gates."""
         g = h @ self.U
-        rz = 1.0 / (1.0 + np.exp(-(x[:, : 2 * STATE] + g[:, : 2 * STATE])))
+        rz = x[:, : 2 * STATE] + g[:, : 2 * STATE]
+        np.negative(rz, out=rz)
+        np.exp(rz, out=rz)
+        rz += 1
+        np.reciprocal(rz, out=rz)
         r, z = rz[:, :STATE], rz[:, STATE:]
-        n = np.tanh(x[:, 2 * STATE :] + r * g[:, 2 * STATE :])
-        return n + z * (h - n), r, z, n, g[:, 2 * STATE :]
+        n = r * g[:, 2 * STATE :]
+        n += x[:, 2 * STATE :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, r, z, n, g[:, 2 * STATE :]
+
+    def heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes and of the words within each, their biases as one more row, which a state's last 1 takes."""
+        return np.concatenate([self.C, self.c[None]]), np.concatenate([self.O, self.o[:, None]], axis=1)
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of the class's probability times the word's within it, for states and targets."""
-        logits = h @ self.C + self.c
-        logits -= logits.max(1, keepdims=True)
-        cls = np.minimum(y // (VOCAB // CLASSES), CLASSES)
-        out = logits[np.arange(len(y)), cls] - np.log(np.exp(logits).sum(1))
-        order, edge = by_class(cls)
-        hs, word, inner_p = h[order], y[order] % (VOCAB // CLASSES), np.zeros(len(y), np.float32)
-        for k in np.nonzero(edge[1:-1] > edge[:-2])[0]:
-            part = slice(edge[k], edge[k + 1])
-            inner = hs[part] @ self.O[k]
-            inner += self.o[k]
-            inner -= inner.max(1, keepdims=True)
-            inner_p[part] = inner[np.arange(len(inner)), word[part]]
-            inner_p[part] -= np.log(np.exp(inner, out=inner).sum(1))
-        out[order] += inner_p
+        classes, words = self.heads()
+        order, edge = by_class(np.minimum(y // (VOCAB // CLASSES), CLASSES))
+        hs, word, row = with_one(h[order]), y[order] % (VOCAB // CLASSES), np.arange(len(y))
+        logits = level(hs @ classes)
+        found = logits[row, np.repeat(np.arange(CLASSES + 1), np.diff(edge))]
+        found -= np.log(row_sums(np.exp(logits, out=logits)))
+        inner = within(hs, words, edge)
+        row, word = row[: len(inner)], word[: len(inner)]
+        found[: len(inner)] += inner[row, word]
+        found[: len(inner)] -= np.log(row_sums(np.exp(inner, out=inner)))
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -146,31 +157,30 @@ class Network:
         ys, size = y.ravel()[counted], VOCAB // CLASSES
         order, edge = by_class(np.minimum(ys // size, CLASSES))
         counted = counted[order]
-        hc, word, cls = hs[counted], ys[order] % size, np.repeat(np.arange(CLASSES + 1), np.diff(edge))
+        hc, word, cls = with_one(hs[counted]), ys[order] % size, np.repeat(np.arange(CLASSES + 1), np.diff(edge))
+        classes, words = self.heads()
         row = np.arange(len(hc))
-        p = hc @ self.C
-        p += self.c
-        p -= p.max(1, keepdims=True)
+        p = level(hc @ classes)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
+        p *= (1 / row_sums(p))[:, None]
         loss = -np.log(p[row, cls] + 1e-30).sum(dtype=float)
         p[row, cls] -= 1
-        d["C"] += hc.T @ p
-        d["c"] += p.sum(0)
+        both = hc.T @ p
+        d["C"] += both[:STATE]
+        d["c"] += both[STATE]
         dc = p @ self.C.T
+        q = within(hc, words, edge)
+        np.exp(q, out=q)
+        q *= (1 / row_sums(q))[:, None]
+        at = row[: len(q)], word[: len(q)]
+        loss -= np.log(q[at] + 1e-30).sum(dtype=float)
+        q[at] -= 1
         for k in np.nonzero(edge[1:-1] > edge[:-2])[0]:
             part = slice(edge[k], edge[k + 1])
-            q = hc[part] @ self.O[k]
-            q += self.o[k]
-            q -= q.max(1, keepdims=True)
-            np.exp(q, out=q)
-            q /= q.sum(1, keepdims=True)
-            at = row[: len(q)], word[part]
-            loss -= np.log(q[at] + 1e-30).sum(dtype=float)
-            q[at] -= 1
-            d["O"][k] += hc[part].T @ q
-            d["o"][k] += q.sum(0)
-            dc[part] += q @ self.O[k].T
+            both = hc[part].T @ q[part]
+            d["O"][k] += both[:STATE]
+            d["o"][k] += both[STATE]
+            dc[part] += q[part] @ self.O[k].T
         dh = np.zeros_like(hs)
         dh[counted] = dc
         dh = dh.reshape(t_max, n, STATE)
@@ -250,16 +260,43 @@ class Network:
             real = (a + np.arange(steps))[:, None] < sizes[None, :live]
             at = np.where(real, base[None, :live] + (a + np.arange(steps))[:, None], 0)
             hs = np.empty((steps, live, STATE), np.float32)
+            gx, first = table[x[at]], new[at]
+            begins = first.any(1)
             for t in range(steps):
-                first = new[at[t]]
-                if first.any():
-                    h = np.where(first[:, None], np.float32(0), h)
-                h = hs[t] = self.gates(table[x[at[t]]], h)[0]
+                if begins[t]:
+                    h = np.where(first[t][:, None], np.float32(0), h)
+                h = hs[t] = self.gates(gx[t], h)[0]
             logp[at[real]] = self.log_probs(hs[real], y[at[real]])
         out[[k for lane in lanes for k in lane]] = np.add.reduceat(logp.astype(np.float64), starts)
         return out
 
 
+def with_one(h: np.ndarray) -> np.ndarray:
+    """States with a 1 behind each, which takes the biases."""
+    out = np.ones((len(h), STATE + 1), np.float32)
+    out[:, :STATE] = h
+    return out
+
+
+def level(logits: np.ndarray) -> np.ndarray:
+    """Logits, in place, that can be raised to exponentials: less each row's greatest, unless all are small as they are."""
+    if logits.size and not (logits.max() < 60 and logits.min() > -60):
+        logits -= logits.max(1, keepdims=True)
+    return logits
+
+
+def row_sums(rows: np.ndarray) -> np.ndarray:
+    return rows @ np.ones(rows.shape[1], np.float32)
+
+
+def within(hs: np.ndarray, words: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Logits of the words within each row's class, for rows in the order of their classes; none for rows of the outcome "other"."""
+    out = np.empty((edge[CLASSES], VOCAB // CLASSES), np.float32)
+    for k in np.nonzero(edge[1:-1] > edge[:-2])[0]:
+        np.matmul(hs[edge[k] : edge[k + 1]], words[k], out=out[edge[k] : edge[k + 1]])
+    return level(out)
+
+
 def by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows by class, and where each class begins in it."""
     order = np.argsort(cls.astype(np.uint8), kind="stable")

@@ -459,3 +459,28 @@ def test_pipeline_keeps_columns(spark):
     empty = d.limit(0)
     for name, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_logits_large_or_small_give_the_same_probabilities():
+    """Large logits are levelled row by row, small ones are raised as they are: log probabilities equal the plain formula either way."""
+    import numpy as np
+
+    from tempotext.llm import lm
+
+    rng = np.random.default_rng(7)
+    size = lm.VOCAB // lm.CLASSES
+    for scale in (1.0, 200.0):
+        net = lm.Network()
+        net.flat[:] = rng.normal(0, 0.3, len(net.flat)) * scale
+        h = rng.uniform(-1, 1, (300, lm.STATE)).astype(np.float32)
+        y = rng.integers(0, lm.VOCAB + 1, 300)
+        want = []
+        for state, word in zip(h.astype(float), y):
+            c = state @ net.C.astype(float) + net.c
+            k = min(word // size, lm.CLASSES)
+            p = c[k] - np.logaddexp.reduce(c)
+            if k < lm.CLASSES:
+                o = state @ net.O[k].astype(float) + net.o[k]
+                p += o[word % size] - np.logaddexp.reduce(o)
+            want.append(p)
+        assert np.allclose(net.log_probs(h, y), want, rtol=1e-4, atol=1e-3)
