@@ -63,3 +63,17 @@ def test_half_milliseconds_go_to_the_even_one(spark):
 
     rows = spark.createDataFrame([(1, 1, "ab", 0, 5), (1, 2, "ab", 0, 7)], "video_id long, n long, text string, start_ms long, end_ms long")
     assert [(r.n, r.i, r.start_ms, r.end_ms) for r in character_timings(rows).orderBy("n", "i").collect()] == [(1, 0, 0, 2), (1, 1, 2, 5), (2, 0, 0, 4), (2, 1, 4, 7)]
+
+
+def test_edited_sentences_are_numbered_in_one_shuffle(spark):
+    """Replaced sentences are dropped where they are numbered, without a join of all sentences; null and other videos stay."""
+    from tempotext.operators.sentences import resegment_sentences
+
+    rows = [(1, n, f"{x}.", n * 100, n * 100 + 90) for n, x in enumerate("abcd", 1)] + [(2, 1, "e.", 0, 9), (None, 1, "f.", 0, 9)]
+    s = spark.createDataFrame(rows, "video_id long, n long, text string, start_ms long, end_ms long")
+    e = spark.createDataFrame([(1, 1, [2, 3], "b.c.\nx."), (2, 2, [7], "y.")], "edit_id long, video_id long, ids array<long>, text string")
+    got, rejects = resegment_sentences(s, e)
+    assert "LeftAnti" not in plan(got)
+    assert [(r.n, r.text) for r in got.where("video_id = 1").orderBy("n").collect()] == [(1, "a."), (2, "b."), (3, "c."), (4, "x."), (5, "d.")]
+    assert [r.text for r in got.where("video_id is null or video_id = 2").orderBy("video_id").collect()] == ["f.", "e."]
+    assert [r.edit_id for r in rejects.collect()] == [2]
