@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,9 @@ ROUNDS = 2
 RATE = 0.04
 #: Words whose counts every task holds; counts of rarer ones are joined.
 HELD_WORDS = 1 << 18
-#: Documents scored side by side, and words after which a task scores, or learns from, what it has gathered.
-LANES, AT_ONCE = 512, 1_500_000
+#: Documents scored side by side, words after which a task learns from what it has gathered, and after which it scores it: a
+#: long document's last words are scored with few lanes beside it, so fewer, larger lots cost less.
+LANES, AT_ONCE, SCORED_AT_ONCE = 512, 1_500_000, 4_000_000
 #: Different words that a task counts before it sends them on.
 COUNTED = 400_000
 #: Tree of the weights' average: replicas are summed in so many groups, these in so many, whose sums go to the driver.
@@ -51,7 +53,15 @@ class Index(dict):
         return Index.of, (list(self), self.none)
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return np.fromiter(map(self.get, words, repeat(self.none)), np.int32, len(words))
+
+
+def keep_freed_memory(size: int = 1 << 24) -> None:
+    """Has malloc keep freed arrays of up to ``size`` bytes for the next ones: glibc takes the largest block freed so far as the bound.
+
+    Else each step's arrays come from the system anew, and their page faults take a third of a training step.
+    """
+    np.empty(size, np.uint8)
 
 
 class Adam:
@@ -100,8 +110,8 @@ class Network:
         return out
 
     def gates(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One step: x holds the input's share of the gates."""
-        g = h @ self.U
+        """One step: x holds the input's share of the gates. Arrays lie column by column, so each gate's values lie side by side."""
+        g = (self.U.T @ h.T).T
         rz = x[:, : 2 * STATE] + g[:, : 2 * STATE]
         np.negative(rz, out=rz)
         np.exp(rz, out=rz)
@@ -144,15 +154,16 @@ class Network:
         grad = np.zeros_like(self.flat)
         d = self.view(grad)
         t_max, n = x.shape
-        gx = (self.E @ self.W + self.b)[x]
+        inputs, into = with_one(self.E)[x], np.concatenate([self.W, self.b[None]])
+        gx = shares(inputs, into)
         states, parts = [], []
         for t in range(t_max):
             if start[t].any():
-                h = np.where(start[t][:, None], np.float32(0), h)
+                h = (h.T * ~start[t]).T
             states.append(h)
             h, *rest = self.gates(gx[t], h)
             parts.append((h, *rest))
-        hs = np.stack([p[0] for p in parts]).reshape(-1, STATE)
+        hs = np.stack([p[0] for p in parts]).reshape(-1, STATE)  # row by row
         counted = np.nonzero(mask.ravel())[0]
         ys, size = y.ravel()[counted], VOCAB // CLASSES
         order, edge = by_class(np.minimum(ys // size, CLASSES))
@@ -161,53 +172,72 @@ class Network:
         classes, words = self.heads()
         row = np.arange(len(hc))
         p = level(hc @ classes)
+        # A row's gradient is its exponentials, less their sum at the target, over that sum, which the narrower states are divided by.
         np.exp(p, out=p)
-        p *= (1 / row_sums(p))[:, None]
-        loss = -np.log(p[row, cls] + 1e-30).sum(dtype=float)
-        p[row, cls] -= 1
-        both = hc.T @ p
+        total = row_sums(p)
+        loss = -np.log(p[row, cls] / total + 1e-30).sum(dtype=float)
+        p[row, cls] -= total
+        total = 1 / total
+        both = (hc * total[:, None]).T @ p
         d["C"] += both[:STATE]
         d["c"] += both[STATE]
         dc = p @ self.C.T
+        dc *= total[:, None]
         q = within(hc, words, edge)
         np.exp(q, out=q)
-        q *= (1 / row_sums(q))[:, None]
+        total = row_sums(q)
         at = row[: len(q)], word[: len(q)]
-        loss -= np.log(q[at] + 1e-30).sum(dtype=float)
-        q[at] -= 1
+        loss -= np.log(q[at] / total + 1e-30).sum(dtype=float)
+        q[at] -= total
+        total = 1 / total
+        scaled, dq = hc[: len(q)] * total[:, None], np.empty((len(q), STATE), np.float32)
         for k in np.nonzero(edge[1:-1] > edge[:-2])[0]:
             part = slice(edge[k], edge[k + 1])
-            both = hc[part].T @ q[part]
+            both = scaled[part].T @ q[part]
             d["O"][k] += both[:STATE]
             d["o"][k] += both[STATE]
-            dc[part] += q[part] @ self.O[k].T
+            np.matmul(q[part], self.O[k].T, out=dq[part])
+        dq *= total[:, None]
+        dc[: len(q)] += dq
         dh = np.zeros_like(hs)
         dh[counted] = dc
-        dh = dh.reshape(t_max, n, STATE)
-        dgx, dgh = np.empty_like(gx), np.empty_like(gx)
-        carry, states, back = np.zeros((n, STATE), np.float32), np.stack(states), self.U.T.copy()
+        dh = by_column(dh.reshape(t_max, n, STATE))
+        dgx, dgh = (np.empty((t_max, 3 * STATE, n), np.float32).transpose(0, 2, 1) for _ in range(2))
+        carry = np.zeros((STATE, n), np.float32).T
         for t in range(t_max - 1, -1, -1):
             _, r, z, new, gn = parts[t]
-            g = dh[t] + carry
-            dz = g * (states[t] - new) * z * (1 - z)
-            dn = g * (1 - z) * (1 - new * new)
-            both = dgx[t]
-            both[:, :STATE], both[:, STATE : 2 * STATE], both[:, 2 * STATE :] = dn * gn * r * (1 - r), dz, dn
+            g = dh[t]
+            g += carry
+            rest, both = 1 - z, dgx[t]
+            dr, dz, dn = both[:, :STATE], both[:, STATE : 2 * STATE], both[:, 2 * STATE :]
+            np.subtract(states[t], new, out=dz)
+            dz *= g
+            dz *= z
+            dz *= rest
+            np.multiply(new, new, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= g
+            dn *= rest
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= gn
+            dr *= dn
             dgh[t] = both
             dgh[t, :, 2 * STATE :] *= r
-            carry = g * z + dgh[t] @ back
+            carry = (self.U @ dgh[t].T).T
+            g *= z
+            carry += g
             if start[t].any():
-                carry[start[t]] = 0
-        d["U"] += states.reshape(-1, STATE).T @ dgh.reshape(-1, 3 * STATE)
-        flat = dgx.reshape(-1, 3 * STATE)
+                carry = (carry.T * ~start[t]).T
+        d["U"] += np.matmul(by_column(np.stack(states)).transpose(0, 2, 1), dgh).sum(0)
+        both = np.matmul(inputs.transpose(0, 2, 1), dgx).sum(0)
+        d["W"] += both[:EMBED]
+        d["b"] += both[EMBED]
         ids = x.ravel()
         order = np.argsort(ids.astype(np.int16), kind="stable")
-        ids, into = ids[order], flat[order]
+        ids = ids[order]
         first = np.nonzero(np.append(True, ids[1:] != ids[:-1]))[0]
-        sums = np.add.reduceat(into, first)  # by word
-        d["W"] += self.E[ids[first]].T @ sums
-        d["b"] += flat.sum(0)
-        d["E"][ids[first]] += sums @ self.W.T
+        d["E"][ids[first]] += np.add.reduceat(np.matmul(dgx, self.W.T).reshape(-1, EMBED)[order], first)  # by word
         return grad, h, loss
 
     def train(self, texts: list[np.ndarray], adam: Adam) -> int:
@@ -245,34 +275,45 @@ class Network:
         sizes = np.array([sum(len(texts[k]) for k in lane) for lane in lanes])
         if not len(sizes):
             return out
-        window, base = 32, np.append(0, np.cumsum(sizes))
+        window, base = 32 * LANES, np.append(0, np.cumsum(sizes))  # words of a window, so it is longer where few lanes are left
         y = np.concatenate([texts[k] for lane in lanes for k in lane]).astype(np.int32)  # lane after lane
         starts = np.append(0, np.cumsum([len(texts[k]) for lane in lanes for k in lane]))[:-1]
         x = np.roll(y, 1)  # every document ends alike, so each begins after an end
         new, logp = np.zeros(len(y), bool), np.zeros(len(y), np.float32)
         new[starts] = True
-        table = self.E @ self.W + self.b
+        inputs, into = with_one(self.E), np.concatenate([self.W, self.b[None]])
         h = np.zeros((len(lanes), STATE), np.float32)
-        for a in range(0, int(sizes[0]), window):
+        a = steps = 0
+        while (a := a + steps) < sizes[0]:
             live = int((sizes > a).sum())
             h = h[:live]
-            steps = min(window, int(sizes[0]) - a)
+            steps = min(window // live, int(sizes[0]) - a)
             real = (a + np.arange(steps))[:, None] < sizes[None, :live]
             at = np.where(real, base[None, :live] + (a + np.arange(steps))[:, None], 0)
             hs = np.empty((steps, live, STATE), np.float32)
-            gx, first = table[x[at]], new[at]
+            gx, first = shares(inputs[x[at]], into), new[at]
             begins = first.any(1)
             for t in range(steps):
                 if begins[t]:
-                    h = np.where(first[t][:, None], np.float32(0), h)
+                    h = (h.T * ~first[t]).T
                 h = hs[t] = self.gates(gx[t], h)[0]
             logp[at[real]] = self.log_probs(hs[real], y[at[real]])
-        out[[k for lane in lanes for k in lane]] = np.add.reduceat(logp.astype(np.float64), starts)
+        out[[k for lane in lanes for k in lane]] = np.add.reduceat(logp, starts, dtype=np.float64)
         return out
 
 
+def by_column(rows: np.ndarray) -> np.ndarray:
+    """The same array of (steps, rows, columns), each step stored column by column."""
+    return np.ascontiguousarray(rows.transpose(0, 2, 1)).transpose(0, 2, 1)
+
+
+def shares(inputs: np.ndarray, into: np.ndarray) -> np.ndarray:
+    """The inputs' shares of the gates, each step stored column by column."""
+    return np.matmul(into.T, inputs.transpose(0, 2, 1)).transpose(0, 2, 1)
+
+
 def with_one(h: np.ndarray) -> np.ndarray:
-    """States with a 1 behind each, which takes the biases."""
+    """States (or embeddings) with a 1 behind each, which takes the biases."""
     out = np.ones((len(h), STATE + 1), np.float32)
     out[:, :STATE] = h
     return out
@@ -379,6 +420,7 @@ def train_network(train: DataFrame, ids: Index, logs: np.ndarray, rounds: int =
         def learn(batches: Iterator[pd.DataFrame], start: np.ndarray = flat, rate: float = rate / (1 + k)) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
+            keep_freed_memory()
             net, n, texts, size = Network(), 0, [], 0
             net.flat[:] = start
             adam = Adam(len(start), rate)
@@ -437,6 +479,7 @@ def score_documents(docs: DataFrame, held_words: int = HELD_WORDS) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        keep_freed_memory()
         index, number, known, flat = sent.value
         net = Network()
         net.flat[:] = flat
@@ -451,7 +494,7 @@ def score_documents(docs: DataFrame, held_words: int = HELD_WORDS) -> DataFrame:
                 words.append(END)
                 own = index.encode(words)
                 rare.append([words[k] for k in np.nonzero(number[own] == 0)[0]])
-                if size > AT_ONCE:
+                if size > SCORED_AT_ONCE:
                     scores.append(net.score([np.where(c < known, c, VOCAB) for c in codes[done:]]))
                     done, size = len(codes), 0
                 size += len(words)

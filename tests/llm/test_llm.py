@@ -484,3 +484,47 @@ def test_logits_large_or_small_give_the_same_probabilities():
                 p += o[word % size] - np.logaddexp.reduce(o)
             want.append(p)
         assert np.allclose(net.log_probs(h, y), want, rtol=1e-4, atol=1e-3)
+
+
+def test_training_steps_reuse_memory():
+    """A step of training takes its arrays from memory that the step before has freed: hardly any page faults, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from tempotext.llm import lm
+lm.keep_freed_memory()
+rng = np.random.default_rng(2)
+net, h = lm.Network(np.log(np.full(lm.VOCAB + 1, 1 / (lm.VOCAB + 1))).astype(np.float32)), np.zeros((lm.STREAMS, lm.STATE), np.float32)
+x = rng.integers(0, lm.VOCAB + 1, (lm.STEPS, lm.STREAMS)).astype(np.int32)
+for k in range(12):
+    if k == 2:
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    _, h, _ = net.step(x, x[::-1], np.ones(x.shape, np.float32), rng.random(x.shape) < 0.01, h)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    faults = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert faults < 3000  # ten steps; each faulted in more than a thousand pages before
+
+
+def test_gradient_equals_plain_loop():
+    """Gradients of the arrays stored by column equal differences of the loss in every group of parameters, with resets and words left out."""
+    rng = np.random.default_rng(4)
+    net = lm.Network(np.log(np.full(lm.VOCAB + 1, 1 / (lm.VOCAB + 1))).astype(np.float32))
+    net.flat += rng.normal(0, 0.2, len(net.flat)).astype(np.float32)
+    x, y = rng.integers(0, lm.VOCAB + 1, (2, 6, 5))
+    mask, start = (rng.random((6, 5)) < 0.8).astype(np.float32), rng.random((6, 5)) < 0.3
+    h = rng.normal(0, 0.5, (5, lm.STATE)).astype(np.float32)
+    grad = net.step(x, y, mask, start, h)[0]
+    at = 0
+    for shape in net.shapes.values():
+        size = int(np.prod(shape))
+        k = at + int(np.argmax(np.abs(grad[at : at + size])))
+        keep, loss = net.flat[k], []
+        for e in (1e-2, -1e-2):
+            net.flat[k] = keep + e
+            loss.append(net.step(x, y, mask, start, h)[2])
+        net.flat[k] = keep
+        assert abs((loss[0] - loss[1]) / 2e-2 - grad[k]) < 0.03 * max(0.1, abs(grad[k]))
+        at += size
