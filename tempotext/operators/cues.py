@@ -13,6 +13,8 @@ from .times import overlapping, running_max
 
 PAD, COVER, GAP, MERGE, SPAN, CONTEXT = 650, 700, 500, 250, 20_000, 3_000
 SUPPORT = 0.46
+#: Segments whose references are put together in one row.
+BLOCK = 64
 
 
 def merge_cues(cues: DataFrame, gap_ms: int = MERGE) -> DataFrame:
@@ -40,12 +42,27 @@ def merge_intervals(spans: DataFrame, gap_ms: int = GAP) -> DataFrame:
 
 
 def align_references(segments: DataFrame, cues: DataFrame, pad_ms: int = PAD) -> DataFrame:
-    """Each segment with the distinct texts of the cues that overlap it, padded, in cue order; none: an empty list."""
-    c = cues.select("video_id", F.col("n").alias("cn"), F.col("start_ms").alias("cs"), F.col("end_ms").alias("ce"), F.col("text").alias("ct"))
-    both = overlapping(segments.select("video_id", "n", "start_ms", "end_ms"), c, ("start_ms", "end_ms"), ("cs", "ce"), pad_ms).where("ce >= 0")
-    texts = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("cn", "ct"))), lambda x: x["ct"]))
-    found = both.groupBy("video_id", "n").agg(texts.alias("reference"))
-    return segments.select("video_id", "n").join(found, ["video_id", "n"], "left").withColumn("reference", F.coalesce("reference", F.array().cast("array<string>")))
+    """Each segment with the distinct texts of the cues that overlap it, padded, in cue order; none: an empty list.
+
+    Pairs are found by times and numbers alone. A text goes once to each block of BLOCK segments that it overlaps, not to each bin
+    or segment, and a block's segments take their texts by place.
+    """
+    at, block = ["cn", "cs", "ce"], ["video_id", "block"]  # cues of one number and time pair alike, so numbers may repeat
+    c = cues.select("video_id", F.col("n").alias("cn"), F.col("start_ms").alias("cs"), F.col("end_ms").alias("ce"), F.col("text").alias("ct")).where("ce >= 0")
+    both = overlapping(segments.select("video_id", "n", "start_ms", "end_ms"), c.drop("ct"), ("start_ms", "end_ms"), ("cs", "ce"), pad_ms)
+    # A segment's own row has no cue and comes first in its block; it counts the segments of one number.
+    rows = both.select("video_id", "n", *at).unionByName(segments.select("video_id", "n"), allowMissingColumns=True).withColumn("block", F.floor(F.col("n") / BLOCK))
+    rows = rows.repartition(*block).withColumn("place", F.dense_rank().over(W.partitionBy(*block).orderBy(*at)) - 1)
+    own = rows.groupBy(*block, "n").agg(F.collect_set(F.when(F.col("cs").isNotNull(), F.col("place"))).alias("places"), F.count(F.when(F.col("cs").isNull(), 1)).cast("int").alias("m"))
+    own = own.groupBy(*block).agg(F.collect_list(F.struct("n", "places", "m")).alias("own"))
+    wanted = rows.where("cs is not null").select(*block, *at).distinct().withColumnsRenamed({"video_id": "v", "cn": "wn", "cs": "ws", "ce": "we"})
+    sent = c.join(wanted, (F.col("video_id") == F.col("v")) & F.col("cn").eqNullSafe(F.col("wn")) & (F.col("cs") == F.col("ws")) & (F.col("ce") == F.col("we")))
+    sent = sent.select(*block, *at, "ct").repartition(*block).groupBy(*block, *at).agg(F.collect_list(F.struct("cn", "ct")).alias("cues"))
+    sent = sent.groupBy(*block).agg(F.transform(F.sort_array(F.collect_list(F.struct(*at, "cues"))), lambda x: x["cues"]).alias("texts"))
+    held = lambda x: F.sort_array(F.flatten(F.transform(x["places"], lambda k: F.element_at("texts", k))))
+    texts = lambda x: F.coalesce(F.array_distinct(F.transform(held(x), lambda y: y["ct"])), F.array().cast("array<string>"))
+    found = own.join(sent, block, "left").select("video_id", F.explode(F.transform("own", lambda x: F.struct(x["n"].alias("n"), texts(x).alias("reference"), x["m"].alias("m")))).alias("x"))
+    return found.select("video_id", "x.n", "x.reference", F.explode(F.sequence(F.lit(1), "x.m")).alias("k")).drop("k")
 
 
 def uncovered_cues(cues: DataFrame, segments: DataFrame, pad_ms: int = COVER, least: float | None = SUPPORT) -> DataFrame:
